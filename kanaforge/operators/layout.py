@@ -1,0 +1,21 @@
+"""Partition layout helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+
+
+def spread(df: DataFrame, *keys: Column | str, min_partitions: int | None = None) -> DataFrame:
+    """Hash-repartition by ``keys`` only when the frame has fewer partitions than the
+    cluster can run at once.
+
+    Text rows are few but costly (sentence splits, edit distances), and a small input
+    (one Parquet row group) is read by a single task. On a large input the scan
+    already yields many partitions and this is a no-op, so no shuffle is added where
+    the data is big. Hashing by a key keeps the layout deterministic across retries.
+    """
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *keys)

@@ -70,3 +70,114 @@ def q_clean_pairs(spark, sf_dir):
 def q_filter_counts(spark, sf_dir):
     flagged = cleaned_pairs(spark, sf_dir, keep_flag="ok")
     return filters.filter_counts(flagged, "ok", by=["lang"])
+
+
+# ---------------------------------------------------------------------------------------
+# Evaluation: MET-1..10 over three rule-made models
+# ---------------------------------------------------------------------------------------
+
+from ..operators import metrics as M  # noqa: E402
+
+METRICS = M.METRIC_COLS
+LANGS = ("de", "en", "es", "fr")
+
+
+def _r6_all(df, cols=METRICS):
+    for c in cols:
+        df = df.withColumn(c, r6(F.col(c)))
+    return df
+
+
+def scored(spark, sf_dir):
+    return M.row_metrics(T.model_predictions(spark, sf_dir))
+
+
+def runs(spark, sf_dir):
+    """Macro metrics by (model, dataset = language): the shape of a results board."""
+    return M.macro_metrics(scored(spark, sf_dir), by=["model", "lang"]).withColumnRenamed("lang", "dataset")
+
+
+_MET_SQL_COLS = ", ".join(f"round({c}, 6) AS {c}" for c in METRICS)
+
+
+@register(
+    "row_metrics", ("TXT-1", "TXT-6", "SET-2", "MET-1", "MET-2", "MET-3", "MET-4"),
+    f"WITH {O.metrics_ctes()} SELECT doc_id, sent_no, model, {_MET_SQL_COLS} FROM scored",
+)
+def q_row_metrics(spark, sf_dir):
+    return _r6_all(scored(spark, sf_dir).select("doc_id", "sent_no", "model", *METRICS))
+
+
+@register(
+    "macro_metrics_by_lang", ("MET-4", "MET-5"),
+    f"WITH {O.metrics_ctes()}, {O.runs_cte()} SELECT model, dataset, {_MET_SQL_COLS}, n FROM runs",
+)
+def q_macro_metrics(spark, sf_dir):
+    return _r6_all(runs(spark, sf_dir))
+
+
+def _cer_sql(x):
+    return O.strip(f"regexp_replace(coalesce({x}, ''), {O.q(O.WS + '{2,}')}, ' ', 'g')")
+
+
+@register(
+    "corpus_cer", ("FLT-5", "MET-6"),
+    f"WITH {O.sentences_cte()}, {O.sentences_next_cte()}, {O.predictions_cte()}, "
+    f"c1 AS (SELECT model, {_cer_sql('reference')} AS r_, {_cer_sql('prediction')} AS p_ FROM preds), "
+    "c2 AS (SELECT model, length(r_) > 0 AS k_, r_, p_ FROM c1), "
+    f"c3 AS (SELECT model, sum(CASE WHEN k_ THEN {O.levenshtein('r_', 'p_')} END) AS e_, "
+    "sum(CASE WHEN k_ THEN length(r_) END) AS l_, count_if(k_) AS n_ FROM c2 GROUP BY model) "
+    "SELECT model, round(CASE WHEN n_ = 0 THEN 1.0 ELSE CAST(e_ AS DOUBLE) / l_ END, 6) AS corpus_cer, "
+    "CAST(coalesce(e_, 0) AS BIGINT) AS edits, CAST(coalesce(l_, 0) AS BIGINT) AS ref_chars, "
+    "CAST(n_ AS BIGINT) AS pairs FROM c3",
+)
+def q_corpus_cer(spark, sf_dir):
+    out = M.corpus_cer(T.model_predictions(spark, sf_dir), by=["model"])
+    return out.withColumn("corpus_cer", r6(F.col("corpus_cer")))
+
+
+@register(
+    "leaderboard", ("MET-5", "MET-7"),
+    f"WITH {O.metrics_ctes()}, {O.runs_cte()} SELECT model, "
+    + ", ".join(f"round(max(CASE WHEN dataset = '{d}' THEN f_score END), 6) AS {d}" for d in LANGS)
+    + " FROM runs GROUP BY model",
+)
+def q_leaderboard(spark, sf_dir):
+    board = M.leaderboard(runs(spark, sf_dir), metric="f_score", datasets=LANGS)
+    return _r6_all(board, LANGS)
+
+
+@register(
+    "best_checkpoint", ("MET-8",),
+    f"WITH {O.metrics_ctes()}, {O.runs_cte()}, "
+    "b AS (SELECT dataset, model, cer, row_number() OVER (PARTITION BY dataset ORDER BY cer, model) AS rn "
+    "FROM runs WHERE model <> 'copy') "
+    "SELECT dataset, model AS best_model, round(cer, 6) AS best_cer FROM b WHERE rn = 1",
+)
+def q_best_checkpoint(spark, sf_dir):
+    r = runs(spark, sf_dir).filter(F.col("model") != "copy")
+    out = M.best_checkpoint(r, by=["dataset"], metric="cer")
+    return out.withColumn("best_cer", r6(F.col("best_cer")))
+
+
+@register(
+    "compare_outputs", ("MET-9",),
+    f"WITH {O.sentences_cte()}, {O.sentences_next_cte()}, {O.predictions_cte()} "
+    "SELECT doc_id, sent_no, reference, "
+    + ", ".join(f"max(CASE WHEN model = '{m}' THEN prediction END) AS \"{m}\"" for m in T.MODELS)
+    + " FROM preds GROUP BY doc_id, sent_no, reference",
+)
+def q_compare_outputs(spark, sf_dir):
+    return M.compare_outputs(T.model_predictions(spark, sf_dir), key=["doc_id", "sent_no", "reference"],
+                             models=T.MODELS)
+
+
+@register(
+    "metric_deltas", ("MET-10",),
+    f"WITH {O.metrics_ctes()}, {O.runs_cte()} SELECT r.model, r.dataset, "
+    + ", ".join(f"round(r.{c} - b.{c}, 6) AS delta_{c}" for c in METRICS)
+    + " FROM runs r JOIN runs b ON b.dataset = r.dataset AND b.model = 'copy'",
+)
+def q_metric_deltas(spark, sf_dir):
+    out = M.metric_deltas(runs(spark, sf_dir), base_model="copy")
+    return _r6_all(out, [f"delta_{c}" for c in METRICS])

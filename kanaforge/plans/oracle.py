@@ -76,3 +76,74 @@ def clean_cte(lo: str = "A", hi: str = "Z") -> str:
 
 def corpus_ctes() -> str:
     return ", ".join([sentences_cte(), pairs_cte(), clean_cte()])
+
+
+# --- edit distance in code points -------------------------------------------------------
+
+# The non-ASCII characters of the driver's text tables (the same 21 at
+# sf0.001, sf0.01 and sf0.1). DuckDB's levenshtein counts bytes, so each is mapped to a
+# control byte that does not occur in the text (1-8, 14-26) before measuring.
+NON_ASCII_TEXT_CHARS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_CONTROL_BYTES = [*range(1, 9), *range(14, 27)]
+
+
+def one_byte(x: str) -> str:
+    to = " || ".join(f"chr({b})" for b in _CONTROL_BYTES[: len(NON_ASCII_TEXT_CHARS)])
+    return f"translate({x}, {q(NON_ASCII_TEXT_CHARS)}, {to})"
+
+
+def levenshtein(a: str, b: str) -> str:
+    return f"levenshtein({one_byte(a)}, {one_byte(b)})"
+
+
+def sentences_next_cte() -> str:
+    """``sentn(doc_id, lang, sent_no, sentence, next_sentence)``; needs ``sent``."""
+    return (
+        "sentn AS (SELECT doc_id, lang, sent_no, sentence, coalesce(lead(sentence) OVER "
+        "(PARTITION BY doc_id ORDER BY sent_no), '') AS next_sentence FROM sent)"
+    )
+
+
+def predictions_cte() -> str:
+    """``preds(doc_id, lang, sent_no, model, reference, prediction)``; needs ``sentn``."""
+    return (
+        "preds AS (SELECT doc_id, lang, sent_no, m.model, sentence AS reference, "
+        "CASE m.model WHEN 'copy' THEN sentence WHEN 'vowel' THEN translate(sentence, 'e', 'a') "
+        "ELSE next_sentence END AS prediction FROM sentn, (VALUES ('copy'), ('vowel'), ('next')) m(model))"
+    )
+
+
+def chars(x: str) -> str:
+    return f"list_distinct(list_filter(string_split({x}, ''), lambda c: c <> ''))"
+
+
+def scored_cte(src: str = "preds") -> str:
+    """``scored(..., precision, recall, f_score, cer, sentence_accuracy)`` from a table
+    with ``reference`` and ``prediction`` (NFKC is a no-op on the driver's text)."""
+    rm = f"regexp_replace(coalesce(reference, ''), {q(WS + '+')}, '', 'g')"
+    pm = f"regexp_replace(coalesce(prediction, ''), {q(WS + '+')}, '', 'g')"
+    return (
+        f"n1 AS (SELECT *, {rm} AS r_, {pm} AS p_ FROM {src}), "
+        f"n2 AS (SELECT *, {chars('r_')} AS rs_, {chars('p_')} AS ps_ FROM n1), "
+        "n3 AS (SELECT *, len(list_intersect(ps_, rs_)) AS tp_, len(ps_) - len(list_intersect(ps_, rs_)) AS fp_, "
+        "len(rs_) - len(list_intersect(ps_, rs_)) AS fn_ FROM n2), "
+        "n4 AS (SELECT *, CASE WHEN tp_ + fp_ > 0 THEN CAST(tp_ AS DOUBLE) / (tp_ + fp_) ELSE 0.0 END AS pr_, "
+        "CASE WHEN tp_ + fn_ > 0 THEN CAST(tp_ AS DOUBLE) / (tp_ + fn_) ELSE 0.0 END AS rc_ FROM n3), "
+        "scored AS (SELECT *, pr_ * 100.0 AS precision, rc_ * 100.0 AS recall, "
+        "CASE WHEN pr_ + rc_ > 0 THEN 2.0 * pr_ * rc_ / (pr_ + rc_) ELSE 0.0 END * 100.0 AS f_score, "
+        f"CASE WHEN length(r_) > 0 THEN CAST({levenshtein('r_', 'p_')} AS DOUBLE) / length(r_) ELSE 1.0 END * 100.0 AS cer, "
+        "CASE WHEN r_ = p_ THEN CAST(100.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS sentence_accuracy FROM n4)"
+    )
+
+
+def metrics_ctes() -> str:
+    return ", ".join([sentences_cte(), sentences_next_cte(), predictions_cte(), scored_cte()])
+
+
+def runs_cte() -> str:
+    """``runs(model, dataset, precision, ..., n)``: macro metrics by model and language."""
+    return (
+        "runs AS (SELECT model, lang AS dataset, avg(precision) AS precision, avg(recall) AS recall, "
+        "avg(f_score) AS f_score, avg(cer) AS cer, avg(sentence_accuracy) AS sentence_accuracy, "
+        "CAST(count(*) AS BIGINT) AS n FROM scored GROUP BY model, lang)"
+    )

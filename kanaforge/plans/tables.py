@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_upper, split_sentences_drop
+from ..operators.layout import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -29,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per sentence of ``documents``: (doc_id, lang, sent_no, sentence),
     ``sent_no`` 0-based among the kept sentences of the document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
     arr = split_sentences_drop(F.col("text"), LATIN_TERMS)
     return docs.select("doc_id", "lang", F.posexplode(arr).alias("sent_no", "sentence")).select(
         "doc_id", "lang", F.col("sent_no").cast("long").alias("sent_no"), "sentence"
@@ -46,3 +47,34 @@ def sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         ascii_upper(F.col("sentence")).alias("source"),
         F.col("sentence").alias("target"),
     )
+
+
+# Three rule-made "models" scored against the same reference sentences.
+MODELS = ("copy", "vowel", "next")
+
+
+def sentences_with_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, sent_no, sentence, next_sentence): the following sentence of the
+    same document ('' after the last), taken from the same array, so no shuffle."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id").select(
+        "doc_id", "lang", split_sentences_drop(F.col("text"), LATIN_TERMS).alias("_arr"))
+    # The array is a column of its own, so the split runs once per document.
+    arr = F.col("_arr")
+    with_next = F.transform(
+        arr, lambda x, i: F.struct(x.alias("sentence"),
+                                   F.coalesce(F.try_element_at(arr, i + 2), F.lit("")).alias("next_sentence"))
+    )
+    return docs.select("doc_id", "lang", F.posexplode(with_next).alias("sent_no", "s")).select(
+        "doc_id", "lang", F.col("sent_no").cast("long").alias("sent_no"), "s.sentence", "s.next_sentence"
+    )
+
+
+def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long form (doc_id, lang, sent_no, model, reference, prediction): 'copy' repeats
+    the reference, 'vowel' swaps e -> a, 'next' answers with the next sentence."""
+    s = sentences_with_next(spark, sf_dir)
+    return s.selectExpr(
+        "doc_id", "lang", "sent_no", "sentence AS reference",
+        "stack(3, 'copy', sentence, 'vowel', translate(sentence, 'e', 'a'), 'next', next_sentence) "
+        "AS (model, prediction)",
+    )
