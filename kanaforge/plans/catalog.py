@@ -181,3 +181,155 @@ def q_compare_outputs(spark, sf_dir):
 def q_metric_deltas(spark, sf_dir):
     out = M.metric_deltas(runs(spark, sf_dir), base_model="copy")
     return _r6_all(out, [f"delta_{c}" for c in METRICS])
+
+
+# ---------------------------------------------------------------------------------------
+# Splits, validation, samples: SPL-1/2, AGG-5, VAL-1, SMP-1, IDX-1
+# ---------------------------------------------------------------------------------------
+
+from ..functions import constants as K  # noqa: E402
+from ..operators import index as IX  # noqa: E402
+from ..operators import pairing as PR  # noqa: E402
+from ..operators import validate as VL  # noqa: E402
+
+
+def split_dataset(spark, sf_dir, exact: bool = True):
+    """Kept pairs as a split dataset: (pair_key, lang, translation, split)."""
+    pairs = cleaned_pairs(spark, sf_dir).select(
+        "pair_key", "lang", F.struct("source", "target").alias("translation"))
+    fn = IX.split_exact if exact else IX.split_hash
+    return fn(pairs, key="pair_key")
+
+
+_KEPT = f"WITH {O.corpus_ctes()}, kept AS (SELECT pair_key, lang, source, target FROM cleaned WHERE ok)"
+_N_TRAIN = f"floor(n_ * {K.TRAIN_RATIO!r})"
+_SPLIT_EXACT_SQL = (
+    f"{_KEPT}, ix AS (SELECT *, row_number() OVER (ORDER BY md5('{K.SEED}:' || pair_key), pair_key) - 1 AS i_, "
+    "count(*) OVER () AS n_ FROM kept), "
+    f"ds AS (SELECT *, CASE WHEN i_ < {_N_TRAIN} THEN 'train' "
+    f"WHEN i_ < {_N_TRAIN} + floor((n_ - {_N_TRAIN}) * {K.TEST_RATIO / (K.TEST_RATIO + K.VALIDATION_RATIO)!r}) "
+    "THEN 'test' ELSE 'validation' END AS split FROM ix)"
+)
+
+
+@register("split_exact", ("SPL-1", "IDX-1"), f"{_SPLIT_EXACT_SQL} SELECT pair_key, split FROM ds")
+def q_split_exact(spark, sf_dir):
+    return split_dataset(spark, sf_dir).select("pair_key", "split")
+
+
+_U = f"CAST(('0x' || substr(md5('{K.SEED}:' || pair_key), 1, 8)) AS UBIGINT) / 4294967296.0"
+
+
+@register(
+    "split_hash", ("SPL-2",),
+    f"{_KEPT} SELECT pair_key, CASE WHEN {_U} < CAST('{K.TRAIN_RATIO!r}' AS DOUBLE) THEN 'train' "
+    f"WHEN {_U} < CAST('{K.TRAIN_RATIO + K.TEST_RATIO!r}' AS DOUBLE) THEN 'test' ELSE 'validation' END AS split FROM kept",
+)
+def q_split_hash(spark, sf_dir):
+    return split_dataset(spark, sf_dir, exact=False).select("pair_key", "split")
+
+
+@register(
+    "split_stats", ("AGG-5",),
+    f"{_SPLIT_EXACT_SQL}, c AS (SELECT split, CAST(count(*) AS BIGINT) AS n FROM ds GROUP BY split) "
+    "SELECT split, n, CAST(sum(n) OVER () AS BIGINT) AS total, round(n * 100.0 / sum(n) OVER (), 6) AS pct FROM c",
+)
+def q_split_stats(spark, sf_dir):
+    return IX.split_stats(split_dataset(spark, sf_dir))
+
+
+@register(
+    "validate", ("VAL-1",),
+    f"{_SPLIT_EXACT_SQL}, st AS (SELECT count_if(split = 'train') AS a_, count_if(split = 'validation') AS b_, "
+    "count_if(split = 'test') AS c_, count_if(source IS NULL OR target IS NULL) AS d_ FROM ds), "
+    "rep AS (SELECT 'field:translation' AS \"check\", true AS ok, 'present' AS detail "
+    "UNION ALL SELECT 'field:translation.source', true, 'present' "
+    "UNION ALL SELECT 'field:translation.target', true, 'present' "
+    "UNION ALL SELECT 'split:train', a_ > 0, 'rows=' || a_ FROM st "
+    "UNION ALL SELECT 'split:validation', b_ > 0, 'rows=' || b_ FROM st "
+    "UNION ALL SELECT 'split:test', true, CASE WHEN c_ > 0 THEN 'rows=' || c_ "
+    "ELSE 'rows=0 (optional split is empty or absent)' END FROM st "
+    "UNION ALL SELECT 'values:non_null', d_ = 0, 'null_rows=' || d_ FROM st) "
+    "SELECT * FROM rep UNION ALL SELECT 'overall', bool_and(ok), 'failed=' || count_if(NOT ok) FROM rep",
+)
+def q_validate(spark, sf_dir):
+    return VL.validate_dataset(split_dataset(spark, sf_dir))
+
+
+@register(
+    "sample", ("SMP-1",),
+    f"{_SPLIT_EXACT_SQL}, s AS (SELECT split, pair_key, source, target, row_number() OVER (PARTITION BY split "
+    f"ORDER BY md5('{K.SEED}:' || pair_key), pair_key) AS rn FROM ds) "
+    "SELECT split, pair_key, source, target FROM s WHERE rn <= 5",
+)
+def q_sample(spark, sf_dir):
+    s = IX.sample_rows(split_dataset(spark, sf_dir), 5, key="pair_key")
+    return s.select("split", "pair_key", "translation.source", "translation.target")
+
+
+# ---------------------------------------------------------------------------------------
+# Pairing and lookups: JOI-1..3, AGG-6
+# ---------------------------------------------------------------------------------------
+
+@register(
+    "pair_by_position", ("JOI-1",),
+    "WITH t AS (SELECT conv_id, role, text, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 "
+    "AS BIGINT) AS k FROM conversations WHERE role IN ('user', 'assistant')) "
+    "SELECT u.conv_id, u.k, u.text AS source, a.text AS target FROM t u JOIN t a "
+    "ON a.conv_id = u.conv_id AND a.k = u.k AND u.role = 'user' AND a.role = 'assistant'",
+)
+def q_pair_by_position(spark, sf_dir):
+    conv = T.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ranked = PR.rank_in_group(conv.filter(F.col("role").isin("user", "assistant")),
+                              ["conv_id", "role"], ["turn"], rank_col="k")
+    user = ranked.filter(F.col("role") == "user")
+    assistant = ranked.filter(F.col("role") == "assistant")
+    return PR.pair_by_position(user, assistant, key=["conv_id", "k"])
+
+
+_PG_TEXT = O.strip("coalesce(pg.text, '')")
+
+
+@register(
+    "lookup_titles", ("JOI-2",),
+    "WITH req AS (SELECT 'doc-' || CAST(c_custkey AS VARCHAR) AS title FROM customer), "
+    "pg AS (SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS t, text FROM documents) "
+    "SELECT req.title, CASE WHEN pg.t IS NULL THEN 'missing' "
+    f"WHEN length({_PG_TEXT}) = 0 THEN 'empty' ELSE 'found' END AS status, "
+    "CAST(length(pg.text) AS BIGINT) AS n_chars FROM req LEFT JOIN pg ON pg.t = req.title",
+)
+def q_lookup_titles(spark, sf_dir):
+    req = T.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("doc-"), F.col("c_custkey").cast("string")).alias("title"))
+    pages = T.doc_pages(spark, sf_dir)
+    out = PR.lookup_titles(req, pages)
+    return out.select("title", "status", F.length("text").cast("long").alias("n_chars"))
+
+
+_DOMAIN_SQL = (
+    "dom AS (SELECT r_name AS domain, n_name AS category, n_nationkey AS ord FROM nation "
+    "JOIN region ON r_regionkey = n_regionkey)"
+)
+
+
+@register(
+    "resolve_domain", ("JOI-3",),
+    f"WITH {_DOMAIN_SQL}, req AS (SELECT lower(r_name) AS name FROM region UNION ALL SELECT n_name FROM nation) "
+    "SELECT req.name, dom.domain, coalesce(dom.category, req.name) AS category, "
+    "CAST(coalesce(dom.ord, 0) AS INTEGER) AS ord, dom.domain IS NOT NULL AS matched "
+    "FROM req LEFT JOIN dom ON lower(dom.domain) = lower(req.name)",
+)
+def q_resolve_domain(spark, sf_dir):
+    region = T.table(spark, sf_dir, "region")
+    names = region.select(F.lower("r_name").alias("name")).unionByName(
+        T.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")))
+    return PR.resolve_domain(names, T.domains(spark, sf_dir))
+
+
+@register(
+    "domain_summary", ("AGG-6",),
+    f"WITH {_DOMAIN_SQL} SELECT CAST(count(category) AS BIGINT) AS n_categories, "
+    "CAST(count(DISTINCT domain) AS BIGINT) AS n_domains FROM dom",
+)
+def q_domain_summary(spark, sf_dir):
+    return PR.domain_summary(T.domains(spark, sf_dir))

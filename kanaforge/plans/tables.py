@@ -78,3 +78,19 @@ def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "stack(3, 'copy', sentence, 'vowel', translate(sentence, 'e', 'a'), 'next', next_sentence) "
         "AS (model, prediction)",
     )
+
+
+def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages keyed by title: 'doc-<doc_id>' -> documents.text."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"), "text")
+
+
+def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain table (domain, category, ord): regions are domains, their nations the
+    categories, in nation-key order."""
+    n = table(spark, sf_dir, "nation")
+    r = table(spark, sf_dir, "region")
+    return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(
+        F.col("r_name").alias("domain"), F.col("n_name").alias("category"),
+        F.col("n_nationkey").cast("int").alias("ord"))
