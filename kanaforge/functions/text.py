@@ -86,9 +86,12 @@ def split_sentences_keep(c: ColumnOrName, terms: str = K.TERMS_KEEP) -> Column:
     is dropped. Each piece has whitespace collapsed; empty pieces are dropped.
     Returns ARRAY<STRING> in text order."""
     cls = K.char_class(terms)
-    neg = K.char_class(terms, negate=True)
-    pieces = F.regexp_extract_all(_c(c), F.lit(f"({neg}*{cls})"), 1)
-    cleaned = F.transform(pieces, lambda x: collapse_ws(x))
+    # Cut after every terminator (a zero-width split, linear time); every piece but the
+    # last ends with a terminator, and the last one is the tail, which is dropped.
+    # (Extracting "[^T]*[T]" instead is quadratic on a long text with no terminator.)
+    pieces = F.split(F.coalesce(_c(c), F.lit("")), f"(?<={cls})", -1)
+    closed = F.filter(pieces, lambda x: x.rlike(f"{cls}\\z"))
+    cleaned = F.transform(closed, lambda x: collapse_ws(x))
     return F.filter(cleaned, lambda x: F.length(x) > 0)
 
 

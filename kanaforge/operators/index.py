@@ -42,8 +42,7 @@ def with_global_index(df: DataFrame, order_cols: Sequence[Column | str], index_c
     ``bucket``: an expression monotone with the order (rows of a smaller bucket come
     first). Then the operator stays lazy: one aggregate for the bucket sizes and one
     shuffle by bucket for the in-bucket rank. The offsets table holds one row per
-    distinct bucket value, so choose a bucket with a bounded number of values (a
-    fixed-width hash prefix, a file block).
+    distinct bucket value (a fixed-width hash prefix gives at most 65,536).
 
     Without ``bucket`` the frame is range-partitioned on the order, sorted within
     partitions and checkpointed to the cluster's checkpoint folder, so partition ids
@@ -57,10 +56,14 @@ def with_global_index(df: DataFrame, order_cols: Sequence[Column | str], index_c
         b = df.withColumn(_B, bucket)
         counts = b.groupBy(_B).agg(F.count(F.lit(1)).alias(_N))
         offs = _offsets(counts, total_col)
+        # Rank first: the rows are then hash-partitioned by bucket, and the join with
+        # the offsets reuses that partitioning (or becomes a broadcast join when
+        # adaptive execution measures the offsets table as small).
         w = Window.partitionBy(_B).orderBy(*order)
-        out = b.join(F.broadcast(offs), on=_B, how="inner")
-        out = out.withColumn(index_col, (F.col(_OFF) + F.row_number().over(w) - 1).cast("long"))
-        return out.drop(_B, _OFF)
+        ranked = b.withColumn("_rk", F.row_number().over(w))
+        out = ranked.join(offs, on=_B, how="inner")
+        out = out.withColumn(index_col, (F.col(_OFF) + F.col("_rk") - 1).cast("long"))
+        return out.drop(_B, _OFF, "_rk")
 
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)

@@ -333,3 +333,196 @@ def q_resolve_domain(spark, sf_dir):
 )
 def q_domain_summary(spark, sf_dir):
     return PR.domain_summary(T.domains(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------------------
+# Category walk and corpus assembly: GRP-1..5, TXT-3, TXT-12, SRC-3
+# ---------------------------------------------------------------------------------------
+
+from ..operators import graph as G  # noqa: E402
+from ..sources.tagged import tagged_docs_in_column  # noqa: E402
+
+
+def _region_roots(spark, sf_dir):
+    return T.table(spark, sf_dir, "region").select(F.col("r_name").alias("root"))
+
+
+_ROOTS_SQL = "SELECT r_name AS root FROM region"
+
+
+@register(
+    "category_walk", ("GRP-1", "SRC-5", "FLT-6"),
+    f"WITH {O.links_cte()}, {O.walk_ctes(_ROOTS_SQL, 1)} "
+    f"SELECT root, member, level, {O.path_key('path')} AS path_key FROM walked",
+)
+def q_category_walk(spark, sf_dir):
+    w = G.walk_category(_region_roots(spark, sf_dir), T.category_links(spark, sf_dir), max_depth=1)
+    return w.select("root", "member", "level", G.path_key("path").alias("path_key"))
+
+
+@register(
+    "category_cap", ("GRP-1", "GRP-2"),
+    f"WITH {O.links_cte()}, {O.walk_ctes(_ROOTS_SQL, 2)}, "
+    f"k AS (SELECT root, member, level, {O.path_key('path')} AS path_key FROM walked), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY path_key) - 1 AS rank FROM k) "
+    "SELECT root, CAST(rank AS BIGINT) AS rank, member, level, path_key FROM r WHERE rank < 100",
+)
+def q_category_cap(spark, sf_dir):
+    w = G.walk_category(_region_roots(spark, sf_dir), T.category_links(spark, sf_dir), max_depth=2)
+    c = G.cap_per_root(w, max_pages=100)
+    return c.select("root", "rank", "member", "level", G.path_key("path").alias("path_key"))
+
+
+@register(
+    "category_articles", ("GRP-3", "JOI-2", "TXT-3", "TXT-7", "TXT-12"),
+    f"WITH {O.links_cte()}, {O.walk_ctes(_ROOTS_SQL, 1)}, {O.page_sentences_cte()}, "
+    f"k AS (SELECT root, member, {O.path_key('path')} AS pk FROM walked), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY pk) - 1 AS rank FROM k) "
+    f"SELECT root, CAST(rank AS BIGINT) AS rank, title, {O.render('title', 'sentences')} AS article "
+    "FROM r JOIN ps ON ps.title = r.member WHERE rank < 100",
+)
+def q_category_articles(spark, sf_dir):
+    a = G.assemble_category(_region_roots(spark, sf_dir), T.category_links(spark, sf_dir),
+                            T.doc_pages(spark, sf_dir), max_depth=1, max_pages=100, terms=T.LATIN_TERMS)
+    return a.select("root", "rank", "title", "article")
+
+
+@register(
+    "domain_corpus", ("GRP-4", "JOI-3", "TXT-12"),
+    f"WITH {O.links_cte()}, {_DOMAIN_SQL}, "
+    f"{O.walk_ctes('SELECT DISTINCT category AS root FROM dom', 1)}, {O.page_sentences_cte()}, "
+    f"k AS (SELECT root, member, {O.path_key('path')} AS pk FROM walked), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY pk) - 1 AS rank FROM k) "
+    "SELECT dom.domain, dom.category, CAST(dom.ord AS INTEGER) AS cat_ord, CAST(rank AS BIGINT) AS rank, title, "
+    f"{O.render('title', 'sentences', 'dom.category')} AS article "
+    "FROM r JOIN dom ON dom.category = r.root JOIN ps ON ps.title = r.member WHERE rank < 20",
+)
+def q_domain_corpus(spark, sf_dir):
+    a = G.assemble_all_domains(T.domains(spark, sf_dir), T.category_links(spark, sf_dir), T.doc_pages(spark, sf_dir),
+                               max_depth=1, max_pages_per_category=20, terms=T.LATIN_TERMS)
+    return a.select("domain", "category", "cat_ord", "rank", "title", "article")
+
+
+_ARTICLE_RE = O.q("(?s)<article.*?>(.+?)</article>")
+
+
+@register(
+    "tagged_docs", ("SRC-3",),
+    f"WITH b AS (SELECT page_id, regexp_extract_all(html, {_ARTICLE_RE}, 1) AS bodies FROM pages) "
+    "SELECT page_id, CAST(unnest(generate_series(0, len(bodies) - 1)) AS BIGINT) AS block_no, unnest(bodies) AS body FROM b",
+)
+def q_tagged_docs(spark, sf_dir):
+    pages = spread(T.table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    return tagged_docs_in_column(pages, "html", tag="article", keep=("page_id",))
+
+
+def _dump_sql(limit: int | None) -> str:
+    cls = K.char_class(T.LATIN_TERMS)
+    mk = "body"
+    for p in (r"={2,}.*?={2,}", r"\[\[.*?\]\]", r"\{\{.*?\}\}"):
+        mk = f"regexp_replace({mk}, {O.q(p)}, '', 'g')"
+    arr = (f"list_filter(list_transform(regexp_split_to_array({mk}, {O.q(cls)}), lambda x: {O.strip('x')}), "
+           "lambda x: length(x) > 10)")
+    sql = (
+        f"WITH b AS (SELECT page_id, unnest(generate_series(0, len(bodies) - 1)) AS block_no, unnest(bodies) AS body "
+        f"FROM (SELECT page_id, regexp_extract_all(html, {_ARTICLE_RE}, 1) AS bodies FROM pages)), "
+        f"s AS (SELECT page_id, CAST(block_no AS BIGINT) AS block_no, {arr} AS arr FROM b), "
+        "x AS (SELECT page_id, block_no, CAST(unnest(generate_series(0, len(arr) - 1)) AS BIGINT) AS sent_no, "
+        "unnest(arr) AS sentence FROM s) SELECT page_id, block_no, sent_no, sentence FROM x"
+    )
+    if limit:
+        sql += f" ORDER BY page_id, block_no, sent_no LIMIT {limit}"
+    return sql
+
+
+def _dump(spark, sf_dir, limit):
+    blocks = q_tagged_docs(spark, sf_dir)
+    return G.extract_dump_sentences(blocks, ["page_id", "block_no"], terms=T.LATIN_TERMS, max_sentences=limit)
+
+
+@register("dump_sentences", ("GRP-5", "TXT-5", "TXT-4", "FLT-4"), _dump_sql(None))
+def q_dump_sentences(spark, sf_dir):
+    return _dump(spark, sf_dir, None)
+
+
+@register("dump_sentences_first", ("GRP-5", "IDX-2"), _dump_sql(1000))
+def q_dump_sentences_first(spark, sf_dir):
+    return _dump(spark, sf_dir, 1000)
+
+
+# ---------------------------------------------------------------------------------------
+# Text rules on whole texts: TXT-1..4, TXT-7, TXT-8, TXT-11, FLT-3
+# ---------------------------------------------------------------------------------------
+
+from ..functions import text as TX  # noqa: E402
+from ..operators.layout import spread  # noqa: E402
+
+
+def _docs(spark, sf_dir):
+    return spread(T.table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+
+
+def _conv(spark, sf_dir):
+    return spread(T.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "conv_id")
+
+
+@register(
+    "sentences_drop", ("TXT-4", "TXT-8", "FLT-4"),
+    f"WITH {O.sentences_cte()} SELECT doc_id, sent_no, sentence FROM sent",
+)
+def q_sentences_drop(spark, sf_dir):
+    return T.sentences(spark, sf_dir).select("doc_id", "sent_no", "sentence")
+
+
+_TEXT0 = "coalesce(text, '')"
+
+
+@register(
+    "sentences_keep", ("TXT-3", "TXT-7"),
+    f"WITH s AS (SELECT doc_id, {O.keep_sentences(_TEXT0)} AS arr FROM documents) "
+    "SELECT doc_id, CAST(unnest(generate_series(0, len(arr) - 1)) AS BIGINT) AS sent_no, unnest(arr) AS sentence FROM s",
+)
+def q_sentences_keep(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", F.posexplode(TX.split_sentences_keep(F.col("text"), T.LATIN_TERMS))
+                    .alias("sent_no", "sentence")).withColumn("sent_no", F.col("sent_no").cast("long"))
+
+
+@register(
+    "strip_chars_docs", ("TXT-2", "TXT-8"),
+    f"SELECT conv_id, turn, {O.strip_chars('text')} AS cleaned FROM conversations",
+)
+def q_strip_chars_docs(spark, sf_dir):
+    return _conv(spark, sf_dir).select("conv_id", "turn", TX.strip_chars("text").alias("cleaned"))
+
+
+@register(
+    "collapse_ws_docs", ("TXT-7", "TXT-8"),
+    f"SELECT doc_id, {O.collapse('text')} AS collapsed FROM documents",
+)
+def q_collapse_ws_docs(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", TX.collapse_ws("text").alias("collapsed"))
+
+
+@register(
+    "normalize_turns", ("TXT-1", "FLT-3"),
+    f"SELECT conv_id, turn, regexp_replace(text, {O.q(O.WS + '+')}, '', 'g') AS normalized FROM conversations "
+    f"WHERE length({O.strip('coalesce(text, ' + chr(39) + chr(39) + ')')}) > 0",
+)
+def q_normalize_turns(spark, sf_dir):
+    from ..operators.filters import drop_blank
+    c = drop_blank(_conv(spark, sf_dir), "text")
+    return c.select("conv_id", "turn", TX.normalize_text("text").alias("normalized"))
+
+
+# ASCII names: word characters are [A-Za-z0-9_] on both engines.
+_SLUG_KEEP = "regexp_replace(n_name || ' / ' || lower(n_name), '[^A-Za-z0-9_ -]', '', 'g')"
+
+
+@register(
+    "slugs", ("TXT-11",),
+    f"SELECT n_nationkey, replace({O.strip(_SLUG_KEEP)}, ' ', '_') AS slug FROM nation",
+)
+def q_slugs(spark, sf_dir):
+    n = T.table(spark, sf_dir, "nation")
+    return n.select("n_nationkey", TX.slug(F.concat(F.col("n_name"), F.lit(" / "), F.lower("n_name"))).alias("slug"))

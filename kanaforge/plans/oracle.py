@@ -147,3 +147,61 @@ def runs_cte() -> str:
         "avg(f_score) AS f_score, avg(cer) AS cer, avg(sentence_accuracy) AS sentence_accuracy, "
         "CAST(count(*) AS BIGINT) AS n FROM scored GROUP BY model, lang)"
     )
+
+
+def links_cte() -> str:
+    """``links(category, member, member_ns, ord)`` as built by tables.category_links."""
+    return (
+        "links AS (SELECT r_name AS category, n_name AS member, 14 AS member_ns, CAST(n_nationkey AS INTEGER) AS ord "
+        "FROM nation JOIN region ON n_regionkey = r_regionkey "
+        "UNION ALL SELECT r_name, 'doc-' || CAST(s_suppkey AS VARCHAR), 0, CAST(s_suppkey + 100 AS INTEGER) "
+        "FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey "
+        "UNION ALL SELECT n_name, 'doc-' || CAST(c_custkey AS VARCHAR), 0, CAST(c_custkey + 100 AS INTEGER) "
+        "FROM customer JOIN nation ON c_nationkey = n_nationkey "
+        "UNION ALL SELECT a.n_name, b.n_name, 14, CAST(b.n_nationkey AS INTEGER) FROM nation a JOIN nation b "
+        "ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey)"
+    )
+
+
+def path_key(x: str) -> str:
+    return f"array_to_string(list_transform({x}, lambda v: lpad(CAST(v AS VARCHAR), 10, '0')), '/')"
+
+
+def walk_ctes(roots_sql: str, depth: int) -> str:
+    """``walked(root, member, level, path)``: fixed-depth unions of link joins from the
+    roots in ``roots_sql`` (a query with one column ``root``)."""
+    parts = [
+        f"w0 AS (SELECT r.root, l.member, l.member_ns, [l.ord] AS path, 0 AS level "
+        f"FROM ({roots_sql}) r JOIN links l ON l.category = r.root)"
+    ]
+    for d in range(1, depth + 1):
+        parts.append(
+            f"w{d} AS (SELECT w.root, l.member, l.member_ns, list_append(w.path, l.ord) AS path, {d} AS level "
+            f"FROM w{d - 1} w JOIN links l ON l.category = w.member WHERE w.member_ns = 14)"
+        )
+    union = " UNION ALL ".join(f"SELECT root, member, level, path FROM w{d} WHERE member_ns = 0" for d in range(depth + 1))
+    parts.append(f"walked AS ({union})")
+    return ", ".join(parts)
+
+
+def keep_sentences(x: str, terms: str = ".!?") -> str:
+    cls, neg = K.char_class(terms), K.char_class(terms, negate=True)
+    return (
+        f"list_filter(list_transform(regexp_extract_all({x}, {q('(' + neg + '*' + cls + ')')}, 1), "
+        f"lambda s: {collapse('s')}), lambda s: length(s) > 0)"
+    )
+
+
+def render(title: str, sentences: str, category: str | None = None) -> str:
+    header = f"'# ' || {title}"
+    if category:
+        header += f" || ' (Category: ' || {category} || ')'"
+    return f"{header} || chr(10) || array_to_string({sentences}, chr(10)) || chr(10) || chr(10)"
+
+
+def page_sentences_cte() -> str:
+    """``ps(title, sentences)`` from documents as pages 'doc-<id>'."""
+    return (
+        f"ps AS (SELECT title, sentences FROM (SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS title, "
+        f"{keep_sentences('text')} AS sentences FROM documents) WHERE len(sentences) > 0)"
+    )

@@ -94,3 +94,30 @@ def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(
         F.col("r_name").alias("domain"), F.col("n_name").alias("category"),
         F.col("n_nationkey").cast("int").alias("ord"))
+
+
+def category_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category graph (category, member, member_ns, ord) from the star schema:
+    a region lists its nations (categories, ord = nation key) and the supplier pages of
+    its nations (ord = 100 + supplier key); a nation lists its customer pages
+    (ord = 100 + customer key) and the other nations of its region (categories,
+    ord = nation key), which makes cycles and pages reachable twice. Page titles are
+    'doc-<key>', so some pages are missing and some are shared."""
+    n = table(spark, sf_dir, "nation")
+    r = table(spark, sf_dir, "region")
+    s = table(spark, sf_dir, "supplier")
+    c = table(spark, sf_dir, "customer")
+    nr = n.join(r, n["n_regionkey"] == r["r_regionkey"])
+    region_nations = nr.select(F.col("r_name").alias("category"), F.col("n_name").alias("member"),
+                               F.lit(14).alias("member_ns"), F.col("n_nationkey").cast("int").alias("ord"))
+    region_pages = s.join(nr, s["s_nationkey"] == nr["n_nationkey"]).select(
+        F.col("r_name").alias("category"), F.concat(F.lit("doc-"), F.col("s_suppkey").cast("string")).alias("member"),
+        F.lit(0).alias("member_ns"), (F.col("s_suppkey") + 100).cast("int").alias("ord"))
+    nation_pages = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(
+        F.col("n_name").alias("category"), F.concat(F.lit("doc-"), F.col("c_custkey").cast("string")).alias("member"),
+        F.lit(0).alias("member_ns"), (F.col("c_custkey") + 100).cast("int").alias("ord"))
+    a, b = n.alias("a"), n.alias("b")
+    siblings = a.join(b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") != F.col("b.n_nationkey"))).select(
+        F.col("a.n_name").alias("category"), F.col("b.n_name").alias("member"),
+        F.lit(14).alias("member_ns"), F.col("b.n_nationkey").cast("int").alias("ord"))
+    return region_nations.unionByName(region_pages).unionByName(nation_pages).unionByName(siblings)
