@@ -526,3 +526,226 @@ _SLUG_KEEP = "regexp_replace(n_name || ' / ' || lower(n_name), '[^A-Za-z0-9_ -]'
 def q_slugs(spark, sf_dir):
     n = T.table(spark, sf_dir, "nation")
     return n.select("n_nationkey", TX.slug(F.concat(F.col("n_name"), F.lit(" / "), F.lower("n_name"))).alias("slug"))
+
+
+# ---------------------------------------------------------------------------------------
+# Vocabulary, readings, lexicon, longest match: AGG-2..4, TXT-13, LEX-1..3, TXT-9
+# ---------------------------------------------------------------------------------------
+
+from ..operators import lexicon as LX  # noqa: E402
+from ..operators import vocab as VC  # noqa: E402
+
+_VOCAB_SQL = (
+    f"v AS (SELECT ch, CAST(row_number() OVER (ORDER BY ch) - 1 AS BIGINT) AS idx FROM (SELECT DISTINCT "
+    f"unnest(string_split({O.strip('text')}, '')) AS ch FROM documents) WHERE ch <> '')"
+)
+
+
+@register("vocab", ("AGG-2", "TXT-6", "IDX-1"), f"WITH {_VOCAB_SQL} SELECT ch, idx FROM v")
+def q_vocab(spark, sf_dir):
+    return VC.build_vocab(_docs(spark, sf_dir), "text")
+
+
+@register(
+    "vocab_summary", ("AGG-3",),
+    f"WITH {_VOCAB_SQL} SELECT CAST(count(*) OVER () AS BIGINT) AS vocab_size, idx, ch FROM v QUALIFY idx < 10",
+)
+def q_vocab_summary(spark, sf_dir):
+    return VC.vocab_summary(VC.build_vocab(_docs(spark, sf_dir), "text"), k=10)
+
+
+_TOKENS_SQL = (
+    f"tk AS (SELECT item_id AS line_no, CAST(unnest(generate_series(0, len(ws) - 1)) AS INTEGER) AS pos, "
+    f"unnest(ws) AS surface FROM (SELECT item_id, regexp_extract_all(text, {O.q(O.NOT_WS + '+')}) AS ws "
+    "FROM benchmark)), "
+    "ft AS (SELECT *, 'x,y,' || CASE WHEN regexp_full_match(surface, '[\\x{0001}-\\x{007F}]+') "
+    f"THEN {O.upper_ascii('surface')} ELSE '*' END AS feature FROM tk)"
+)
+
+
+@register(
+    "token_readings", ("TXT-13", "AGG-4"),
+    f"WITH {_TOKENS_SQL}, rd AS (SELECT line_no, pos, CASE WHEN string_split(feature, ',')[-1] = '*' THEN surface "
+    "ELSE string_split(feature, ',')[-1] END AS r FROM ft) "
+    "SELECT line_no, string_agg(r, '' ORDER BY pos) AS reading FROM rd GROUP BY line_no",
+)
+def q_token_readings(spark, sf_dir):
+    return LX.concat_readings(T.tokens(spark, sf_dir))
+
+
+_WORDS_SQL = "wd AS (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM benchmark)"
+
+
+def _lex_sql(name: str, key: str, value: str) -> str:
+    return (
+        f"{name}_c AS (SELECT {key} AS key, {value} AS value, count(*) AS n FROM wd GROUP BY 1, 2), "
+        f"{name} AS (SELECT key, value, CAST(n AS BIGINT) AS n FROM (SELECT *, row_number() OVER "
+        f"(PARTITION BY key ORDER BY n DESC, value) AS rn FROM {name}_c) WHERE rn = 1)"
+    )
+
+
+@register("lexicon", ("LEX-2",), f"WITH {_WORDS_SQL}, {_lex_sql('lx', 'lower(word)', 'word')} SELECT * FROM lx")
+def q_lexicon(spark, sf_dir):
+    w = T.words(spark, sf_dir)
+    return LX.build_lexicon(w.select(TX.ascii_lower("word").alias("key"), F.col("word").alias("value")))
+
+
+def _longest_match_sql(lex: str, text_expr: str) -> str:
+    """Greedy longest match as a recursive walk over positions (one step per token)."""
+    return (
+        f"ln AS (SELECT item_id AS line_id, {text_expr} AS text FROM benchmark), "
+        f"lens AS (SELECT DISTINCT length(key) AS l FROM {lex}), "
+        "pos AS (SELECT line_id, text, unnest(generate_series(1, length(text))) AS p FROM ln), "
+        "cand AS (SELECT line_id, p, l, substr(text, p, l) AS s FROM pos, lens WHERE p + l - 1 <= length(text)), "
+        f"hit AS (SELECT c.line_id, c.p, c.l, x.value, row_number() OVER (PARTITION BY c.line_id, c.p ORDER BY c.l DESC) AS rn "
+        f"FROM cand c JOIN {lex} x ON x.key = c.s), "
+        "best AS (SELECT line_id, p, l, value FROM hit WHERE rn = 1), "
+        "walk(line_id, p, out) AS (SELECT line_id, 1, '' FROM ln UNION ALL "
+        "SELECT w.line_id, w.p + coalesce(b.l, 1), w.out || coalesce(b.value, substr(n.text, w.p, 1)) "
+        "FROM walk w JOIN ln n ON n.line_id = w.line_id LEFT JOIN best b ON b.line_id = w.line_id AND b.p = w.p "
+        "WHERE w.p <= length(n.text))"
+    )
+
+
+@register(
+    "assign_readings", ("LEX-1",),
+    f"WITH RECURSIVE {_WORDS_SQL}, {_lex_sql('lx0', 'lower(word)', 'upper(word)')}, "
+    "lx AS (SELECT key, value FROM lx0 WHERE n >= 2), "
+    f"{_longest_match_sql('lx', O.strip(O.lower_ascii('text')))} "
+    "SELECT w.line_id, w.out AS reading FROM walk w JOIN ln n ON n.line_id = w.line_id WHERE w.p = length(n.text) + 1",
+)
+def q_assign_readings(spark, sf_dir):
+    w = T.words(spark, sf_dir)
+    lex = LX.build_lexicon(w.select(TX.ascii_lower("word").alias("key"), TX.ascii_upper("word").alias("value")))
+    lex = lex.filter(F.col("n") >= 2).select("key", "value")
+    lines = T.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("line_id"),
+                                                        TX.ascii_lower("text").alias("text"))
+    return LX.assign_readings(lines, lex)
+
+
+@register(
+    "dictionary_convert", ("LEX-3", "TXT-9"),
+    f"WITH RECURSIVE {_WORDS_SQL}, {_lex_sql('lx0', 'upper(word)', 'word')}, "
+    "lx AS (SELECT key, value FROM lx0 WHERE n >= 2), "
+    f"{_longest_match_sql('lx', O.strip(O.upper_ascii('text')))} "
+    "SELECT w.line_id, w.out AS converted FROM walk w JOIN ln n ON n.line_id = w.line_id WHERE w.p = length(n.text) + 1",
+)
+def q_dictionary_convert(spark, sf_dir):
+    w = T.words(spark, sf_dir)
+    lex = LX.build_lexicon(w.select(TX.ascii_upper("word").alias("key"), F.col("word").alias("value")))
+    lex = lex.filter(F.col("n") >= 2).select("key", "value")
+    lines = T.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("line_id"),
+                                                        TX.ascii_upper("text").alias("text"))
+    return LX.dictionary_convert(lines, lex)
+
+
+# ---------------------------------------------------------------------------------------
+# Model-facing data: TXT-10, TXT-14, MDL-1..5
+# ---------------------------------------------------------------------------------------
+
+from ..operators import model_io as MI  # noqa: E402
+
+_PROMPT = O.q(K.PROMPT_PREFIX)
+_BVOCAB_SQL = (
+    f"bv AS (SELECT ch, row_number() OVER (ORDER BY ch) - 1 AS idx FROM (SELECT DISTINCT "
+    f"unnest(string_split({O.strip('text')}, '')) AS ch FROM benchmark) WHERE ch <> '')"
+)
+
+
+def _bvocab(spark, sf_dir):
+    return VC.build_vocab(T.table(spark, sf_dir, "benchmark"), "text")
+
+
+def _enc_sql(text_expr: str, name: str) -> str:
+    """``{name}(item_id, ids)``: vocabulary ids of the first 128 characters."""
+    return (
+        f"{name}_c AS (SELECT item_id, unnest(generate_series(1, len(cs))) AS p, unnest(cs) AS ch FROM "
+        f"(SELECT item_id, list_filter(string_split({text_expr}, ''), lambda c: c <> '')[1:{K.MAX_LENGTH}] AS cs "
+        "FROM benchmark)), "
+        f"{name} AS (SELECT item_id, string_agg(CAST(coalesce(bv.idx, -1) AS VARCHAR), ' ' ORDER BY p) AS ids "
+        f"FROM {name}_c LEFT JOIN bv ON bv.ch = {name}_c.ch GROUP BY item_id)"
+    )
+
+
+@register(
+    "prompts", ("TXT-10", "TXT-14"),
+    f"SELECT conv_id, turn, substr({_PROMPT} || text, 1, {K.MAX_LENGTH}) AS prompt FROM conversations WHERE role = 'user'",
+)
+def q_prompts(spark, sf_dir):
+    c = _conv(spark, sf_dir).filter(F.col("role") == "user")
+    return c.select("conv_id", "turn", TX.truncate(TX.format_prompt("text"), K.MAX_LENGTH).alias("prompt"))
+
+
+@register(
+    "encode", ("MDL-2",),
+    f"WITH {_BVOCAB_SQL}, {_enc_sql('text', 'e')} SELECT b.item_id, coalesce(e.ids, '') AS ids "
+    "FROM benchmark b LEFT JOIN e ON e.item_id = b.item_id",
+)
+def q_encode(spark, sf_dir):
+    b = T.table(spark, sf_dir, "benchmark").select("item_id", "text")
+    enc = MI.encode_chars(b, "text", _bvocab(spark, sf_dir), key="item_id")
+    return enc.select("item_id", F.array_join("input_ids", " ").alias("ids"))
+
+
+@register(
+    "decode", ("MDL-2", "MDL-3"),
+    f"WITH {_BVOCAB_SQL}, c AS (SELECT item_id, unnest(generate_series(1, len(cs))) AS p, unnest(cs) AS ch FROM "
+    f"(SELECT item_id, list_filter(string_split(text, ''), lambda c: c <> '')[1:{K.MAX_LENGTH}] AS cs FROM benchmark)) "
+    "SELECT b.item_id, coalesce(d.text, '') AS text FROM benchmark b LEFT JOIN (SELECT c.item_id, "
+    "string_agg(c.ch, '' ORDER BY p) AS text FROM c JOIN bv ON bv.ch = c.ch GROUP BY c.item_id) d ON d.item_id = b.item_id",
+)
+def q_decode(spark, sf_dir):
+    b = T.table(spark, sf_dir, "benchmark").select("item_id", "text")
+    v = _bvocab(spark, sf_dir)
+    enc = MI.encode_chars(b, "text", v, key="item_id")
+    # Unknown characters were encoded as -1 and decode to nothing, like special ids.
+    return MI.decode_ids(enc.select("item_id", "input_ids"), "input_ids", v, key="item_id").select("item_id", "text")
+
+
+@register(
+    "prepare_examples", ("MDL-5", "TXT-10"),
+    f"WITH {_BVOCAB_SQL}, {_enc_sql(_PROMPT + ' || ' + O.upper_ascii('text'), 'src')}, {_enc_sql('text', 'tgt')} "
+    "SELECT b.item_id, coalesce(src.ids, '') AS input_ids, coalesce(tgt.ids, '') AS labels, "
+    f"CAST(len(string_split(coalesce(src.ids, ''), ' ')) AS INTEGER) AS n_input "
+    "FROM benchmark b LEFT JOIN src ON src.item_id = b.item_id LEFT JOIN tgt ON tgt.item_id = b.item_id",
+)
+def q_prepare_examples(spark, sf_dir):
+    b = T.table(spark, sf_dir, "benchmark").select("item_id", TX.ascii_upper("text").alias("source"),
+                                                    F.col("text").alias("target"))
+    ex = MI.prepare_examples(b, _bvocab(spark, sf_dir), key="item_id")
+    return ex.select("item_id", F.array_join("input_ids", " ").alias("input_ids"),
+                     F.array_join("labels", " ").alias("labels"),
+                     F.size("attention_mask").cast("int").alias("n_input"))
+
+
+@register(
+    "length_buckets", ("MDL-4",),
+    "SELECT CAST(floor(length(text) / 64) AS BIGINT) AS bucket, CAST(count(*) AS BIGINT) AS n, "
+    "CAST(min(length(text)) AS BIGINT) AS min_len, CAST(max(length(text)) AS BIGINT) AS max_len "
+    "FROM conversations GROUP BY 1",
+)
+def q_length_buckets(spark, sf_dir):
+    return MI.length_buckets(T.table(spark, sf_dir, "conversations"), "text", width=64)
+
+
+def make_upper_predictor():
+    """Stub predictor for MDL-1 tests and the catalogue: ASCII upper-case of the
+    input with the prompt removed (deterministic, no model)."""
+    import numpy as np
+
+    table = str.maketrans(K.ASCII_LOWER, K.ASCII_UPPER)
+    plen = len(K.PROMPT_PREFIX)
+
+    def predict(inputs: np.ndarray) -> np.ndarray:
+        return np.array([s[plen:].translate(table) for s in inputs], dtype=object)
+
+    return predict
+
+
+@register(
+    "batch_score_stub", ("MDL-1",),
+    f"SELECT conv_id, turn, {O.upper_ascii('text')} AS prediction FROM conversations WHERE role = 'user'",
+)
+def q_batch_score_stub(spark, sf_dir):
+    c = _conv(spark, sf_dir).filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    return MI.batch_score(c, "text", make_upper_predictor, batch_size=64).select("conv_id", "turn", "prediction")

@@ -121,3 +121,25 @@ def category_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("a.n_name").alias("category"), F.col("b.n_name").alias("member"),
         F.lit(14).alias("member_ns"), F.col("b.n_nationkey").cast("int").alias("ord"))
     return region_nations.unionByName(region_pages).unionByName(nation_pages).unionByName(siblings)
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, pos, word): runs of ASCII letters of ``benchmark`` lines."""
+    b = table(spark, sf_dir, "benchmark")
+    return b.select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("pos", "word"))
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analyser-style tokens of ``benchmark`` lines: (line_no, pos, surface, feature).
+    Tokens are whitespace-separated words; the last feature field is the reading
+    (ASCII upper case), or '*' for a word with a non-ASCII character."""
+    from ..functions import constants as K
+    from ..functions.text import ascii_upper
+
+    b = table(spark, sf_dir, "benchmark")
+    t = b.select(F.col("item_id").alias("line_no"),
+                 F.posexplode(F.regexp_extract_all("text", F.lit(K.NOT_WS_CLASS + "+"), 0)).alias("pos", "surface"))
+    is_ascii = F.col("surface").rlike(r"\A[\x{0001}-\x{007F}]+\z")
+    reading = F.when(is_ascii, ascii_upper(F.col("surface"))).otherwise(F.lit("*"))
+    return t.select("line_no", F.col("pos").cast("int").alias("pos"), "surface",
+                    F.concat_ws(",", F.lit("x"), F.lit("y"), reading).alias("feature"))
