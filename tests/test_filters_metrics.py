@@ -1,0 +1,152 @@
+"""FLT-2 / AGG-1 fixture table and the golden metric rows (MET-1..6)."""
+
+import math
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from kanaforge.operators import filters, metrics
+
+CLEAN_CASES = [
+    ("カンジ、ヲ　カク。", "漢字、を　書く。", True, "カンジヲカク", "漢字を書く"),
+    ("コーヒー", "コーヒー", True, "コーヒー", "コーヒー"),
+    ("カンジabc", "漢字abc", False, None, None),
+    ("かんじ", "漢字", False, None, None),
+    ("ｶﾝｼﾞ", "漢字", False, None, None),
+    ("スゴイ!", "すごい!", False, None, None),
+    ("スゴイ！", "すごい！", True, "スゴイ", "すごい"),
+    ("マアマア…", "まあまあ…", False, None, None),
+    ("ヽヾ", "々", False, None, None),
+    ("。、", "漢字", False, None, None),
+    ("アイ", "。", True, "アイ", ""),
+]
+
+
+def test_clean_pairs_fixture(spark):
+    df = spark.createDataFrame([(i, s, t) for i, (s, t, *_rest) in enumerate(CLEAN_CASES)],
+                               "pair_id long, source string, target string")
+    got = {r["pair_id"]: (r["source"], r["target"]) for r in filters.clean_pairs(df).collect()}
+    want = {i: (c[3], c[4]) for i, c in enumerate(CLEAN_CASES) if c[2]}
+    assert got == want
+    flagged = filters.clean_pairs(df, keep_flag="ok")
+    c = filters.filter_counts(flagged, "ok").first()
+    assert (c["valid"], c["filtered"], c["total"]) == (4, 7, 11)
+
+
+GOLDEN = [
+    ("w10", "交通機器鉄道システムが進化して移動が速くなりました", "交通機器鉄道システムが進化して移動が早くなりました",
+     95.6522, 95.6522, 95.6522, 4.0, 0.0),
+    ("base_all", "交通機器鉄道システムが進化して移動が速くなりました",
+     "こうつうききてつどうシステムがしんかしていどうがはやくなりました", 54.5455, 52.1739, 53.3333, 72.0, 0.0),
+    ("small_medium", "交通機器鉄道システムが進化して移動が速くなりました",
+     "強打気して強打システムが進化していく可能性が早くになりました", 60.8696, 60.8696, 60.8696, 56.0, 0.0),
+    ("empty_pred", "あ", "", 0.0, 0.0, 0.0, 100.0, 0.0),
+    ("empty_ref", "", "あ", 0.0, 0.0, 0.0, 100.0, 0.0),
+    ("both_empty", "", "", 0.0, 0.0, 0.0, 100.0, 100.0),
+    ("nfkc", "ｶﾞ Ａ　１", "ガA1", 100.0, 100.0, 100.0, 0.0, 100.0),
+    ("repeat", "ああい", "あい", 100.0, 100.0, 100.0, 33.3333, 0.0),
+    ("disjoint", "漢字", "感じ", 0.0, 0.0, 0.0, 100.0, 0.0),
+]
+
+
+@pytest.fixture()
+def golden(spark):
+    return spark.createDataFrame([(g[0], g[1], g[2]) for g in GOLDEN], "case string, reference string, prediction string")
+
+
+def test_row_metrics_golden(golden):
+    got = {r["case"]: r for r in metrics.row_metrics(golden).collect()}
+    for case, _r, _p, p, rc, f, cer, acc in GOLDEN:
+        g = got[case]
+        assert round(g["precision"], 4) == p
+        assert round(g["recall"], 4) == rc
+        assert round(g["f_score"], 4) == f
+        assert round(g["cer"], 4) == cer
+        assert g["sentence_accuracy"] == acc
+
+
+def test_macro_metrics_golden(golden):
+    m = metrics.macro_metrics(metrics.row_metrics(golden)).first()
+    assert [round(m[c], 4) for c in metrics.METRIC_COLS] == [45.6741, 45.4106, 45.5395, 62.8148, 22.2222]
+    assert m["n"] == 9
+
+
+def test_macro_metrics_empty_is_null(spark):
+    empty = spark.createDataFrame([], "reference string, prediction string")
+    m = metrics.macro_metrics(metrics.row_metrics(empty)).first()
+    assert m["precision"] is None and m["n"] == 0
+
+
+def test_corpus_cer_golden(golden, spark):
+    c = metrics.corpus_cer(golden).first()
+    assert (c["edits"], c["ref_chars"], c["pairs"]) == (43, 87, 9 - 2)
+    assert round(c["corpus_cer"], 6) == 0.494253
+    blank = spark.createDataFrame([(" ", "あ"), ("", "")], "reference string, prediction string")
+    assert metrics.corpus_cer(blank).first()["corpus_cer"] == 1.0
+
+
+def test_long_pairs_use_exact_distance(spark):
+    a = "abcde" * 400
+    b = a.replace("c", "x")
+    df = spark.createDataFrame([(a, b), (a, a)], "reference string, prediction string")
+    rows = metrics.row_metrics(df).collect()
+    assert round(rows[0]["cer"], 6) == round(400 / 2000 * 100, 6)
+    assert rows[1]["cer"] == 0.0
+
+
+def _py_metrics(ref, pred):
+    import re
+    import unicodedata
+
+    def norm(t):
+        return re.sub(r"\s+", "", unicodedata.normalize("NFKC", t))
+
+    r, p = norm(ref), norm(pred)
+    rs, ps = set(r), set(p)
+    tp, fp, fn = len(ps & rs), len(ps - rs), len(rs - ps)
+    pr = tp / (tp + fp) if tp + fp else 0
+    rc = tp / (tp + fn) if tp + fn else 0
+    f = 2 * pr * rc / (pr + rc) if pr + rc else 0
+    prev = list(range(len(p) + 1))
+    for i, ca in enumerate(r, 1):
+        cur = [i]
+        for j, cb in enumerate(p, 1):
+            cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (ca != cb)))
+        prev = cur
+    cer = prev[-1] / len(r) if r else 1.0
+    return pr * 100, rc * 100, f * 100, cer * 100, 100.0 if r == p else 0.0
+
+
+texts = st.text(alphabet="あいう漢字カナ ａA１　", max_size=12)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(texts, texts), min_size=1, max_size=8))
+def test_row_metrics_property(spark, pairs):
+    df = spark.createDataFrame(pairs, "reference string, prediction string")
+    for (ref, pred), row in zip(pairs, metrics.row_metrics(df).collect()):
+        want = _py_metrics(ref, pred)
+        got = [row[c] for c in metrics.METRIC_COLS]
+        assert all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(got, want)), (ref, pred, got, want)
+        assert all(0 <= row[c] <= 100 for c in ("precision", "recall", "f_score"))
+
+
+def test_leaderboard_best_deltas_compare(spark):
+    runs = spark.createDataFrame(
+        [("m1", "d1", 90.0, 90.0, 90.0, 10.0, 50.0), ("m2", "d1", 80.0, 80.0, 80.0, 20.0, 40.0),
+         ("m1", "d2", 70.0, 70.0, 70.0, 30.0, 30.0), ("m2", "d2", 75.0, 75.0, 75.0, 25.0, 35.0)],
+        "model string, dataset string, precision double, recall double, f_score double, cer double, "
+        "sentence_accuracy double")
+    board = {r["model"]: (r["d1"], r["d2"]) for r in metrics.leaderboard(runs, datasets=["d1", "d2"]).collect()}
+    assert board == {"m1": (90.0, 70.0), "m2": (80.0, 75.0)}
+    best = {r["dataset"]: (r["best_model"], r["best_cer"]) for r in metrics.best_checkpoint(runs).collect()}
+    assert best == {"d1": ("m1", 10.0), "d2": ("m2", 25.0)}
+    d = {(r["model"], r["dataset"]): r["delta_cer"] for r in metrics.metric_deltas(runs, "m1").collect()}
+    assert d == {("m1", "d1"): 0.0, ("m2", "d1"): 10.0, ("m1", "d2"): 0.0, ("m2", "d2"): -5.0}
+    ckpt = spark.createDataFrame([(s, float(s)) for s in range(1, 7)], "step int, cer double")
+    assert sorted(r["step"] for r in metrics.keep_last_checkpoints(ckpt).collect()) == [4, 5, 6]
+    preds = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, "a", "z")], "line long, model string, prediction string")
+    wide = {r["line"]: (r["a"], r["b"]) for r in metrics.compare_outputs(preds, ["line"], models=["a", "b"]).collect()}
+    assert wide == {1: ("x", "y"), 2: ("z", None)}
