@@ -11,3 +11,18 @@ streaming   the stateless scoring operators applied to a streaming DataFrame.
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_with_tasks() -> None:
+    """Pickle this package's functions by value, so Python workers (and executors on a
+    cluster) run its UDFs without having the package installed or on their path."""
+    import sys
+
+    try:
+        from pyspark import cloudpickle
+    except ImportError:  # pragma: no cover - pyspark missing
+        return
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_with_tasks()

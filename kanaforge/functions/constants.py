@@ -85,6 +85,7 @@ def _class_body(codepoints: list[int]) -> str:
 # "\s" is ASCII only and Spark's trim removes only U+0020, so the class is spelled out.
 # The \x{...} escapes are read the same way by Java regex and by RE2 (DuckDB).
 WHITESPACE_CODEPOINTS = [c for c in range(0x110000) if chr(c).isspace()]
+WHITESPACE = "".join(chr(c) for c in WHITESPACE_CODEPOINTS)
 WS_CLASS = "[" + _class_body(WHITESPACE_CODEPOINTS) + "]"
 NOT_WS_CLASS = "[^" + _class_body(WHITESPACE_CODEPOINTS) + "]"
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 # Pairs whose length product exceeds this go to the bit-parallel path.
-LONG_PAIR_CELLS = 100_000
+LONG_PAIR_CELLS = 20_000
 
 
 def bitparallel_levenshtein(a: str, b: str) -> int:

@@ -25,8 +25,9 @@ def _c(c: ColumnOrName) -> Column:
 # --- whitespace -------------------------------------------------------------------------
 
 def strip_ws(c: ColumnOrName) -> Column:
-    """TXT-8: trim Unicode whitespace at both ends (Python ``str.strip``)."""
-    return F.regexp_replace(_c(c), rf"\A{K.WS_CLASS}+|{K.WS_CLASS}+\z", "")
+    """TXT-8: trim Unicode whitespace at both ends (Python ``str.strip``). ``btrim``
+    with the full whitespace set (Spark's plain ``trim`` removes only U+0020)."""
+    return F.btrim(_c(c), F.lit(K.WHITESPACE))
 
 
 def collapse_ws(c: ColumnOrName) -> Column:
@@ -35,8 +36,8 @@ def collapse_ws(c: ColumnOrName) -> Column:
 
 
 def remove_ws(c: ColumnOrName) -> Column:
-    """Delete every whitespace run."""
-    return F.regexp_replace(_c(c), K.WS_CLASS + "+", "")
+    """Delete every whitespace character (a character map, no regex)."""
+    return F.translate(_c(c), K.WHITESPACE, "")
 
 
 # --- NFKC (no built-in in Spark: one Arrow-batched pandas UDF) ----------------------------
@@ -54,8 +55,11 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 
 def normalize_text(c: ColumnOrName) -> Column:
-    """TXT-1: NFKC, then delete all whitespace."""
-    return remove_ws(nfkc(_c(c)))
+    """TXT-1: NFKC, then delete all whitespace. Only strings with a non-ASCII character
+    (code points != bytes) are sent to Python; ASCII is already NFKC-normal."""
+    col = _c(c)
+    non_ascii = F.length(col) != F.octet_length(col)
+    return remove_ws(F.coalesce(nfkc(F.when(non_ascii, col)), col))
 
 
 # --- character deletion, alphabets ------------------------------------------------------

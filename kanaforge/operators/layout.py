@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 
 
-def spread(df: DataFrame, *keys: Column | str, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, *keys: Column | str, min_partitions: int | None = None, factor: int = 3) -> DataFrame:
     """Hash-repartition by ``keys`` only when the frame has fewer partitions than the
     cluster can run at once.
 

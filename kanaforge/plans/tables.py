@@ -82,7 +82,7 @@ def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages keyed by title: 'doc-<doc_id>' -> documents.text."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"), "text")
 
 
