@@ -12,10 +12,13 @@ order. The scan itself is a fold over that line's sorted matches, native in
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import katakana_to_hiragana, reading_of, strip_ws
+from ..session import ensure_checkpoint_dir
 
 
 def concat_readings(tokens: DataFrame, line: str = "line_no", pos: str = "pos", surface: str = "surface",
@@ -37,19 +40,30 @@ def build_lexicon(pairs: DataFrame, key: str = "key", value: str = "value") -> D
         F.col(key).alias("key"), F.col("_b.v").alias("value"), F.col("_b.c").cast("long").alias("n"))
 
 
-def _key_lengths(lexicon: DataFrame) -> list[int]:
-    """Distinct key lengths (a short list: at most the longest key's length)."""
-    return sorted(r[0] for r in lexicon.select(F.length("key").alias("l")).distinct().collect() if r[0])
+# Largest dictionary broadcast to every task; a larger one is joined by a shuffle.
+BROADCAST_MAX_KEYS = 2_000_000
+
+
+def _materialize(lexicon: DataFrame) -> tuple[DataFrame, int, list[int]]:
+    """Checkpoint the dictionary (it is read three times: sizes, lengths, join) to the
+    cluster's checkpoint folder, then read its size and its distinct key lengths in
+    one aggregate (the lengths are at most the longest key's length)."""
+    ensure_checkpoint_dir(lexicon.sparkSession)
+    lex = lexicon.select("key", "value").checkpoint(eager=True)
+    row = lex.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.length("key")).alias("lens")).first()
+    return lex, int(row["n"]), sorted(n for n in row["lens"] if n)
 
 
 def longest_match(lines: DataFrame, lexicon: DataFrame, line: str = "line_id", text: str = "text",
-                  out: str = "converted") -> DataFrame:
+                  out: str = "converted", broadcast_max_keys: int = BROADCAST_MAX_KEYS,
+                  keep: Sequence[str] = ()) -> DataFrame:
     """LEX-1: convert each line by greedy longest match against ``lexicon`` (key,
-    value); characters no key covers pass through unchanged. Keys must be unique."""
-    lens = _key_lengths(lexicon)
-    base = lines.select(F.col(line).alias("_line"), F.col(text).alias("_text"))
+    value); characters no key covers pass through unchanged. Keys must be unique.
+    ``keep``: columns of ``lines`` carried to the output unchanged."""
+    lexicon, n_keys, lens = _materialize(lexicon)
+    base = lines.select(F.col(line).alias("_line"), F.col(text).alias("_text"), *keep)
     if not lens:
-        return base.select(F.col("_line").alias(line), F.col("_text").alias(out))
+        return base.select(F.col("_line").alias(line), *keep, F.col("_text").alias(out))
     lens_arr = F.array(*[F.lit(n) for n in lens])
     n = F.length("_text")
     cands = F.flatten(F.transform(
@@ -60,6 +74,11 @@ def longest_match(lines: DataFrame, lexicon: DataFrame, line: str = "line_id", t
     cand = base.filter(n > 0).select("_line", F.explode(cands).alias("c")).select(
         "_line", F.col("c.p").alias("p"), F.col("c.k").alias("k"), F.col("c.s").alias("s"))
     lex = lexicon.select(F.col("key").alias("s"), F.col("value").alias("v"))
+    # Candidates are (characters x key lengths) rows: they must not cross a shuffle.
+    # With a dictionary of checked size every task probes a broadcast copy, and only
+    # the hits are shuffled (grouped by line) below.
+    if n_keys <= broadcast_max_keys:
+        lex = F.broadcast(lex)
     hits = cand.join(lex, on="s", how="inner")
     # Sorted by position, longest key first at a position.
     per_line = hits.groupBy("_line").agg(
@@ -72,7 +91,7 @@ def longest_match(lines: DataFrame, lexicon: DataFrame, line: str = "line_id", t
         "acc -> concat(acc.out, substring(_text, acc.nxt)))"
     )
     conv = F.when(F.col("_m").isNull(), F.col("_text")).otherwise(fold)
-    return j.select(F.col("_line").alias(line), conv.alias(out))
+    return j.select(F.col("_line").alias(line), *keep, conv.alias(out))
 
 
 def assign_readings(lines: DataFrame, lexicon: DataFrame, line: str = "line_id", text: str = "text",
@@ -83,8 +102,8 @@ def assign_readings(lines: DataFrame, lexicon: DataFrame, line: str = "line_id",
 
 
 def dictionary_convert(lines: DataFrame, lexicon: DataFrame, line: str = "line_id", text: str = "text",
-                       out: str = "converted") -> DataFrame:
+                       out: str = "converted", keep: Sequence[str] = ()) -> DataFrame:
     """LEX-3: the dictionary baseline: strip, katakana -> hiragana (TXT-9), then the
     longest-match fold with a reading -> surface lexicon. Blank in, blank out."""
-    prepared = lines.select(line, katakana_to_hiragana(strip_ws(F.col(text))).alias(text))
-    return longest_match(prepared, lexicon, line, text, out)
+    prepared = lines.select(line, katakana_to_hiragana(strip_ws(F.col(text))).alias(text), *keep)
+    return longest_match(prepared, lexicon, line, text, out, keep=keep)

@@ -59,7 +59,7 @@ def cleaned_pairs(spark: SparkSession, sf_dir: str, keep_flag: str | None = None
     f"WITH {O.corpus_ctes()} SELECT doc_id, lang, sent_no, pair_key, source, target FROM cleaned WHERE ok",
 )
 def q_clean_pairs(spark, sf_dir):
-    return cleaned_pairs(spark, sf_dir)
+    return cleaned_pairs(spark, sf_dir).select("doc_id", "lang", "sent_no", "pair_key", "source", "target")
 
 
 @register(
@@ -196,7 +196,7 @@ from ..operators import validate as VL  # noqa: E402
 def split_dataset(spark, sf_dir, exact: bool = True):
     """Kept pairs as a split dataset: (pair_key, lang, translation, split)."""
     pairs = cleaned_pairs(spark, sf_dir).select(
-        "pair_key", "lang", F.struct("source", "target").alias("translation"))
+        "pair_key", "lang", F.struct("source", "target").alias("translation"), "raw")
     fn = IX.split_exact if exact else IX.split_hash
     return fn(pairs, key="pair_key")
 
@@ -749,3 +749,59 @@ def make_upper_predictor():
 def q_batch_score_stub(spark, sf_dir):
     c = _conv(spark, sf_dir).filter(F.col("role") == "user").select("conv_id", "turn", "text")
     return MI.batch_score(c, "text", make_upper_predictor, batch_size=64).select("conv_id", "turn", "prediction")
+
+
+# ---------------------------------------------------------------------------------------
+# Flagship: the dictionary baseline end to end
+#   cleaned pairs -> exact split -> lexicon from train targets (LEX-2) -> longest-match
+#   conversion of test sources (LEX-3) -> row metrics -> macro averages by language
+# ---------------------------------------------------------------------------------------
+
+def dictionary_baseline(spark, sf_dir):
+    ds = split_dataset(spark, sf_dir).select("pair_key", "lang", "translation.source", "translation.target",
+                                             "raw", "split")
+    train = ds.filter(F.col("split") == "train")
+    # Words of the raw train sentences (cleaning deletes the spaces).
+    train_words = train.select(F.explode(F.regexp_extract_all("raw", F.lit("[A-Za-z]+"), 0)).alias("w"))
+    lex = LX.build_lexicon(train_words.select(TX.ascii_upper("w").alias("key"), F.col("w").alias("value")))
+    test = ds.filter(F.col("split") == "test").select(
+        F.col("pair_key").alias("line_id"), F.col("source").alias("text"), "lang", "target")
+    conv = LX.dictionary_convert(test, lex.select("key", "value"), keep=("lang", "target"))
+    scored_rows = M.row_metrics(conv.select("lang", F.col("target").alias("reference"),
+                                            F.col("converted").alias("prediction")))
+    return _r6_all(M.macro_metrics(scored_rows, by=["lang"]))
+
+
+_BASELINE_SQL = (
+    f"WITH RECURSIVE {O.corpus_ctes()}, kept AS (SELECT pair_key, lang, source, target, raw FROM cleaned WHERE ok), "
+    f"ix AS (SELECT *, row_number() OVER (ORDER BY md5('{K.SEED}:' || pair_key), pair_key) - 1 AS i_, "
+    "count(*) OVER () AS n_ FROM kept), "
+    f"ds AS (SELECT *, CASE WHEN i_ < {_N_TRAIN} THEN 'train' "
+    f"WHEN i_ < {_N_TRAIN} + floor((n_ - {_N_TRAIN}) * {K.TEST_RATIO / (K.TEST_RATIO + K.VALIDATION_RATIO)!r}) "
+    "THEN 'test' ELSE 'validation' END AS split FROM ix), "
+    "wd AS (SELECT unnest(regexp_extract_all(raw, '[A-Za-z]+')) AS word FROM ds WHERE split = 'train'), "
+    f"{_lex_sql('lx', O.upper_ascii('word'), 'word')}, "
+    "ln AS (SELECT pair_key AS line_id, source AS text FROM ds WHERE split = 'test'), "
+    "lens AS (SELECT DISTINCT length(key) AS l FROM lx), "
+    "pos AS (SELECT line_id, text, unnest(generate_series(1, length(text))) AS p FROM ln), "
+    "cand AS (SELECT line_id, p, l, substr(text, p, l) AS s FROM pos, lens WHERE p + l - 1 <= length(text)), "
+    "hit AS (SELECT c.line_id, c.p, c.l, x.value, row_number() OVER (PARTITION BY c.line_id, c.p ORDER BY c.l DESC) AS rn "
+    "FROM cand c JOIN lx x ON x.key = c.s), "
+    "best AS (SELECT line_id, p, l, value FROM hit WHERE rn = 1), "
+    "walk(line_id, p, out) AS (SELECT line_id, 1, '' FROM ln UNION ALL "
+    "SELECT w.line_id, w.p + coalesce(b.l, 1), w.out || coalesce(b.value, substr(n.text, w.p, 1)) "
+    "FROM walk w JOIN ln n ON n.line_id = w.line_id LEFT JOIN best b ON b.line_id = w.line_id AND b.p = w.p "
+    "WHERE w.p <= length(n.text)), "
+    "conv AS (SELECT w.line_id, w.out AS converted FROM walk w JOIN ln n ON n.line_id = w.line_id "
+    "WHERE w.p = length(n.text) + 1), "
+    "bp AS (SELECT ds.lang, ds.target AS reference, conv.converted AS prediction FROM ds "
+    "JOIN conv ON conv.line_id = ds.pair_key), "
+    f"{O.scored_cte('bp')} "
+    "SELECT lang, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in METRICS)
+    + ", CAST(count(*) AS BIGINT) AS n FROM scored GROUP BY lang"
+)
+
+
+@register("dictionary_baseline", ("SPL-1", "LEX-2", "LEX-3", "MET-4", "MET-5"), _BASELINE_SQL)
+def q_dictionary_baseline(spark, sf_dir):
+    return dictionary_baseline(spark, sf_dir)

@@ -59,7 +59,7 @@ def pairs_cte() -> str:
     """``pairs(doc_id, lang, sent_no, pair_key, source, target)``; needs ``sent``."""
     return (
         "pairs AS (SELECT doc_id, lang, sent_no, CAST(doc_id AS VARCHAR) || ':' || CAST(sent_no AS VARCHAR) AS pair_key, "
-        f"{upper_ascii('sentence')} AS source, sentence AS target FROM sent)"
+        f"{upper_ascii('sentence')} AS source, sentence AS target, sentence AS raw FROM sent)"
     )
 
 
@@ -67,10 +67,10 @@ def clean_cte(lo: str = "A", hi: str = "Z") -> str:
     """``cleaned(..., ok)``: FLT-2 flags on ``pairs``."""
     rng = K.range_class(lo, hi)
     return (
-        "cleaned AS (SELECT doc_id, lang, sent_no, pair_key, source, target, "
+        "cleaned AS (SELECT doc_id, lang, sent_no, pair_key, source, target, raw, "
         f"coalesce(regexp_full_match(source, {q(rng + '+')}), false) AS ok FROM ("
         f"SELECT doc_id, lang, sent_no, pair_key, {strip_chars('source')} AS source, "
-        f"{strip_chars('target')} AS target FROM pairs))"
+        f"{strip_chars('target')} AS target, raw FROM pairs))"
     )
 
 

@@ -46,6 +46,7 @@ def sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(":", F.col("doc_id").cast("string"), F.col("sent_no").cast("string")).alias("pair_key"),
         ascii_upper(F.col("sentence")).alias("source"),
         F.col("sentence").alias("target"),
+        F.col("sentence").alias("raw"),
     )
 
 
