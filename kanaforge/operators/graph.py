@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import render_article, split_sentences_drop, split_sentences_keep, strip_markup
+from .filters import namespace
 from .index import limit_ordered
 from .pairing import resolve_domain
 
@@ -40,10 +41,10 @@ def walk_category(roots: DataFrame, links: DataFrame, max_depth: int = K.MAX_DEP
     for level in range(max_depth + 1):
         m = frontier.join(lk, on="_cat", how="inner").select(
             "root", "member", "member_ns", F.concat("path", F.array("ord")).alias("path"))
-        pages.append(m.filter(F.col("member_ns") == K.NS_MAIN)
+        pages.append(namespace(m, K.NS_MAIN, "member_ns")
                      .select("root", "member", F.lit(level).alias("level"), "path"))
         if level < max_depth:
-            frontier = m.filter(F.col("member_ns") == K.NS_CATEGORY).select(
+            frontier = namespace(m, K.NS_CATEGORY, "member_ns").select(
                 "root", F.col("member").alias("_cat"), "path")
     return reduce(lambda a, b: a.unionByName(b), pages)
 

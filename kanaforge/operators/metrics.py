@@ -127,7 +127,9 @@ def best_checkpoint(runs: DataFrame, by: Sequence[str] = ("dataset",), model: st
 def keep_last_checkpoints(runs: DataFrame, step: str = "step", by: Sequence[str] = (),
                           keep: int = 3) -> DataFrame:
     """MET-8 (retention): the ``keep`` most recent checkpoints per group."""
-    w = Window.partitionBy(*by).orderBy(F.col(step).desc()) if by else Window.orderBy(F.col(step).desc())
+    if not by:
+        return runs.orderBy(F.col(step).desc()).limit(keep)  # a top-k, no global window
+    w = Window.partitionBy(*by).orderBy(F.col(step).desc())
     return runs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep).drop("_rn")
 
 

@@ -74,9 +74,13 @@ def length_buckets(df: DataFrame, text: str = "text", width: int = 64) -> DataFr
 
 
 def with_length_bucket(df: DataFrame, text: str = "text", width: int = 64, partitions: int | None = None) -> DataFrame:
-    """MDL-4: tag each example with its length band and co-locate a band's rows."""
+    """MDL-4: tag each example with its length band and lay the rows out so that each
+    partition holds rows of one or a few neighbouring bands (range partitioning on the
+    band, then a hash of the text): batches cut from a partition are even in length,
+    and a band holding most rows is spread over many partitions instead of one."""
     b = df.withColumn("bucket", F.floor(F.length(F.col(text)) / width).cast("long"))
-    return b.repartition(partitions, "bucket") if partitions else b.repartition("bucket")
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return b.repartitionByRange(n, F.col("bucket"), F.xxhash64(F.col(text)))
 
 
 def batch_score(df: DataFrame, text: Column | str, make_predict_fn: Callable, batch_size: int = 64,

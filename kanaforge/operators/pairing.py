@@ -32,6 +32,13 @@ def pair_by_position(a: DataFrame, b: DataFrame, key: str | Sequence[str] = "lin
     return left.join(right, on=keys, how="inner")
 
 
+def join_predictions(refs: DataFrame, preds: DataFrame, key: str | Sequence[str] = "line_no",
+                     ref_col: str = "text", pred_col: str = "text") -> DataFrame:
+    """JOI-4: attach each prediction to its reference by line (strict: the two line
+    counts must agree) as (key, reference, prediction), ready for the metrics."""
+    return pair_by_position(refs, preds, key, ref_col, pred_col, "reference", "prediction", strict=True)
+
+
 def rank_in_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
                   rank_col: str = "rank") -> DataFrame:
     """0-based rank of each row inside its group in ``order_cols`` order.

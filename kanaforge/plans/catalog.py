@@ -805,3 +805,34 @@ _BASELINE_SQL = (
 @register("dictionary_baseline", ("SPL-1", "LEX-2", "LEX-3", "MET-4", "MET-5"), _BASELINE_SQL)
 def q_dictionary_baseline(spark, sf_dir):
     return dictionary_baseline(spark, sf_dir)
+
+
+# ---------------------------------------------------------------------------------------
+# Sources over the driver's tables and strict joins: SRC-2, JOI-4
+# ---------------------------------------------------------------------------------------
+
+from ..sources import datasets as DSRC  # noqa: E402
+
+
+def transcription_registry(sf_dir: str) -> dict:
+    """Dataset name -> table, text column and split column (the role of a turn)."""
+    return {"conversations": {"path": f"{sf_dir.rstrip('/')}/conversations.parquet", "column": "text",
+                              "split_column": "role", "split": "user"}}
+
+
+@register("transcriptions", ("SRC-2",), "SELECT CAST(text AS VARCHAR) AS transcription FROM conversations WHERE role = 'user'")
+def q_transcriptions(spark, sf_dir):
+    return DSRC.read_transcriptions(spark, "conversations", transcription_registry(sf_dir))
+
+
+@register(
+    "join_predictions", ("JOI-4", "JOI-1", "MET-4"),
+    f"WITH {O.sentences_cte()}, {O.sentences_next_cte()}, {O.predictions_cte()}, "
+    "p AS (SELECT doc_id, sent_no, reference, prediction FROM preds WHERE model = 'vowel'), "
+    f"{O.scored_cte('p')} SELECT doc_id, sent_no, round(cer, 6) AS cer, sentence_accuracy FROM scored",
+)
+def q_join_predictions(spark, sf_dir):
+    s = T.sentences(spark, sf_dir).select("doc_id", "sent_no", F.col("sentence").alias("text"))
+    preds = s.select("doc_id", "sent_no", F.translate("text", "e", "a").alias("text"))
+    j = PR.join_predictions(s, preds, key=["doc_id", "sent_no"])
+    return M.row_metrics(j).select("doc_id", "sent_no", r6(F.col("cer")).alias("cer"), "sentence_accuracy")

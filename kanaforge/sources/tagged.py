@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tagged_bodies
-from .lines import _scan
+from .lines import _scan, number_lines
 
 
 def read_tagged_docs(spark: SparkSession, path: str | Iterable[str], tag: str = "doc") -> DataFrame:
@@ -38,8 +38,10 @@ def read_tagged_docs(spark: SparkSession, path: str | Iterable[str], tag: str =
     body = F.regexp_extract(F.col("text"), f"(?s)<{tag}[^>]*?>(.+)\\z", 1)
     blocks = j.filter(F.col("text").contains(f"<{tag}") & (~is_last | F.col("_last_closed")))
     blocks = blocks.withColumn("body", body).filter(F.length("body") > 0)
-    w = Window.partitionBy("file").orderBy("_block", "_pos")
-    return blocks.select("file", (F.row_number().over(w) - 1).cast("long").alias("block_no"), "body")
+    # Numbered per file like lines: rank inside each (file, split block) plus the
+    # blocks of earlier splits, so one very large file is not ranked by one task.
+    numbered = number_lines(blocks.select("file", "_block", "_pos", "body"), ["_pos"], line_col="block_no")
+    return numbered.select("file", "block_no", "body")
 
 
 def tagged_docs_in_column(df: DataFrame, col: str, tag: str = "doc", keep: tuple[str, ...] = ()) -> DataFrame:
