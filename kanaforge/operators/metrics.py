@@ -38,12 +38,13 @@ def row_metrics(df: DataFrame, reference: str = "reference", prediction: str = "
     if normalize:
         ref, pred = normalize_text(ref), normalize_text(pred)
     base = df.withColumn(r, ref).withColumn(p, pred)
-    rs, ps = char_set(F.col(r)), char_set(F.col(p))
-    tp = F.size(F.array_intersect(ps, rs))
-    fp = F.size(F.array_except(ps, rs))
-    fn = F.size(F.array_except(rs, ps))
+    # Character sets once per side; both are distinct, so |P \ R| = |P| - |P & R|.
+    sets = base.withColumn("_rs", char_set(F.col(r))).withColumn("_ps", char_set(F.col(p)))
+    tp = F.size(F.array_intersect(F.col("_ps"), F.col("_rs")))
     out = (
-        base.withColumn("_tp", tp).withColumn("_fp", fp).withColumn("_fn", fn)
+        sets.withColumn("_tp", tp)
+        .withColumn("_fp", F.size("_ps") - F.col("_tp"))
+        .withColumn("_fn", F.size("_rs") - F.col("_tp"))
         .withColumn("_prec", _ratio(F.col("_tp"), F.col("_tp") + F.col("_fp")))
         .withColumn("_rec", _ratio(F.col("_tp"), F.col("_tp") + F.col("_fn")))
         .withColumn("precision", F.col("_prec") * 100.0)
@@ -60,7 +61,7 @@ def row_metrics(df: DataFrame, reference: str = "reference", prediction: str = "
         )
         .withColumn("sentence_accuracy", F.when(F.col(r) == F.col(p), F.lit(100.0)).otherwise(F.lit(0.0)))
     )
-    drop = ["_tp", "_fp", "_fn", "_prec", "_rec", "_len"]
+    drop = ["_rs", "_ps", "_tp", "_fp", "_fn", "_prec", "_rec", "_len"]
     if not keep_normalized:
         drop += [r, p]
     return out.drop(*drop)

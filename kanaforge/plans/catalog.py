@@ -351,7 +351,7 @@ _ROOTS_SQL = "SELECT r_name AS root FROM region"
 
 
 @register(
-    "category_walk", ("GRP-1", "SRC-5", "FLT-6"),
+    "category_walk", ("GRP-1", "SRC-5", "FLT-6", "SET-1"),
     f"WITH {O.links_cte()}, {O.walk_ctes(_ROOTS_SQL, 1)} "
     f"SELECT root, member, level, {O.path_key('path')} AS path_key FROM walked",
 )
