@@ -12,10 +12,14 @@ def spread(df: DataFrame, *keys: Column | str, min_partitions: int | None = None
     Text rows are few but costly (sentence splits, edit distances), and a small input
     (one Parquet row group) is read by a single task. On a large input the scan
     already yields many partitions and this is a no-op, so no shuffle is added where
-    the data is big. Hashing by a key keeps the layout deterministic across retries.
+    the data is big. Hashing by a key keeps the layout deterministic across retries;
+    ``factor`` tasks per core even out rows of very different cost.
     """
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # e.g. a Spark Connect session: no RDD view, keep the layout
         return df
-    return df.repartition(want, *keys)
+    if have >= (min_partitions or cores):
+        return df
+    return df.repartition(min_partitions or factor * cores, *keys)

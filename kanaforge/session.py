@@ -30,14 +30,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the checkpoint directory the cluster names.
 
     ``spark.checkpoint.dir`` (or an earlier ``setCheckpointDir``) wins. Only a
     local-mode session without one gets a fresh scratch folder; on a cluster a
     machine-local folder would not survive the loss of an executor, so we refuse.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # e.g. Spark Connect: the server's spark.checkpoint.dir applies
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
