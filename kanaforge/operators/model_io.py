@@ -38,7 +38,8 @@ def encode_chars(df: DataFrame, text: Column | str, vocab: DataFrame, key: str |
     v = vocab.select("ch", F.col("idx").cast("int").alias("_id"))
     j = chars.join(v, on="ch", how="left").withColumn("_id", F.coalesce("_id", F.lit(unk_id)))
     ids = j.groupBy(*keys).agg(_ids_in_order("_id").alias(out))
-    return df.join(ids, on=keys, how="left").withColumn(
+    base = df.drop(out) if out in df.columns else df  # the output replaces a same-named column
+    return base.join(ids, on=keys, how="left").withColumn(
         out, F.coalesce(F.col(out), F.array().cast("array<int>")))
 
 
@@ -50,7 +51,8 @@ def decode_ids(df: DataFrame, ids: str, vocab: DataFrame, key: str | list[str],
     v = vocab.select(F.col("idx").cast("int").alias("_id"), "ch")
     j = exploded.join(v, on="_id", how="inner")  # ids with no entry (< 0, >= size) drop out
     text = j.groupBy(*keys).agg(F.array_join(_ids_in_order("ch"), "").alias(out))
-    return df.join(text, on=keys, how="left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
+    base = df.drop(out) if out in df.columns else df  # the output replaces a same-named column
+    return base.join(text, on=keys, how="left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
 
 
 def prepare_examples(df: DataFrame, vocab: DataFrame, key: str | list[str], source: str = "source",
