@@ -1,21 +1,26 @@
 """Exact edit distance (Levenshtein, code points) as a Column.
 
-Short pairs use Spark's built-in ``levenshtein`` (O(n*m) cells, in generated code).
-Long pairs (a text with no terminator is one long "sentence") go to a bit-parallel
-algorithm (Myers 1999, global form by Hyyro 2001) that handles 64 cells per machine
-word and, with Python's arbitrary-precision integers, a whole column per step:
-O(n * ceil(m/64)) word operations. Both give the same exact distance.
+Very short pairs use Spark's built-in ``levenshtein`` (O(n*m) cells in generated
+code). Longer pairs go to the bit-parallel algorithm (Myers 1999, global form by
+Hyyro 2001), which handles 64 DP cells per machine word: O(n * ceil(m/64)) word
+operations. Inside one Arrow batch, pairs up to 256 characters run as one numpy
+computation across all pairs (one vector step per character of the shorter side).
+Longer pairs (a text with no terminator is one long "sentence") use Python's
+arbitrary-precision integers, a whole DP column per step. All paths give the same
+exact distance.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-# Pairs whose length product exceeds this go to the bit-parallel path.
-LONG_PAIR_CELLS = 20_000
+# Pairs whose length product exceeds this go to the bit-parallel path (measured at
+# sf0.1: the vectorised path beats the built-in from about 32 x 32 characters up).
+LONG_PAIR_CELLS = 1_024
 
 
 def bitparallel_levenshtein(a: str, b: str) -> int:
@@ -52,10 +57,114 @@ def bitparallel_levenshtein(a: str, b: str) -> int:
     return score
 
 
+_U1 = np.uint64(1)
+_U63 = np.uint64(63)
+_MAX_WORDS = 4  # pairs whose longer side fits in 4 x 64 bits are done as one vector batch
+
+
+def _add_words(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x + y over rows of little-endian 64-bit words (carry across words)."""
+    out = np.empty_like(x)
+    carry = np.zeros(x.shape[0], dtype=np.uint64)
+    for w in range(x.shape[1]):
+        s = x[:, w] + y[:, w]
+        c1 = s < x[:, w]
+        s2 = s + carry
+        c2 = s2 < s
+        out[:, w] = s2
+        carry = (c1 | c2).astype(np.uint64)
+    return out
+
+
+def _shl1_words(x: np.ndarray) -> np.ndarray:
+    out = x << _U1
+    if x.shape[1] > 1:
+        out[:, 1:] |= x[:, :-1] >> _U63
+    return out
+
+
+def _code_points(strings: list[str], width: int, pad: int) -> np.ndarray:
+    out = np.full((len(strings), width), pad, dtype=np.uint32)
+    for i, t in enumerate(strings):
+        cp = np.frombuffer(t.encode("utf-32-le"), dtype="<u4")
+        out[i, : len(cp)] = cp
+    return out
+
+
+def _batch_levenshtein(pairs: list[tuple[str, str]], words: int) -> np.ndarray:
+    """The same bit-parallel recurrence for many pairs at once, vectorised across pairs
+    (numpy over uint64 words). Each pair has len(a) >= len(b) >= 1 and
+    len(a) <= 64 * words. The match masks of step j are one comparison of the
+    code-point rows with b[j], packed to bits."""
+    n_pairs = len(pairs)
+    m = np.fromiter((len(a) for a, _b in pairs), dtype=np.int64, count=n_pairs)
+    n = np.fromiter((len(b) for _a, b in pairs), dtype=np.int64, count=n_pairs)
+    steps = int(n.max())
+    # Pads differ, and no code point reaches them, so padding never matches.
+    a_cp = _code_points([a for a, _b in pairs], 64 * words, 0xFFFFFFFF)
+    b_cp = _code_points([b for _a, b in pairs], steps, 0xFFFFFFFE)
+    bit_index = np.arange(64 * words)
+    full_bits = bit_index[None, :] < m[:, None]
+    full = np.packbits(full_bits, axis=1, bitorder="little").view("<u8")
+    rows = np.arange(n_pairs)
+    top_word = (m - 1) // 64
+    top_bit = ((m - 1) % 64).astype(np.uint64)
+    pv, mv = full.copy(), np.zeros_like(full)
+    score = m.copy()
+    for j in range(steps):
+        active = (j < n)[:, None]
+        e = np.packbits(a_cp == b_cp[:, j : j + 1], axis=1, bitorder="little").view("<u8")
+        xv = e | mv
+        xh = (_add_words(e & pv, pv) ^ pv) | e
+        ph = mv | (~(xh | pv) & full)
+        mh = pv & xh
+        up = ((ph[rows, top_word] >> top_bit) & _U1).astype(np.int64)
+        down = ((mh[rows, top_word] >> top_bit) & _U1).astype(np.int64)
+        score += active[:, 0] * (up - down)
+        ph = _shl1_words(ph)
+        ph[:, 0] |= _U1
+        ph &= full
+        mh = _shl1_words(mh) & full
+        pv = np.where(active, mh | (~(xv | ph) & full), pv)
+        mv = np.where(active, ph & xv, mv)
+    return score
+
+
+def pair_distances(a: list, b: list) -> list:
+    """Exact distances for a batch of pairs (None where either side is None). Pairs up
+    to 256 characters are grouped by word count and by the length of the shorter side
+    and done as vector batches; longer pairs run the big-integer form one by one."""
+    out: list = [None] * len(a)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, (x, y) in enumerate(zip(a, b)):
+        if x is None or y is None:
+            continue
+        if x == y:
+            out[i] = 0
+            continue
+        if len(x) < len(y):
+            x, y = y, x
+        if not y:
+            out[i] = len(x)
+            continue
+        words = (len(x) + 63) // 64
+        if words > _MAX_WORDS:
+            out[i] = bitparallel_levenshtein(x, y)
+        else:
+            groups.setdefault((words, len(y) // 32), []).append(i)
+    for (words, _band), idx in groups.items():
+        pairs = []
+        for i in idx:
+            x, y = a[i], b[i]
+            pairs.append((x, y) if len(x) >= len(y) else (y, x))
+        for i, d in zip(idx, _batch_levenshtein(pairs, words)):
+            out[i] = int(d)
+    return out
+
+
 @F.pandas_udf(LongType())
 def _long_pair_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = [None if (x is None or y is None) else bitparallel_levenshtein(x, y) for x, y in zip(a, b)]
-    return pd.Series(out, dtype="Int64")
+    return pd.Series(pair_distances(a.tolist(), b.tolist()), dtype="Int64")
 
 
 def edit_distance(a: Column, b: Column, long_pair_cells: int = LONG_PAIR_CELLS) -> Column:

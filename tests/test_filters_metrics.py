@@ -150,3 +150,32 @@ def test_leaderboard_best_deltas_compare(spark):
     preds = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, "a", "z")], "line long, model string, prediction string")
     wide = {r["line"]: (r["a"], r["b"]) for r in metrics.compare_outputs(preds, ["line"], models=["a", "b"]).collect()}
     assert wide == {1: ("x", "y"), 2: ("z", None)}
+
+
+def test_vectorised_distance_matches_dp():
+    import random
+
+    from kanaforge.functions.distance import pair_distances
+
+    def dp(a, b):
+        prev = list(range(len(b) + 1))
+        for i, ca in enumerate(a, 1):
+            cur = [i]
+            for j, cb in enumerate(b, 1):
+                cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (ca != cb)))
+            prev = cur
+        return prev[-1]
+
+    rnd = random.Random(9)
+    a, b = [], []
+    for _ in range(600):
+        al = rnd.choice(["ab", "abcdefgh", "あいう漢", "𠮟a "])
+        n = rnd.choice([rnd.randint(0, 70), rnd.randint(60, 300), 63, 64, 65, 128, 256, 257])
+        k = rnd.choice([rnd.randint(0, 70), rnd.randint(60, 300), n])
+        a.append("".join(rnd.choice(al) for _ in range(n)))
+        b.append("".join(rnd.choice(al) for _ in range(k)))
+    a.append(None)
+    b.append("x")
+    got = pair_distances(a, b)
+    assert got[-1] is None
+    assert got[:-1] == [dp(x, y) for x, y in zip(a[:-1], b[:-1])]
