@@ -70,8 +70,11 @@ def page_sentences(pages: DataFrame, title: str = "title", text: str = "text",
 def assemble_articles(walked: DataFrame, pages: DataFrame, terms: str = K.TERMS_KEEP,
                       category: str | None = None) -> DataFrame:
     """GRP-3 body: walked pages -> page text -> sentences -> rendered article (TXT-12).
-    Missing pages and pages without sentences are skipped."""
-    ps = page_sentences(pages, terms=terms)
+    Missing pages and pages without sentences are skipped. Only pages the walk reached
+    are split into sentences (a semi join with the distinct walked titles first), each
+    once however often it was reached."""
+    needed = walked.select(F.col("member").alias("title")).distinct()
+    ps = page_sentences(pages.join(needed, on="title", how="left_semi"), terms=terms)
     j = walked.join(ps, walked["member"] == ps["title"], "inner").drop("member")
     cat = F.col(category) if category else None
     return j.withColumn("article", render_article(F.col("title"), F.col("sentences"), cat)).drop("sentences")
