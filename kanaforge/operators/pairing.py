@@ -80,14 +80,14 @@ def resolve_domain(names: DataFrame, domains: DataFrame, name: str = "name",
                    domain: str = "domain", category: str = "category", ord_col: str = "ord") -> DataFrame:
     """JOI-3: a requested name matches a domain case-insensitively and expands to its
     categories in order; an unknown name stands for itself as one category (ord 0,
-    ``matched`` false)."""
+    ``matched`` false). The columns of ``names`` are carried to the output."""
     d = domains.select(
         F.lower(F.col(domain)).alias("_dl"), F.col(domain).alias("_domain"),
         F.col(category).alias("_category"), F.col(ord_col).alias("_ord"),
     )
     j = names.join(d, F.lower(names[name]) == d["_dl"], "left")
     return j.select(
-        names[name].alias(name),
+        *[names[c] for c in names.columns],  # the request's own columns are kept
         F.col("_domain").alias(domain),
         F.coalesce(F.col("_category"), names[name]).alias(category),
         F.coalesce(F.col("_ord"), F.lit(0)).cast("int").alias(ord_col),

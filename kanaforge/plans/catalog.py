@@ -312,27 +312,46 @@ _DOMAIN_SQL = (
 )
 
 
+_REQ_SQL = (
+    "req AS (SELECT c_custkey AS req_id, lower(r_name) AS name FROM customer "
+    "JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey "
+    "UNION ALL SELECT -s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+)
+
+
 @register(
     "resolve_domain", ("JOI-3",),
-    f"WITH {_DOMAIN_SQL}, req AS (SELECT lower(r_name) AS name FROM region UNION ALL SELECT n_name FROM nation) "
-    "SELECT req.name, dom.domain, coalesce(dom.category, req.name) AS category, "
+    f"WITH {_DOMAIN_SQL}, {_REQ_SQL} "
+    "SELECT req.req_id, req.name, dom.domain, coalesce(dom.category, req.name) AS category, "
     "CAST(coalesce(dom.ord, 0) AS INTEGER) AS ord, dom.domain IS NOT NULL AS matched "
     "FROM req LEFT JOIN dom ON lower(dom.domain) = lower(req.name)",
 )
 def q_resolve_domain(spark, sf_dir):
-    region = T.table(spark, sf_dir, "region")
-    names = region.select(F.lower("r_name").alias("name")).unionByName(
-        T.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")))
-    return PR.resolve_domain(names, T.domains(spark, sf_dir))
+    """Each customer asks for its region (a domain: expands to the region's nations)
+    and each supplier for its nation (not a domain: stands for itself)."""
+    c, s = T.table(spark, sf_dir, "customer"), T.table(spark, sf_dir, "supplier")
+    n, r = T.table(spark, sf_dir, "nation"), T.table(spark, sf_dir, "region")
+    cust = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    names = cust.select(F.col("c_custkey").alias("req_id"), F.lower("r_name").alias("name")).unionByName(
+        s.join(n, s["s_nationkey"] == n["n_nationkey"]).select((-F.col("s_suppkey")).alias("req_id"),
+                                                                F.col("n_name").alias("name")))
+    out = PR.resolve_domain(names, T.domains(spark, sf_dir))
+    return out.select("req_id", "name", "domain", "category", "ord", "matched")
 
 
 @register(
     "domain_summary", ("AGG-6",),
-    f"WITH {_DOMAIN_SQL} SELECT CAST(count(category) AS BIGINT) AS n_categories, "
-    "CAST(count(DISTINCT domain) AS BIGINT) AS n_domains FROM dom",
+    "WITH seg AS (SELECT DISTINCT c_mktsegment AS domain, n_name AS category FROM customer "
+    "JOIN nation ON c_nationkey = n_nationkey) "
+    "SELECT CAST(count(category) AS BIGINT) AS n_categories, CAST(count(DISTINCT domain) AS BIGINT) AS n_domains FROM seg",
 )
 def q_domain_summary(spark, sf_dir):
-    return PR.domain_summary(T.domains(spark, sf_dir))
+    """AGG-6 over a domain table derived from the customers: each market segment is a
+    domain whose categories are the nations of its customers."""
+    c, n = T.table(spark, sf_dir, "customer"), T.table(spark, sf_dir, "nation")
+    seg = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(
+        F.col("c_mktsegment").alias("domain"), F.col("n_name").alias("category")).distinct()
+    return PR.domain_summary(seg)
 
 
 # ---------------------------------------------------------------------------------------
@@ -516,16 +535,16 @@ def q_normalize_turns(spark, sf_dir):
 
 
 # ASCII names: word characters are [A-Za-z0-9_] on both engines.
-_SLUG_KEEP = "regexp_replace(n_name || ' / ' || lower(n_name), '[^A-Za-z0-9_ -]', '', 'g')"
+_SLUG_KEEP = "regexp_replace(c_name || ' / ' || c_mktsegment, '[^A-Za-z0-9_ -]', '', 'g')"
 
 
 @register(
     "slugs", ("TXT-11",),
-    f"SELECT n_nationkey, replace({O.strip(_SLUG_KEEP)}, ' ', '_') AS slug FROM nation",
+    f"SELECT c_custkey, replace({O.strip(_SLUG_KEEP)}, ' ', '_') AS slug FROM customer",
 )
 def q_slugs(spark, sf_dir):
-    n = T.table(spark, sf_dir, "nation")
-    return n.select("n_nationkey", TX.slug(F.concat(F.col("n_name"), F.lit(" / "), F.lower("n_name"))).alias("slug"))
+    c = T.table(spark, sf_dir, "customer")
+    return c.select("c_custkey", TX.slug(F.concat(F.col("c_name"), F.lit(" / "), F.col("c_mktsegment"))).alias("slug"))
 
 
 # ---------------------------------------------------------------------------------------
