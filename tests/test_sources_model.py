@@ -154,3 +154,13 @@ def test_streaming_scoring(spark, tmpdir_path):
     batch = spark.createDataFrame(pairs, "model string, reference string, prediction string")
     want = {r["model"]: r["cer"] for r in M.macro_metrics(M.row_metrics(batch), by=["model"]).collect()}
     assert rows == 3 and avg == want
+
+
+def test_length_band_layout_spreads_a_hot_band(spark):
+    rows = [("x" * 10 + str(i),) for i in range(3000)] + [("y" * 200,)] * 10
+    df = spark.createDataFrame(rows, "text string")
+    laid = MI.with_length_bucket(df, width=64, partitions=8)
+    per_part = laid.groupBy(F.spark_partition_id().alias("p")).agg(
+        F.min("bucket").alias("lo"), F.max("bucket").alias("hi"), F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in per_part) == 3010
+    assert len([r for r in per_part if r["lo"] == 0]) > 1  # the hot band 0 spans several partitions
