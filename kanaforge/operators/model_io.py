@@ -66,6 +66,23 @@ def prepare_examples(df: DataFrame, vocab: DataFrame, key: str | list[str], sour
     return enc.withColumn("attention_mask", F.transform("input_ids", lambda x: F.lit(1))).drop("_prompt")
 
 
+def map_batches(df: DataFrame, fn: Callable, schema, batch_rows: int | None = None) -> DataFrame:
+    """MDL-5, caller-supplied form: apply ``fn(pandas.DataFrame) -> pandas.DataFrame``
+    to Arrow batches of each partition (a batched map over the examples), with the
+    output ``schema``. ``batch_rows`` caps the rows per batch for memory-bound
+    functions (Spark's ``arrowMaxRecordsPerBatch`` otherwise)."""
+
+    def run(batches):
+        for pdf in batches:
+            if batch_rows:
+                for start in range(0, len(pdf), batch_rows):
+                    yield fn(pdf.iloc[start:start + batch_rows])
+            else:
+                yield fn(pdf)
+
+    return df.mapInPandas(run, schema)
+
+
 def length_buckets(df: DataFrame, text: str = "text", width: int = 64) -> DataFrame:
     """MDL-4: examples grouped by length band ``floor(length / width)``, so batches can
     be formed from rows of similar length: (bucket, n, min_len, max_len)."""

@@ -164,3 +164,14 @@ def test_length_band_layout_spreads_a_hot_band(spark):
         F.min("bucket").alias("lo"), F.max("bucket").alias("hi"), F.count("*").alias("n")).collect()
     assert sum(r["n"] for r in per_part) == 3010
     assert len([r for r in per_part if r["lo"] == 0]) > 1  # the hot band 0 spans several partitions
+
+
+def test_map_batches_caller_function(spark):
+    df = spark.createDataFrame([(i, f"ア{i}") for i in range(100)], "id long, source string")
+
+    def add_prompt(pdf):
+        return pdf.assign(prompt="translate kana to kanji: " + pdf["source"], n=len(pdf))
+
+    out = MI.map_batches(df, add_prompt, "id long, source string, prompt string, n long", batch_rows=7).collect()
+    assert len(out) == 100 and max(r["n"] for r in out) <= 7
+    assert all(r["prompt"] == "translate kana to kanji: " + r["source"] for r in out)
