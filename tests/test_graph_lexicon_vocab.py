@@ -2,7 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
 
 from kanaforge.operators import graph as G
 from kanaforge.operators import lexicon as LX

@@ -5,7 +5,6 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from kanaforge.operators import graph as G
 from kanaforge.operators import index as IX
