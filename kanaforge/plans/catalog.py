@@ -554,15 +554,23 @@ def q_slugs(spark, sf_dir):
 from ..operators import lexicon as LX  # noqa: E402
 from ..operators import vocab as VC  # noqa: E402
 
+# The vocabulary is read from a line file: documents are taken line by line (each
+# line stripped on its own, as a file line would be).
 _VOCAB_SQL = (
+    "dl AS (SELECT unnest(regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n')) AS line FROM documents), "
     f"v AS (SELECT ch, CAST(row_number() OVER (ORDER BY ch) - 1 AS BIGINT) AS idx FROM (SELECT DISTINCT "
-    f"unnest(string_split({O.strip('text')}, '')) AS ch FROM documents) WHERE ch <> '')"
+    f"unnest(string_split({O.strip('line')}, '')) AS ch FROM dl) WHERE ch <> '')"
 )
 
 
+def _doc_lines(spark, sf_dir):
+    return _docs(spark, sf_dir).select(
+        F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), "\r\n|\r|\n", -1)).alias("text"))
+
+
 @register("vocab", ("AGG-2", "TXT-6", "IDX-1"), f"WITH {_VOCAB_SQL} SELECT ch, idx FROM v")
 def q_vocab(spark, sf_dir):
-    return VC.build_vocab(_docs(spark, sf_dir), "text")
+    return VC.build_vocab(_doc_lines(spark, sf_dir), "text")
 
 
 @register(
@@ -570,7 +578,7 @@ def q_vocab(spark, sf_dir):
     f"WITH {_VOCAB_SQL} SELECT CAST(count(*) OVER () AS BIGINT) AS vocab_size, idx, ch FROM v QUALIFY idx < 10",
 )
 def q_vocab_summary(spark, sf_dir):
-    return VC.vocab_summary(VC.build_vocab(_docs(spark, sf_dir), "text"), k=10)
+    return VC.vocab_summary(VC.build_vocab(_doc_lines(spark, sf_dir), "text"), k=10)
 
 
 _TOKENS_SQL = (
