@@ -66,13 +66,15 @@ def longest_match(lines: DataFrame, lexicon: DataFrame, line: str = "line_id", t
         return base.select(F.col("_line").alias(line), *keep, F.col("_text").alias(out))
     lens_arr = F.array(*[F.lit(n) for n in lens])
     n = F.length("_text")
-    cands = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda p: F.transform(F.filter(lens_arr, lambda k: p + k - 1 <= n),
-                              lambda k: F.struct(p.alias("p"), k.alias("k"), F.substring("_text", p, k).alias("s"))),
-    ))
-    cand = base.filter(n > 0).select("_line", F.explode(cands).alias("c")).select(
-        "_line", F.col("c.p").alias("p"), F.col("c.k").alias("k"), F.col("c.s").alias("s"))
+    # One window per position, as long as the longest key (memory n x longest key, never
+    # the whole line per row); then one candidate per key length that fits the window.
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                          lambda p: F.substring("_text", p, max(lens)))
+    win = base.filter(n > 0).select("_line", F.posexplode(windows).alias("_p0", "_w"))
+    cand = win.select(
+        "_line", (F.col("_p0") + 1).alias("p"), "_w",
+        F.explode(F.filter(lens_arr, lambda k: k <= F.length("_w"))).alias("k"),
+    ).select("_line", "p", "k", F.substring("_w", 1, F.col("k")).alias("s"))
     lex = lexicon.select(F.col("key").alias("s"), F.col("value").alias("v"))
     # Candidates are (characters x key lengths) rows: they must not cross a shuffle.
     # With a dictionary of checked size every task probes a broadcast copy, and only

@@ -671,6 +671,7 @@ def q_dictionary_convert(spark, sf_dir):
 # ---------------------------------------------------------------------------------------
 
 from ..operators import model_io as MI  # noqa: E402
+from ..session import ensure_checkpoint_dir  # noqa: E402
 
 _PROMPT = O.q(K.PROMPT_PREFIX)
 _BVOCAB_SQL = (
@@ -787,6 +788,11 @@ def q_batch_score_stub(spark, sf_dir):
 def dictionary_baseline(spark, sf_dir):
     ds = split_dataset(spark, sf_dir).select("pair_key", "lang", "translation.source", "translation.target",
                                              "raw", "split")
+    # The split dataset feeds two branches (dictionary from train, conversion of test):
+    # it is written once to the cluster's checkpoint folder, as the saved dataset of the
+    # original pipeline, instead of being recomputed by each branch.
+    ensure_checkpoint_dir(spark)
+    ds = ds.checkpoint(eager=True)
     train = ds.filter(F.col("split") == "train")
     # Words of the raw train sentences (cleaning deletes the spaces).
     train_words = train.select(F.explode(F.regexp_extract_all("raw", F.lit("[A-Za-z]+"), 0)).alias("w"))
