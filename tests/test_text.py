@@ -116,3 +116,16 @@ def test_render_and_truncate(spark):
     assert r["a"] == "# T\na。\nb。\n\n"
     assert r["b"] == "# T (Category: C)\na。\nb。\n\n"
     assert one(spark, TX.truncate("t", 3), "𠮟あいう") == "𠮟あい"
+
+
+def test_normalize_text_matches_python_on_tricky_text(spark):
+    import random
+
+    alphabet = ["a", "e", "é", "́", "ｶ", "ﾞ", "ガ", "か", "゙", "ﬁ", "²", "ª", " ", "가", "각",
+                "ᄀ", "ᅡ", "ᆨ", "漢", "Ａ", "①", "Å", "Å", " ", "　", "𠮟", "ß"]
+    rnd = random.Random(4)
+    samples = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 8))) for _ in range(400)]
+    df = spark.createDataFrame([(s,) for s in samples], "t string")
+    got = [r[0] for r in df.select(TX.normalize_text("t")).collect()]
+    want = [re.sub(r"\s+", "", unicodedata.normalize("NFKC", s)) for s in samples]
+    assert got == want
