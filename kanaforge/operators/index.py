@@ -67,9 +67,11 @@ def with_global_index(df: DataFrame, order_cols: Sequence[Column | str], index_c
 
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Without an explicit count adaptive execution may merge neighbouring ranges (order
+    # is kept), so a small input does not become hundreds of tiny checkpoint files.
+    ranged = df.repartitionByRange(n_buckets, *order) if n_buckets else df.repartitionByRange(*order)
     ranged = (
-        df.repartitionByRange(n, *order)
+        ranged
         .sortWithinPartitions(*order)
         .withColumn(_B, F.spark_partition_id())
         .withColumn(_MID, F.monotonically_increasing_id())

@@ -3,7 +3,9 @@
 Row metrics (MET-1..4) are stateless projections, so they run on a stream unchanged;
 the macro averages (MET-5) become a streaming aggregation whose state is one running
 sum per group and metric. Scored pairs can be appended to a sink as they arrive, and
-the running averages read in ``complete`` mode.
+the running averages read in ``complete`` mode. Start the queries with
+``option("checkpointLocation", <shared folder>)`` so their offsets and aggregation
+state survive a restart or the loss of an executor.
 """
 
 from __future__ import annotations

@@ -57,8 +57,10 @@ def test_global_index_both_paths_match_bruteforce(spark):
         df = spark.createDataFrame(rows, "key string, v long").repartition(parts)
         lazy = IX.with_global_index(df, ["key", "v"], bucket=F.substring("key", 1, 2))
         ranged = IX.with_global_index(df, ["key", "v"], n_buckets=5)
+        adaptive = IX.with_global_index(df, ["key", "v"])
         assert {r["v"]: r["idx"] for r in lazy.collect()} == want
         assert {r["v"]: r["idx"] for r in ranged.collect()} == want
+        assert {r["v"]: r["idx"] for r in adaptive.collect()} == want
 
 
 def test_split_hash_and_sample(spark):
