@@ -2,8 +2,9 @@
 
 A dense 0-based position in a total order is computed without a single-partition
 window: rows are grouped into buckets that are monotone with the order (a hash prefix,
-a file block, or range-partition bounds), bucket sizes are counted (a tiny table),
-turned into offsets, broadcast back, and each row adds its rank inside its bucket.
+a file block, or range-partition bounds), bucket sizes are counted (a small table),
+turned into offsets and joined back (a broadcast when small), and each row adds its
+rank inside its bucket.
 """
 
 from __future__ import annotations

@@ -13,7 +13,21 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
+from ..functions import text as TX
 from ..operators import filters
+from ..operators import graph as G
+from ..operators import index as IX
+from ..operators import lexicon as LX
+from ..operators import metrics as M
+from ..operators import model_io as MI
+from ..operators import pairing as PR
+from ..operators import validate as VL
+from ..operators import vocab as VC
+from ..operators.layout import spread
+from ..session import ensure_checkpoint_dir
+from ..sources import datasets as DSRC
+from ..sources.tagged import tagged_docs_in_column
 from . import oracle as O
 from . import tables as T
 
@@ -76,7 +90,6 @@ def q_filter_counts(spark, sf_dir):
 # Evaluation: MET-1..10 over three rule-made models
 # ---------------------------------------------------------------------------------------
 
-from ..operators import metrics as M  # noqa: E402
 
 METRICS = M.METRIC_COLS
 LANGS = ("de", "en", "es", "fr")
@@ -187,11 +200,6 @@ def q_metric_deltas(spark, sf_dir):
 # Splits, validation, samples: SPL-1/2, AGG-5, VAL-1, SMP-1, IDX-1
 # ---------------------------------------------------------------------------------------
 
-from ..functions import constants as K  # noqa: E402
-from ..operators import index as IX  # noqa: E402
-from ..operators import pairing as PR  # noqa: E402
-from ..operators import validate as VL  # noqa: E402
-
 
 def split_dataset(spark, sf_dir, exact: bool = True):
     """Kept pairs as a split dataset: (pair_key, lang, translation, split)."""
@@ -358,9 +366,6 @@ def q_domain_summary(spark, sf_dir):
 # Category walk and corpus assembly: GRP-1..5, TXT-3, TXT-12, SRC-3
 # ---------------------------------------------------------------------------------------
 
-from ..operators import graph as G  # noqa: E402
-from ..sources.tagged import tagged_docs_in_column  # noqa: E402
-
 
 def _region_roots(spark, sf_dir):
     return T.table(spark, sf_dir, "region").select(F.col("r_name").alias("root"))
@@ -473,9 +478,6 @@ def q_dump_sentences_first(spark, sf_dir):
 # Text rules on whole texts: TXT-1..4, TXT-7, TXT-8, TXT-11, FLT-3
 # ---------------------------------------------------------------------------------------
 
-from ..functions import text as TX  # noqa: E402
-from ..operators.layout import spread  # noqa: E402
-
 
 def _docs(spark, sf_dir):
     return spread(T.table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
@@ -551,8 +553,6 @@ def q_slugs(spark, sf_dir):
 # Vocabulary, readings, lexicon, longest match: AGG-2..4, TXT-13, LEX-1..3, TXT-9
 # ---------------------------------------------------------------------------------------
 
-from ..operators import lexicon as LX  # noqa: E402
-from ..operators import vocab as VC  # noqa: E402
 
 # The vocabulary is read from a line file: documents are taken line by line (each
 # line stripped on its own, as a file line would be).
@@ -670,8 +670,6 @@ def q_dictionary_convert(spark, sf_dir):
 # Model-facing data: TXT-10, TXT-14, MDL-1..5
 # ---------------------------------------------------------------------------------------
 
-from ..operators import model_io as MI  # noqa: E402
-from ..session import ensure_checkpoint_dir  # noqa: E402
 
 _PROMPT = O.q(K.PROMPT_PREFIX)
 _BVOCAB_SQL = (
@@ -844,8 +842,6 @@ def q_dictionary_baseline(spark, sf_dir):
 # Sources over the driver's tables and strict joins: SRC-2, JOI-4
 # ---------------------------------------------------------------------------------------
 
-from ..sources import datasets as DSRC  # noqa: E402
-
 
 def transcription_registry(sf_dir: str) -> dict:
     """Dataset name -> table, text column and split column (the role of a turn)."""
