@@ -80,6 +80,14 @@ def assemble_articles(walked: DataFrame, pages: DataFrame, terms: str = K.TERMS_
     return j.withColumn("article", render_article(F.col("title"), F.col("sentences"), cat)).drop("sentences")
 
 
+def assemble_titles(titles: DataFrame, pages: DataFrame, title: str = "title",
+                    terms: str = K.TERMS_KEEP) -> DataFrame:
+    """GRP-3, title-list form: one article per requested title that exists and has
+    sentences (a missing or empty page is skipped), with the request's columns."""
+    walked = titles.withColumnRenamed(title, "member")
+    return assemble_articles(walked, pages, terms)
+
+
 def assemble_category(roots: DataFrame, links: DataFrame, pages: DataFrame, max_depth: int = K.MAX_DEPTH,
                       max_pages: int = K.MAX_PAGES, terms: str = K.TERMS_KEEP) -> DataFrame:
     """GRP-3: one article per walked page for each root category:

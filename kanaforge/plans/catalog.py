@@ -427,6 +427,21 @@ def q_domain_corpus(spark, sf_dir):
     return a.select("domain", "category", "cat_ord", "rank", "title", "article")
 
 
+@register(
+    "title_articles", ("GRP-3", "JOI-2", "TXT-3", "TXT-12"),
+    f"WITH {O.page_sentences_cte()}, req AS (SELECT c_custkey AS req_id, 'doc-' || CAST(c_custkey AS VARCHAR) AS title "
+    "FROM customer) "
+    f"SELECT req.req_id, req.title, {O.render('ps.title', 'ps.sentences')} AS article "
+    "FROM req JOIN ps ON ps.title = req.title",
+)
+def q_title_articles(spark, sf_dir):
+    """Articles for a list of requested titles (every customer asks for its page)."""
+    req = T.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("req_id"), F.concat(F.lit("doc-"), F.col("c_custkey").cast("string")).alias("title"))
+    a = G.assemble_titles(req, T.doc_pages(spark, sf_dir), terms=T.LATIN_TERMS)
+    return a.select("req_id", "title", "article")
+
+
 _ARTICLE_RE = O.q("(?s)<article.*?>(.+?)</article>")
 
 

@@ -144,3 +144,10 @@ def test_vocab_code_point_order(spark):
     df = spark.createDataFrame([(text,)], "text string")
     got = [r["ch"] for r in VC.build_vocab(df).orderBy("idx").collect()]
     assert got == sorted(set(text))
+
+
+def test_assemble_titles(spark):
+    pages = spark.createDataFrame([("物理", "力は質量と加速度の積である。余り"), ("空", "   ")], "title string, text string")
+    req = spark.createDataFrame([(1, "物理"), (2, "空"), (3, "無い")], "req_id long, title string")
+    got = {r["req_id"]: r["article"] for r in G.assemble_titles(req, pages).collect()}
+    assert got == {1: "# 物理\n力は質量と加速度の積である。\n\n"}
