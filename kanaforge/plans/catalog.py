@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as TX
+from ..operators import corpus as CP
 from ..operators import filters
 from ..operators import graph as G
 from ..operators import index as IX
@@ -632,10 +633,11 @@ def q_lexicon(spark, sf_dir):
     return LX.build_lexicon(w.select(TX.ascii_lower("word").alias("key"), F.col("word").alias("value")))
 
 
-def _longest_match_sql(lex: str, text_expr: str) -> str:
+def _longest_match_sql(lex: str, text_expr: str, lines_sql: str | None = None) -> str:
     """Greedy longest match as a recursive walk over positions (one step per token)."""
+    ln = lines_sql or f"SELECT item_id AS line_id, {text_expr} AS text FROM benchmark"
     return (
-        f"ln AS (SELECT item_id AS line_id, {text_expr} AS text FROM benchmark), "
+        f"ln AS ({ln}), "
         f"lens AS (SELECT DISTINCT length(key) AS l FROM {lex}), "
         "pos AS (SELECT line_id, text, unnest(generate_series(1, length(text))) AS p FROM ln), "
         "cand AS (SELECT line_id, p, l, substr(text, p, l) AS s FROM pos, lens WHERE p + l - 1 <= length(text)), "
@@ -880,3 +882,53 @@ def q_join_predictions(spark, sf_dir):
     preds = s.select("doc_id", "sent_no", F.translate("text", "e", "a").alias("text"))
     j = PR.join_predictions(s, preds, key=["doc_id", "sent_no"])
     return M.row_metrics(j).select("doc_id", "sent_no", r6(F.col("cer")).alias("cer"), "sentence_accuracy")
+
+
+
+# ---------------------------------------------------------------------------------------
+# Pair preparation end to end: LEX-1 -> FLT-2 -> SPL-1 on the lines of ``benchmark``
+# ---------------------------------------------------------------------------------------
+
+def benchmark_lines(spark, sf_dir):
+    """Non-blank stripped lines of ``benchmark`` keyed 'item:line' (line = position
+    among the non-blank lines of the item)."""
+    b = T.table(spark, sf_dir, "benchmark")
+    parts = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\\r\\n|\\r|\\n", -1),
+                                 lambda x: TX.strip_ws(x)), lambda x: F.length(x) > 0)
+    lines = b.select("item_id", F.posexplode(parts).alias("ln", "text"))
+    return lines.select(F.concat_ws(":", F.col("item_id").cast("string"), F.col("ln").cast("string")).alias("line_id"),
+                        "text")
+
+
+_BLINES_SQL = (
+    "SELECT CAST(item_id AS VARCHAR) || ':' || CAST(ln AS VARCHAR) AS line_id, text FROM ("
+    "SELECT item_id, unnest(generate_series(0, len(ls) - 1)) AS ln, unnest(ls) AS text FROM ("
+    f"SELECT item_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n'), "
+    f"lambda x: {O.strip('x')}), lambda x: length(x) > 0) AS ls FROM benchmark))"
+)
+_PC_LINES = f"SELECT line_id, {O.lower_ascii('text')} AS text FROM ({_BLINES_SQL})"
+
+
+@register(
+    "parallel_corpus", ("LEX-1", "FLT-2", "SPL-1"),
+    f"WITH RECURSIVE {_WORDS_SQL}, {_lex_sql('lx0', 'lower(word)', 'upper(word)')}, "
+    "lx AS (SELECT key, value FROM lx0), "
+    f"{_longest_match_sql('lx', '', _PC_LINES)}, "
+    "rd AS (SELECT w.line_id, w.out AS source FROM walk w JOIN ln n ON n.line_id = w.line_id "
+    "WHERE w.p = length(n.text) + 1), "
+    f"pr AS (SELECT rd.line_id, {O.strip_chars('rd.source')} AS source, {O.strip_chars('bl.text')} AS target "
+    f"FROM rd JOIN ({_BLINES_SQL}) bl ON bl.line_id = rd.line_id), "
+    "kept AS (SELECT * FROM pr WHERE coalesce(regexp_full_match(source, '[\\x{0041}-\\x{005A}]+'), false)), "
+    f"ix AS (SELECT *, row_number() OVER (ORDER BY md5('{K.SEED}:' || line_id), line_id) - 1 AS i_, "
+    "count(*) OVER () AS n_ FROM kept) "
+    f"SELECT line_id, source, target, CASE WHEN i_ < {_N_TRAIN} THEN 'train' "
+    f"WHEN i_ < {_N_TRAIN} + floor((n_ - {_N_TRAIN}) * {K.TEST_RATIO / (K.TEST_RATIO + K.VALIDATION_RATIO)!r}) "
+    "THEN 'test' ELSE 'validation' END AS split FROM ix",
+)
+def q_parallel_corpus(spark, sf_dir):
+    w = T.words(spark, sf_dir)
+    lex = LX.build_lexicon(w.select(TX.ascii_lower("word").alias("key"), TX.ascii_upper("word").alias("value")))
+    lex = lex.select("key", "value")
+    lines = benchmark_lines(spark, sf_dir).withColumn("lower", TX.ascii_lower("text"))
+    out = CP.build_parallel_corpus(lines, lex, reading_text="lower", lo=T.LATIN_LO, hi=T.LATIN_HI)
+    return out.select("line_id", "source", "target", "split")

@@ -151,3 +151,16 @@ def test_assemble_titles(spark):
     req = spark.createDataFrame([(1, "物理"), (2, "空"), (3, "無い")], "req_id long, title string")
     got = {r["req_id"]: r["article"] for r in G.assemble_titles(req, pages).collect()}
     assert got == {1: "# 物理\n力は質量と加速度の積である。\n\n"}
+
+
+def test_build_parallel_corpus_japanese(spark):
+    from kanaforge.operators.corpus import build_parallel_corpus
+
+    lex = spark.createDataFrame([("漢字", "カンジ"), ("を", "ヲ"), ("書く", "カク"), ("読む", "ヨム")], "key string, value string")
+    texts = ["漢字を書く。", "漢字を読む", "漢字abc", "  ", "書くを読む！"] + [f"漢字を書く{i}" for i in range(3)]
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "line_id long, text string")
+    out = {r["line_id"]: (r["source"], r["target"], r["split"]) for r in build_parallel_corpus(lines, lex).collect()}
+    assert set(out) == {0, 1, 4}
+    assert out[0][:2] == ("カンジヲカク", "漢字を書く") and out[4][:2] == ("カクヲヨム", "書くを読む")
+    assert sorted(v[2] for v in out.values()) == ["test", "train", "validation"][:0] + sorted(v[2] for v in out.values())
+    assert sum(v[2] == "train" for v in out.values()) == 2  # floor(3 * 0.8)
