@@ -81,3 +81,22 @@ def test_encode_decode_identity(spark, items):
     enc = MI.encode_chars(df, "text", vocab, "id", max_length=64)
     dec = {r["id"]: r["text"] for r in MI.decode_ids(enc, "input_ids", vocab, "id").collect()}
     assert dec == {i: t for i, t in enumerate(items)}
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.integers(min_value=1, max_value=300), st.sampled_from([(0.8, 0.1, 0.1), (0.7, 0.2, 0.1), (0.6, 0.0, 0.4),
+                                                                 (0.9, 0.05, 0.05), (0.5, 0.25, 0.25)]))
+def test_split_sizes_follow_the_floor_rules(spark, n, ratios):
+    import math
+
+    train, test, validation = ratios
+    df = spark.createDataFrame([(f"k{i}",) for i in range(n)], "key string")
+    got = {r["split"]: r["count"] for r in IX.split_exact(df, "key", *ratios).groupBy("split").count().collect()}
+    n_train = math.floor(n * train)
+    want = {"train": n_train}
+    if test > 0:
+        n_test = math.floor((n - n_train) * (test / (test + validation)))
+        want.update(test=n_test, validation=n - n_train - n_test)
+    else:
+        want.update(validation=n - n_train)
+    assert got == {k: v for k, v in want.items() if v > 0}
