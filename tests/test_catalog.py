@@ -41,3 +41,14 @@ def test_entry_smoke(spark):
     first = df.schema
     assert df.count() >= 0
     assert E.entry(spark).schema == first
+
+
+SPARK_TO_DUCKDB = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+def test_column_types_match_oracle(spark, con):
+    for name, sql in E.oracle_sql().items():
+        sd = dict(E.queries()[name](spark, SF).dtypes)
+        rel = con.sql(sql)
+        dd = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+        assert {c: SPARK_TO_DUCKDB.get(t, t) for c, t in sd.items()} == dd, name
