@@ -151,7 +151,7 @@ def pair_distances(a: list, b: list) -> list:
         if words > _MAX_WORDS:
             out[i] = bitparallel_levenshtein(x, y)
         else:
-            groups.setdefault((words, len(y) // 32), []).append(i)
+            groups.setdefault((words, len(y) // 64), []).append(i)
     for (words, _band), idx in groups.items():
         pairs = []
         for i in idx:
