@@ -149,8 +149,10 @@ def format_prompt(c: ColumnOrName, prefix: str = K.PROMPT_PREFIX) -> Column:
 
 
 def slug(c: ColumnOrName) -> Column:
-    """TXT-11: keep word chars, whitespace and '-'; trim; spaces -> '_'."""
-    kept = F.regexp_replace(_c(c), r"(?U)[^\w\s-]", "")
+    """TXT-11: keep word characters, whitespace and '-' (Python's definitions); trim;
+    spaces -> '_'. Applied to names (domains, categories), so the long class is cheap."""
+    drop = "[^" + K.word_class_body() + K.WS_CLASS[1:-1] + "\\-]"
+    kept = F.regexp_replace(_c(c), drop, "")
     return F.regexp_replace(strip_ws(kept), " ", "_")
 
 

@@ -129,3 +129,15 @@ def test_normalize_text_matches_python_on_tricky_text(spark):
     got = [r[0] for r in df.select(TX.normalize_text("t")).collect()]
     want = [re.sub(r"\s+", "", unicodedata.normalize("NFKC", s)) for s in samples]
     assert got == want
+
+
+def test_slug_matches_python_word_rule(spark):
+    import random
+
+    alphabet = ["a", "Z", "_", "-", " ", "　", "物", "か", "゙", "゛", "①", "‿", "Ⅷ", "é", "!", "(", "ß", "٣", "\t"]
+    rnd = random.Random(8)
+    samples = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 10))) for _ in range(300)]
+    df = spark.createDataFrame([(x,) for x in samples], "t string")
+    got = [r[0] for r in df.select(TX.slug("t")).collect()]
+    want = [re.sub(r"[^\w\s-]", "", x).strip().replace(" ", "_") for x in samples]
+    assert got == want
