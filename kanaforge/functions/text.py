@@ -151,8 +151,13 @@ def format_prompt(c: ColumnOrName, prefix: str = K.PROMPT_PREFIX) -> Column:
 def slug(c: ColumnOrName) -> Column:
     """TXT-11: keep word characters, whitespace and '-' (Python's definitions); trim;
     spaces -> '_'. Applied to names (domains, categories), so the long class is cheap."""
-    drop = "[^" + K.word_class_body() + K.WS_CLASS[1:-1] + "\\-]"
-    kept = F.regexp_replace(_c(c), drop, "")
+    col = _c(c)
+    # ASCII names take the short class (Python's \\w on ASCII is [A-Za-z0-9_]); others
+    # the full rule-built class, whitespace and '-' listed first.
+    ascii_drop = "[^" + K.WS_CLASS[1:-1] + "\\-A-Za-z0-9_]"
+    full_drop = "[^" + K.WS_CLASS[1:-1] + "\\-" + K.word_class_body() + "]"
+    kept = F.when(F.length(col) == F.octet_length(col), F.regexp_replace(col, ascii_drop, "")).otherwise(
+        F.regexp_replace(col, full_drop, ""))
     return F.regexp_replace(strip_ws(kept), " ", "_")
 
 
