@@ -6,7 +6,6 @@ parameter, so the same code runs on other alphabets and terminators.
 
 from __future__ import annotations
 
-import functools
 import re
 
 # --- fixed values (must equal the original rules for equal results) -----------------
@@ -103,9 +102,14 @@ def range_class(lo: str, hi: str) -> str:
     return f"[\\x{{{ord(lo):04X}}}-\\x{{{ord(hi):04X}}}]"
 
 
-@functools.cache
+_WORD_CLASS_BODY: list[str] = []  # memo; a plain global, so functions still pickle by value
+
+
 def word_class_body() -> str:
     """Body of a regex class of Python's Unicode word characters (``\\w`` on str), built
     by testing every code point. Java's ``(?U)\\w`` differs: it adds combining marks and
     connector punctuation and leaves out numeric symbols such as circled digits."""
-    return _class_body([c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and re.match(r"\w", chr(c))])
+    if not _WORD_CLASS_BODY:
+        _WORD_CLASS_BODY.append(_class_body(
+            [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and re.match(r"\w", chr(c))]))
+    return _WORD_CLASS_BODY[0]
