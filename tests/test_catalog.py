@@ -6,6 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from kanaforge.plans import catalog
 from kanaforge.plans.compare import digest, oracle_connection
 from kanaforge.plans.tables import TABLES
 
@@ -24,11 +25,14 @@ def test_every_query_has_oracle_or_is_listed():
     assert len(q) >= 40
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+SQL = {name: q.sql for name, q in catalog.REGISTRY.items() if q.sql is not None}
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     srows = [tuple(r) for r in df.collect()]
-    res = con.execute(E.oracle_sql()[name])
+    res = con.execute(SQL[name])
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(df.columns) == sorted(dcols)
@@ -47,7 +51,7 @@ SPARK_TO_DUCKDB = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "d
 
 
 def test_column_types_match_oracle(spark, con):
-    for name, sql in E.oracle_sql().items():
+    for name, sql in SQL.items():
         sd = dict(E.queries()[name](spark, SF).dtypes)
         rel = con.sql(sql)
         dd = {c: str(t) for c, t in zip(rel.columns, rel.types)}
