@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import packing, quality, simhash
 from .common import table
 
 
@@ -15,11 +15,20 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    digest = lambda p: p.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    p = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096, payload=digest)
+    return p.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = quality.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return s.select("doc_id", *[F.col("features")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
                     "base_failed", "kept", "quality")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op8_quality_rules)}
 ORACLES: dict[str, str] = {}
