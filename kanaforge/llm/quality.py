@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import fresh, materialize
 
@@ -32,7 +33,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_ends", "n_distinct")
-_TYPE = ", ".join(f"{c} long" for c in FEATURES)
+_TYPE = StructType([StructField(c, LongType()) for c in FEATURES])
 
 
 def repeat_words(words: list[bytes], window: int = WINDOW) -> int:

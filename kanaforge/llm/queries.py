@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash
-from .common import table
+from . import packing, quality, simhash, warc
+from .common import materialize, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,5 +30,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "base_failed", "kept", "quality")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op8_quality_rules)}
-ORACLES: dict[str, str] = {}
+def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive_folder(spark)
+    warc.write_warc(warc.mark_revisits(table(spark, sf_dir, "pages")), path)
+    return warc.resolve_revisits(materialize(warc.capture_digests(warc.assemble(spark, path))))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op8_quality_rules, op9_warc_transactions)}
+ORACLES: dict[str, str] = {
+    "op9_warc_transactions": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS digest FROM p),
+        w AS (SELECT digest, max(page_id) AS largest FROM d WHERE n >= 1000 GROUP BY digest)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+               CASE WHEN largest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN largest <> page_id THEN largest END AS refers_to
+        FROM d LEFT JOIN w USING (digest)""",
+}
