@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, warc
+from . import packing, quality, sharding, simhash, warc
 from .common import materialize, table
 
 
@@ -24,6 +24,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
+    return s.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = quality.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return s.select("doc_id", *[F.col("features")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
@@ -36,7 +41,7 @@ def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve_revisits(materialize(warc.capture_digests(warc.assemble(spark, path))))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op8_quality_rules, op9_warc_transactions)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op6_balanced_sharding, op8_quality_rules, op9_warc_transactions)}
 ORACLES: dict[str, str] = {
     "op9_warc_transactions": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
