@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, sharding, simhash, warc
+from . import line_dedup, packing, quality, sharding, simhash, warc
 from .common import materialize, table
 
 
@@ -24,6 +24,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.drop_boilerplate(docs, min_sites=line_dedup.MIN_SITES, removed_as="n_removed").select("doc_id", "text", "n_removed")
+
+
 def op6_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
     return s.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -41,8 +46,20 @@ def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve_revisits(materialize(warc.capture_digests(warc.assemble(spark, path))))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op6_balanced_sharding, op8_quality_rules, op9_warc_transactions)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op3_line_dedup, op6_balanced_sharding, op8_quality_rules, op9_warc_transactions)}
+_BARE = r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
+
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": f"""
+        WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+                          unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+        b AS (SELECT *, {_BARE} AS bare FROM l),
+        g AS (SELECT bare FROM b WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= 15),
+        k AS (SELECT doc_id, string_agg(CASE WHEN g.bare IS NULL THEN line END, chr(10) ORDER BY i) AS text,
+                     count(g.bare) AS n_removed FROM b LEFT JOIN g ON b.bare = g.bare GROUP BY doc_id)
+        SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+               CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed
+        FROM documents d LEFT JOIN k USING (doc_id)""",
     "op9_warc_transactions": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS digest FROM p),
