@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, quality, sharding, simhash, warc
+from . import line_dedup, mixing, packing, quality, sharding, simhash, warc
 from .common import materialize, table
 
 
@@ -34,6 +34,12 @@ def op6_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return m.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"),
+                    F.round("probability", 6).alias("probability"), "sampled")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = quality.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return s.select("doc_id", *[F.col("features")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
@@ -46,7 +52,7 @@ def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve_revisits(materialize(warc.capture_digests(warc.assemble(spark, path))))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op3_line_dedup, op6_balanced_sharding, op8_quality_rules, op9_warc_transactions)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op3_line_dedup, op6_balanced_sharding, op7_source_mixing, op8_quality_rules, op9_warc_transactions)}
 _BARE = r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
 
 ORACLES: dict[str, str] = {
@@ -60,6 +66,7 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
                CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed
         FROM documents d LEFT JOIN k USING (doc_id)""",
+    "op7_source_mixing": mixing.mix_sql(),
     "op9_warc_transactions": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS digest FROM p),
