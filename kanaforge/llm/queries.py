@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality, sharding, simhash, warc
+from . import line_dedup, mixing, packing, quality, sharding, simhash, suffix, warc
 from .common import materialize, table
 
 
@@ -52,7 +52,13 @@ def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve_revisits(materialize(warc.capture_digests(warc.assemble(spark, path))))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op3_line_dedup, op6_balanced_sharding, op7_source_mixing, op8_quality_rules, op9_warc_transactions)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = suffix.drop_repeats(table(spark, sf_dir, "documents"), length=400)
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op3_line_dedup, op6_balanced_sharding, op7_source_mixing, op8_quality_rules, op9_warc_transactions,
+                                op10_suffix_dedup)}
 _BARE = r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
 
 ORACLES: dict[str, str] = {
