@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, mixing, packing, quality, sharding, simhash, suffix, warc
+from . import ann, line_dedup, mixing, packing, quality, sharding, simhash, suffix, toxicity, warc
 from .common import materialize, table
 
 
@@ -29,6 +29,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs, min_sites=line_dedup.MIN_SITES, removed_as="n_removed").select("doc_id", "text", "n_removed")
 
 
+def op4_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_severity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score_severity(docs, model)
+
+
 def op5_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.nearest(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
@@ -62,7 +68,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op3_line_dedup, op5_permutation_index, op6_balanced_sharding, op7_source_mixing, op8_quality_rules, op9_warc_transactions,
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op3_line_dedup, op4_toxicity_severity, op5_permutation_index, op6_balanced_sharding, op7_source_mixing, op8_quality_rules, op9_warc_transactions,
                                 op10_suffix_dedup)}
 _BARE = r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
 
