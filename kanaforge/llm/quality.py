@@ -1,9 +1,11 @@
 """Quality rules as weak supervision.
 
 Each rule looks at a few counts of a document and votes good, bad, or abstains.
-Expectation-maximisation over all documents estimates how often each rule is right and how
-common good documents are; a document is kept when its posterior probability of being good
-reaches one half. Documents meet the estimator only as counts of equal vote patterns (at
+Expectation-maximisation over all documents estimates how common good documents are and two
+accuracies of each rule: how often its vote is right on good documents, and how often on
+bad ones (a rule for symbols is seldom wrong when it accuses, but it also calls documents
+good whose defect is another one). A document is kept when its posterior probability of
+being good reaches one half. Documents meet the estimator only as counts of equal vote patterns (at
 most 3 ** rules of them), so it sees every document whatever the size of the corpus.
 
 A base filter stands before the votes: documents with too few words, or with too many
@@ -28,6 +30,7 @@ SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123))
+_NOT_ASCII = bytes(range(128, 256))
 _ENDS = b".!?"
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -67,8 +70,11 @@ def features(text: bytes | None) -> tuple[int, ...]:
     words = b.split()
     lines = [x for x in b.split(b"\n") if x.strip()]
     gone = lambda chars: len(b) - len(b.translate(None, chars))
-    return (len(words), len(b.translate(None, _SPACE).decode("utf-8", "replace")), gone(SYMBOLS), len(lines) - len(set(lines)),
-            repeat_words(words), len(lines), gone(_UPPER), gone(_LETTERS), gone(_ENDS), len(set(words)))
+    bare = b.translate(None, _SPACE)
+    chars = len(bare.decode("utf-8", "replace"))
+    other = chars - len(bare.translate(None, _NOT_ASCII))  # counted as letters
+    return (len(words), chars, gone(SYMBOLS), len(lines) - len(set(lines)), repeat_words(words), len(lines), gone(_UPPER),
+            gone(_LETTERS) + other, gone(_ENDS), len(set(words)))
 
 
 @pandas_udf(_TYPE)
@@ -94,13 +100,14 @@ def rules(f: str) -> dict[str, Column]:
     letters = F.greatest(c["n_letters"], F.lit(1.0))
     length = c["word_chars"] / words
     return {
-        "word_length": _vote(length.between(3.0, 10.0), (length < 2.2) | (length > 14.0)),
-        "symbols": _vote(c["n_symbols"] <= 0.05 * words, c["n_symbols"] > 0.2 * words),
-        "repeated_lines": _vote(c["n_dup_lines"] <= 0.1 * lines, c["n_dup_lines"] > 0.3 * lines),
+        "word_length": _vote(length.between(3.0, 7.5), (length < 2.2) | (length > 12.0)),
+        "symbols": _vote(c["n_symbols"] <= 0.02 * words, c["n_symbols"] > 0.15 * words),
+        "letters": _vote(letters >= 0.92 * c["word_chars"], letters < 0.75 * c["word_chars"]),
+        "repeated_lines": _vote(c["n_dup_lines"] <= 0.15 * lines, c["n_dup_lines"] > 0.4 * lines),
         "repeated_words": _vote(c["n_repeat_words"] <= 0.1 * words, c["n_repeat_words"] > 0.25 * words),
-        "capitals": _vote(c["n_upper"] <= 0.25 * letters, c["n_upper"] > 0.5 * letters),
-        "sentences": _vote(c["n_ends"].between(0.01 * words, 0.4 * words), (c["n_ends"] > 0.6 * words) | ((c["n_ends"] == 0) & (c["n_words"] >= 60))),
-        "variety": _vote(c["n_distinct"] >= 0.25 * words, (c["n_distinct"] < 0.1 * words) & (c["n_words"] >= 50)),
+        "capitals": _vote(c["n_upper"] <= 0.15 * letters, c["n_upper"] > 0.4 * letters),
+        "sentences": _vote(c["n_ends"].between(0.02 * words, 0.3 * words), (c["n_ends"] > 0.6 * words) | ((c["n_ends"] == 0) & (c["n_words"] >= 100))),
+        "variety": _vote(c["n_distinct"] >= 0.4 * words, (c["n_distinct"] < 0.22 * words) & c["n_words"].between(50, 1000)),
     }
 
 
@@ -110,35 +117,44 @@ def base_failed(f: str) -> Column:
 
 # --- estimation -------------------------------------------------------------------------
 
-def posterior(good: float, accuracy: list[float], votes) -> float:
-    """P(good | votes): a rule that votes is right with its accuracy; abstaining says nothing."""
+def posterior(good: float, accuracy: list[tuple[float, float]], votes) -> float:
+    """P(good | votes). accuracy: of each rule's votes on good and on bad documents;
+    abstaining says nothing."""
     score = math.log(good / (1 - good))
-    for a, v in zip(accuracy, votes):
-        if v >= 0:
-            score += (1 if v else -1) * math.log(a / (1 - a))
+    for (on_good, on_bad), v in zip(accuracy, votes):
+        if v == 1:
+            score += math.log(on_good / (1 - on_bad))
+        elif v == 0:
+            score += math.log((1 - on_good) / on_bad)
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, score))))
 
 
-def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[float]]:
-    """(share of good documents, accuracy of each rule) by expectation-maximisation from
-    vote patterns and how many documents have them. Accuracies stay within [0.55, 0.99] (a
-    rule is better than chance, never an oracle) and the share within [0.05, 0.95]; two
-    imagined documents per rule, one right and one wrong, keep unused rules defined."""
+#: Where the estimation starts: documents are mostly good, rules accuse few good documents
+#: and see a part of the bad ones.
+START_GOOD, START_ACCURACY = 0.8, (0.99, 0.35)
+
+
+def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[tuple[float, float]]]:
+    """(share of good documents, accuracies of each rule) by expectation-maximisation from
+    vote patterns and how many documents have them. A rule's accuracy on good documents
+    stays within [0.8, 0.999], on bad ones within [0.02, 0.99], the share within
+    [0.05, 0.99]; two imagined documents per accuracy at its start keep unused rules defined."""
     n_rules = len(patterns[0][0]) if patterns else 0
-    good, acc = 0.8, [0.8] * n_rules
+    good, acc = START_GOOD, [START_ACCURACY] * n_rules
     if not patterns:
         return good, acc
     votes = np.array([p for p, _ in patterns])
     weight = np.array([n for _, n in patterns], float)
     for _ in range(rounds):
         post = np.array([posterior(good, acc, v) for v in votes])
-        good = float(np.clip((weight * post).sum() / weight.sum(), 0.05, 0.95))
-        new = []
+        good = float(np.clip((weight * post).sum() / weight.sum(), 0.05, 0.99))
+        acc = []
         for j in range(n_rules):
-            v = votes[:, j]
-            right = (weight * np.where(v == 1, post, np.where(v == 0, 1 - post, 0.0))).sum()
-            new.append(float(np.clip((right + 1) / (weight[v >= 0].sum() + 2), 0.55, 0.99)))
-        acc = new
+            yes, no = votes[:, j] == 1, votes[:, j] == 0
+            fair, foul = weight * post, weight * (1 - post)
+            on_good = (fair[yes].sum() + 2 * START_ACCURACY[0]) / (fair[yes | no].sum() + 2)
+            on_bad = (foul[no].sum() + 2 * START_ACCURACY[1]) / (foul[yes | no].sum() + 2)
+            acc.append((float(np.clip(on_good, 0.8, 0.999)), float(np.clip(on_bad, 0.02, 0.99))))
     return good, acc
 
 
