@@ -2,11 +2,11 @@
 
 Documents start in hashed shards. In every round each linked document looks at how many
 documents of its group sit in each shard (its neighbours' labels, counted per group with a
-partial aggregate, never as pairs) and asks to move to the shard that holds most. Moves into
-a shard are admitted up to its free quota: a shard of q rows takes as many linked documents
-as fit, since unlinked documents can make room at no cost. A group larger than one quota
-asks for as many shards as it needs, so it is cut into few pieces instead of being gathered.
-At the end shards above their quota hand rows, unlinked ones first, to shards below it, so
+partial aggregate, never as pairs) and moves to the shard that holds most. Moves are bound
+by quotas: a shard of q rows takes as many linked documents as fit, since unlinked ones can
+make room at no cost, and groups beyond that move on to shards with room. A group larger
+than one quota asks for as many shards as it needs, so it is cut into few pieces and never
+gathered. At the end shards above their quota hand rows, unlinked ones first, to shards below it, so
 that row counts differ by at most one.
 
 All work is joins, aggregates and windows over (group, shard), or over buckets of bounded
@@ -42,33 +42,62 @@ def ranked(df: DataFrame, by: str, bucket: Column, order: list, buckets_as: str
         buckets_as, "rank_before", "rank_in")
 
 
+def _by_shard(rows, shards: int, key: str, value: str) -> list[int]:
+    out = [0] * shards
+    for r in rows:
+        out[r[key]] += r[value]
+    return out
+
+
+def _lookup(values: list[float], at: Column) -> Column:
+    """values[at] as an expression over a short list."""
+    return F.element_at(F.array(*[F.lit(float(v)) for v in values]), (at + 1).cast("int"))
+
+
 def propagate(linked: DataFrame, quota: int, shards: int, rounds: int = ROUNDS) -> DataFrame:
     """Move linked rows (rid, grp, grp_n, shard) towards their neighbours' shards.
 
-    A group of grp_n rows asks for ceil(grp_n / quota) shards, those that hold most of it
-    now. Rows of ordinary groups are admitted to a shard group by group, those of groups
-    above a quota one by one, so that the linked rows of a shard stay near its quota. Stops
-    early when no row wants to move."""
+    A group above a quota asks for ceil(grp_n / quota) shards, those that hold most of it;
+    its rows move there one by one as far as quotas allow. Any other group has its home
+    where most of it is, and moves there as a whole; where homes exceed what the large
+    groups leave of a quota, a share of the groups, drawn by hash, goes to shards with
+    room. Stops early when no row moves. The driver sees counts per shard only."""
     for turn in range(rounds):
         votes = linked.groupBy("grp", "shard").agg(F.count("*").alias("n"), F.max("grp_n").alias("grp_n"))
-        best = votes.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy(F.col("n").desc(), F.xxhash64("grp", "shard"))))
-        need = F.least(F.ceil(F.col("grp_n") / quota), F.lit(shards))
-        best = best.where(F.col("place") <= need)
-        wanted = best.groupBy("grp").agg(F.collect_list("shard").alias("goals"))  # at most ``shards`` of them
-        ask = linked.join(wanted, "grp").withColumn("goal", F.when(F.array_contains("goals", F.col("shard")), F.col("shard")).otherwise(
-            F.element_at("goals", (F.pmod(F.xxhash64("rid", F.lit(turn)), F.size("goals")) + 1).cast("int"))))
-        load = linked.groupBy("shard").agg(F.count("*").alias("held"))
-        moving = ask.where("goal <> shard").groupBy("goal").agg(F.count("*").alias("asked"))
-        leaving = ask.where("goal <> shard").groupBy("shard").agg(F.count("*").alias("gone"))
-        room = load.join(leaving, "shard", "left").select("shard", (F.col("held") - F.coalesce("gone", F.lit(0))).alias("stay"))
-        flows = [(r["goal"], r["asked"]) for r in moving.collect()]  # at most ``shards`` rows
-        if not flows:
+        place = F.row_number().over(Window.partitionBy("grp").orderBy(F.col("n").desc(), F.xxhash64("grp", "shard")))
+        best = votes.withColumn("place", place).where(F.col("place") <= F.least(F.ceil(F.col("grp_n") / quota), F.lit(shards)))
+        goals = best.groupBy("grp").agg(F.max("grp_n").alias("n"), F.sort_array(F.collect_list("shard")).alias("goals"))  # at most ``shards`` of them
+        goals = materialize(goals)
+        ask = linked.join(goals.select("grp", "goals"), "grp")
+        large = F.col("grp_n") > quota
+        wish = F.when(F.array_contains("goals", F.col("shard")), F.col("shard")).otherwise(F.element_at(
+            "goals", (F.pmod(F.xxhash64("rid", F.lit(turn)), F.size("goals")) + 1).cast("int")))
+        flows = ask.where(large).select("shard", wish.alias("wish")).groupBy("shard", "wish").agg(F.count("*").alias("n")).collect()
+        stay = _by_shard([r for r in flows if r["shard"] == r["wish"]], shards, "shard", "n")
+        come = _by_shard([r for r in flows if r["shard"] != r["wish"]], shards, "wish", "n")
+        gone = _by_shard([r for r in flows if r["shard"] != r["wish"]], shards, "shard", "n")
+        admit = [min(1.0, max(0, quota - s) / c) if c else 0.0 for s, c in zip(stay, come)]
+        held = [s + a * c for s, a, c in zip(stay, admit, come)]
+        if sum(gone):  # those not admitted stay where they are, dealt like all that wish to go
+            left = (sum(gone) - sum(a * c for a, c in zip(admit, come))) / sum(gone)
+            held = [h + left * g for h, g in zip(held, gone)]
+        home = _by_shard(goals.where(F.col("n") <= quota).groupBy(F.col("goals")[0].alias("shard")).agg(F.sum("n").alias("n")).collect(), shards, "shard", "n")
+        cap = [max(0.0, quota - h) for h in held]
+        evict = [max(0.0, 1 - c / n) if n else 0.0 for c, n in zip(cap, home)]
+        spare = [max(0.0, c - n) for c, n in zip(cap, home)]
+        draw, to, below = _unit("grp", F.lit(50 + turn)), F.col("goals")[0], 0.0
+        for s in reversed(range(shards)):
+            if spare[s]:
+                to = F.when(draw >= 1 - (below + spare[s]) / sum(spare), F.lit(s)).otherwise(to) if below == 0.0 else F.when(
+                    (draw >= 1 - (below + spare[s]) / sum(spare)) & (draw < 1 - below / sum(spare)), F.lit(s)).otherwise(to)
+                below += spare[s]
+        whole = F.when(_unit("grp", F.lit(100 + turn)) < _lookup(evict, F.col("goals")[0]), to).otherwise(F.col("goals")[0])
+        single = F.when((wish != F.col("shard")) & (_unit("rid", F.lit(150 + turn)) < _lookup(admit, wish)), wish).otherwise(F.col("shard"))
+        new = F.when(large, single).otherwise(whole).cast("int")
+        moved = materialize(ask.select("rid", "grp", "grp_n", new.alias("shard"), (new != F.col("shard")).alias("moved")))
+        linked = moved.drop("moved")
+        if not moved.where("moved").limit(1).count():
             break
-        stay = {r["shard"]: r["stay"] for r in room.collect()}
-        admit = F.create_map(*[F.lit(x) for s, n in flows for x in (s, min(1.0, max(0.0, (quota - stay.get(s, 0)) / n)))])
-        chance = F.when(F.col("grp_n") > quota, _unit("rid", F.lit(100 + turn))).otherwise(_unit("grp", F.lit(100 + turn)))
-        go = (F.col("goal") != F.col("shard")) & (chance < F.element_at(admit, F.col("goal")))
-        linked = materialize(ask.select("rid", "grp", "grp_n", F.when(go, F.col("goal")).otherwise(F.col("shard")).alias("shard")))
     return linked
 
 
