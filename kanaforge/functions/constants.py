@@ -7,6 +7,7 @@ parameter, so the same code runs on other alphabets and terminators.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 # --- fixed values (must equal the original rules for equal results) -----------------
 
@@ -92,6 +93,14 @@ WS_CLASS = "[" + _class_body(WHITESPACE_CODEPOINTS) + "]"
 NOT_WS_CLASS = "[^" + _class_body(WHITESPACE_CODEPOINTS) + "]"
 
 
+# Blocks whose characters are mostly untouched by NFKC: Latin, Japanese punctuation and
+# kana, unified ideographs. A character is inert when NFKC keeps it and it does not combine
+# with the one before it; a string of inert characters is its own NFKC form.
+_INERT_BLOCKS = [*range(0x250), *range(0x3000, 0x3100), *range(0x4E00, 0xA000)]
+NOT_NFKC_INERT = "[^" + _class_body([
+    c for c in _INERT_BLOCKS if unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c))]) + "]"
+
+
 def char_class(chars: str, negate: bool = False) -> str:
     """Regex class matching any of ``chars`` (escaped for Java and RE2)."""
     cps = sorted({ord(c) for c in chars})

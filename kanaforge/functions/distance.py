@@ -3,11 +3,10 @@
 Very short pairs use Spark's built-in ``levenshtein`` (O(n*m) cells in generated
 code). Longer pairs go to the bit-parallel algorithm (Myers 1999, global form by
 Hyyro 2001), which handles 64 DP cells per machine word: O(n * ceil(m/64)) word
-operations. Inside one Arrow batch, pairs up to 256 characters run as one numpy
-computation across all pairs (one vector step per character of the shorter side).
-Longer pairs (a text with no terminator is one long "sentence") use Python's
-arbitrary-precision integers, a whole DP column per step. All paths give the same
-exact distance.
+operations. Inside one Arrow batch, pairs of similar length run as one numpy computation
+across all pairs (one vector step per character of the shorter side); a pair that is
+alone in its length group uses Python's arbitrary-precision integers, a whole DP column
+per step. All paths give the same exact distance.
 """
 
 from __future__ import annotations
@@ -59,7 +58,6 @@ def bitparallel_levenshtein(a: str, b: str) -> int:
 
 _U1 = np.uint64(1)
 _U63 = np.uint64(63)
-_MAX_WORDS = 4  # pairs whose longer side fits in 4 x 64 bits are done as one vector batch
 
 
 def _add_words(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -130,10 +128,16 @@ def _batch_levenshtein(pairs: list[tuple[str, str]], words: int) -> np.ndarray:
     return score
 
 
+# Cells (pairs x characters of the longer side) of one vector batch, which bounds its memory.
+_BATCH_CELLS = 1 << 22
+
+
 def pair_distances(a: list, b: list) -> list:
-    """Exact distances for a batch of pairs (None where either side is None). Pairs up
-    to 256 characters are grouped by word count and by the length of the shorter side
-    and done as vector batches; longer pairs run the big-integer form one by one."""
+    """Exact distances for a batch of pairs (None where either side is None). Pairs are
+    grouped by the words of the longer and the length band of the shorter side, and every
+    group is done in vector batches. A pair of m x n characters costs n steps of m / 64
+    word operations; groups of a single pair run the big-integer form, which has the same
+    cost with less overhead per step."""
     out: list = [None] * len(a)
     groups: dict[tuple[int, int], list[int]] = {}
     for i, (x, y) in enumerate(zip(a, b)):
@@ -148,17 +152,17 @@ def pair_distances(a: list, b: list) -> list:
             out[i] = len(x)
             continue
         words = (len(x) + 63) // 64
-        if words > _MAX_WORDS:
-            out[i] = bitparallel_levenshtein(x, y)
-        else:
-            groups.setdefault((words, len(y) // 64), []).append(i)
+        # Long pairs share a width within a quarter, so that they meet others.
+        step = max(1, 1 << max(0, words.bit_length() - 3))
+        groups.setdefault((-(-words // step) * step, len(y) // (64 * step)), []).append(i)
     for (words, _band), idx in groups.items():
-        pairs = []
-        for i in idx:
-            x, y = a[i], b[i]
-            pairs.append((x, y) if len(x) >= len(y) else (y, x))
-        for i, d in zip(idx, _batch_levenshtein(pairs, words)):
-            out[i] = int(d)
+        size = max(1, _BATCH_CELLS // (64 * words))
+        for k in range(0, len(idx), size):
+            part = idx[k:k + size]
+            pairs = [(a[i], b[i]) if len(a[i]) >= len(b[i]) else (b[i], a[i]) for i in part]
+            found = [bitparallel_levenshtein(*pairs[0])] if len(pairs) == 1 else _batch_levenshtein(pairs, words)
+            for i, d in zip(part, found):
+                out[i] = int(d)
     return out
 
 
@@ -173,7 +177,7 @@ def edit_distance(a: Column, b: Column, long_pair_cells: int = LONG_PAIR_CELLS)
     The bit-parallel UDF only receives the long pairs (others arrive as NULL and cost
     nothing); ``coalesce`` evaluates the built-in only where the UDF gave NULL.
     """
-    long_pair = (F.length(a).cast("long") * F.length(b).cast("long")) > long_pair_cells
+    long_pair = (a != b) & ((F.length(a).cast("long") * F.length(b).cast("long")) > long_pair_cells)
     fast = _long_pair_distance(F.when(long_pair, a), F.when(long_pair, b))
     return (F.when(a == b, F.lit(0).cast("long"))
             .otherwise(F.coalesce(fast, F.levenshtein(a, b).cast("long"))))

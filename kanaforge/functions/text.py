@@ -42,24 +42,19 @@ def remove_ws(c: ColumnOrName) -> Column:
 
 # --- NFKC (no built-in in Spark: one Arrow-batched pandas UDF) ----------------------------
 
-def _nfkc_one(s):
-    if s is None or s.isascii():
-        return s
-    return unicodedata.normalize("NFKC", s)
-
-
 @F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode NFKC. ASCII strings are already normal and are passed through."""
-    return s.map(_nfkc_one)
+    """Unicode NFKC."""
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
 def normalize_text(c: ColumnOrName) -> Column:
-    """TXT-1: NFKC, then delete all whitespace. Only strings with a non-ASCII character
-    (code points != bytes) are sent to Python; ASCII is already NFKC-normal."""
+    """TXT-1: NFKC, then delete all whitespace. Only strings that NFKC may change go to
+    Python: a native test finds those with any character outside the inert ones (plain
+    Latin letters, kana, ideographs; they neither change nor join with a neighbour)."""
     col = _c(c)
     non_ascii = F.length(col) != F.octet_length(col)
-    return remove_ws(F.coalesce(nfkc(F.when(non_ascii, col)), col))
+    return remove_ws(F.coalesce(nfkc(F.when(non_ascii & col.rlike(K.NOT_NFKC_INERT), col)), col))
 
 
 # --- character deletion, alphabets ------------------------------------------------------
@@ -124,9 +119,24 @@ def strip_markup(c: ColumnOrName) -> Column:
 
 
 def tagged_bodies(c: ColumnOrName, tag: str = "doc") -> Column:
-    """Bodies of ``<tag ...>body</tag>`` blocks (non-greedy, spanning newlines, body
-    non-empty). Returns ARRAY<STRING>."""
-    return F.regexp_extract_all(_c(c), F.lit(f"(?s)<{tag}.*?>(.+?)</{tag}>"), 1)
+    """Bodies of ``<tag ...>body</tag>`` blocks (spanning newlines, body non-empty), in
+    order. Returns ARRAY<STRING>. The text is cut at the closing tags, what follows the
+    last one is dropped, and each piece gives its ``block_body``; linear in the text."""
+    pieces = F.split(_c(c), _literal(f"</{tag}>"), -1)
+    bodies = F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda x: block_body(x, tag))
+    return F.filter(bodies, lambda x: F.length(x) > 0)
+
+
+def _literal(s: str) -> str:
+    """A regex matching exactly ``s``."""
+    return "\\Q" + s + "\\E"
+
+
+def block_body(piece: ColumnOrName, tag: str = "doc") -> Column:
+    """SRC-3: the body of a record that ended at a closing tag: what follows the first
+    ``>`` behind the first opening tag; NULL without an opening tag."""
+    opened = F.try_element_at(F.split(_c(piece), _literal(f"<{tag}"), 2), F.lit(2))
+    return F.try_element_at(F.split(opened, ">", 2), F.lit(2))
 
 
 # --- characters -------------------------------------------------------------------------------
@@ -164,10 +174,10 @@ def slug(c: ColumnOrName) -> Column:
 def render_article(title: ColumnOrName, sentences: ColumnOrName,
                    category: ColumnOrName | None = None) -> Column:
     """TXT-12: ``# title\\n<sentences, one per line>\\n\\n``; with a category the header
-    is ``# title (Category: c)``."""
+    is ``# title (Category: c)`` (a NULL category adds nothing)."""
     header = F.concat(F.lit("# "), _c(title))
     if category is not None:
-        header = F.concat(header, F.lit(" (Category: "), _c(category), F.lit(")"))
+        header = F.concat(header, F.coalesce(F.concat(F.lit(" (Category: "), _c(category), F.lit(")")), F.lit("")))
     return F.concat(header, F.lit("\n"), F.array_join(_c(sentences), "\n"), F.lit("\n\n"))
 
 

@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.text import render_article, split_sentences_drop, split_sentences_keep, strip_markup
 from .filters import namespace
+from ..session import write_once
 from .index import limit_ordered
-from .pairing import resolve_domain
+from .pairing import rank_in_group, resolve_domain
+
+# Walked titles of at most this many bytes are copied to every task that scans pages.
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def path_key(path: Column | str, width: int = 10) -> Column:
@@ -44,16 +48,25 @@ def walk_category(roots: DataFrame, links: DataFrame, max_depth: int = K.MAX_DEP
         pages.append(namespace(m, K.NS_MAIN, "member_ns")
                      .select("root", "member", F.lit(level).alias("level"), "path"))
         if level < max_depth:
+            # The next level and this level's pages both read the join: beyond the first
+            # level its result is written once, so that no level is computed again below
+            # the ones after it.
+            if level:
+                m = write_once(m)
+                pages[-1] = namespace(m, K.NS_MAIN, "member_ns").select("root", "member", F.lit(level).alias("level"), "path")
             frontier = namespace(m, K.NS_CATEGORY, "member_ns").select(
                 "root", F.col("member").alias("_cat"), "path")
     return reduce(lambda a, b: a.unionByName(b), pages)
 
 
-def cap_per_root(walked: DataFrame, max_pages: int = K.MAX_PAGES, root: str = "root",
+def cap_per_root(walked: DataFrame, max_pages: int | None = None, root: str = "root",
                  rank_col: str = "rank") -> DataFrame:
-    """GRP-2: the first ``max_pages`` pages of each root in walk order, with a 0-based
-    rank. Planned as a per-partition top-N before the shuffle (window group limit),
-    so a root with many pages sends at most N rows per task through it."""
+    """GRP-2: the pages of each root with their 0-based rank in walk order; with
+    ``max_pages`` only the first so many (planned as a per-partition top-N before the
+    shuffle, so a root with many pages sends at most N rows per task through it).
+    Without a cap the rank comes from a global index, which splits a hot root."""
+    if max_pages is None:
+        return rank_in_group(walked, [root], ["path"], rank_col)
     w = Window.partitionBy(root).orderBy("path")
     ranked = walked.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_pages)
     return ranked.withColumn(rank_col, (F.col("_rn") - 1).cast("long")).drop("_rn")
@@ -73,7 +86,10 @@ def assemble_articles(walked: DataFrame, pages: DataFrame, terms: str = K.TERMS_
     Missing pages and pages without sentences are skipped. Only pages the walk reached
     are split into sentences (a semi join with the distinct walked titles first), each
     once however often it was reached."""
+    walked = write_once(walked)  # narrow rows, read twice here and measured by the planner
     needed = walked.select(F.col("member").alias("title")).distinct()
+    if (needed.agg(F.sum(F.octet_length("title"))).first()[0] or 0) <= BROADCAST_MAX_BYTES:
+        needed = F.broadcast(needed)  # page texts stay where they are scanned
     ps = page_sentences(pages.join(needed, on="title", how="left_semi"), terms=terms)
     j = walked.join(ps, walked["member"] == ps["title"], "inner").drop("member")
     cat = F.col(category) if category else None
@@ -89,30 +105,32 @@ def assemble_titles(titles: DataFrame, pages: DataFrame, title: str = "title",
 
 
 def assemble_category(roots: DataFrame, links: DataFrame, pages: DataFrame, max_depth: int = K.MAX_DEPTH,
-                      max_pages: int = K.MAX_PAGES, terms: str = K.TERMS_KEEP) -> DataFrame:
+                      max_pages: int | None = None, terms: str = K.TERMS_KEEP) -> DataFrame:
     """GRP-3: one article per walked page for each root category:
-    (root, rank, level, path, title, article). The cap applies per root."""
+    (root, rank, level, path, title, article). A cap applies per root."""
     walked = cap_per_root(walk_category(roots, links, max_depth), max_pages)
     return assemble_articles(walked, pages, terms)
 
 
 def assemble_domain(names: DataFrame, domains: DataFrame, links: DataFrame, pages: DataFrame,
-                    max_depth: int = K.MAX_DEPTH, max_pages_per_category: int = 20,
+                    max_depth: int = K.MAX_DEPTH, max_pages_per_category: int | None = None,
                     terms: str = K.TERMS_KEEP) -> DataFrame:
-    """GRP-4: every category of the requested domains (JOI-3; an unknown name is one
-    category of its own) walked in the same joins, capped per category, rendered with
-    the ``(Category: c)`` header: (domain, category, cat_ord, rank, title, article)."""
+    """GRP-4: every category of the requested domains (JOI-3) walked in the same joins,
+    capped per category if asked, rendered with the ``(Category: c)`` header. An unknown
+    name is a plain category of its own, rendered like one: ``# title`` alone.
+    (domain, category, cat_ord, rank, title, article)."""
     cats = resolve_domain(names, domains).select(
-        F.coalesce(F.col("domain"), F.col("name")).alias("domain"), "category", F.col("ord").alias("cat_ord"))
+        F.coalesce(F.col("domain"), F.col("name")).alias("domain"), "category", F.col("ord").alias("cat_ord"), F.col("matched").alias("_matched"))
     walked = cap_per_root(walk_category(cats.select(F.col("category").alias("root")).distinct(), links,
                                         max_depth), max_pages_per_category)
     walked = walked.withColumnRenamed("root", "category")
     tagged = cats.join(walked, on="category", how="inner")
-    return assemble_articles(tagged, pages, terms, category="category")
+    return assemble_articles(tagged.withColumn("_header", F.when(F.col("_matched"), F.col("category"))), pages, terms,
+                             category="_header").drop("_header", "_matched")
 
 
 def assemble_all_domains(domains: DataFrame, links: DataFrame, pages: DataFrame, max_depth: int = K.MAX_DEPTH,
-                         max_pages_per_category: int = 20, terms: str = K.TERMS_KEEP) -> DataFrame:
+                         max_pages_per_category: int | None = None, terms: str = K.TERMS_KEEP) -> DataFrame:
     """GRP-4, all-domains form: the ``domain`` column is the output partition key."""
     names = domains.select(F.col("domain").alias("name")).distinct()
     return assemble_domain(names, domains, links, pages, max_depth, max_pages_per_category, terms)

@@ -9,13 +9,14 @@ rank inside its bucket.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, write_once
 
 _B, _N, _OFF, _MID = "_bkt", "_bkt_n", "_bkt_off", "_mid"
 
@@ -101,7 +102,7 @@ def hash_key(key: Column | str, seed: int = K.SEED) -> Column:
 def check_ratios(train: float, test: float, validation: float) -> None:
     total = train + test + validation
     if not (1 - K.RATIO_TOLERANCE <= total <= 1 + K.RATIO_TOLERANCE):
-        raise ValueError(f"Train, test, and validation ratios must sum to 1.0, got {total}")
+        raise ValueError(f"the three split ratios add up to {total}; they must add up to 1")
 
 
 def split_exact(df: DataFrame, key: str, train: float = K.TRAIN_RATIO, test: float = K.TEST_RATIO,
@@ -111,22 +112,40 @@ def split_exact(df: DataFrame, key: str, train: float = K.TRAIN_RATIO, test: flo
     n_test = floor(r*test/(test+validation)) and validation takes what remains; with
     test = 0 only train and validation. Membership: the first n_train rows in
     (md5(seed:key), key) order are train, and so on, so the split is reproducible and
-    independent of partitioning. ``key`` must be unique."""
+    independent of partitioning. ``key`` must be unique.
+
+    The rows themselves are neither shuffled nor ranked: two short jobs over the keys
+    find the first row behind either boundary, and every row is compared with it."""
     check_ratios(train, test, validation)
-    h = hash_key(key, seed)
-    b = df.withColumn("_h", h)
-    # The first 4 hex digits are monotone with the md5 order: <= 65,536 buckets.
-    idx = with_global_index(b, ["_h", key], index_col="_idx", bucket=F.substring("_h", 1, 4),
-                            total_col="_n")
-    n_train = F.floor(F.col("_n") * F.lit(train))
-    rest = F.col("_n") - n_train
-    if test > 0:
-        n_test = F.floor(rest * F.lit(test / (test + validation)))
-        split = (F.when(F.col("_idx") < n_train, "train")
-                 .when(F.col("_idx") < n_train + n_test, "test").otherwise("validation"))
+    # Only the keys are needed to find the two boundaries: they are written once.
+    keys = write_once(df.select(F.col(key).alias("_k"))).withColumn("_h", hash_key("_k", seed))
+    # The first 4 hex digits are monotone with the md5 order: at most 65,536 counts.
+    prefix = F.substring("_h", 1, 4)
+    counts = sorted((r["p"], r["n"]) for r in keys.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    total = sum(n for _, n in counts)
+    n_train = math.floor(total * train)
+    n_test = math.floor((total - n_train) * (test / (test + validation))) if test > 0 else 0
+    own = F.struct(hash_key(key, seed).alias("h"), F.col(key).alias("k"))
+    split = F.lit("validation")
+    for name, size in (("test", n_train + n_test), ("train", n_train)):
+        split = F.when(_before(keys, counts, size, own), name).otherwise(split)
+    return df.withColumn(split_col, split)
+
+
+def _before(keys: DataFrame, counts: list[tuple[str, int]], size: int, own: Column) -> Column:
+    """Whether a row is among the first ``size`` rows in (hash, key) order. Only the
+    bucket that holds the boundary is ranked, a 65,536th of the keys."""
+    for prefix, n in counts:
+        if size < n:
+            break
+        size -= n
     else:
-        split = F.when(F.col("_idx") < n_train, "train").otherwise("validation")
-    return idx.withColumn(split_col, split).drop("_h", "_idx", "_n")
+        return F.lit(True)  # the boundary lies behind the last row
+    bucket = keys.filter(F.substring("_h", 1, 4) == prefix).select(F.struct(F.col("_h").alias("h"), F.col("_k").alias("k")).alias("s"))
+    ranked = bucket.withColumn("_rn", F.row_number().over(Window.orderBy("s")))
+    first_after = ranked.filter(F.col("_rn") == size + 1).first()["s"]
+    k_type = keys.schema["_k"].dataType
+    return own < F.struct(F.lit(first_after["h"]).alias("h"), F.lit(first_after["k"]).cast(k_type).alias("k"))
 
 
 def hash_unit(key: Column | str, seed: int = K.SEED) -> Column:

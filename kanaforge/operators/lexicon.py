@@ -2,23 +2,21 @@
 
 The longest-match conversion is the greedy left-to-right scan of a dictionary-based
 converter: at each position take the longest dictionary key that starts there (and
-emit its value), else pass one character through. The expensive parts run as joins
-and aggregates: every (position, key length) substring of a line is a candidate, the
-candidates are joined with the dictionary (broadcast when adaptive execution finds it
-small, a shuffle join otherwise), and the matches of a line are collected in position
-order. The scan itself is a fold over that line's sorted matches, native in
-``aggregate``; no per-row Python.
+emit its value), else pass one character through. A dictionary of measured size is
+copied to every task, which scans its own lines once (Arrow batches, no shuffle); a
+larger one is joined with the substrings of the lines.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import katakana_to_hiragana, reading_of, strip_ws
-from ..session import ensure_checkpoint_dir
+from ..session import write_once
 
 
 def concat_readings(tokens: DataFrame, line: str = "line_no", pos: str = "pos", surface: str = "surface",
@@ -40,60 +38,88 @@ def build_lexicon(pairs: DataFrame, key: str = "key", value: str = "value") -> D
         F.col(key).alias("key"), F.col("_b.v").alias("value"), F.col("_b.c").cast("long").alias("n"))
 
 
-# Largest dictionary broadcast to every task; a larger one is joined by a shuffle.
-BROADCAST_MAX_KEYS = 2_000_000
-
-
-def _materialize(lexicon: DataFrame) -> tuple[DataFrame, int, list[int]]:
-    """Checkpoint the dictionary (it is read three times: sizes, lengths, join) to the
-    cluster's checkpoint folder, then read its size and its distinct key lengths in
-    one aggregate (the lengths are at most the longest key's length)."""
-    ensure_checkpoint_dir(lexicon.sparkSession)
-    lex = lexicon.select("key", "value").checkpoint(eager=True)
-    row = lex.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.length("key")).alias("lens")).first()
-    return lex, int(row["n"]), sorted(n for n in row["lens"] if n)
+# Largest dictionary, in bytes of keys and values, that every task gets a copy of.
+BROADCAST_MAX_BYTES = 64 << 20
+
+
+def _convert(text: str, entries: dict[str, str], lengths: dict[str, list[int]]) -> str:
+    """Greedy longest match; ``lengths``: key lengths by first character, longest first.
+    One pass over the text, whatever its length."""
+    out, p, n = [], 0, len(text)
+    while p < n:
+        for k in lengths.get(text[p], ()):
+            value = entries.get(text[p:p + k])
+            if value is not None:
+                out.append(value)
+                p += k
+                break
+        else:
+            out.append(text[p])
+            p += 1
+    return "".join(out)
+
+
+def _map_side(lines: DataFrame, lexicon: DataFrame, text: Column, out: str) -> DataFrame:
+    """Every task converts its own lines against a copy of the dictionary; no shuffle."""
+    entries = {r["key"]: r["value"] for r in lexicon.collect()}
+    lengths: dict[str, set[int]] = {}
+    for key in entries:
+        lengths.setdefault(key[0], set()).add(len(key))
+    bound = lines.sparkSession.sparkContext.broadcast((entries, {c: sorted(v, reverse=True) for c, v in lengths.items()}))
+
+    @F.pandas_udf("string")
+    def convert(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else _convert(t, *bound.value))
+
+    return lines.withColumn(out, convert(text))
+
+
+def _by_candidates(base: DataFrame, lexicon: DataFrame, lens: list[int], line: str, text: str, out: str) -> DataFrame:
+    """The same conversion for a dictionary too large to copy: every substring of a key's
+    length is joined with the dictionary, and the hits of a line are folded in order. The
+    join key holds the whole substring, longest candidates included; hits carry positions
+    only, and the pieces are put together once at the end."""
+    n = F.length(text)
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda p: F.substring(text, p, max(lens)))
+    win = base.filter(n > 0).select(line, F.posexplode(windows).alias("_p0", "_w"))
+    cand = win.select(
+        line, (F.col("_p0") + 1).alias("p"), "_w",
+        F.explode(F.filter(F.array(*[F.lit(k) for k in lens]), lambda k: k <= F.length("_w"))).alias("k"),
+    ).select(line, "p", "k", F.substring("_w", 1, F.col("k")).alias("s"))
+    hits = cand.join(lexicon.select(F.col("key").alias("s"), F.col("value").alias("v")), on="s", how="inner")
+    # Sorted by position, longest key first at a position.
+    per_line = hits.groupBy(line).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("p"), (-F.col("k")).alias("nk"), F.col("v")))).alias("_m"))
+    kept = ("filter(transform(aggregate(_m, named_struct('nxt', 1, 'at', cast(array() as array<int>), 'i', 0), "
+            "(acc, m) -> named_struct('nxt', IF(m.p < acc.nxt, acc.nxt, m.p - m.nk), "
+            "'at', IF(m.p < acc.nxt, acc.at, array_append(acc.at, acc.i)), 'i', acc.i + 1), acc -> acc.at), i -> _m[i]), x -> true)")
+    spans = base.join(per_line, on=line, how="left").withColumn("_k", F.expr(kept))
+    pieces = ("concat(transform(_k, (m, i) -> concat(substring(%s, IF(i = 0, 1, _k[i - 1].p - _k[i - 1].nk), "
+              "m.p - IF(i = 0, 1, _k[i - 1].p - _k[i - 1].nk)), m.v)), "
+              "array(substring(%s, element_at(_k, -1).p - element_at(_k, -1).nk)))" % (text, text))
+    conv = F.when(F.size("_k") > 0, F.array_join(F.expr(pieces), "")).otherwise(F.col(text))
+    return spans.withColumn(out, conv).drop("_m", "_k")
 
 
 def longest_match(lines: DataFrame, lexicon: DataFrame, line: str = "line_id", text: str = "text",
-                  out: str = "converted", broadcast_max_keys: int = BROADCAST_MAX_KEYS,
+                  out: str = "converted", broadcast_max_bytes: int = BROADCAST_MAX_BYTES,
                   keep: Sequence[str] = ()) -> DataFrame:
     """LEX-1: convert each line by greedy longest match against ``lexicon`` (key,
-    value); characters no key covers pass through unchanged. Keys must be unique.
-    ``keep``: columns of ``lines`` carried to the output unchanged."""
-    lexicon, n_keys, lens = _materialize(lexicon)
+    value); characters no key covers pass through unchanged. Keys must be unique; empty
+    and null keys match nothing. ``keep``: columns of ``lines`` carried to the output.
+
+    The dictionary is written once and measured. Up to ``broadcast_max_bytes`` every task
+    holds a copy and converts its lines in one linear pass without a shuffle; a larger
+    dictionary is joined with the lines' substrings, with the same answer."""
+    lexicon = write_once(lexicon.select("key", "value").filter(F.length("key") > 0))
+    size = lexicon.agg(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).alias("bytes"),
+                       F.collect_set(F.length("key")).alias("lens")).first()
     base = lines.select(F.col(line).alias("_line"), F.col(text).alias("_text"), *keep)
-    if not lens:
-        return base.select(F.col("_line").alias(line), *keep, F.col("_text").alias(out))
-    lens_arr = F.array(*[F.lit(n) for n in lens])
-    n = F.length("_text")
-    # One window per position, as long as the longest key (memory n x longest key, never
-    # the whole line per row); then one candidate per key length that fits the window.
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                          lambda p: F.substring("_text", p, max(lens)))
-    win = base.filter(n > 0).select("_line", F.posexplode(windows).alias("_p0", "_w"))
-    cand = win.select(
-        "_line", (F.col("_p0") + 1).alias("p"), "_w",
-        F.explode(F.filter(lens_arr, lambda k: k <= F.length("_w"))).alias("k"),
-    ).select("_line", "p", "k", F.substring("_w", 1, F.col("k")).alias("s"))
-    lex = lexicon.select(F.col("key").alias("s"), F.col("value").alias("v"))
-    # Candidates are (characters x key lengths) rows: they must not cross a shuffle.
-    # With a dictionary of checked size every task probes a broadcast copy, and only
-    # the hits are shuffled (grouped by line) below.
-    if n_keys <= broadcast_max_keys:
-        lex = F.broadcast(lex)
-    hits = cand.join(lex, on="s", how="inner")
-    # Sorted by position, longest key first at a position.
-    per_line = hits.groupBy("_line").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("p"), (-F.col("k")).alias("nk"), F.col("v")))).alias("_m"))
-    j = base.join(per_line, on="_line", how="left")
-    fold = F.expr(
-        "aggregate(_m, named_struct('nxt', 1, 'out', ''), "
-        "(acc, m) -> IF(m.p < acc.nxt, acc, named_struct('nxt', m.p - m.nk, "
-        "'out', concat(acc.out, substring(_text, acc.nxt, m.p - acc.nxt), m.v))), "
-        "acc -> concat(acc.out, substring(_text, acc.nxt)))"
-    )
-    conv = F.when(F.col("_m").isNull(), F.col("_text")).otherwise(fold)
-    return j.select(F.col("_line").alias(line), *keep, conv.alias(out))
+    if (size["bytes"] or 0) <= broadcast_max_bytes:
+        done = _map_side(base, lexicon, F.col("_text"), "_out")
+    else:
+        done = _by_candidates(base, lexicon, sorted(size["lens"]), "_line", "_text", "_out")
+    return done.select(F.col("_line").alias(line), *keep, F.col("_out").alias(out))
 
 
 def assign_readings(lines: DataFrame, lexicon: DataFrame, line: str = "line_id", text: str = "text",

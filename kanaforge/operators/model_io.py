@@ -2,68 +2,91 @@
 vocabulary, example preparation, length buckets and batch scoring with a caller's
 predictor.
 
-Encoding is a join: the characters of each (truncated) text are exploded with their
-position, joined with the vocabulary (a character set, so adaptive execution
-broadcasts it when it measures it small) and collected back in position order. A row
-holds at most ``max_length`` characters, so no group is larger than that.
+Encoding and decoding are row-local maps over Arrow batches. The vocabulary is a
+character set, so its arrays go along with the function; examples are never shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType
 
 from ..functions import constants as K
-from ..functions.text import char_array, format_prompt
+from ..functions.text import format_prompt
 
 UNK_ID = -1
 
 
-def _ids_in_order(col: str) -> Column:
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("_pos"), F.col(col))))
-    return F.transform(ordered, lambda x: x[col])
+def _vocab_arrays(vocab: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Code points and their ids, by code point. A vocabulary has at most one entry per
+    Unicode character, so it is bounded whatever the corpus."""
+    rows = sorted((ord(r["ch"]), int(r["idx"])) for r in vocab.select("ch", "idx").collect() if r["ch"] is not None and len(r["ch"]) == 1)
+    return np.array([c for c, _ in rows], np.uint32), np.array([i for _, i in rows], np.int32)
 
 
-def encode_chars(df: DataFrame, text: Column | str, vocab: DataFrame, key: str | list[str],
-                 max_length: int = K.MAX_LENGTH, unk_id: int = UNK_ID, out: str = "input_ids") -> DataFrame:
-    """MDL-2: text -> ARRAY<INT> of vocabulary indices of its first ``max_length``
-    characters; characters outside the vocabulary get ``unk_id``. ``key`` identifies a
-    row uniquely. Rows with empty text get an empty array."""
-    keys = [key] if isinstance(key, str) else list(key)
-    t = F.col(text) if isinstance(text, str) else text
-    chars = df.select(*keys, F.posexplode(F.slice(char_array(t), 1, max_length)).alias("_pos", "ch"))
-    v = vocab.select("ch", F.col("idx").cast("int").alias("_id"))
-    j = chars.join(v, on="ch", how="left").withColumn("_id", F.coalesce("_id", F.lit(unk_id)))
-    ids = j.groupBy(*keys).agg(_ids_in_order("_id").alias(out))
-    base = df.drop(out) if out in df.columns else df  # the output replaces a same-named column
-    return base.join(ids, on=keys, how="left").withColumn(
-        out, F.coalesce(F.col(out), F.array().cast("array<int>")))
-
-
-def decode_ids(df: DataFrame, ids: str, vocab: DataFrame, key: str | list[str], out: str = "text") -> DataFrame:
-    """MDL-3: ids -> text. Ids outside [0, vocab size) (padding, the label filler -100,
-    out-of-range predictions) decode to nothing, like skipped special tokens."""
-    keys = [key] if isinstance(key, str) else list(key)
-    exploded = df.select(*keys, F.posexplode(F.col(ids)).alias("_pos", "_id"))
-    v = vocab.select(F.col("idx").cast("int").alias("_id"), "ch")
-    j = exploded.join(v, on="_id", how="inner")  # ids with no entry (< 0, >= size) drop out
-    text = j.groupBy(*keys).agg(F.array_join(_ids_in_order("ch"), "").alias(out))
-    base = df.drop(out) if out in df.columns else df  # the output replaces a same-named column
-    return base.join(text, on=keys, how="left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
-
-
-def prepare_examples(df: DataFrame, vocab: DataFrame, key: str | list[str], source: str = "source",
-                     target: str = "target", prefix: str = K.PROMPT_PREFIX,
-                     max_length: int = K.MAX_LENGTH) -> DataFrame:
+def _code_points(texts: list[str | None], max_length: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """All code points of the (cut) texts in a row, and where each text begins and ends."""
+    cut = [(t or "")[:max_length] for t in texts]
+    ends = np.cumsum([0, *map(len, cut)])
+    return np.frombuffer("".join(cut).encode("utf-32-le", "surrogatepass"), "<u4"), ends
+
+
+def encode_chars(df: DataFrame, text: Column | str, vocab: DataFrame, max_length: int | None = None,
+                 unk_id: int = UNK_ID, out: str = "input_ids") -> DataFrame:
+    """MDL-2: text -> ARRAY<INT> of vocabulary indices of its characters (of the first
+    ``max_length``, if given); characters outside the vocabulary get ``unk_id``. NULL and
+    empty texts get an empty array. A row-local map over Arrow batches: the vocabulary
+    goes to the tasks, no character crosses a shuffle."""
+    points, ids = _vocab_arrays(vocab)
+
+    @F.pandas_udf("array<int>")
+    def encode(texts: pd.Series) -> pd.Series:
+        chars, ends = _code_points(texts.tolist(), max_length)
+        at = np.minimum(np.searchsorted(points, chars), max(0, len(points) - 1))
+        found = np.where(points[at] == chars, ids[at], unk_id).astype(np.int32) if len(points) else np.full(len(chars), unk_id, np.int32)
+        return pd.Series([found[a:b] for a, b in zip(ends[:-1], ends[1:])])
+
+    return df.withColumn(out, encode(F.col(text) if isinstance(text, str) else text))
+
+
+def decode_ids(df: DataFrame, ids: str, vocab: DataFrame, out: str = "text", pad_id: int | None = None,
+               skip_ids: Sequence[int] = ()) -> DataFrame:
+    """MDL-3: ids -> text. ``pad_id`` and ``skip_ids`` (special tokens) decode to nothing
+    even where the vocabulary has an entry for them, as do ids without an entry (negative
+    ones, the label filler -100, out-of-range predictions). NULL: empty text."""
+    points, entries = _vocab_arrays(vocab)
+    gone = {int(i) for i in skip_ids} | ({pad_id} if pad_id is not None else set())
+    keep = np.array([int(i) not in gone and int(i) >= 0 for i in entries], bool)
+    table = np.zeros(int(entries[keep].max(initial=-1)) + 1, np.uint32)
+    known = np.zeros(len(table), bool)
+    table[entries[keep]], known[entries[keep]] = points[keep], True
+
+    @F.pandas_udf("string")
+    def decode(rows: pd.Series) -> pd.Series:
+        def one(x):
+            if x is None or not len(x):
+                return ""
+            x = np.array([-1 if i is None else i for i in x], np.int64)
+            x = x[(x >= 0) & (x < len(table))]
+            return table[x[known[x]]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+        return rows.map(one)
+
+    return df.withColumn(out, decode(F.col(ids)))
+
+
+def prepare_examples(df: DataFrame, vocab: DataFrame, source: str = "source", target: str = "target",
+                     prefix: str = K.PROMPT_PREFIX, max_length: int | None = None) -> DataFrame:
     """MDL-5: prompt + source -> ``input_ids`` and ``attention_mask``; target ->
-    ``labels``; both truncated to ``max_length``."""
-    with_prompt = df.withColumn("_prompt", format_prompt(F.col(source), prefix))
-    enc = encode_chars(with_prompt, "_prompt", vocab, key, max_length, out="input_ids")
-    enc = encode_chars(enc, target, vocab, key, max_length, out="labels")
-    return enc.withColumn("attention_mask", F.transform("input_ids", lambda x: F.lit(1))).drop("_prompt")
+    ``labels``; both cut to ``max_length``, if given."""
+    enc = encode_chars(df, format_prompt(F.col(source), prefix), vocab, max_length, out="input_ids")
+    enc = encode_chars(enc, target, vocab, max_length, out="labels")
+    return enc.withColumn("attention_mask", F.transform("input_ids", lambda x: F.lit(1)))
 
 
 def map_batches(df: DataFrame, fn: Callable, schema, batch_rows: int | None = None) -> DataFrame:

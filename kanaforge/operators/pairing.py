@@ -11,31 +11,32 @@ from ..functions.text import strip_ws
 from .index import with_global_index
 
 
-class LengthMismatch(ValueError):
-    pass
-
-
 def pair_by_position(a: DataFrame, b: DataFrame, key: str | Sequence[str] = "line_no",
                      a_col: str = "text", b_col: str = "text", a_as: str = "source",
                      b_as: str = "target", strict: bool = False) -> DataFrame:
     """JOI-1: zip two line tables by position (an equi-join on the position key).
     ``strict=False`` keeps only positions present on both sides (zip stops at the
-    shorter); ``strict=True`` first compares the two row counts and raises with both
-    numbers when they differ."""
+    shorter); ``strict=True`` is a full outer join that fails the job at a position
+    which one side lacks, naming the position and the side. Nothing runs while the
+    plan is built, and either side is computed once."""
     keys = [key] if isinstance(key, str) else list(key)
-    if strict:
-        na, nb = a.count(), b.count()
-        if na != nb:
-            raise LengthMismatch(f"Number of lines differ: {na} vs {nb}")
     left = a.select(*keys, F.col(a_col).alias(a_as))
     right = b.select(*keys, F.col(b_col).alias(b_as))
-    return left.join(right, on=keys, how="inner")
+    if not strict:
+        return left.join(right, on=keys, how="inner")
+    both = left.withColumn("_left", F.lit(True)).join(right.withColumn("_right", F.lit(True)), on=keys, how="full_outer")
+    where = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("null"))) for k in keys])
+    lost = F.when(F.col("_left").isNull(), "first").otherwise("second")
+    error = F.raise_error(F.concat(F.lit("Lines differ: the "), lost, F.lit(" side has no line "), where))
+    # Every output column carries the check, so no selection of columns prunes it away.
+    whole = F.col("_left") & F.col("_right")
+    return both.select(*[F.when(whole, F.col(c)).otherwise(error.cast(both.schema[c].dataType)).alias(c) for c in [*keys, a_as, b_as]])
 
 
 def join_predictions(refs: DataFrame, preds: DataFrame, key: str | Sequence[str] = "line_no",
                      ref_col: str = "text", pred_col: str = "text") -> DataFrame:
-    """JOI-4: attach each prediction to its reference by line (strict: the two line
-    counts must agree) as (key, reference, prediction), ready for the metrics."""
+    """JOI-4: attach each prediction to its reference by line (strict: both
+    sides must have the same lines) as (key, reference, prediction), ready for the metrics."""
     return pair_by_position(refs, preds, key, ref_col, pred_col, "reference", "prediction", strict=True)
 
 

@@ -10,13 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
-
-REPORT_SCHEMA = StructType([
-    StructField("check", StringType(), False),
-    StructField("ok", BooleanType(), False),
-    StructField("detail", StringType(), False),
-])
+from pyspark.sql.types import StructType
 
 
 def _schema_rows(df: DataFrame, translation: str) -> list[tuple[str, bool, str]]:
@@ -34,10 +28,8 @@ def validate_dataset(df: DataFrame, split: str = "split", translation: str = "tr
     """VAL-1: 'train' must hold rows and 'validation' must be present; 'test' is
     optional and may be empty; ``translation.source`` and ``.target`` must exist and be
     non-NULL on every row. One report row per check plus an ``overall`` row."""
-    spark = df.sparkSession
     schema_rows = _schema_rows(df, translation)
     schema_ok = all(r[1] for r in schema_rows)
-    checks = spark.createDataFrame(schema_rows, REPORT_SCHEMA)
 
     if schema_ok:
         nulls = (F.col(f"{translation}.source").isNull() | F.col(f"{translation}.target").isNull())
@@ -49,21 +41,20 @@ def validate_dataset(df: DataFrame, split: str = "split", translation: str = "tr
         F.count_if(F.col(split) == "test").cast("long").alias("n_test"),
         F.count_if(nulls).cast("long").alias("n_null"),
     )
-    per_split = stats.select(F.explode(F.array(
-        F.struct(F.lit("split:train").alias("check"), (F.col("n_train") > 0).alias("ok"),
-                 F.concat(F.lit("rows="), F.col("n_train").cast("string")).alias("detail")),
-        F.struct(F.lit("split:validation").alias("check"), (F.col("n_validation") > 0).alias("ok"),
-                 F.concat(F.lit("rows="), F.col("n_validation").cast("string")).alias("detail")),
-        F.struct(F.lit("split:test").alias("check"), F.lit(True).alias("ok"),
-                 F.when(F.col("n_test") > 0, F.concat(F.lit("rows="), F.col("n_test").cast("string")))
-                 .otherwise(F.lit("rows=0 (optional split is empty or absent)")).alias("detail")),
-        F.struct(F.lit("values:non_null").alias("check"), (F.col("n_null") == 0).alias("ok"),
-                 F.concat(F.lit("null_rows="), F.col("n_null").cast("string")).alias("detail")),
-    )).alias("r")).select("r.*")
-    report = checks.unionByName(per_split)
-    overall = report.agg(F.lit("overall").alias("check"), F.bool_and("ok").alias("ok"),
-                         F.concat(F.lit("failed="), F.count_if(~F.col("ok")).cast("string")).alias("detail"))
-    return report.unionByName(overall)
+    count = lambda c: F.concat(F.lit("rows="), F.col(c).cast("string"))
+    row = lambda check, ok, detail: F.struct(F.lit(check).alias("check"), ok.alias("ok"), detail.alias("detail"))
+    measured = [
+        row("split:train", F.col("n_train") > 0, count("n_train")),
+        row("split:validation", F.col("n_validation") > 0, count("n_validation")),
+        row("split:test", F.lit(True), F.when(F.col("n_test") > 0, count("n_test")).otherwise(
+            F.lit("rows=0 (optional split is empty or absent)"))),
+        row("values:non_null", F.col("n_null") == 0, F.concat(F.lit("null_rows="), F.col("n_null").cast("string"))),
+    ]
+    checks = F.array(*[row(c, F.lit(ok), F.lit(detail)) for c, ok, detail in schema_rows], *measured)
+    # All rows, the overall one too, come from the one row of statistics.
+    report = stats.select(checks.alias("c")).select("c", F.size(F.filter("c", lambda x: ~x["ok"])).alias("bad"))
+    overall = row("overall", F.col("bad") == 0, F.concat(F.lit("failed="), F.col("bad").cast("string")))
+    return report.select(F.explode(F.concat("c", F.array(overall))).alias("r")).select("r.*")
 
 
 def dataset_is_valid(df: DataFrame, split: str = "split", translation: str = "translation") -> bool:

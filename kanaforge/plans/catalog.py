@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as TX
 from ..operators import corpus as CP
+from ..operators import evaluation as EV
 from ..operators import filters
 from ..operators import graph as G
 from ..operators import index as IX
@@ -25,9 +26,9 @@ from ..operators import model_io as MI
 from ..operators import pairing as PR
 from ..operators import validate as VL
 from ..operators import vocab as VC
-from ..operators.layout import spread
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_folder, write_once
 from ..sources import datasets as DSRC
+from ..sources import lines as LN
 from ..sources.tagged import tagged_docs_in_column
 from . import oracle as O
 from . import tables as T
@@ -165,12 +166,11 @@ def q_leaderboard(spark, sf_dir):
     "best_checkpoint", ("MET-8",),
     f"WITH {O.metrics_ctes()}, {O.runs_cte()}, "
     "b AS (SELECT dataset, model, cer, row_number() OVER (PARTITION BY dataset ORDER BY cer, model) AS rn "
-    "FROM runs WHERE model <> 'copy') "
+    "FROM runs) "
     "SELECT dataset, model AS best_model, round(cer, 6) AS best_cer FROM b WHERE rn = 1",
 )
 def q_best_checkpoint(spark, sf_dir):
-    r = runs(spark, sf_dir).filter(F.col("model") != "copy")
-    out = M.best_checkpoint(r, by=["dataset"], metric="cer")
+    out = M.best_checkpoint(runs(spark, sf_dir), by=["dataset"], metric="cer")
     return out.withColumn("best_cer", r6(F.col("best_cer")))
 
 
@@ -404,11 +404,11 @@ def q_category_cap(spark, sf_dir):
     f"k AS (SELECT root, member, {O.path_key('path')} AS pk FROM walked), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY pk) - 1 AS rank FROM k) "
     f"SELECT root, CAST(rank AS BIGINT) AS rank, title, {O.render('title', 'sentences')} AS article "
-    "FROM r JOIN ps ON ps.title = r.member WHERE rank < 100",
+    "FROM r JOIN ps ON ps.title = r.member",
 )
 def q_category_articles(spark, sf_dir):
     a = G.assemble_category(_region_roots(spark, sf_dir), T.category_links(spark, sf_dir),
-                            T.doc_pages(spark, sf_dir), max_depth=1, max_pages=100, terms=T.LATIN_TERMS)
+                            T.doc_pages(spark, sf_dir), max_depth=1, terms=T.LATIN_TERMS)
     return a.select("root", "rank", "title", "article")
 
 
@@ -420,11 +420,11 @@ def q_category_articles(spark, sf_dir):
     "r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY pk) - 1 AS rank FROM k) "
     "SELECT dom.domain, dom.category, CAST(dom.ord AS INTEGER) AS cat_ord, CAST(rank AS BIGINT) AS rank, title, "
     f"{O.render('title', 'sentences', 'dom.category')} AS article "
-    "FROM r JOIN dom ON dom.category = r.root JOIN ps ON ps.title = r.member WHERE rank < 20",
+    "FROM r JOIN dom ON dom.category = r.root JOIN ps ON ps.title = r.member",
 )
 def q_domain_corpus(spark, sf_dir):
     a = G.assemble_all_domains(T.domains(spark, sf_dir), T.category_links(spark, sf_dir), T.doc_pages(spark, sf_dir),
-                               max_depth=1, max_pages_per_category=20, terms=T.LATIN_TERMS)
+                               max_depth=1, terms=T.LATIN_TERMS)
     return a.select("domain", "category", "cat_ord", "rank", "title", "article")
 
 
@@ -452,7 +452,7 @@ _ARTICLE_RE = O.q("(?s)<article.*?>(.+?)</article>")
     "SELECT page_id, CAST(unnest(generate_series(0, len(bodies) - 1)) AS BIGINT) AS block_no, unnest(bodies) AS body FROM b",
 )
 def q_tagged_docs(spark, sf_dir):
-    pages = spread(T.table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    pages = T.table(spark, sf_dir, "pages").select("page_id", "html")
     return tagged_docs_in_column(pages, "html", tag="article", keep=("page_id",))
 
 
@@ -496,11 +496,11 @@ def q_dump_sentences_first(spark, sf_dir):
 
 
 def _docs(spark, sf_dir):
-    return spread(T.table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+    return T.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
 
 
 def _conv(spark, sf_dir):
-    return spread(T.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "conv_id")
+    return T.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
 
 
 @register(
@@ -616,7 +616,7 @@ def q_token_readings(spark, sf_dir):
     return LX.concat_readings(T.tokens(spark, sf_dir))
 
 
-_WORDS_SQL = "wd AS (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM benchmark)"
+_WORDS_SQL = "wd AS (SELECT item_id, unnest(regexp_extract_all(text, '\\p{L}+')) AS word FROM benchmark)"
 
 
 def _lex_sql(name: str, key: str, value: str) -> str:
@@ -627,7 +627,7 @@ def _lex_sql(name: str, key: str, value: str) -> str:
     )
 
 
-@register("lexicon", ("LEX-2",), f"WITH {_WORDS_SQL}, {_lex_sql('lx', 'lower(word)', 'word')} SELECT * FROM lx")
+@register("lexicon", ("LEX-2",), f"WITH {_WORDS_SQL}, {_lex_sql('lx', O.lower_ascii('word'), 'word')} SELECT * FROM lx")
 def q_lexicon(spark, sf_dir):
     w = T.words(spark, sf_dir)
     return LX.build_lexicon(w.select(TX.ascii_lower("word").alias("key"), F.col("word").alias("value")))
@@ -653,15 +653,15 @@ def _longest_match_sql(lex: str, text_expr: str, lines_sql: str | None = None) -
 
 @register(
     "assign_readings", ("LEX-1",),
-    f"WITH RECURSIVE {_WORDS_SQL}, {_lex_sql('lx0', 'lower(word)', 'upper(word)')}, "
-    "lx AS (SELECT key, value FROM lx0 WHERE n >= 2), "
+    f"WITH RECURSIVE {_WORDS_SQL}, {_lex_sql('lx0', O.lower_ascii('word'), O.upper_ascii('word'))}, "
+    "lx AS (SELECT key, value FROM lx0), "
     f"{_longest_match_sql('lx', O.strip(O.lower_ascii('text')))} "
     "SELECT w.line_id, w.out AS reading FROM walk w JOIN ln n ON n.line_id = w.line_id WHERE w.p = length(n.text) + 1",
 )
 def q_assign_readings(spark, sf_dir):
     w = T.words(spark, sf_dir)
     lex = LX.build_lexicon(w.select(TX.ascii_lower("word").alias("key"), TX.ascii_upper("word").alias("value")))
-    lex = lex.filter(F.col("n") >= 2).select("key", "value")
+    lex = lex.select("key", "value")
     lines = T.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("line_id"),
                                                         TX.ascii_lower("text").alias("text"))
     return LX.assign_readings(lines, lex)
@@ -669,15 +669,15 @@ def q_assign_readings(spark, sf_dir):
 
 @register(
     "dictionary_convert", ("LEX-3", "TXT-9"),
-    f"WITH RECURSIVE {_WORDS_SQL}, {_lex_sql('lx0', 'upper(word)', 'word')}, "
-    "lx AS (SELECT key, value FROM lx0 WHERE n >= 2), "
+    f"WITH RECURSIVE {_WORDS_SQL}, {_lex_sql('lx0', O.upper_ascii('word'), 'word')}, "
+    "lx AS (SELECT key, value FROM lx0), "
     f"{_longest_match_sql('lx', O.strip(O.upper_ascii('text')))} "
     "SELECT w.line_id, w.out AS converted FROM walk w JOIN ln n ON n.line_id = w.line_id WHERE w.p = length(n.text) + 1",
 )
 def q_dictionary_convert(spark, sf_dir):
     w = T.words(spark, sf_dir)
     lex = LX.build_lexicon(w.select(TX.ascii_upper("word").alias("key"), F.col("word").alias("value")))
-    lex = lex.filter(F.col("n") >= 2).select("key", "value")
+    lex = lex.select("key", "value")
     lines = T.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("line_id"),
                                                         TX.ascii_upper("text").alias("text"))
     return LX.dictionary_convert(lines, lex)
@@ -689,74 +689,68 @@ def q_dictionary_convert(spark, sf_dir):
 
 
 _PROMPT = O.q(K.PROMPT_PREFIX)
-_BVOCAB_SQL = (
-    f"bv AS (SELECT ch, row_number() OVER (ORDER BY ch) - 1 AS idx FROM (SELECT DISTINCT "
-    f"unnest(string_split({O.strip('text')}, '')) AS ch FROM benchmark) WHERE ch <> '')"
-)
-
-
-def _bvocab(spark, sf_dir):
-    return VC.build_vocab(T.table(spark, sf_dir, "benchmark"), "text")
 
 
 def _enc_sql(text_expr: str, name: str) -> str:
-    """``{name}(item_id, ids)``: vocabulary ids of the first 128 characters."""
+    """``{name}(doc_id, ids)``: vocabulary ids of all characters."""
     return (
-        f"{name}_c AS (SELECT item_id, unnest(generate_series(1, len(cs))) AS p, unnest(cs) AS ch FROM "
-        f"(SELECT item_id, list_filter(string_split({text_expr}, ''), lambda c: c <> '')[1:{K.MAX_LENGTH}] AS cs "
-        "FROM benchmark)), "
-        f"{name} AS (SELECT item_id, string_agg(CAST(coalesce(bv.idx, -1) AS VARCHAR), ' ' ORDER BY p) AS ids "
-        f"FROM {name}_c LEFT JOIN bv ON bv.ch = {name}_c.ch GROUP BY item_id)"
+        f"{name}_c AS (SELECT doc_id, unnest(generate_series(1, len(cs))) AS p, unnest(cs) AS ch FROM "
+        f"(SELECT doc_id, list_filter(string_split({text_expr}, ''), lambda c: c <> '') AS cs FROM documents)), "
+        f"{name} AS (SELECT doc_id, string_agg(CAST(coalesce(v.idx, -1) AS VARCHAR), ' ' ORDER BY p) AS ids "
+        f"FROM {name}_c LEFT JOIN v ON v.ch = {name}_c.ch GROUP BY doc_id)"
     )
 
 
 @register(
     "prompts", ("TXT-10", "TXT-14"),
-    f"SELECT conv_id, turn, substr({_PROMPT} || text, 1, {K.MAX_LENGTH}) AS prompt FROM conversations WHERE role = 'user'",
+    f"SELECT conv_id, turn, substr({_PROMPT} || text, 1, {K.MAX_LENGTH}) AS prompt FROM conversations",
 )
 def q_prompts(spark, sf_dir):
-    c = _conv(spark, sf_dir).filter(F.col("role") == "user")
+    c = _conv(spark, sf_dir)
     return c.select("conv_id", "turn", TX.truncate(TX.format_prompt("text"), K.MAX_LENGTH).alias("prompt"))
 
 
 @register(
     "encode", ("MDL-2",),
-    f"WITH {_BVOCAB_SQL}, {_enc_sql('text', 'e')} SELECT b.item_id, coalesce(e.ids, '') AS ids "
-    "FROM benchmark b LEFT JOIN e ON e.item_id = b.item_id",
+    f"WITH {_VOCAB_SQL}, {_enc_sql('text', 'e')} SELECT d.doc_id, coalesce(e.ids, '') AS ids "
+    "FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id",
 )
 def q_encode(spark, sf_dir):
-    b = T.table(spark, sf_dir, "benchmark").select("item_id", "text")
-    enc = MI.encode_chars(b, "text", _bvocab(spark, sf_dir), key="item_id")
-    return enc.select("item_id", F.array_join("input_ids", " ").alias("ids"))
+    d = _docs(spark, sf_dir).select("doc_id", "text")
+    enc = MI.encode_chars(d, "text", q_vocab(spark, sf_dir))
+    return enc.select("doc_id", F.array_join("input_ids", " ").alias("ids"))
 
 
 @register(
     "decode", ("MDL-2", "MDL-3"),
-    f"WITH {_BVOCAB_SQL}, c AS (SELECT item_id, unnest(generate_series(1, len(cs))) AS p, unnest(cs) AS ch FROM "
-    f"(SELECT item_id, list_filter(string_split(text, ''), lambda c: c <> '')[1:{K.MAX_LENGTH}] AS cs FROM benchmark)) "
-    "SELECT b.item_id, coalesce(d.text, '') AS text FROM benchmark b LEFT JOIN (SELECT c.item_id, "
-    "string_agg(c.ch, '' ORDER BY p) AS text FROM c JOIN bv ON bv.ch = c.ch GROUP BY c.item_id) d ON d.item_id = b.item_id",
+    f"WITH {_VOCAB_SQL}, sp AS (SELECT idx FROM v WHERE ch IN ('e', '.')), "
+    "c AS (SELECT doc_id, unnest(generate_series(1, len(cs))) AS p, unnest(cs) AS ch FROM "
+    "(SELECT doc_id, list_filter(string_split(text, ''), lambda c: c <> '') AS cs FROM documents)) "
+    "SELECT d.doc_id, coalesce(x.text, '') AS text FROM documents d LEFT JOIN (SELECT c.doc_id, "
+    "string_agg(c.ch, '' ORDER BY p) AS text FROM c JOIN v ON v.ch = c.ch WHERE v.idx NOT IN (SELECT idx FROM sp) "
+    "GROUP BY c.doc_id) x ON x.doc_id = d.doc_id",
 )
 def q_decode(spark, sf_dir):
-    b = T.table(spark, sf_dir, "benchmark").select("item_id", "text")
-    v = _bvocab(spark, sf_dir)
-    enc = MI.encode_chars(b, "text", v, key="item_id")
-    # Unknown characters were encoded as -1 and decode to nothing, like special ids.
-    return MI.decode_ids(enc.select("item_id", "input_ids"), "input_ids", v, key="item_id").select("item_id", "text")
+    """Characters outside the vocabulary were encoded as -1 and decode to nothing; the
+    entries of 'e' and '.' play the pad and a special token, which decoding leaves out."""
+    v = write_once(q_vocab(spark, sf_dir))
+    enc = MI.encode_chars(_docs(spark, sf_dir).select("doc_id", "text"), "text", v)
+    special = {r["ch"]: int(r["idx"]) for r in v.filter(F.col("ch").isin("e", ".")).collect()}
+    return MI.decode_ids(enc.select("doc_id", "input_ids"), "input_ids", v, pad_id=special.get("e"),
+                         skip_ids=[i for c, i in special.items() if c == "."]).select("doc_id", "text")
 
 
 @register(
     "prepare_examples", ("MDL-5", "TXT-10"),
-    f"WITH {_BVOCAB_SQL}, {_enc_sql(_PROMPT + ' || ' + O.upper_ascii('text'), 'src')}, {_enc_sql('text', 'tgt')} "
-    "SELECT b.item_id, coalesce(src.ids, '') AS input_ids, coalesce(tgt.ids, '') AS labels, "
-    f"CAST(len(string_split(coalesce(src.ids, ''), ' ')) AS INTEGER) AS n_input "
-    "FROM benchmark b LEFT JOIN src ON src.item_id = b.item_id LEFT JOIN tgt ON tgt.item_id = b.item_id",
+    f"WITH {_VOCAB_SQL}, {_enc_sql(_PROMPT + ' || ' + O.upper_ascii('text'), 'src')}, {_enc_sql('text', 'tgt')} "
+    "SELECT d.doc_id, coalesce(src.ids, '') AS input_ids, coalesce(tgt.ids, '') AS labels, "
+    "CAST(len(string_split(coalesce(src.ids, ''), ' ')) AS INTEGER) AS n_input "
+    "FROM documents d LEFT JOIN src ON src.doc_id = d.doc_id LEFT JOIN tgt ON tgt.doc_id = d.doc_id",
 )
 def q_prepare_examples(spark, sf_dir):
-    b = T.table(spark, sf_dir, "benchmark").select("item_id", TX.ascii_upper("text").alias("source"),
-                                                    F.col("text").alias("target"))
-    ex = MI.prepare_examples(b, _bvocab(spark, sf_dir), key="item_id")
-    return ex.select("item_id", F.array_join("input_ids", " ").alias("input_ids"),
+    d = _docs(spark, sf_dir).select("doc_id", TX.ascii_upper("text").alias("source"), F.col("text").alias("target"))
+    ex = MI.prepare_examples(d, q_vocab(spark, sf_dir))
+    return ex.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"),
                      F.array_join("labels", " ").alias("labels"),
                      F.size("attention_mask").cast("int").alias("n_input"))
 
@@ -787,10 +781,10 @@ def make_upper_predictor():
 
 @register(
     "batch_score_stub", ("MDL-1",),
-    f"SELECT conv_id, turn, {O.upper_ascii('text')} AS prediction FROM conversations WHERE role = 'user'",
+    f"SELECT conv_id, turn, {O.upper_ascii('text')} AS prediction FROM conversations",
 )
 def q_batch_score_stub(spark, sf_dir):
-    c = _conv(spark, sf_dir).filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    c = _conv(spark, sf_dir).select("conv_id", "turn", "text")
     return MI.batch_score(c, "text", make_upper_predictor, batch_size=64).select("conv_id", "turn", "prediction")
 
 
@@ -806,11 +800,10 @@ def dictionary_baseline(spark, sf_dir):
     # The split dataset feeds two branches (dictionary from train, conversion of test):
     # it is written once to the cluster's checkpoint folder, as the saved dataset of the
     # original pipeline, instead of being recomputed by each branch.
-    ensure_checkpoint_dir(spark)
-    ds = ds.checkpoint(eager=True)
+    ds = write_once(ds)
     train = ds.filter(F.col("split") == "train")
     # Words of the raw train sentences (cleaning deletes the spaces).
-    train_words = train.select(F.explode(F.regexp_extract_all("raw", F.lit("[A-Za-z]+"), 0)).alias("w"))
+    train_words = train.select(F.explode(F.regexp_extract_all("raw", F.lit(r"\p{L}+"), 0)).alias("w"))
     lex = LX.build_lexicon(train_words.select(TX.ascii_upper("w").alias("key"), F.col("w").alias("value")))
     test = ds.filter(F.col("split") == "test").select(
         F.col("pair_key").alias("line_id"), F.col("source").alias("text"), "lang", "target")
@@ -827,7 +820,7 @@ _BASELINE_SQL = (
     f"ds AS (SELECT *, CASE WHEN i_ < {_N_TRAIN} THEN 'train' "
     f"WHEN i_ < {_N_TRAIN} + floor((n_ - {_N_TRAIN}) * {K.TEST_RATIO / (K.TEST_RATIO + K.VALIDATION_RATIO)!r}) "
     "THEN 'test' ELSE 'validation' END AS split FROM ix), "
-    "wd AS (SELECT unnest(regexp_extract_all(raw, '[A-Za-z]+')) AS word FROM ds WHERE split = 'train'), "
+    "wd AS (SELECT unnest(regexp_extract_all(raw, '\\p{L}+')) AS word FROM ds WHERE split = 'train'), "
     f"{_lex_sql('lx', O.upper_ascii('word'), 'word')}, "
     "ln AS (SELECT pair_key AS line_id, source AS text FROM ds WHERE split = 'test'), "
     "lens AS (SELECT DISTINCT length(key) AS l FROM lx), "
@@ -911,7 +904,7 @@ _PC_LINES = f"SELECT line_id, {O.lower_ascii('text')} AS text FROM ({_BLINES_SQL
 
 @register(
     "parallel_corpus", ("LEX-1", "FLT-2", "SPL-1"),
-    f"WITH RECURSIVE {_WORDS_SQL}, {_lex_sql('lx0', 'lower(word)', 'upper(word)')}, "
+    f"WITH RECURSIVE {_WORDS_SQL}, {_lex_sql('lx0', O.lower_ascii('word'), O.upper_ascii('word'))}, "
     "lx AS (SELECT key, value FROM lx0), "
     f"{_longest_match_sql('lx', '', _PC_LINES)}, "
     "rd AS (SELECT w.line_id, w.out AS source FROM walk w JOIN ln n ON n.line_id = w.line_id "
@@ -932,3 +925,200 @@ def q_parallel_corpus(spark, sf_dir):
     lines = benchmark_lines(spark, sf_dir).withColumn("lower", TX.ascii_lower("text"))
     out = CP.build_parallel_corpus(lines, lex, reading_text="lower", lo=T.LATIN_LO, hi=T.LATIN_HI)
     return out.select("line_id", "source", "target", "split")
+
+
+# ---------------------------------------------------------------------------------------
+# Readings of all document sentences by the whole dictionary. No SQL: a recursive walk
+# over every character is too slow; the operator is tested against brute force.
+# ---------------------------------------------------------------------------------------
+
+@register("document_readings", ("LEX-1", "LEX-2"), None)
+def q_document_readings(spark, sf_dir):
+    s = T.sentences(spark, sf_dir).select("doc_id", "sent_no", "sentence")
+    words = s.select(F.explode(F.regexp_extract_all("sentence", F.lit(r"\p{L}+"), 0)).alias("w"))
+    lex = LX.build_lexicon(words.select(TX.ascii_lower("w").alias("key"), TX.ascii_upper("w").alias("value")))
+    out = LX.longest_match(s.withColumn("text", TX.ascii_lower("sentence")), lex.select("key", "value"), line="doc_id",
+                           out="reading", keep=("sent_no",))
+    return out.select("doc_id", "sent_no", "reading")
+
+
+# ---------------------------------------------------------------------------------------
+# Evaluation end to end: strict pairing of two tables -> metrics -> averages
+# ---------------------------------------------------------------------------------------
+
+_EVAL_PREDS = (
+    "ep AS (SELECT lang, sentence AS reference, "
+    f"{O.upper_ascii('sentence')} AS prediction FROM sent)"
+)
+
+
+@register(
+    "evaluation", ("JOI-4", "MDL-1", "MET-4", "MET-5"),
+    f"WITH {O.sentences_cte()}, {_EVAL_PREDS}, {O.scored_cte('ep')} SELECT lang, "
+    + ", ".join(f"round(avg({c}), 6) AS {c}" for c in METRICS) + ", CAST(count(*) AS BIGINT) AS n FROM scored GROUP BY lang",
+)
+def q_evaluation(spark, sf_dir):
+    """References and sources are two tables of lines; the stub predictor answers each
+    source line, and lines are paired strictly."""
+    refs = T.sentences(spark, sf_dir)
+    sources = T.sentence_pairs(spark, sf_dir).select("doc_id", "sent_no", F.col("source").alias("text"))
+    board = EV.evaluate(refs.select("doc_id", "sent_no", "lang", F.col("sentence").alias("text")), sources, make_upper_predictor,
+                        key=["doc_id", "sent_no"], by=["lang"])
+    return _r6_all(board)
+
+
+# Pairing of two different tables: every customer line of orders with its own key.
+@register(
+    "pair_strict", ("JOI-1",),
+    "SELECT o_orderkey, CAST(o_totalprice AS VARCHAR) AS source, CAST(n AS VARCHAR) AS target FROM orders "
+    "JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey",
+)
+def q_pair_strict(spark, sf_dir):
+    lines = T.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).cast("string").alias("text"))
+    orders = T.table(spark, sf_dir, "orders")
+    orders = orders.join(lines.select("o_orderkey"), "o_orderkey", "left_semi").select("o_orderkey", F.col("o_totalprice").cast("string").alias("text"))
+    return PR.pair_by_position(orders, lines, key="o_orderkey", strict=True)
+
+
+@register(
+    "domain_fallback", ("GRP-4", "JOI-3"),
+    f"WITH {O.links_cte()}, req AS (SELECT DISTINCT n_name AS name FROM nation), "
+    f"{O.walk_ctes('SELECT name AS root FROM req', 1)}, {O.page_sentences_cte()}, "
+    f"k AS (SELECT root, member, {O.path_key('path')} AS pk FROM walked), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY pk) - 1 AS rank FROM k) "
+    "SELECT r.root AS domain, r.root AS category, 0 AS cat_ord, CAST(rank AS BIGINT) AS rank, title, "
+    f"{O.render('title', 'sentences')} AS article FROM r JOIN ps ON ps.title = r.member",
+)
+def q_domain_fallback(spark, sf_dir):
+    """Names that are no domain (the nations): each is a plain category of its own."""
+    names = T.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")).distinct()
+    a = G.assemble_domain(names, T.domains(spark, sf_dir), T.category_links(spark, sf_dir), T.doc_pages(spark, sf_dir),
+                          max_depth=1, terms=T.LATIN_TERMS)
+    return a.select("domain", "category", "cat_ord", "rank", "title", "article")
+
+
+# ---------------------------------------------------------------------------------------
+# Forms of JOI-2, MET-8 and MDL-4
+# ---------------------------------------------------------------------------------------
+
+_TITLES_SQL = (
+    "req AS (SELECT 'doc-' || CAST(c_custkey AS VARCHAR) AS title FROM customer), "
+    "pg AS (SELECT DISTINCT 'doc-' || CAST(doc_id AS VARCHAR) AS title FROM documents)"
+)
+
+
+@register("title_existence", ("JOI-2",), f"WITH {_TITLES_SQL} SELECT title, title IN (SELECT title FROM pg) AS found FROM req")
+def q_title_existence(spark, sf_dir):
+    req = T.table(spark, sf_dir, "customer").select(F.concat(F.lit("doc-"), F.col("c_custkey").cast("string")).alias("title"))
+    pages = T.doc_pages(spark, sf_dir)
+    return PR.found_titles(req, pages).withColumn("found", F.lit(True)).unionByName(
+        PR.missing_titles(req, pages).withColumn("found", F.lit(False)))
+
+
+@register(
+    "last_checkpoints", ("MET-8",),
+    f"WITH {O.metrics_ctes()}, {O.runs_cte()}, s AS (SELECT *, row_number() OVER (ORDER BY model, dataset) AS step FROM runs) "
+    "SELECT model, dataset, CAST(step AS INTEGER) AS step FROM s QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY step DESC) <= 2",
+)
+def q_last_checkpoints(spark, sf_dir):
+    steps = runs(spark, sf_dir).select("model", "dataset").withColumn("step", F.row_number().over(Window.orderBy("model", "dataset")))
+    return M.keep_last_checkpoints(steps, step="step", by=["dataset"], keep=2)
+
+
+@register(
+    "length_banded", ("MDL-4",),
+    "SELECT conv_id, turn, CAST(floor(length(text) / 64) AS BIGINT) AS bucket FROM conversations",
+)
+def q_length_banded(spark, sf_dir):
+    return MI.with_length_bucket(_conv(spark, sf_dir), "text", width=64).select("conv_id", "turn", "bucket")
+
+
+# ---------------------------------------------------------------------------------------
+# Round trips through the sinks and sources: SRC-1, SRC-2, SRC-4, SNK-1..5. Every query
+# writes all its rows below the shared scratch folder and reads them back.
+# ---------------------------------------------------------------------------------------
+
+_DLINES_SQL = (
+    "dl AS (SELECT doc_id, unnest(generate_series(0, len(ls) - 1)) AS n, unnest(ls) AS text FROM (SELECT doc_id, "
+    "regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n') AS ls FROM documents))"
+)
+
+
+def _numbered_doc_lines(spark, sf_dir):
+    """Lines of all documents with an ordering key that sorts as text."""
+    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\r\n|\r|\n", -1)
+    d = _docs(spark, sf_dir).select("doc_id", F.posexplode(lines).alias("n", "text"))
+    return d.select(F.concat_ws(":", F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lpad(F.col("n").cast("string"), 10, "0")).alias("k"), "text")
+
+
+def _positions(lines):
+    """(idx, text): part files in name order, lines in file order."""
+    return IX.with_global_index(lines, ["file", "line_no"]).select("idx", "text")
+
+
+@register(
+    "lines_roundtrip", ("SNK-1", "SRC-1", "IDX-1"),
+    f"WITH {_DLINES_SQL} SELECT CAST(row_number() OVER (ORDER BY doc_id, n) - 1 AS BIGINT) AS idx, text FROM dl",
+)
+def q_lines_roundtrip(spark, sf_dir):
+    path = scratch_folder(spark, "lines")
+    LN.write_lines(_numbered_doc_lines(spark, sf_dir), path, "k")
+    return _positions(LN.read_lines(spark, f"{path}/part-*"))
+
+
+@register(
+    "splits_roundtrip", ("SNK-2", "SRC-4"),
+    f"{_SPLIT_EXACT_SQL} SELECT pair_key, split, source, target FROM ds",
+)
+def q_splits_roundtrip(spark, sf_dir):
+    path = scratch_folder(spark, "splits")
+    DSRC.write_splits(split_dataset(spark, sf_dir).select("pair_key", "translation", "split"), path)
+    parts = [DSRC.read_splits(spark, path, split) for split in ("train", "test", "validation")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("pair_key", "split", "translation.source", "translation.target")
+
+
+@register(
+    "export_roundtrip", ("SNK-3", "SRC-1", "JOI-1"),
+    f"{_SPLIT_EXACT_SQL} SELECT CAST(row_number() OVER (ORDER BY pair_key) - 1 AS BIGINT) AS idx, source, target FROM ds WHERE split = 'train'",
+)
+def q_export_roundtrip(spark, sf_dir):
+    a, b = scratch_folder(spark, "export-source"), scratch_folder(spark, "export-target")
+    kept = write_once(split_dataset(spark, sf_dir).select("pair_key", "translation", "split"))
+    # Cleaning keeps line breaks inside a target; the line files hold one line per pair.
+    one_line = lambda c: F.translate(F.col(f"translation.{c}"), "\r\n", "\u2424\u2424").alias(c)
+    DSRC.export_split(kept.withColumn("translation", F.struct(one_line("source"), one_line("target"))), "train", a, b)
+    pairs = PR.pair_by_position(_positions(LN.read_lines(spark, a)), _positions(LN.read_lines(spark, b)), key="idx", strict=True)
+    back = lambda c: F.translate(c, "\u2424", "\n").alias(c)
+    return pairs.select("idx", back("source"), back("target"))
+
+
+@register("vocab_roundtrip", ("SNK-4", "SRC-1", "AGG-2"), f"WITH {_VOCAB_SQL} SELECT ch, idx FROM v")
+def q_vocab_roundtrip(spark, sf_dir):
+    path = scratch_folder(spark, "vocab")
+    DSRC.write_vocab(q_vocab(spark, sf_dir), path)
+    entries = LN.read_lines(spark, path).select(F.explode(F.from_json("text", "map<string,bigint>")).alias("ch", "idx"))
+    return entries.select("ch", "idx")
+
+
+@register(
+    "corpus_roundtrip", ("SNK-5", "GRP-4", "TXT-11"),
+    f"WITH {O.links_cte()}, {_DOMAIN_SQL}, "
+    f"{O.walk_ctes('SELECT DISTINCT category AS root FROM dom', 1)}, {O.page_sentences_cte()}, "
+    f"a AS (SELECT dom.domain, {O.render('title', 'sentences', 'dom.category')} AS article "
+    "FROM walked w JOIN dom ON dom.category = w.root JOIN ps ON ps.title = w.member), "
+    "l AS (SELECT replace(domain, ' ', '_') AS slug, unnest(string_split(article, chr(10))) AS line FROM a) "
+    "SELECT slug, line, CAST(count(*) AS BIGINT) AS n FROM l WHERE line <> '' GROUP BY slug, line",
+)
+def q_corpus_roundtrip(spark, sf_dir):
+    """Lines of the exported folders, by folder, with how often they stand there."""
+    path = scratch_folder(spark, "corpus")
+    DSRC.write_corpus_by_domain(q_domain_corpus(spark, sf_dir), path, "domain")
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.filter(F.col("value") != "").groupBy("slug", F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("transcriptions_csv", ("SRC-2",), "SELECT CAST(text AS VARCHAR) AS transcription FROM conversations")
+def q_transcriptions_csv(spark, sf_dir):
+    path = scratch_folder(spark, "transcriptions")
+    DSRC.write_transcriptions(_conv(spark, sf_dir).select(F.col("text").alias("transcription")), path)
+    return DSRC.read_csv_transcriptions(spark, path)

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_upper, split_sentences_drop
-from ..operators.layout import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -30,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per sentence of ``documents``: (doc_id, lang, sent_no, sentence),
     ``sent_no`` 0-based among the kept sentences of the document."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     arr = split_sentences_drop(F.col("text"), LATIN_TERMS)
     return docs.select("doc_id", "lang", F.posexplode(arr).alias("sent_no", "sentence")).select(
         "doc_id", "lang", F.col("sent_no").cast("long").alias("sent_no"), "sentence"
@@ -57,7 +56,7 @@ MODELS = ("copy", "vowel", "next")
 def sentences_with_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, sent_no, sentence, next_sentence): the following sentence of the
     same document ('' after the last), taken from the same array, so no shuffle."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id").select(
+    docs = table(spark, sf_dir, "documents").select(
         "doc_id", "lang", split_sentences_drop(F.col("text"), LATIN_TERMS).alias("_arr"))
     # The array is a column of its own, so the split runs once per document.
     arr = F.col("_arr")
@@ -83,7 +82,7 @@ def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages keyed by title: 'doc-<doc_id>' -> documents.text."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"), "text")
 
 
@@ -125,9 +124,9 @@ def category_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, pos, word): runs of ASCII letters of ``benchmark`` lines."""
+    """(item_id, pos, word): runs of letters of ``benchmark`` lines."""
     b = table(spark, sf_dir, "benchmark")
-    return b.select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("pos", "word"))
+    return b.select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)).alias("pos", "word"))
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

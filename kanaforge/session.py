@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "kanaforge") -> SparkSession:
@@ -55,3 +56,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     path = tempfile.mkdtemp(prefix="kanaforge-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the checkpoint directory the cluster shares."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_once(df: DataFrame) -> DataFrame:
+    """The frame written as Parquet below the checkpoint directory and read back, for
+    narrow tables that several branches of a plan read."""
+    path = scratch_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

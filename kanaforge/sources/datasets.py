@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions.text import slug
 from .lines import write_lines
 
@@ -33,6 +34,26 @@ def read_transcriptions(spark: SparkSession, name: str, registry: Mapping[str, M
     return df.select(F.col(e["column"]).cast("string").alias("transcription"))
 
 
+def write_transcriptions(df: DataFrame, path: str, column: str = "transcription", mode: str = "overwrite") -> None:
+    """SRC-2's headerless CSV form: one column, no header line; quotes are doubled and
+    texts with commas, quotes or line breaks quoted (``read_csv_transcriptions`` reads
+    them back)."""
+    df.select(F.col(column).cast("string")).write.mode(mode).option("header", False).option("escape", '"').option(
+        "emptyValue", '""').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def read_csv_transcriptions(spark: SparkSession, path: str) -> DataFrame:
+    """Headerless CSV of one column -> (transcription)."""
+    return spark.read.schema("transcription string").option("header", False).option("escape", '"').option("multiLine", True).option(
+        "emptyValue", "").option("nullValue", "\u0000").csv(path)
+
+
+def default_domains(spark: SparkSession) -> DataFrame:
+    """The built-in domain table (domain, category, ord) for JOI-3 and GRP-4."""
+    rows = [(d, c, i) for d, cats in K.DOMAIN_MAP.items() for i, c in enumerate(cats)]
+    return spark.createDataFrame(rows, "domain string, category string, ord int")
+
+
 def read_splits(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """SRC-4: load a saved split dataset; with ``split`` only that partition is read
     (partition pruning on the ``split=`` directories)."""

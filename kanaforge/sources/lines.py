@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,11 +56,12 @@ def read_lines(spark: SparkSession, path: str | Iterable[str], mode: str = "raw"
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; expected one of {MODES}")
-    paths = [path] if isinstance(path, str) else list(path)
-    for p in paths:
-        if "://" not in p and not os.path.exists(p):
-            raise FileNotFoundError(f"Input not found: {p}")
-    raw = _scan(spark, paths)
+    try:
+        raw = _scan(spark, path)
+    except AnalysisException as e:  # the reader resolves globs and every file system
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"Input not found: {path}") from e
+        raise
     order: list[Column | str] = ["_pos"]
     if mode == "nonblank":
         raw = raw.withColumn("text", strip_ws("text")).filter(F.length("text") > 0)

@@ -7,39 +7,29 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tagged_bodies
+from ..functions.text import block_body, tagged_bodies
 from .lines import _scan, number_lines
 
 
 def read_tagged_docs(spark: SparkSession, path: str | Iterable[str], tag: str = "doc") -> DataFrame:
-    """SRC-3: blocks of a dump file as (file, block_no, body).
+    """SRC-3: blocks of dump files (plain or compressed) as (file, block_no, body).
 
     The reader cuts records at the closing tag, so a block spanning many lines is one
-    record and no file is held whole in one row. A record is a block when it holds
-    the opening tag; the body is what follows the first ``>`` and must be non-empty.
-    The last record of a file is a block only if the file ends with the closing tag:
-    the record bytes plus one closing tag per record add up to the file size exactly
-    then, and fall one tag short when the last block is unclosed.
+    record and no file is held whole in one row; each record gives its ``block_body``,
+    the same rule as for a column. The last record of a file may be unclosed text. It is
+    a block only if a closing tag follows the file's last opening tag, which a second
+    scan, cut at the opening tags, tells from the content alone.
     """
-    close = f"</{tag}>"
-    recs = _scan(spark, path, lineSep=close)
-    per_file = recs.groupBy("file").agg(
-        F.sum(F.octet_length("text")).alias("_bytes"),
-        F.count(F.lit(1)).alias("_recs"),
-        F.first("_file_size").alias("_size"),
-        F.max(F.struct("_block", "_pos")).alias("_last"),
-    )
-    per_file = per_file.select(
-        "file", "_last",
-        ((F.col("_bytes") + F.col("_recs") * len(close.encode())) == F.col("_size")).alias("_last_closed"),
-    )
-    j = recs.join(per_file, on="file", how="inner")
+    recs = _scan(spark, path, lineSep=f"</{tag}>")
+    at_open = _scan(spark, path, lineSep=f"<{tag}")
+    closed = at_open.groupBy("file").agg(
+        F.max_by(F.col("text").contains(f"</{tag}>"), F.struct("_block", "_pos")).alias("_last_closed"))
+    last = recs.groupBy("file").agg(F.max(F.struct("_block", "_pos")).alias("_last")).join(closed, "file", "left")
+    j = recs.withColumn("body", block_body("text", tag)).filter(F.length("body") > 0).join(last, on="file", how="inner")
     is_last = F.struct("_block", "_pos") == F.col("_last")
-    body = F.regexp_extract(F.col("text"), f"(?s)<{tag}[^>]*?>(.+)\\z", 1)
-    blocks = j.filter(F.col("text").contains(f"<{tag}") & (~is_last | F.col("_last_closed")))
-    blocks = blocks.withColumn("body", body).filter(F.length("body") > 0)
     # Numbered per file like lines: rank inside each (file, split block) plus the
     # blocks of earlier splits, so one very large file is not ranked by one task.
+    blocks = j.filter(~is_last | F.coalesce("_last_closed", F.lit(False)))
     numbered = number_lines(blocks.select("file", "_block", "_pos", "body"), ["_pos"], line_col="block_no")
     return numbered.select("file", "block_no", "body")
 

@@ -6,7 +6,9 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from kanaforge.functions import constants as K
 from kanaforge.plans import catalog
+from kanaforge.plans import tables as T
 from kanaforge.plans.compare import digest, oracle_connection
 from kanaforge.plans.tables import TABLES
 
@@ -56,3 +58,30 @@ def test_column_types_match_oracle(spark, con):
         rel = con.sql(sql)
         dd = {c: str(t) for c, t in zip(rel.columns, rel.types)}
         assert {c: SPARK_TO_DUCKDB.get(t, t) for c, t in sd.items()} == dd, name
+
+
+def test_document_readings_equals_a_plain_scan(spark):
+    import re
+    from collections import Counter, defaultdict
+
+    lower, upper = K.ASCII_LOWER, K.ASCII_UPPER
+    down, up = str.maketrans(upper, lower), str.maketrans(lower, upper)
+    sentences = {(r["doc_id"], r["sent_no"]): r["sentence"] for r in T.sentences(spark, SF).collect()}
+    counts = defaultdict(Counter)
+    for s in sentences.values():
+        for w in re.findall(r"[^\W\d_]+", s):
+            counts[w.translate(down)][w.translate(up)] += 1
+    lexicon = {k: min(c, key=lambda v: (-c[v], v)) for k, c in counts.items()}
+    longest = max(map(len, lexicon))
+
+    def read(text):
+        out, p = "", 0
+        while p < len(text):
+            k = next((k for k in range(min(longest, len(text) - p), 0, -1) if text[p:p + k] in lexicon), 0)
+            out, p = out + (lexicon[text[p:p + k]] if k else text[p]), p + (k or 1)
+        return out
+
+    got = {(r["doc_id"], r["sent_no"]): r["reading"] for r in catalog.REGISTRY["document_readings"].fn(spark, SF).collect()}
+    assert got.keys() == sentences.keys()
+    some = sorted(sentences)[::7]
+    assert {k: got[k] for k in some} == {k: read(sentences[k].translate(down)) for k in some}

@@ -163,3 +163,38 @@ def test_build_parallel_corpus_japanese(spark):
     assert set(out) == {0, 1, 4}
     assert out[0][:2] == ("カンジヲカク", "漢字を書く") and out[4][:2] == ("カクヲヨム", "書くを読む")
     assert sum(v[2] == "train" for v in out.values()) == 2  # floor(3 * 0.8)
+
+
+def test_longest_match_by_candidates_equals_the_map_side(spark):
+    import random
+
+    rng = random.Random(9)
+    lex = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))): rng.choice(["X", "", "yy", "ab"]) for _ in range(25)}
+    lines = [(i, "".join(rng.choice("abcd") for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    df = spark.createDataFrame(lines, "line_id long, text string")
+    ldf = spark.createDataFrame(list(lex.items()) + [("", "never")], "key string, value string")
+    a = {r["line_id"]: r["converted"] for r in LX.longest_match(df, ldf).collect()}
+    b = {r["line_id"]: r["converted"] for r in LX.longest_match(df, ldf, broadcast_max_bytes=0).collect()}
+    assert a == b and len(a) == 60
+    plan = LX.longest_match(df, ldf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # lines are converted where they are
+
+
+def test_long_line_takes_linear_time(spark):
+    import time
+
+    lex = spark.createDataFrame([("ab", "X"), ("abc", "Y"), ("d", "Z")], "key string, value string")
+    df = spark.createDataFrame([(1, "abcdab" * 14_000)], "line_id long, text string")
+    LX.longest_match(df.limit(0), lex).collect()
+    t = time.time()
+    assert LX.longest_match(df, lex).first()["converted"] == "YZX" * 14_000
+    assert time.time() - t < 6
+
+
+def test_unknown_domain_is_a_plain_category(spark):
+    links = spark.createDataFrame([("Cat", "P", 0, 1), ("Phys", "P", 0, 1)], "category string, member string, member_ns int, ord int")
+    pages = spark.createDataFrame([("P", "One. Two.")], "title string, text string")
+    domains = spark.createDataFrame([("Dom", "Phys", 0)], "domain string, category string, ord int")
+    names = spark.createDataFrame([("dom",), ("Cat",)], "name string")
+    got = {r["domain"]: r["article"].split("\n")[0] for r in G.assemble_domain(names, domains, links, pages, terms=".").collect()}
+    assert got == {"Dom": "# P (Category: Phys)", "Cat": "# P"}

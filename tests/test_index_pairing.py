@@ -101,8 +101,17 @@ def test_pair_by_position(spark):
     a = spark.createDataFrame([(i, f"a{i}") for i in range(5)], "line_no long, text string")
     b = spark.createDataFrame([(i, f"b{i}") for i in range(4)], "line_no long, text string")
     assert PR.pair_by_position(a, b).count() == 4
-    with pytest.raises(PR.LengthMismatch, match="5 vs 4"):
-        PR.pair_by_position(a, b, strict=True)
+    with pytest.raises(Exception, match="the second side has no line line_no=4"):
+        PR.pair_by_position(a, b, strict=True).collect()
+    shifted = spark.createDataFrame([(i, "b") for i in (0, 1, 3)], "line_no long, text string")
+    three = spark.createDataFrame([(i, "a") for i in (0, 1, 2)], "line_no long, text string")
+    for cols in (["source"], ["target"], ["line_no"]):  # equal counts, other lines
+        with pytest.raises(Exception, match="Lines differ"):
+            PR.pair_by_position(three, shifted, strict=True).select(*cols).collect()
+    with pytest.raises(Exception, match="Lines differ"):
+        PR.join_predictions(three, shifted).select("prediction").collect()
+    same = PR.pair_by_position(a, a, strict=True)
+    assert sorted(r["source"] for r in same.collect()) == [f"a{i}" for i in range(5)]
 
 
 def test_rank_in_group_handles_a_hot_group(spark):

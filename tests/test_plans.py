@@ -33,12 +33,11 @@ def test_capped_windows_limit_before_the_shuffle(spark):
         assert "WindowGroupLimit" in p and "Partial" in p, name
 
 
-def test_dictionary_is_broadcast_after_its_size_check(spark):
+def test_dictionary_conversion_shuffles_no_lines(spark):
     p = plan(E.queries()["dictionary_convert"](spark, SF))
-    assert "BroadcastHashJoin" in p and "BroadcastExchange" in p
+    assert "ArrowEvalPython" in p and "Exchange" not in p
 
 
-def test_split_index_has_no_unpartitioned_window_over_rows(spark):
-    # The only unpartitioned windows are over the bucket-size table (one row per bucket).
+def test_split_neither_shuffles_nor_ranks_rows(spark):
     p = plan(E.queries()["split_exact"](spark, SF))
-    assert "windowspecdefinition(_bkt" in p  # the in-bucket rank is partitioned by bucket
+    assert "Exchange" not in p and "Window" not in p

@@ -78,8 +78,8 @@ def test_exact_match_means_zero_cer(spark, refs):
 def test_encode_decode_identity(spark, items):
     df = spark.createDataFrame(list(enumerate(items)), "id long, text string")
     vocab = VC.build_vocab(df, strip=False)
-    enc = MI.encode_chars(df, "text", vocab, "id", max_length=64)
-    dec = {r["id"]: r["text"] for r in MI.decode_ids(enc, "input_ids", vocab, "id").collect()}
+    enc = MI.encode_chars(df, "text", vocab)
+    dec = {r["id"]: r["text"] for r in MI.decode_ids(enc, "input_ids", vocab).collect()}
     assert dec == {i: t for i, t in enumerate(items)}
 
 

@@ -116,12 +116,19 @@ def test_vocab_json_and_corpus_sink(spark, tmpdir_path):
 def test_encode_decode_prepare(spark):
     df = spark.createDataFrame([(1, "アイ", "愛"), (2, "", "")], "id long, source string, target string")
     vocab = VC.build_vocab(df.select(F.concat("source", "target").alias("text")))
-    enc = MI.encode_chars(df, "source", vocab, "id")
-    dec = {r["id"]: r["text"] for r in MI.decode_ids(enc, "input_ids", vocab, "id").collect()}
+    enc = MI.encode_chars(df, "source", vocab)
+    dec = {r["id"]: r["text"] for r in MI.decode_ids(enc, "input_ids", vocab).collect()}
     assert dec == {1: "アイ", 2: ""}
     padded = spark.createDataFrame([(1, [0, -100, 5, 99, 1])], "id long, ids array<int>")
-    assert MI.decode_ids(padded, "ids", vocab, "id").first()["text"] == "アイ"
-    ex = {r["id"]: r for r in MI.prepare_examples(df, vocab, "id", max_length=8).collect()}
+    assert MI.decode_ids(padded, "ids", vocab).first()["text"] == "アイ"
+    assert MI.decode_ids(padded, "ids", vocab, pad_id=0).first()["text"] == "イ"
+    assert MI.decode_ids(padded, "ids", vocab, skip_ids=[0, 1]).first()["text"] == ""
+    empty = vocab.limit(0)
+    assert MI.encode_chars(df, "source", empty).filter("id = 1").first()["input_ids"] == [-1, -1]
+    assert MI.decode_ids(padded, "ids", empty).first()["text"] == ""
+    plan = MI.prepare_examples(df, vocab)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # no example crosses a shuffle
+    ex = {r["id"]: r for r in MI.prepare_examples(df, vocab, max_length=8).collect()}
     assert len(ex[1]["input_ids"]) == 8 and ex[1]["attention_mask"] == [1] * 8
     assert ex[2]["labels"] == [] and ex[1]["labels"] == [2]
     b = {r["bucket"]: r["n"] for r in MI.length_buckets(
@@ -175,3 +182,68 @@ def test_map_batches_caller_function(spark):
     out = MI.map_batches(df, add_prompt, "id long, source string, prompt string, n long", batch_rows=7).collect()
     assert len(out) == 100 and max(r["n"] for r in out) <= 7
     assert all(r["prompt"] == "translate kana to kanji: " + r["source"] for r in out)
+
+
+DUMP = ('<doc id="1">first\nblock</doc>\njunk <doc></doc><doc id="2">x</doc><doc>open <doc>inner</doc>')
+
+
+def test_read_tagged_docs_whatever_the_file(spark, tmpdir_path):
+    """Compressed files, a byte order mark and what stands behind the last block make no
+    difference; file and column form follow one rule."""
+    import bz2
+    import gzip
+
+    from kanaforge.sources.tagged import tagged_docs_in_column
+
+    want = ["first\nblock", "x", "open <doc>inner"]
+    tails = {"": [], "\n": [], "\n<doc>never closed": [], "<doc id='9'>last</doc>": ["last"]}
+    for n, (tail, more) in enumerate(tails.items()):
+        data = (DUMP + tail).encode()
+        files = {"a.xml": data, "bom.xml": b"\xef\xbb\xbf" + data, "c.xml.gz": gzip.compress(data), "d.xml.bz2": bz2.compress(data)}
+        for name, body in files.items():
+            p = os.path.join(tmpdir_path, f"{n}-{name}")
+            with open(p, "wb") as f:
+                f.write(body)
+            got = [(r["block_no"], r["body"]) for r in read_tagged_docs(spark, p).orderBy("block_no").collect()]
+            assert got == list(enumerate(want + more)), (name, tail)
+        col = spark.createDataFrame([(DUMP + tail,)], "t string")
+        assert [r["body"] for r in tagged_docs_in_column(col, "t").orderBy("block_no").collect()] == want + more
+
+
+def test_unclosed_markup_takes_linear_time(spark):
+    import time
+
+    from kanaforge.sources.tagged import tagged_docs_in_column
+
+    page = "<p x" * 5000 + "<p>short</q>" * 10000 + "</p>" + "<p>" * 5000
+    df = spark.createDataFrame([(page,)], "html string")
+    tagged_docs_in_column(df.limit(1), "html", "p").count()
+    t = time.time()
+    assert tagged_docs_in_column(df, "html", "p").count() == 1
+    assert time.time() - t < 5
+
+
+def test_read_lines_takes_globs(spark, tmpdir_path):
+    for n in range(3):
+        _write(os.path.join(tmpdir_path, f"g{n}.kana"), f"line {n}\n")
+    got = LN.read_lines(spark, os.path.join(tmpdir_path, "g*.kana")).collect()
+    assert sorted(r["text"] for r in got) == ["line 0", "line 1", "line 2"]
+
+
+def test_transcriptions_csv_round_trip(spark, tmpdir_path):
+    texts = ["plain", 'a "quoted", one', "two\nlines", "", " spaced ", "\\ back"]
+    path = os.path.join(tmpdir_path, "t")
+    DS.write_transcriptions(spark.createDataFrame([(t,) for t in texts], "transcription string"), path)
+    assert sorted(r["transcription"] for r in DS.read_csv_transcriptions(spark, path).collect()) == sorted(texts)
+    assert DS.default_domains(spark).count() == 54
+
+
+def test_evaluate_end_to_end(spark):
+    from kanaforge.operators import evaluation as EV
+
+    refs = spark.createDataFrame([(0, "x", "AB"), (1, "x", "CD"), (2, "y", "EE")], "line_no long, g string, text string")
+    src = spark.createDataFrame([(0, "ab"), (1, "cx"), (2, "ee")], "line_no long, text string")
+    got = {r["g"]: (r["sentence_accuracy"], r["n"]) for r in EV.evaluate(refs, src, make_upper_predictor, by=["g"]).collect()}
+    assert got == {"x": (50.0, 2), "y": (100.0, 1)}
+    with pytest.raises(Exception, match="Lines differ"):
+        EV.evaluate(refs, src.filter("line_no < 2"), make_upper_predictor).collect()
