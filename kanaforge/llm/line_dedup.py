@@ -7,6 +7,9 @@ estimate is clearly below the threshold stays, one clearly above it goes; lines
 threshold get an exact distinct count. Lines are compared without white space around them,
 by two independent 64-bit hashes; blank lines never go.
 
+A document that would lose nearly all of its text is a copy that stands on many sites, not a
+page with boilerplate around it: it keeps its lines, for near-duplicate removal to decide.
+
 All work is DataFrame functions: line hashes cross the shuffles, and texts cross one, where
 documents meet the hashes to remove.
 """
@@ -16,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, materialize
 
 MIN_SITES = 15
+#: Percent of a document's characters that may go as boilerplate.
+MAX_PERCENT = 80
 LOG_K = 10
 #: Standard errors of a sketch (0.83 / sqrt(2 ** LOG_K)) on either side of the threshold
 #: within which lines are counted exactly.
@@ -27,7 +32,7 @@ BAND_ERRORS = 5
 
 def _bare(line: Column) -> Column:
     """A line without ASCII white space around it."""
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def _key(line: Column) -> Column:
@@ -37,7 +42,8 @@ def _key(line: Column) -> Column:
 
 def line_keys(text: Column) -> Column:
     """Keys of the lines of a text, null for blank lines; null text: no lines."""
-    return F.transform(F.split(text, "\n", -1), lambda x: F.when(_bare(x) != "", _key(_bare(x))))
+    bare = F.transform(F.split(text, "\n", -1), _bare)
+    return F.transform(bare, lambda x: F.when(x != "", _key(x)))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, log_k: int = LOG_K) -> DataFrame:
@@ -54,25 +60,31 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, log_k: int = LOG_K
 
 
 def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-                     min_sites: int = MIN_SITES, log_k: int = LOG_K, removed_as: str | None = None) -> DataFrame:
+                     min_sites: int = MIN_SITES, max_percent: int = MAX_PERCENT, log_k: int = LOG_K,
+                     removed_as: str | None = None) -> DataFrame:
     """``docs`` with the boilerplate lines taken out of the text (the other lines stay as
     they are, joined by line feeds) and, if named, the number of removed lines.
 
-    Every row comes back, a null text as null, a text of boilerplate alone as empty. Rows
-    that repeat an id are each rid of the same lines. Ids may be null."""
-    key, gone, own, out = fresh(docs, "line_doc", "line_gone", "line_keys", "line_text")
-    lines = docs.select(F.col(id_col).alias("doc"), F.col(site_col).cast("string").alias("site"),
+    Every row comes back, a null text as null. A text that would lose over ``max_percent``
+    of its characters (line feeds not counted) stays as it is; at 100, a text of
+    boilerplate alone becomes empty. Rows that repeat an id are each rid of the same lines.
+    Ids may be null."""
+    key, gone, own = fresh(docs, "line_doc", "line_gone", "line_kept")
+    # Written once: the sketches, the exact counts and the hits all read these narrow rows.
+    lines = materialize(docs.select(F.col(id_col).alias("doc"), F.col(site_col).cast("string").alias("site"),
                         F.explode(F.array_distinct(line_keys(F.col(text_col)))).alias("k")).where("k IS NOT NULL").select(
-        "doc", "site", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
+        "doc", "site", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2")))
     common = boilerplate(lines.select("h1", "h2", "site"), min_sites, log_k)
     # A document's hits are bounded by its own lines.
     hits = lines.join(common, ["h1", "h2"], "left_semi").groupBy(F.col("doc").alias(key)).agg(F.collect_set(F.struct("h1", "h2")).alias(gone))
     joined = docs.join(hits, docs[id_col].eqNullSafe(hits[key]), "left")
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x: (_bare(x) == "") | ~F.array_contains(F.col(gone), _key(_bare(x))))
     joined = joined.withColumn(own, F.when(F.col(gone).isNotNull() & F.col(text_col).isNotNull(), kept))
-    text = F.when(F.col(own).isNotNull(), F.concat_ws("\n", F.col(own))).otherwise(F.col(text_col))
+    chars = F.char_length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
+    cut = F.col(own).isNotNull() & (100 * F.char_length(F.array_join(own, "")) >= (100 - max_percent) * chars)
+    text = F.when(cut, F.array_join(own, "\n")).otherwise(F.col(text_col))
     cols = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if removed_as:
         n_lines = F.size(F.split(F.col(text_col), "\n", -1))
-        cols.append(F.coalesce(n_lines - F.size(own), F.lit(0)).cast("long").alias(removed_as))
+        cols.append(F.when(cut, n_lines - F.size(own)).otherwise(0).cast("long").alias(removed_as))
     return joined.select(*cols)

@@ -78,10 +78,11 @@ ORACLES: dict[str, str] = {
                           unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
         b AS (SELECT *, {_BARE} AS bare FROM l),
         g AS (SELECT bare FROM b WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= 15),
-        k AS (SELECT doc_id, string_agg(CASE WHEN g.bare IS NULL THEN line END, chr(10) ORDER BY i) AS text,
-                     count(g.bare) AS n_removed FROM b LEFT JOIN g ON b.bare = g.bare GROUP BY doc_id)
-        SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
-               CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed
+        k AS (SELECT doc_id, string_agg(CASE WHEN g.bare IS NULL THEN line END, chr(10) ORDER BY i) AS text, count(g.bare) AS n_removed,
+                     100 * sum(CASE WHEN g.bare IS NULL THEN length(line) ELSE 0 END) >= 20 * sum(length(line)) AS cut
+              FROM b LEFT JOIN g ON b.bare = g.bare GROUP BY doc_id)
+        SELECT d.doc_id, CASE WHEN d.text IS NOT NULL AND k.cut THEN coalesce(k.text, '') ELSE d.text END AS text,
+               CAST(CASE WHEN k.cut THEN k.n_removed ELSE 0 END AS BIGINT) AS n_removed
         FROM documents d LEFT JOIN k USING (doc_id)""",
     "op7_source_mixing": mixing.mix_sql(),
     "op9_warc_transactions": """

@@ -7,7 +7,7 @@ from kanaforge.llm import line_dedup as L
 from .conftest import ODD_ROWS
 
 
-def brute(rows, min_sites):
+def brute(rows, min_sites, max_percent=80):
     """(id, text, removed lines) by definition; rows: (id, text, lang, site)."""
     bare = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z", "", x)
     sites = {}
@@ -22,12 +22,13 @@ def brute(rows, min_sites):
             continue
         lines = text.split("\n")
         kept = [x for x in lines if len(sites.get(bare(x), ())) < min_sites]
-        out.append((i, "\n".join(kept), len(lines) - len(kept)))
+        cut = 100 * sum(map(len, kept)) >= (100 - max_percent) * sum(map(len, lines))
+        out.append((i, "\n".join(kept), len(lines) - len(kept)) if cut else (i, text, 0))
     return out
 
 
-def got(docs, min_sites):
-    cut = L.drop_boilerplate(docs, min_sites=min_sites, removed_as="n_removed")
+def got(docs, min_sites, max_percent=80):
+    cut = L.drop_boilerplate(docs, min_sites=min_sites, max_percent=max_percent, removed_as="n_removed")
     return sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in cut.collect()), key=str)
 
 
@@ -41,18 +42,28 @@ def test_spread_decides_not_frequency(make_docs):
 def test_exact_near_the_threshold(make_docs):
     rows = [(k * 1000 + i, f"line of {k} sites\nx{k * 1000 + i}", "en", f"s{i}") for k in (198, 199, 200, 201, 240) for i in range(k)]
     for threshold in (200, 201):
-        cut = {t.split("\n")[0] for _, t, n in got(make_docs(rows, clash=False), threshold) if not n}
+        cut = {t.split("\n")[0] for _, t, n in got(make_docs(rows, clash=False), threshold, 100) if not n}
         assert cut == {f"line of {k} sites" for k in (198, 199, 200, 201, 240) if k < threshold}
 
 
 def test_hot_line_and_odd_rows(make_docs, no_docs):
     rows = [r if len(r) == 4 else (*r, "en", "s") for r in ODD_ROWS] + [(500 + i, "menu\nhome", "en", f"t{i}") for i in range(5)] + [(600, "menu", None, None)]
-    assert got(make_docs(rows), 2) == sorted(brute(rows, 2), key=str)
+    for max_percent in (100, 80, 0):
+        assert got(make_docs(rows), 2, max_percent) == sorted(brute(rows, 2, max_percent), key=str)
     out = L.drop_boilerplate(make_docs(rows), min_sites=2)
     assert out.columns == make_docs(rows).columns
     assert L.drop_boilerplate(no_docs).count() == 0
 
 
+def test_a_copied_document_is_not_boilerplate(make_docs):
+    story = "\n".join(f"a line of a much copied story, number {i}" for i in range(10))
+    rows = [(i, story if i % 2 else story.replace("number 3", f"number {i}"), "en", f"s{i}") for i in range(20)]
+    rows += [(100 + i, f"menu of the site\na story of its own {i}", "en", f"s{i}") for i in range(20)]
+    texts = {i: t for i, t, _ in got(make_docs(rows), 10)}
+    assert all(texts[i] == t for i, t, _, _ in rows[:20])
+    assert all(texts[100 + i] == f"a story of its own {i}" for i in range(20))
+
+
 def test_no_python_in_the_plan(make_docs):
     plan = L.drop_boilerplate(make_docs(ODD_ROWS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -60,5 +71,5 @@ def test_no_python_in_the_plan(make_docs):
 
 
 def test_null_site_counts_for_nothing(make_docs):
-    rows = [(i, "same", "en", None) for i in range(9)] + [(50, "same", "en", "a")]
-    assert {r["text"] for r in L.drop_boilerplate(make_docs(rows), min_sites=2).select(F.col("text")).collect()} == {"same"}
+    rows = [(i, "same\nx", "en", None) for i in range(9)] + [(50, "same\nx", "en", "a")]
+    assert {r["text"] for r in L.drop_boilerplate(make_docs(rows), min_sites=2, max_percent=100).select(F.col("text")).collect()} == {"same\nx"}
