@@ -31,8 +31,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """(node, root) for every node that has an edge to another one; root is the smallest
     node of its component. Null ends and self loops are ignored; an empty edge table gives
     an empty result."""
-    e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(
-        F.col(a).isNotNull() & F.col(b).isNotNull()).where("a <> b").distinct()
+    # greatest and least skip nulls, so an edge with a null end becomes a self loop.
+    e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
     e = materialize(e)
     state = None
     for _ in range(max_rounds):

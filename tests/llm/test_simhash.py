@@ -88,7 +88,7 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 130)] + [(5, x) for x in range(200, 260)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(101, 131)}, **{x: 5 for x in range(200, 260)}}
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert connected_components(spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
 
 
 def test_odd_rows(odd_docs, no_docs):
