@@ -15,6 +15,8 @@ from kanaforge.plans.tables import TABLES
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
+SPARK_TO_DUCKDB = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
 
 @pytest.fixture(scope="module")
 def con():
@@ -40,6 +42,9 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(df.columns) == sorted(dcols)
     assert len(srows) == len(drows)
     assert digest(df.columns, srows)[0] == digest(dcols, drows)[0]
+    rel = con.sql(SQL[name])
+    types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert {c: SPARK_TO_DUCKDB.get(t, t) for c, t in df.dtypes} == types
 
 
 def test_entry_smoke(spark):
@@ -49,17 +54,6 @@ def test_entry_smoke(spark):
     assert E.entry(spark).schema == first
 
 
-SPARK_TO_DUCKDB = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
-
-
-def test_column_types_match_oracle(spark, con):
-    for name, sql in SQL.items():
-        sd = dict(E.queries()[name](spark, SF).dtypes)
-        rel = con.sql(sql)
-        dd = {c: str(t) for c, t in zip(rel.columns, rel.types)}
-        assert {c: SPARK_TO_DUCKDB.get(t, t) for c, t in sd.items()} == dd, name
-
-
 def test_document_readings_equals_a_plain_scan(spark):
     import re
     from collections import Counter, defaultdict
