@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
 import numpy as np
 
@@ -48,13 +49,22 @@ class WordTokenizer:
             self.model = self.whole.model
             self.special = [t["content"] for t in spec.get("added_tokens") or []]
 
+    def _cut(self, text: str) -> list[str]:
+        """Pieces by the split pattern; letters alone, or with one mark behind, need no regex."""
+        if text.isalpha():
+            return [text]
+        if text[-1] in ".,!?:;" and text[:-1].isalpha():
+            return [text[:-1], text[-1]]
+        return self.split(text)
+
     def _plain(self, text: str) -> bytes:
         out = []
-        for piece in self.split(text.lower()):
+        for piece in self._cut(text.lower()):
             got = self.pieces.get(piece)
             if got is None:
                 mapped = piece if piece.isascii() else self.bytes.pre_tokenize_str(piece)[0][0]
-                got = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+                ids = [t.id for t in self.model.tokenize(mapped)]
+                got = struct.pack(f"<{len(ids)}I", *ids)
                 self.pieces[piece] = got
             out.append(got)
         return b"".join(out)
@@ -78,7 +88,9 @@ class WordTokenizer:
             return b""
         if not self.by_word:
             return self._encode(text.decode("utf-8", "replace"))
-        words = text.split()
+        # ASCII letters may be lowered ahead of the tokenizer, unless that could make a
+        # special token of them.
+        words = (text if b"<|" in text else text.lower()).split()
         try:
             return b"".join(map(self.words.__getitem__, words))
         except KeyError:
