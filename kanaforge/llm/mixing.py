@@ -7,11 +7,16 @@ factor that calibrates the expected number of tokens; cells that would exceed pr
 one are taken whole and the factor is set anew for the rest.
 
 Documents are aggregated map-side into cells once; every further step runs on the cell
-table, and each document is decided by its own hash, so no text is shuffled or ranked.
+table (on the driver up to LOCAL_CELLS cells, as frames beyond, with the same result), and
+each document is decided by its own hash, so no text is shuffled or ranked.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,14 +29,17 @@ TEMPER = 0.7
 #: Share of all tokens that the sample aims at.
 KEEP = 0.6
 CALIBRATIONS = 5
-#: Topic names and what marks them; the first that is found names the topic.
-TOPICS = (("legal", "[Ll]icen[sc]e|[Cc]opyright|GPL"), ("contact", "[A-Za-z0-9]@[A-Za-z]|https?://"), ("markup", "[#*$%&|<>]{3}"))
+#: Topic names and the strings that mark them; the first topic that is found counts.
+TOPICS = (("legal", ("icense", "icence", "opyright", "GPL")), ("contact", ("@", "http://", "https://")),
+          ("markup", ("###", "***", "$$$", "%%%", "&&&", " | ")))
+#: Cells that are fitted on the driver at most; a larger cell table is fitted as a frame.
+LOCAL_CELLS = 200_000
 
 
 def topic_of(text: Column, topics=TOPICS, other: str = "general") -> Column:
-    out = F.lit(other)
-    for name, pattern in reversed(topics):
-        out = F.when(F.coalesce(text, F.lit("")).rlike(pattern), name).otherwise(out)
+    out, text = F.lit(other), F.coalesce(text, F.lit(""))
+    for name, marks in reversed(topics):
+        out = F.when(reduce(or_, [F.contains(text, F.lit(m)) for m in marks]), name).otherwise(out)
     return out
 
 
@@ -85,39 +93,80 @@ def calibrate(fitted: DataFrame, keep: float = KEEP) -> DataFrame:
     return fitted.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * factor))
 
 
+def fit_local(cells: DataFrame, targets: dict[str, dict], keep: float, rounds: int = ROUNDS) -> DataFrame:
+    """``calibrate(rake(...))`` for a cell table of checked size, on the driver: the same
+    steps in the same order."""
+    rows = cells.collect()
+    tokens = np.array([r["tokens"] for r in rows], float)
+    total, mass = tokens.sum(), tokens.copy()
+    plan = []
+    for dim, goal in targets.items():
+        values = {v: k for k, v in enumerate(dict.fromkeys(r[dim] for r in rows))}
+        plan.append((np.array([values[r[dim]] for r in rows], np.int64), np.array([goal.get(v, 0.0) * total for v in values])))
+    for _ in range(rounds if rows else 0):
+        for code, goal in plan:
+            now = np.bincount(code, mass, len(goal))
+            mass = mass * np.where(now > 0, goal / np.where(now > 0, now, 1), 0.0)[code]
+    weight = np.where(tokens > 0, mass / np.where(tokens > 0, tokens, 1), 0.0)
+    budget = keep * total
+    factor = budget / mass.sum() if mass.sum() else 0.0
+    for _ in range(CALIBRATIONS):
+        whole = weight * factor >= 1
+        if mass[~whole].sum():
+            factor = max(factor, (budget - tokens[whole].sum()) / mass[~whole].sum())
+    out = [(*r, float(w), float(min(1.0, w * factor))) for r, w in zip(rows, weight)]
+    return cells.sparkSession.createDataFrame(out, ", ".join(f"{n} {t}" for n, t in cells.dtypes) + ", weight double, probability double")
+
+
+def fit_cells(cells: DataFrame, targets: dict[str, DataFrame] | None, keep: float, local_cells: int = LOCAL_CELLS) -> DataFrame:
+    """(source, lang, topic, tokens, weight, probability). Targets default to the tempered
+    shares of the cells."""
+    targets = targets or {d: tempered_targets(cells, d) for d in DIMENSIONS}
+    sizes = [cells.limit(local_cells + 1).count(), *(t.limit(local_cells + 1).count() for t in targets.values())]
+    if max(sizes) <= local_cells:
+        return fit_local(cells, {d: {r["value"]: r["share"] for r in t.collect()} for d, t in targets.items()}, keep)
+    return calibrate(rake(cells, targets), keep).select(*DIMENSIONS, "tokens", "weight", "probability")
+
+
+def _probabilities(cells: DataFrame, targets, keep: float, names: list[str], local_cells: int) -> DataFrame:
+    return materialize(fit_cells(cells, targets, keep, local_cells).select(*DIMENSIONS, "weight", "probability").toDF(*names))
+
+
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text",
-        weight_as: str = "weight", probability_as: str = "probability", sampled_as: str = "sampled", topic_as: str = "topic",
-        tokens_as: str = "tokens") -> DataFrame:
-    """``docs`` with topic, tokens, weight, probability and sampled.
+        local_cells: int = LOCAL_CELLS) -> DataFrame:
+    """(doc_id, source, lang, topic, tokens, weight, probability, sampled) for every row.
 
     A null source or language is a value of its own. Documents without words weigh nothing
     but share their cell's probability; a cell without any word has probability 0. Repeated
     ids are sampled together. ``targets`` maps dimensions to (value, share); the default
     tempers the corpus's own shares."""
-    topic, tokens = topic_of(F.col(text_col)), n_tokens(F.col(text_col))
-    cells = materialize(docs.select("source", "lang", topic.alias("topic"), tokens.alias("tokens")).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
-    targets = targets or {d: tempered_targets(cells, d) for d in DIMENSIONS}
-    names = fresh(docs, "mix_source", "mix_lang", "mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_own_topic")
-    ready = materialize(calibrate(rake(cells, targets), keep).select("source", "lang", "topic", "tokens", "weight", "probability").toDF(*names[:6]))
-    own = docs.withColumn(names[6], topic)
-    joined = own.join(ready, own["source"].eqNullSafe(ready[names[0]]) & own["lang"].eqNullSafe(ready[names[1]]) & (own[names[6]] == ready[names[2]]), "left")
-    added = {topic_as: F.col(names[6]), tokens_as: tokens, weight_as: F.col(names[4]), probability_as: F.col(names[5]),
-             sampled_as: uniform(F.col(id_col)) < F.col(names[5])}
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], *[v.alias(k) for k, v in added.items()])
-
-
-def sample_mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, **columns) -> DataFrame:
-    """The rows of ``docs`` that ``mix`` samples."""
-    flag, weight, prob, topic, tokens = fresh(docs, "mix_sampled", "mix_w", "mix_p", "mix_t", "mix_n")
-    return mix(docs, targets, keep, weight_as=weight, probability_as=prob, sampled_as=flag, topic_as=topic, tokens_as=tokens, **columns).where(
-        F.col(flag)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = materialize(docs.select(F.col(id_col).alias("doc_id"), "source", "lang", topic_of(F.col(text_col)).alias("topic"),
+                                  n_tokens(F.col(text_col)).alias("tokens")))
+    cells = materialize(own.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
+    ready = _probabilities(cells, targets, keep, ["m_source", "m_lang", "m_topic", "weight", "probability"], local_cells)
+    joined = own.join(ready, own["source"].eqNullSafe(ready["m_source"]) & own["lang"].eqNullSafe(ready["m_lang"]) & (own["topic"] == ready["m_topic"]), "left")
+    return joined.select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", (uniform(F.col("doc_id")) < F.col("probability")).alias("sampled"))
+
+
+def sample_mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text",
+               local_cells: int = LOCAL_CELLS) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` samples. The first pass sums up the cells, the
+    second finds each row's cell again; no text is shuffled."""
+    topic, *names = fresh(docs, "mix_own_topic", "mix_source", "mix_lang", "mix_topic", "mix_weight", "mix_probability")
+    cells = materialize(docs.select("source", "lang", topic_of(F.col(text_col)).alias("topic"), n_tokens(F.col(text_col)).alias("tokens"))
+                        .groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
+    ready = _probabilities(cells, targets, keep, names, local_cells)
+    own = docs.withColumn(topic, topic_of(F.col(text_col)))
+    joined = own.join(ready, own["source"].eqNullSafe(ready[names[0]]) & own["lang"].eqNullSafe(ready[names[1]]) & (own[topic] == ready[names[2]]), "left")
+    return joined.where(uniform(F.col(id_col)) < F.col(names[4])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 # --- the same in SQL --------------------------------------------------------------------
 
 def mix_sql(keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, topics=TOPICS) -> str:
     """DuckDB SQL of ``mix`` over ``documents`` with tempered targets."""
-    topic = "CASE " + " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}'" for n, p in topics) + " ELSE 'general' END"
+    found = lambda marks: " OR ".join(f"contains(coalesce(text, ''), '{m}')" for m in marks)
+    topic = "CASE " + " ".join(f"WHEN {found(marks)} THEN '{n}'" for n, marks in topics) + " ELSE 'general' END"
     ctes = [f"d AS MATERIALIZED (SELECT doc_id, source, lang, {topic} AS topic, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS tokens FROM documents)",
             "c AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL)"]
     for dim in DIMENSIONS:
