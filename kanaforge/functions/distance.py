@@ -4,9 +4,9 @@ Very short pairs use Spark's built-in ``levenshtein`` (O(n*m) cells in generated
 code). Longer pairs go to the bit-parallel algorithm (Myers 1999, global form by
 Hyyro 2001), which handles 64 DP cells per machine word: O(n * ceil(m/64)) word
 operations. Inside one Arrow batch, pairs of similar length run as one numpy computation
-across all pairs (one vector step per character of the shorter side); a pair that is
-alone in its length group uses Python's arbitrary-precision integers, a whole DP column
-per step. All paths give the same exact distance.
+across all pairs (one vector step per character of the shorter side); pairs with few
+others of their length, or above 4,096 characters, use Python's arbitrary-precision
+integers, a whole DP column per step. All paths give the same exact distance.
 """
 
 from __future__ import annotations
@@ -130,14 +130,17 @@ def _batch_levenshtein(pairs: list[tuple[str, str]], words: int) -> np.ndarray:
 
 # Cells (pairs x characters of the longer side) of one vector batch, which bounds its memory.
 _BATCH_CELLS = 1 << 22
+# A vector step costs about as much as the big-integer steps of so many pairs; and it compares
+# all characters of the longer side, which beyond 64 words costs more than big integers do.
+_MIN_BATCH, _MAX_WORDS = 16, 64
 
 
 def pair_distances(a: list, b: list) -> list:
     """Exact distances for a batch of pairs (None where either side is None). Pairs are
     grouped by the words of the longer and the length band of the shorter side, and every
-    group is done in vector batches. A pair of m x n characters costs n steps of m / 64
-    word operations; groups of a single pair run the big-integer form, which has the same
-    cost with less overhead per step."""
+    group is done in vector batches: n steps of m character comparisons and m / 64 word
+    operations for a pair of m x n characters. Small groups and pairs above 4,096
+    characters run the big-integer form one by one, n steps of m / 64 word operations."""
     out: list = [None] * len(a)
     groups: dict[tuple[int, int], list[int]] = {}
     for i, (x, y) in enumerate(zip(a, b)):
@@ -160,7 +163,8 @@ def pair_distances(a: list, b: list) -> list:
         for k in range(0, len(idx), size):
             part = idx[k:k + size]
             pairs = [(a[i], b[i]) if len(a[i]) >= len(b[i]) else (b[i], a[i]) for i in part]
-            found = [bitparallel_levenshtein(*pairs[0])] if len(pairs) == 1 else _batch_levenshtein(pairs, words)
+            few = len(pairs) < _MIN_BATCH or words > _MAX_WORDS
+            found = [bitparallel_levenshtein(x, y) for x, y in pairs] if few else _batch_levenshtein(pairs, words)
             for i, d in zip(part, found):
                 out[i] = int(d)
     return out
