@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by a permutation index.
 
 A bounded sample of vectors are the pivots. Every vector is represented by its nearest
-pivots in order (a prefix of its pivot permutation). Vectors are dealt into shards of
-bounded size; each shard posts its vectors in one inverted file per pivot (vector and place
-of the pivot). A query walks the files of its own nearest pivots, which adds up the footrule
-distance of the permutation prefixes: the sum of place differences, a pivot missing from a
-prefix counting as just behind its end. The vectors of least footrule of every shard are
-reranked by their true Euclidean distance, and the shards' best are merged.
+pivots in order (a prefix of its pivot permutation). Equal vectors are indexed once, with
+their smallest ids. Distinct vectors are dealt into shards of bounded size; each shard posts
+its vectors in one inverted file per pivot (vector and place of the pivot). A query walks
+the files of its own nearest pivots, which adds up the footrule distance of the permutation
+prefixes: the sum of place differences, a pivot missing from a prefix counting as just
+behind its end. The vectors of least footrule of every shard, with
+all that tie with the last of them, are reranked by their true Euclidean distance, and the
+shards' best are merged.
 
 Queries meet every shard in blocks of bounded size, so a task holds one shard and one block.
 """
@@ -24,7 +26,7 @@ PIVOTS = 256
 PREFIX = 64
 SHARD_ROWS = 4096
 QUERY_ROWS = 2048
-#: Vectors of a shard that are reranked for each query.
+#: Distinct vectors of a shard that are reranked for each query, besides ties.
 RERANK = 400
 
 
@@ -73,19 +75,38 @@ class InvertedFiles:
         return far
 
 
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """(v, ids): every distinct vector with its k + 1 smallest ids in order, an id of
+    several rows up to k times. Without any one id, the k smallest rows are among them."""
+    own = rows.groupBy("v", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    # The limit holds before the shuffle too, so a common vector brings k + 1 rows a task.
+    first = own.withColumn("at", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("at") <= k + 1)
+    ids = F.array_sort(F.collect_list(F.struct("id", "n")))
+    return first.groupBy("v").agg(F.flatten(F.transform(ids, lambda x: F.array_repeat(x["id"], x["n"]))).alias("ids"))
+
+
 def search_shard(ids, x, query_ids, q, pivots, prefix, rerank, k):
-    """Best k of a shard for each query: arrays (query id, vector id, distance)."""
+    """Best k of a shard for each query: arrays (query id, vector id, distance). The vectors
+    x are distinct; ids: a sorted array of ids for each."""
     files = InvertedFiles(permutations(x, pivots, prefix), len(pivots))
+    sizes = np.array([len(i) for i in ids], np.int64)
+    flat, vector, first = np.concatenate(ids), np.repeat(np.arange(len(ids)), sizes), np.cumsum(sizes) - sizes
+    single = flat[first] == flat[first + sizes - 1]
     out = []
     for qid, v, perm in zip(query_ids.tolist(), q, permutations(q, pivots, prefix)):
         far = files.footrule(perm)
-        far[ids == qid] = np.iinfo(np.int64).max  # not its own row
+        mine = vector[flat == qid]
+        mine = mine[single[mine]]
+        far[mine] = np.iinfo(np.int64).max  # vectors of its own rows alone
         n = min(rerank, len(far))
-        near = np.argpartition(far, n - 1)[:n] if n < len(far) else np.arange(len(far))
-        near = near[ids[near] != qid]
+        # Vectors as far as the last one that counts are reranked too.
+        near = np.flatnonzero(far <= np.partition(far, n - 1)[n - 1])
         score = np.sqrt(((x[near] - v) ** 2).sum(axis=1))
-        best = np.lexsort((ids[near], score))[:k]
-        out.append((np.full(len(best), qid), ids[near][best], score[best]))
+        at = np.repeat(np.arange(len(near)), sizes[near])
+        own = np.concatenate([ids[i] for i in near])
+        at, own = at[own != qid], own[own != qid]
+        best = np.lexsort((own, score[at]))[:k]
+        out.append((np.full(len(best), qid), own[best], score[at][best]))
     return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
 
@@ -106,13 +127,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = P
 
     rows = clean(vectors)
     per_dim = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "dim").first()
-    dim, total = (per_dim["dim"], per_dim["n"]) if per_dim else (0, 0)
-    rows = rows.where(F.size("v") == dim)
+    dim = per_dim["dim"] if per_dim else 0
+    rows = materialize(distinct_vectors(rows.where(F.size("v") == dim), k))
+    total = rows.count()
     asked = clean(queries).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
     n_queries = asked.count()
     shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-n_queries // query_rows))
     table = choose_pivots(rows, pivots) if total else np.zeros((0, 0))
-    part = F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")
+    part = F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     left = rows.withColumn("shard", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = asked.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
@@ -120,7 +142,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = P
     def search(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(q):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        found = search_shard(x["id"].to_numpy(np.int64), np.stack(x["v"].to_numpy()).astype(np.float64), q["id"].to_numpy(np.int64),
+        found = search_shard([np.asarray(i, np.int64) for i in x["ids"]], np.stack(x["v"].to_numpy()).astype(np.float64), q["id"].to_numpy(np.int64),
                              np.stack(q["v"].to_numpy()).astype(np.float64), table, prefix, rerank, k)
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
 

@@ -63,6 +63,30 @@ def test_odd_vectors(spark):
     assert A.nearest(df.where("vec_id = 0"), df.where("vec_id = 0")).count() == 0
 
 
+def test_copies_beyond_the_rerank_budget(spark):
+    """Every third row is a copy of one vector, far more than are reranked."""
+    rng = np.random.default_rng(11)
+    near = [float(x) for x in rng.normal(size=8)]
+    rows = [(i, list(near) if i % 3 == 0 else [float(x) for x in rng.normal(size=8)]) for i in range(900)]
+    rows += [(3, list(near)), (3, list(near)), (2000, [x + 0.001 for x in near]), (2001, [x + 0.002 for x in near])]
+    random.Random(7).shuffle(rows)
+    df = frame(spark, rows)
+    ids = {0, 3, 6, 600, 2000}
+    got = {}
+    for r in A.nearest(df, df.where(df.vec_id.isin(*ids)), k=10, pivots=16, prefix=8, rerank=20, shard_rows=300).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [i for _, i in w] for q, w in exact(rows, ids, 10).items()}
+    assert got[0] == [3, 3, 3, 6, 9, 12, 15, 18, 21, 24] and got[3] == [0, 6, 9, 12, 15, 18, 21, 24, 27, 30]
+
+
+def test_vectors_as_far_as_the_last_are_reranked():
+    """All vectors have one permutation, so the budget alone cannot tell them apart."""
+    x = np.arange(1.0, 41.0)[::-1, None]
+    ids = [np.array([i]) for i in range(40)]
+    got = A.search_shard(ids, x, np.array([99]), np.array([[1.0]]), np.array([[-1.0], [-2.0]]), 2, 5, 3)
+    assert [c.tolist() for c in got] == [[99] * 3, [39, 38, 37], [0.0, 1.0, 2.0]]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 def test_query_recall(spark):
     from kanaforge.llm.queries import op5_permutation_index
