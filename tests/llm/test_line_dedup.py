@@ -64,6 +64,24 @@ def test_a_copied_document_is_not_boilerplate(make_docs):
     assert all(texts[100 + i] == f"a story of its own {i}" for i in range(20))
 
 
+def test_only_copies_keep_boilerplate(spark, make_docs):
+    """Short pages of menu lines lose them as long ones do; copies, near ones too, keep theirs."""
+    import corpus_pipeline
+
+    menu = "a long line that the menus of all the sites have in common"
+    story = "\n".join(f"a line of a much copied story, number {i}" for i in range(10))
+    page = "\n".join(f"a line of the page {{0}}, number {i}" for i in range(10))
+    rows = [(i, f"{menu}\n{page.format(i)}", "en", f"s{i}") for i in range(20)]
+    rows += [(100 + i, f"{menu}\nown {i}\n {menu}", "en", f"s{i}") for i in range(20)] + [(None, f"{menu}\nno id", "en", "s1"), (200, menu, "en", "s1"), (201, None, "en", "s1")]
+    rows += [(300 + i, story if i % 2 else story.replace("number 3", f"number {i}"), "en", f"s{i}") for i in range(20)]
+    rows += [(400, f"{story}\n{menu}", "en", "s1")]
+    out = dict(corpus_pipeline.STAGES)["line dedup"](spark, make_docs(rows), "")
+    want = [(i, t and "\n".join(x for x in t.split("\n") if x.strip() != menu)) for i, t, _, _ in rows]
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_no_python_in_the_plan(make_docs):
     plan = L.drop_boilerplate(make_docs(ODD_ROWS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
