@@ -46,7 +46,7 @@ def op6_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    m = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), topics=mixing.SQL_TOPICS)
     return m.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"),
                     F.round("probability", 6).alias("probability"), "sampled")
 

@@ -55,6 +55,13 @@ def test_driver_and_frames_fit_alike(cells):
         assert np.allclose(a[["weight", "probability"]], b[["weight", "probability"]], rtol=1e-9, atol=1e-12)
 
 
+def test_topics_by_patterns(make_docs):
+    topics = {"License": "legal", "copyright": "legal", "GPL": "legal", "silicense": "legal", "mail a@b.c": "contact", "see http://x": "contact", "a || b |||": "markup",
+              "<<<": "markup", ">>>": "markup", "#*$": "markup", "###": "markup", "one | bar": "general", "an @ alone": "general", "icy opyrigh": "general", "## **": "general"}
+    docs = make_docs([(i, t) for i, t in enumerate(topics)], clash=False)
+    assert [r["topic"] for r in M.mix(docs).orderBy("doc_id").collect()] == list(topics.values())
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = M.mix(odd_docs).collect()
     assert len(got) == len(ODD_ROWS) and all(r["probability"] is not None for r in got)
