@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand on many sites; n_chars follows the new text."""
-    cut = line_dedup.drop_boilerplate(docs, lines_beside=True)
+    cut = line_dedup.drop_boilerplate(docs, min_sites=line_dedup.site_threshold(docs), lines_beside=True)
     return cut.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import fresh, materialize
 
 MIN_SITES = 15
+#: Sites that ``site_threshold`` asks for at least, however few there are.
+LEAST_SITES = 3
 #: Percent of a document's characters that may go as boilerplate.
 MAX_PERCENT = 80
 LOG_K = 10
@@ -48,6 +50,12 @@ def line_keys(text: Column) -> Column:
     return F.transform(bare, lambda x: F.when(x != "", _key(x)))
 
 
+def site_threshold(docs: DataFrame, site_col: str = "source", most: int = MIN_SITES, least: int = LEAST_SITES) -> int:
+    """Three quarters of the distinct sites, from ``least`` to ``most``."""
+    sites = docs.agg(F.countDistinct(F.col(site_col).cast("string"))).first()[0]
+    return min(most, max(least, -(-3 * sites // 4)))
+
+
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, log_k: int = LOG_K) -> DataFrame:
     """(h1, h2) of the lines that stand on at least ``min_sites`` sites, from ``lines``
     (h1, h2, site). A null site is no site."""

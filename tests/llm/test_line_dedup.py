@@ -82,6 +82,17 @@ def test_only_copies_keep_boilerplate(spark, make_docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_threshold_follows_few_sites(spark, make_docs, no_docs):
+    import corpus_pipeline
+
+    page = "\n".join(f"a line of the page {{0}}, number {i}" for i in range(10))
+    rows = [(i, f"on all sites\n{page.format(i)}" + ("\non four sites" if i % 6 < 4 else ""), "en", f"s{i % 6}") for i in range(30)]
+    out = dict(corpus_pipeline.STAGES)["line dedup"](spark, make_docs(rows), "")
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(i, t.replace("on all sites\n", "")) for i, t, _, _ in rows]
+    sites = lambda n: L.site_threshold(make_docs([(i, "x", "en", f"s{i}") for i in range(n)]))
+    assert [sites(n) for n in (1, 4, 6, 10, 19, 20, 40)] == [3, 3, 5, 8, 15, 15, 15] and L.site_threshold(no_docs) == 3
+
+
 def test_no_python_in_the_plan(make_docs):
     plan = L.drop_boilerplate(make_docs(ODD_ROWS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
