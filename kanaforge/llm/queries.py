@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, mixing, packing, quality, sharding, simhash, spelling, suffix, token_counts, toxicity, warc
+from . import ann, conversations, line_dedup, mixing, packing, quality, sharding, simhash, spelling, suffix, token_counts, toxicity, warc
 from .common import materialize, table
 
 
@@ -68,6 +68,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(rows), rows.select("conv_id"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(spelling.count_words(table(spark, sf_dir, "documents").select("doc_id", "text"), damage_every=97))
 
@@ -81,7 +86,7 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op3_line_dedup, op4_toxicity_severity, op5_permutation_index, op6_balanced_sharding, op7_source_mixing, op8_quality_rules, op9_warc_transactions,
-                                op10_suffix_dedup, op12_spelling_variants, op13_token_counts)}
+                                op10_suffix_dedup, op11_conversation_repair, op12_spelling_variants, op13_token_counts)}
 _BARE = r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
 
 ORACLES: dict[str, str] = {
