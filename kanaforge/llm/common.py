@@ -51,3 +51,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def text_hash(col) -> F.Column:
     """64-bit hash of a text, the same for null and empty."""
     return F.xxhash64(F.coalesce(col, F.lit("")))
+
+
+# --- DuckDB SQL -------------------------------------------------------------------------
+
+#: CTE with the 256 remainders that crc32 looks up, made by its rule.
+CRC32_CTE = """crc AS (SELECT list(list_reduce(list_concat([b], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384)
+    ELSE c >> 1 END) ORDER BY b) AS remainders FROM range(256) r(b))"""
+
+
+def crc32_sql(x: str) -> str:
+    """crc32 of a string's UTF-8 bytes in DuckDB, which has none; needs ``CRC32_CTE`` in FROM."""
+    byte = f"CAST('0x' || substr(hex(encode({x})), 2 * i - 1, 2) AS BIGINT)"
+    return (f"xor(list_reduce(list_concat([4294967295], list_transform(range(1, 1 + strlen({x})), lambda i: {byte})), "
+            "lambda c, b: xor(c >> 8, remainders[1 + (xor(c, b) & 255)])), 4294967295)")

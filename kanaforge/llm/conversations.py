@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import materialize
+from .common import CRC32_CTE, crc32_sql, materialize
 
 KEEP, REROLE, DELETE, INSERT, CUT_END = 0, 1, 2, 5, 5
 BLOCK = 4
@@ -397,3 +397,50 @@ def repair(rows: DataFrame, ids: DataFrame) -> DataFrame:
         F.col("id").alias("conv_id"), zero(F.col("high") - F.col("low") + 1 - F.col("turns")).alias("gaps"),
         *[zero(F.col(c)).alias(c) for c in ("blank", "duplicate", "truncated", "illegal", "cost")],
         F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+
+
+def repair_sql() -> str:
+    """DuckDB SQL for ``repair(damage(conversations), conversations)``: the least (cost, audit)
+    from each state, row by row from the end of every conversation."""
+    named = lambda c: f"coalesce(CAST({c} AS VARCHAR), ' ')"
+    opt = lambda cost, initial, line, g, when="true": (
+        f"CASE WHEN {when} THEN {{'c': {cost} + {g}.c, 'a': '{initial}' || {g}.a, 't': {line} || {g}.t}} ELSE {{'c': 1000000000, 'a': '', 't': ''}} END")
+    own, lf = "role || ':' || text || chr(10)", "|| chr(10)"
+
+    def best(q: int) -> str:
+        options = [opt(DELETE, "D", "''", f"g{q}")]
+        for role, to in STEP.items():
+            if to[q] >= 0:
+                options.append(opt(f"{KEEP} + cut", "K", own, f"g{to[q]}", f"stays AND left(role, 1) = '{role}'"))
+                if role in ROLE_NAMES:
+                    options.append(opt(f"{REROLE} + cut", "R", f"'{ROLE_NAMES[role]}:' || text {lf}", f"g{to[q]}", "stays"))
+        return f"list_min([{', '.join(options)}])"
+
+    user, other = f"'user:' {lf}", f"'assistant:' {lf}"
+    return f"""
+        WITH RECURSIVE {CRC32_CTE},
+        hurt AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                        {crc32_sql(f"({named('conv_id')} || ':' || {named('turn')})")} % 20 AS h FROM conversations, crc),
+        r AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+                     CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                     unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM hurt WHERE h <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(concat(coalesce(CAST(conv_id AS VARCHAR), '-'), '|',
+                     strlen(role), '|', role, text)), copy) AS i, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS bare FROM r),
+        f AS (SELECT *, CASE WHEN bare = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+                             WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+                     left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair FROM o),
+        s AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 1) AS blank,
+                     count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+                     count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+        dp AS (SELECT conv_id, n AS i, {{'c': 0, 'a': '', 't': ''}} AS g0, {{'c': {2 * INSERT}, 'a': 'II', 't': {user} || {other}}} AS g1,
+                      {{'c': {INSERT}, 'a': 'I', 't': {other}}} AS g2, {{'c': 0, 'a': '', 't': ''}} AS g3 FROM s
+               UNION ALL
+               SELECT conv_id, i - 1, list_min([b0, {opt(INSERT, 'I', user, 'c2')}]), list_min([b1, {opt(INSERT, 'I', user, 'c2')}]), c2, c3
+               FROM (SELECT *, list_min([b2, {opt(INSERT, 'I', other, 'b3')}]) AS c2, list_min([b3, {opt(INSERT, 'I', user, 'b2')}]) AS c3
+               FROM (SELECT conv_id, i, {', '.join(f'{best(q)} AS b{q}' for q in range(4))}
+               FROM (SELECT dp.*, f.role, f.text, f.fault NOT IN (1, 2) AS stays, CASE WHEN f.fault = 3 THEN {CUT_END} ELSE 0 END AS cut
+                     FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i WHERE dp.i > 0))))
+        SELECT c.conv_id, {', '.join(f'CAST(coalesce({x}, 0) AS BIGINT) AS {x}' for x in ('gaps', 'blank', 'duplicate', 'truncated', 'illegal'))},
+               CAST(coalesce(g0.c, 0) AS BIGINT) AS cost, coalesce(g0.a, '') AS audit, sha256(coalesce(left(g0.t, greatest(length(g0.t) - 1, 0)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+             LEFT JOIN dp ON dp.conv_id IS NOT DISTINCT FROM c.conv_id AND dp.i = 0"""

@@ -110,4 +110,6 @@ ORACLES: dict[str, str] = {
                CASE WHEN largest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN largest <> page_id THEN largest END AS refers_to
         FROM d LEFT JOIN w USING (digest)""",
+    "op11_conversation_repair": conversations.repair_sql(),
+    "op12_spelling_variants": spelling.variants_sql(damage_every=97),
 }

@@ -21,7 +21,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import CRC32_CTE, crc32_sql, materialize
 
 #: What does not stand in a run of letters.
 NOT_LETTERS = r"[^A-Za-zÀ-ÿ]+"
@@ -136,3 +136,30 @@ def spelling_variants(words: DataFrame) -> DataFrame:
         F.when(big, -F.col("near.less")).alias("form_n")))
     roots = follow_forms(judged.where("form IS NOT NULL").select("word", "form"))
     return judged.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+def variants_sql(damage_every: int) -> str:
+    """DuckDB SQL for ``spelling_variants(count_words(documents, damage_every=...))``: near
+    words by strings with one code point masked or left out."""
+    return f"""
+        WITH RECURSIVE {CRC32_CTE},
+        runs AS (SELECT doc_id, word, count(*) AS n FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id,
+                     unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[A-Za-zÀ-ÿ]+')) AS word FROM documents)
+                 WHERE length(word) >= {MIN_LETTERS} GROUP BY ALL),
+        hashed AS (SELECT word, n, {crc32_sql("(doc_id || ':' || word)")} AS h FROM runs, crc),
+        words AS (SELECT word, sum(n) AS n FROM (SELECT n, CASE WHEN h % {damage_every} = 0
+                      THEN substr(word, 1, h % length(word)) || substr(word, h % length(word) + 2) ELSE word END AS word FROM hashed)
+                  WHERE length(word) >= {MIN_LETTERS} GROUP BY word HAVING sum(n) >= {MIN_COUNT}),
+        holes AS (SELECT word, n, substr(word, 1, i - 1) || '?' || substr(word, i + 1) AS masked, substr(word, 1, i - 1) || substr(word, i + 1) AS less
+                  FROM (SELECT word, n, unnest(range(1, 1 + length(word))) AS i FROM words)),
+        near AS (SELECT a.word, b.word AS other, b.n AS m FROM holes a JOIN holes b ON a.masked = b.masked AND a.word <> b.word
+                 UNION SELECT h.word, w.word, w.n FROM holes h JOIN words w ON h.less = w.word
+                 UNION SELECT w.word, h.word, h.n FROM holes h JOIN words w ON h.less = w.word),
+        best AS (SELECT word, count(*) AS n_near, min({{'less': -m, 'form': other}}) AS b FROM near GROUP BY word),
+        judged AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= 2 * w.n THEN b.form END AS form,
+                          CASE WHEN -b.less >= 2 * w.n THEN -b.less END AS form_n FROM words w LEFT JOIN best USING (word)),
+        chain(word, top) AS (SELECT word, form FROM judged WHERE form IS NOT NULL
+                            UNION ALL SELECT c.word, j.form FROM chain c JOIN judged j ON c.top = j.word WHERE j.form IS NOT NULL),
+        roots AS (SELECT c.word, c.top AS root FROM chain c JOIN judged j ON c.top = j.word WHERE j.form IS NULL)
+        SELECT j.word, j.form, coalesce(root, j.word) AS root, CAST(j.n AS BIGINT) AS n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n
+        FROM judged j LEFT JOIN roots USING (word)"""
