@@ -3,10 +3,11 @@
 Very short pairs use Spark's built-in ``levenshtein`` (O(n*m) cells in generated
 code). Longer pairs go to the bit-parallel algorithm (Myers 1999, global form by
 Hyyro 2001), which handles 64 DP cells per machine word: O(n * ceil(m/64)) word
-operations. Inside one Arrow batch, pairs of similar length run as one numpy computation
-across all pairs (one vector step per character of the shorter side); pairs with few
-others of their length, or above 4,096 characters, use Python's arbitrary-precision
-integers, a whole DP column per step. All paths give the same exact distance.
+operations. Inside one Arrow batch, pairs of equally many words run as one numpy computation
+across all pairs (one vector step per character of the shorter side, over the pairs that
+still have one); pairs with few others of their length, or above 4,096 characters, use
+Python's arbitrary-precision integers, a whole DP column per step. All paths give the same
+exact distance.
 """
 
 from __future__ import annotations
@@ -62,6 +63,8 @@ _U63 = np.uint64(63)
 
 def _add_words(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """x + y over rows of little-endian 64-bit words (carry across words)."""
+    if x.shape[1] == 1:
+        return x + y
     out = np.empty_like(x)
     carry = np.zeros(x.shape[0], dtype=np.uint64)
     for w in range(x.shape[1]):
@@ -81,68 +84,86 @@ def _shl1_words(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _code_points(strings: list[str], width: int, pad: int) -> np.ndarray:
-    out = np.full((len(strings), width), pad, dtype=np.uint32)
-    for i, t in enumerate(strings):
-        cp = np.frombuffer(t.encode("utf-32-le"), dtype="<u4")
-        out[i, : len(cp)] = cp
-    return out
+def _code_points(strings: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+def _spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place in the row) of every character of strings that lie one after another."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
 def _batch_levenshtein(pairs: list[tuple[str, str]], words: int) -> np.ndarray:
     """The same bit-parallel recurrence for many pairs at once, vectorised across pairs
     (numpy over uint64 words). Each pair has len(a) >= len(b) >= 1 and
-    len(a) <= 64 * words. The match masks of step j are one comparison of the
-    code-point rows with b[j], packed to bits."""
-    n_pairs = len(pairs)
-    m = np.fromiter((len(a) for a, _b in pairs), dtype=np.int64, count=n_pairs)
-    n = np.fromiter((len(b) for _a, b in pairs), dtype=np.int64, count=n_pairs)
-    steps = int(n.max())
-    # Pads differ, and no code point reaches them, so padding never matches.
-    a_cp = _code_points([a for a, _b in pairs], 64 * words, 0xFFFFFFFF)
-    b_cp = _code_points([b for _a, b in pairs], steps, 0xFFFFFFFE)
-    bit_index = np.arange(64 * words)
-    full_bits = bit_index[None, :] < m[:, None]
-    full = np.packbits(full_bits, axis=1, bitorder="little").view("<u8")
-    rows = np.arange(n_pairs)
-    top_word = (m - 1) // 64
-    top_bit = ((m - 1) % 64).astype(np.uint64)
-    pv, mv = full.copy(), np.zeros_like(full)
+    len(a) <= 64 * words. The longer side ends at the top bit of its words, so the last row of
+    the table is one bit, and what lies below its first bit never matters. Pairs are ordered
+    by the shorter side, so the ones still running are a prefix. Match masks are looked up by
+    (pair, character); where the batch has many characters, they are compared instead."""
+    m = np.fromiter((len(a) for a, _b in pairs), dtype=np.int64, count=len(pairs))
+    n = np.fromiter((len(b) for _a, b in pairs), dtype=np.int64, count=len(pairs))
+    order = np.argsort(-n, kind="stable")
+    pairs, m, n = [pairs[i] for i in order.tolist()], m[order], n[order]
+    steps, size = int(n[0]), len(pairs)
+    a_flat, b_flat = _code_points([a for a, _b in pairs]), _code_points([b for _a, b in pairs])
+    a_row, a_at = _spread(m)
+    a_at += (64 * words - m)[a_row]
+    b_row, b_at = _spread(n)
+    # Characters of the longer sides numbered from 1; 0 stands for all others.
+    number = np.zeros(int(max(a_flat.max(), b_flat.max())) + 1, dtype=np.int64)
+    number[a_flat] = 1
+    letters = int(number.sum()) + 1
+    number = np.cumsum(number) * number
+    b_codes = np.zeros((steps, size), dtype=np.int64)
+    b_codes[b_at, b_row] = number[b_flat]
+    if letters * words <= _LOOKUP_WORDS:
+        masks = np.zeros(size * letters * words, dtype=np.uint64)
+        np.add.at(masks, (a_row * letters + number[a_flat]) * words + a_at // 64, _U1 << (a_at % 64).astype(np.uint64))
+        masks = masks.reshape(size * letters, words)
+        b_codes += np.arange(size) * letters
+        match = lambda j, k: masks[b_codes[j, :k]]
+    else:
+        a_codes = np.full((size, 64 * words), -1, dtype=np.int64)
+        a_codes[a_row, a_at] = number[a_flat]
+        match = lambda j, k: np.packbits(a_codes[:k] == b_codes[j, :k, None], axis=1, bitorder="little").view("<u8")
+    first = np.zeros((size, words), dtype=np.uint64)
+    low = 64 * words - m
+    first[np.arange(size), low // 64] = _U1 << (low % 64).astype(np.uint64)
+    pv, mv = np.full((size, words), ~np.uint64(0)), np.zeros((size, words), dtype=np.uint64)
     score = m.copy()
-    for j in range(steps):
-        active = (j < n)[:, None]
-        e = np.packbits(a_cp == b_cp[:, j : j + 1], axis=1, bitorder="little").view("<u8")
-        xv = e | mv
-        xh = (_add_words(e & pv, pv) ^ pv) | e
-        ph = mv | (~(xh | pv) & full)
-        mh = pv & xh
-        up = ((ph[rows, top_word] >> top_bit) & _U1).astype(np.int64)
-        down = ((mh[rows, top_word] >> top_bit) & _U1).astype(np.int64)
-        score += active[:, 0] * (up - down)
-        ph = _shl1_words(ph)
-        ph[:, 0] |= _U1
-        ph &= full
-        mh = _shl1_words(mh) & full
-        pv = np.where(active, mh | (~(xv | ph) & full), pv)
-        mv = np.where(active, ph & xv, mv)
-    return score
+    running = np.searchsorted(-n, -np.arange(steps), side="left").tolist()  # pairs with n > j
+    for j, k in enumerate(running):
+        p, v = pv[:k], mv[:k]
+        e = match(j, k)
+        xv = e | v
+        xh = (_add_words(e & p, p) ^ p) | e
+        ph = v | ~(xh | p)
+        mh = p & xh
+        score[:k] += (ph[:, -1] >> _U63).astype(np.int64) - (mh[:, -1] >> _U63).astype(np.int64)
+        ph = _shl1_words(ph) | first[:k]
+        pv[:k] = _shl1_words(mh) | ~(xv | ph)
+        mv[:k] = ph & xv
+    out = np.empty_like(score)
+    out[order] = score
+    return out
 
 
+# Words of match masks of one pair that are looked up at most; beyond it they are compared.
+_LOOKUP_WORDS = 512
 # Cells (pairs x characters of the longer side) of one vector batch, which bounds its memory.
-_BATCH_CELLS = 1 << 22
-# A vector step costs about as much as the big-integer steps of so many pairs; and it compares
-# all characters of the longer side, which beyond 64 words costs more than big integers do.
+_BATCH_CELLS = 1 << 20
+# A vector step costs about as much as the big-integer steps of so many pairs.
 _MIN_BATCH, _MAX_WORDS = 16, 64
 
 
 def pair_distances(a: list, b: list) -> list:
     """Exact distances for a batch of pairs (None where either side is None). Pairs are
-    grouped by the words of the longer and the length band of the shorter side, and every
-    group is done in vector batches: n steps of m character comparisons and m / 64 word
-    operations for a pair of m x n characters. Small groups and pairs above 4,096
-    characters run the big-integer form one by one, n steps of m / 64 word operations."""
+    grouped by the words of the longer side, and every group is done in vector batches: n
+    steps of m / 64 word operations for a pair of m x n characters. Small groups and pairs
+    above 4,096 characters run the big-integer form one by one."""
     out: list = [None] * len(a)
-    groups: dict[tuple[int, int], list[int]] = {}
+    groups: dict[int, list[int]] = {}
     for i, (x, y) in enumerate(zip(a, b)):
         if x is None or y is None:
             continue
@@ -155,18 +176,18 @@ def pair_distances(a: list, b: list) -> list:
             out[i] = len(x)
             continue
         words = (len(x) + 63) // 64
-        # Long pairs share a width within a quarter, so that they meet others.
-        step = max(1, 1 << max(0, words.bit_length() - 3))
-        groups.setdefault((-(-words // step) * step, len(y) // (64 * step)), []).append(i)
-    for (words, _band), idx in groups.items():
+        # From four words on, pairs share a width within a half, so that they meet others.
+        step = max(1, 1 << max(0, words.bit_length() - 2))
+        groups.setdefault(-(-words // step) * step, []).append(i)
+    for words, idx in groups.items():
         size = max(1, _BATCH_CELLS // (64 * words))
         for k in range(0, len(idx), size):
             part = idx[k:k + size]
             pairs = [(a[i], b[i]) if len(a[i]) >= len(b[i]) else (b[i], a[i]) for i in part]
             few = len(pairs) < _MIN_BATCH or words > _MAX_WORDS
-            found = [bitparallel_levenshtein(x, y) for x, y in pairs] if few else _batch_levenshtein(pairs, words)
+            found = [bitparallel_levenshtein(x, y) for x, y in pairs] if few else _batch_levenshtein(pairs, words).tolist()
             for i, d in zip(part, found):
-                out[i] = int(d)
+                out[i] = d
     return out
 
 

@@ -4,17 +4,20 @@ The longest-match conversion is the greedy left-to-right scan of a dictionary-ba
 converter: at each position take the longest dictionary key that starts there (and
 emit its value), else pass one character through. A dictionary of measured size is
 copied to every task, which scans its own lines once (Arrow batches, no shuffle); a
-larger one is joined with the substrings of the lines.
+larger one is joined with the substrings of the lines that pass a bit set over its keys.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.matching import Bloom, FlatDictionary, Windows, code_points, in_slices, text_hashes
 from ..functions.text import katakana_to_hiragana, reading_of, strip_ws
 from ..session import write_once
 
@@ -38,54 +41,66 @@ def build_lexicon(pairs: DataFrame, key: str = "key", value: str = "value") -> D
         F.col(key).alias("key"), F.col("_b.v").alias("value"), F.col("_b.c").cast("long").alias("n"))
 
 
-# Largest dictionary, in bytes of keys and values, that every task gets a copy of.
-BROADCAST_MAX_BYTES = 64 << 20
-
-
-def _convert(text: str, entries: dict[str, str], lengths: dict[str, list[int]]) -> str:
-    """Greedy longest match; ``lengths``: key lengths by first character, longest first.
-    One pass over the text, whatever its length."""
-    out, p, n = [], 0, len(text)
-    while p < n:
-        for k in lengths.get(text[p], ()):
-            value = entries.get(text[p:p + k])
-            if value is not None:
-                out.append(value)
-                p += k
-                break
-        else:
-            out.append(text[p])
-            p += 1
-    return "".join(out)
+# Largest dictionary, in bytes of its arrays, that every task gets a copy of.
+BROADCAST_MAX_BYTES = 128 << 20
+# Bytes of the bit set over the keys of a larger one, at most.
+BLOOM_BYTES = 32 << 20
 
 
 def _map_side(lines: DataFrame, lexicon: DataFrame, text: Column, out: str) -> DataFrame:
     """Every task converts its own lines against a copy of the dictionary; no shuffle."""
-    entries = {r["key"]: r["value"] for r in lexicon.collect()}
-    lengths: dict[str, set[int]] = {}
-    for key in entries:
-        lengths.setdefault(key[0], set()).add(len(key))
-    bound = lines.sparkSession.sparkContext.broadcast((entries, {c: sorted(v, reverse=True) for c, v in lengths.items()}))
+    rows = lexicon.toPandas()
+    bound = lines.sparkSession.sparkContext.broadcast(FlatDictionary(rows["key"].tolist(), rows["value"].tolist()))
 
     @F.pandas_udf("string")
     def convert(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else _convert(t, *bound.value))
+        return pd.Series(bound.value.convert(texts.tolist()), dtype=object)
 
     return lines.withColumn(out, convert(text))
 
 
-def _by_candidates(base: DataFrame, lexicon: DataFrame, lens: list[int], line: str, text: str, out: str) -> DataFrame:
-    """The same conversion for a dictionary too large to copy: every substring of a key's
-    length is joined with the dictionary, and the hits of a line are folded in order. The
-    join key holds the whole substring, longest candidates included; hits carry positions
-    only, and the pieces are put together once at the end."""
-    n = F.length(text)
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda p: F.substring(text, p, max(lens)))
-    win = base.filter(n > 0).select(line, F.posexplode(windows).alias("_p0", "_w"))
-    cand = win.select(
-        line, (F.col("_p0") + 1).alias("p"), "_w",
-        F.explode(F.filter(F.array(*[F.lit(k) for k in lens]), lambda k: k <= F.length("_w"))).alias("k"),
-    ).select(line, "p", "k", F.substring("_w", 1, F.col("k")).alias("s"))
+def _bloom(lexicon: DataFrame, entries: int) -> Bloom:
+    """Bit set over the dictionary's keys: the tasks set bits, equal words are combined before
+    the shuffle, and at most ``BLOOM_BYTES`` of words reach the driver."""
+    n_words = min(BLOOM_BYTES // 8, max(1 << 10, entries * 10 // 64))
+
+    def bits(batches):
+        for batch in batches:
+            bit = Bloom.bits(text_hashes(batch.column(0).to_pylist()), n_words).ravel()
+            bit = np.unique(bit)
+            word, first = np.unique(bit >> np.uint64(6), return_index=True)
+            mask = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), first) if len(first) else bit
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(mask.view(np.int64))], ["word", "mask"])
+
+    got = lexicon.select("key").mapInArrow(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    words = np.zeros(n_words, np.uint64)
+    words[got["word"].to_numpy()] = got["mask"].to_numpy(np.int64).view(np.uint64)
+    return Bloom(words)
+
+
+def _by_candidates(base: DataFrame, lexicon: DataFrame, lens: list[int], entries: int, line: str, text: str, out: str) -> DataFrame:
+    """The same conversion for a dictionary too large to copy: substrings of a key's length
+    that pass the bit set over the keys (nearly all of them are keys) are joined with the
+    dictionary, and the hits of a line are folded in order; hits carry positions only, and the
+    pieces are put together once at the end."""
+    bound = base.sparkSession.sparkContext.broadcast(_bloom(lexicon, entries))
+
+    @F.pandas_udf("array<struct<p:int,k:int,s:string>>")
+    def candidates(texts: pd.Series) -> pd.Series:
+        found = []
+        for part in in_slices(texts.fillna("").tolist()):
+            codes, starts = code_points(part)
+            windows, end = Windows(codes), np.repeat(starts[1:], np.diff(starts))
+            owner, own = np.repeat(np.arange(len(part)), np.diff(starts)), [[] for _ in part]
+            for k in lens:
+                at = np.flatnonzero(np.arange(len(codes)) + k <= end)
+                at = at[bound.value.has(windows.hashes(at, k))]
+                for i, p in zip(owner[at].tolist(), (at - starts[owner[at]]).tolist()):
+                    own[i].append({"p": p + 1, "k": k, "s": part[i][p:p + k]})
+            found += own
+        return pd.Series(found, dtype=object)
+
+    cand = base.select(line, F.explode(candidates(F.col(text))).alias("c")).select(line, "c.p", "c.k", "c.s")
     hits = cand.join(lexicon.select(F.col("key").alias("s"), F.col("value").alias("v")), on="s", how="inner")
     # Sorted by position, longest key first at a position.
     per_line = hits.groupBy(line).agg(
@@ -108,17 +123,18 @@ def longest_match(lines: DataFrame, lexicon: DataFrame, line: str = "line_id", t
     value); characters no key covers pass through unchanged. Keys must be unique; empty
     and null keys match nothing. ``keep``: columns of ``lines`` carried to the output.
 
-    The dictionary is written once and measured. Up to ``broadcast_max_bytes`` every task
-    holds a copy and converts its lines in one linear pass without a shuffle; a larger
-    dictionary is joined with the lines' substrings, with the same answer."""
-    lexicon = write_once(lexicon.select("key", "value").filter(F.length("key") > 0))
-    size = lexicon.agg(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).alias("bytes"),
+    The dictionary is written once and measured. Up to ``broadcast_max_bytes`` of its arrays
+    every task holds a copy and converts its lines in one linear pass without a shuffle; a
+    larger dictionary is joined with the substrings that may be its keys, with the same answer.
+    A key without a value matches nothing."""
+    lexicon = write_once(lexicon.select("key", "value").filter((F.length("key") > 0) & F.col("value").isNotNull()))
+    size = lexicon.agg(F.sum(4 * (F.length("key") + F.length("value")) + 40).alias("bytes"), F.count("*").alias("entries"),
                        F.collect_set(F.length("key")).alias("lens")).first()
     base = lines.select(F.col(line).alias("_line"), F.col(text).alias("_text"), *keep)
     if (size["bytes"] or 0) <= broadcast_max_bytes:
         done = _map_side(base, lexicon, F.col("_text"), "_out")
     else:
-        done = _by_candidates(base, lexicon, sorted(size["lens"]), "_line", "_text", "_out")
+        done = _by_candidates(base, lexicon, sorted(size["lens"]), size["entries"], "_line", "_text", "_out")
     return done.select(F.col("_line").alias(line), *keep, F.col("_out").alias(out))
 
 
