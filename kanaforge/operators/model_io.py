@@ -12,9 +12,10 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StringType
+from pyspark.sql.types import DataType, LongType, StringType, StructField, StructType
 
 from ..functions import constants as K
 from ..functions.text import format_prompt
@@ -125,6 +126,56 @@ def with_length_bucket(df: DataFrame, text: str = "text", width: int = 64, parti
     return b.repartitionByRange(n, F.col("bucket"), F.xxhash64(F.col(text)))
 
 
+def length_batches(df: DataFrame, key: Sequence[str], text: str = "text", batch_rows: int = 8, mega_batches: int = 50,
+                   max_tokens: int | None = None, seed: int = K.SEED) -> DataFrame:
+    """MDL-4: ``df`` cut into batches of similar length, with ``mega_batch``, ``batch`` (from 0
+    inside its mega-batch, longest first), ``batch_len`` (length of its longest text, to which
+    the others are padded).
+
+    Rows are dealt to mega-batches of about ``batch_rows * mega_batches`` rows by a hash of
+    seed and key, which is the random order of an epoch; inside one they are sorted by length,
+    longest first, ties by that hash, and cut into batches of ``batch_rows``; or, with
+    ``max_tokens``, into as few as keep rows x batch_len within it (a longer row is alone). One
+    shuffle by mega-batch, each of bounded size, lays the rows out; sort a partition by
+    (mega_batch, batch) to feed them. A null text has length 0; null key parts count as text
+    "null". Columns of ``df`` that have one of the three names are replaced."""
+    df = df.drop(*[c for c in df.columns if c.lower() in ("mega_batch", "batch", "batch_len")])
+    megas = max(1, -(-df.count() // (batch_rows * mega_batches)))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in key]).cast("binary"))
+    dealt = df.withColumn("_hash", digest).withColumn("_len", F.coalesce(F.length(F.col(text)), F.lit(0))).withColumn(
+        "mega_batch", F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long") % megas)
+    order = [F.col("_len").desc(), F.col("_hash")]
+    if max_tokens is None:
+        w = Window.partitionBy("mega_batch")
+        cut = dealt.withColumn("batch", F.floor((F.row_number().over(w.orderBy(*order)) - 1) / batch_rows).cast("long"))
+        return cut.withColumn("batch_len", F.max("_len").over(Window.partitionBy("mega_batch", "batch")).cast("long")).drop("_len", "_hash")
+    schema = StructType([*(f for f in dealt.schema if f.name not in ("_len", "_hash")), StructField("batch", LongType()), StructField("batch_len", LongType())])
+
+    def fill(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("_len", "descending"), ("_hash", "ascending")])
+        batch, first, held, numbers, longest = -1, 0, 0, [], []
+        for n in rows.column("_len").to_pylist():
+            held += 1
+            if batch < 0 or held * first > max_tokens:
+                batch, first, held = batch + 1, n, 1
+            numbers.append(batch)
+            longest.append(first)
+        return rows.drop_columns(["_len", "_hash"]).append_column("batch", pa.array(numbers, pa.int64())).append_column("batch_len", pa.array(longest, pa.int64()))
+
+    return dealt.groupBy("mega_batch").applyInArrow(fill, schema)
+
+
+def padding_report(batches: DataFrame, text: str = "text", by: Sequence[str] = ()) -> DataFrame:
+    """MDL-4: what padding costs: (by, batches, n_rows, tokens, padded, padding_share) for the
+    result of ``length_batches``. padding_share: padding of all positions, 0 without any."""
+    each = batches.groupBy(*by, "mega_batch", "batch").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.length(F.col(text)), F.lit(0)).cast("long")).alias("t"), F.max("batch_len").alias("l"))
+    total = each.groupBy(*by).agg(F.count(F.lit(1)).alias("batches"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+                                  F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.col("n") * F.col("l")), F.lit(0)).alias("padded"))
+    share = F.when(F.col("padded") > 0, 1 - F.col("tokens") / F.col("padded")).otherwise(0.0)
+    return total.withColumn("padding_share", F.round(share, 6))
+
+
 def batch_score(df: DataFrame, text: Column | str, make_predict_fn: Callable, batch_size: int = 64,
                 return_type: DataType = StringType(), prefix: str | None = K.PROMPT_PREFIX,
                 out: str = "prediction") -> DataFrame:

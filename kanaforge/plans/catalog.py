@@ -1033,6 +1033,51 @@ def q_length_banded(spark, sf_dir):
     return MI.with_length_bucket(_conv(spark, sf_dir), "text", width=64).select("conv_id", "turn", "bucket")
 
 
+def _batch_sql(rows: int = 8, megas: int = 50) -> str:
+    return (
+        "k AS (SELECT conv_id, turn, coalesce(length(text), 0) AS len, md5('" + str(K.SEED) + ":' || conv_id || ':' || turn) AS h FROM conversations), "
+        f"m AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (SELECT greatest(1, CAST(ceil(count(*) / {rows * megas}.0) AS BIGINT)) FROM k) "
+        "AS mega_batch FROM k), "
+        "r AS (SELECT *, row_number() OVER (PARTITION BY mega_batch ORDER BY len DESC, h) AS rn FROM m), "
+        f"b AS (SELECT *, CAST((rn - 1) // {rows} AS BIGINT) AS batch FROM r), "
+        "lb AS (SELECT conv_id, turn, len, mega_batch, batch, CAST(max(len) OVER (PARTITION BY mega_batch, batch) AS BIGINT) AS batch_len FROM b)"
+    )
+
+
+def _token_batch_sql(max_tokens: int) -> str:
+    return (
+        "f AS (SELECT mega_batch, rn, conv_id, turn, len, CAST(0 AS BIGINT) AS batch, CAST(len AS BIGINT) AS batch_len, 1 AS held FROM r WHERE rn = 1 "
+        "UNION ALL SELECT r.mega_batch, r.rn, r.conv_id, r.turn, r.len, "
+        f"CASE WHEN (f.held + 1) * f.batch_len > {max_tokens} THEN f.batch + 1 ELSE f.batch END, "
+        f"CASE WHEN (f.held + 1) * f.batch_len > {max_tokens} THEN r.len ELSE f.batch_len END, "
+        f"CASE WHEN (f.held + 1) * f.batch_len > {max_tokens} THEN 1 ELSE f.held + 1 END "
+        "FROM f JOIN r ON r.mega_batch = f.mega_batch AND r.rn = f.rn + 1)"
+    )
+
+
+@register("length_batches", ("MDL-4",), f"WITH {_batch_sql()} SELECT conv_id, turn, mega_batch, batch, batch_len FROM lb")
+def q_length_batches(spark, sf_dir):
+    return MI.length_batches(_conv(spark, sf_dir), ["conv_id", "turn"]).select("conv_id", "turn", "mega_batch", "batch", "batch_len")
+
+
+@register(
+    "token_batches", ("MDL-4",),
+    f"WITH RECURSIVE {_batch_sql()}, {_token_batch_sql(4096)} SELECT conv_id, turn, mega_batch, batch, batch_len FROM f",
+)
+def q_token_batches(spark, sf_dir):
+    return MI.length_batches(_conv(spark, sf_dir), ["conv_id", "turn"], max_tokens=4096).select("conv_id", "turn", "mega_batch", "batch", "batch_len")
+
+
+@register(
+    "padding_report", ("MDL-4",),
+    f"WITH {_batch_sql()}, e AS (SELECT count(*) AS n, sum(len) AS t, max(batch_len) AS l FROM lb GROUP BY mega_batch, batch) "
+    "SELECT CAST(count(*) AS BIGINT) AS batches, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(t) AS BIGINT) AS tokens, CAST(sum(n * l) AS BIGINT) AS padded, "
+    "round(1 - sum(t) / sum(n * l), 6) AS padding_share FROM e",
+)
+def q_padding_report(spark, sf_dir):
+    return MI.padding_report(MI.length_batches(_conv(spark, sf_dir), ["conv_id", "turn"]))
+
+
 # ---------------------------------------------------------------------------------------
 # Round trips through the sinks and sources: SRC-1, SRC-2, SRC-4, SNK-1..5. Every query
 # writes all its rows below the shared scratch folder and reads them back.
@@ -1092,6 +1137,31 @@ def q_export_roundtrip(spark, sf_dir):
     return pairs.select("idx", back("source"), back("target"))
 
 
+@register(
+    "clean_written", ("FLT-2", "AGG-1"),
+    f"WITH {O.corpus_ctes()} SELECT lang, CAST(count_if(ok) AS BIGINT) AS valid, CAST(count_if(NOT ok) AS BIGINT) AS filtered, "
+    "CAST(count(*) AS BIGINT) AS total, CAST(count_if(ok) AS BIGINT) AS written FROM cleaned GROUP BY lang",
+)
+def q_clean_written(spark, sf_dir):
+    """The counts observed while the clean pairs are written, beside the rows in the files."""
+    path = scratch_folder(spark, "clean")
+    counts = DSRC.write_clean_pairs(cleaned_pairs(spark, sf_dir, keep_flag="ok"), path, by="lang", values=LANGS)
+    written = spark.read.parquet(path).groupBy(F.col("lang").alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(written, F.col("lang").eqNullSafe(F.col("l")), "left").select("lang", "valid", "filtered", "total", F.coalesce("n", F.lit(0)).alias("written"))
+
+
+@register(
+    "splits_written", ("SNK-2", "AGG-5"),
+    f"{_SPLIT_EXACT_SQL}, c AS (SELECT split, CAST(count(*) AS BIGINT) AS n FROM ds GROUP BY split) "
+    "SELECT split, n, CAST(sum(n) OVER () AS BIGINT) AS total, round(n * 100.0 / sum(n) OVER (), 6) AS pct, n AS written FROM c",
+)
+def q_splits_written(spark, sf_dir):
+    """Split statistics observed while the splits are written, beside the rows in the files."""
+    path = scratch_folder(spark, "splits")
+    stats = DSRC.write_splits_counted(split_dataset(spark, sf_dir).select("pair_key", "translation", "split"), path)
+    return stats.join(DSRC.read_splits(spark, path).groupBy("split").agg(F.count(F.lit(1)).alias("written")), "split")
+
+
 @register("vocab_roundtrip", ("SNK-4", "SRC-1", "AGG-2"), f"WITH {_VOCAB_SQL} SELECT ch, idx FROM v")
 def q_vocab_roundtrip(spark, sf_dir):
     path = scratch_folder(spark, "vocab")
