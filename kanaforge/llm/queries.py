@@ -60,7 +60,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_folder(spark)
     warc.write_warc(warc.mark_revisits(table(spark, sf_dir, "pages")), path)
-    return warc.resolve_revisits(materialize(warc.capture_digests(warc.assemble(spark, path))))
+    return warc.resolve_revisits(materialize(warc.capture_digests(warc.assemble(spark, path, payloads=False))))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import os
 
 import pytest
 
@@ -13,7 +14,7 @@ def pages(spark, rows):
 
 
 def round_trip(spark, rows, path):
-    W.write_warc(W.mark_revisits(pages(spark, rows)), path, captures_per_file=2)
+    W.write_warc(W.mark_revisits(pages(spark, rows)), path, file_sizes=((4, 2), (900, 2), (None, 1)))
     return W.assemble(spark, path)
 
 
@@ -31,6 +32,24 @@ def test_round_trip(spark, tmpdir_path):
         assert page != 1 or c["target_uri"] == "http://a/x%20y%20%20Evil:%201".replace("%20%20Evil", "%20%20Evil")
 
 
+def test_files_are_bounded_and_long_pages_whole(spark, tmpdir_path):
+    rows = [(i, "u", f"page {i}") for i in range(20)] + [(100 + i, "u", f"{i}" + "long page " * 300_000) for i in range(3)]
+    marked = W.mark_revisits(pages(spark, rows).coalesce(1))
+    W.write_warc(marked, f"{tmpdir_path}/w", file_sizes=((100, 8), (None, 1)))
+    files = [os.path.join(d, f) for d, _, names in os.walk(f"{tmpdir_path}/w") for f in names if f.endswith(".gz")]
+    held = sorted(sum(h["warc-type"] == "response" for h, _ in W.parse_warc(open(f, "rb").read())) for f in files)
+    assert held == [1, 1, 1, 4, 8, 8]
+    slim = {r["metadata"]["payload"]: r["capture"] for r in W.assemble(spark, f"{tmpdir_path}/w", payloads=False).collect()}
+    for i, _, html in rows:
+        c = slim[b"page-id: %d\r\n" % i]
+        assert (c["payload"], c["payload_bytes"], c["payload_sha1"]) == (None, len(html), hashlib.sha1(html.encode()).hexdigest())
+
+
+def test_many_digests_are_joined_by_shuffle(spark, tmpdir_path, monkeypatch):
+    monkeypatch.setattr(W, "BROADCAST_DIGESTS", 0)
+    test_revisits(spark, tmpdir_path)
+
+
 def digests(spark, rows, path):
     from kanaforge.llm.common import materialize
 
