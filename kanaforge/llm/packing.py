@@ -3,9 +3,9 @@
 Every partition packs its own items best fit, longest first, and emits the bins that are
 nearly full. Underfull bins become items themselves: the partitions are merged in a tree
 of small fan-in, and every node packs the bins of its children best fit again, emits what
-is then nearly full and hands the rest up, until one node is left. A node hands up at most
-``carry`` bins, its emptiest; fuller ones are final, which costs a little space but bounds
-every task.
+is then nearly full and hands the rest up, until one node is left. A node of more than
+``carry`` bins is packed in parts of about that many, mixed by hash, so every task is bounded
+and every underfull bin still climbs.
 """
 
 from __future__ import annotations
@@ -51,7 +51,8 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def pack(items: DataFrame, capacity: int = 4096, slack: int | None = None, fan_in: int = FAN_IN, carry: int = CARRY) -> DataFrame:
-    """(item_id, sequence_id, offset) for ``items`` (item_id long, length long).
+    """(item_id, sequence_id, offset) for ``items`` (item_id long, length long; other columns
+    are dropped).
 
     Lengths lie between 0 and ``capacity``; a null or longer one is an error. Items of
     length 0 take a place of no width. Bins with at most ``slack`` free places (default: one
@@ -84,9 +85,6 @@ def pack(items: DataFrame, capacity: int = 4096, slack: int | None = None, fan_i
         node = int(f["node"].iloc[0])
         fill = np.array(fill, np.int64)
         up = fill < capacity - slack
-        if up.sum() > carry:
-            up[:] = False
-            up[np.argsort(fill, kind="stable")[:carry]] = True
         # A merged bin takes the id of the child that opens it.
         head = np.zeros(len(fill), np.int64)
         head[bins[offsets == 0]] = f["bin_id"].to_numpy(np.int64)[offsets == 0]
@@ -95,8 +93,11 @@ def pack(items: DataFrame, capacity: int = 4096, slack: int | None = None, fan_i
     maps, nodes = [], (left.agg(F.max("node")).first()[0] or 0) + 1
     while True:
         nodes = -(-nodes // fan_in)
-        step = materialize(left.select("bin_id", "fill", F.floor(F.col("node") / fan_in).cast("int").alias("node"))
-                           .groupBy("node").applyInPandas(merge, "bin_id long, node int, parent long, base long, fill long, up boolean"))
+        left = left.select("bin_id", "fill", F.floor(F.col("node") / fan_in).cast("int").alias("node"))
+        sizes = left.groupBy("node").agg(F.ceil(F.count("*") / carry).cast("int").alias("parts")).where("parts > 1")
+        parted = left.join(sizes, "node", "left").withColumn("part", F.pmod(F.xxhash64("bin_id"), F.coalesce("parts", F.lit(1))))
+        step = materialize(parted.select("bin_id", "fill", "node", "part").groupBy("node", "part")
+                           .applyInPandas(merge, "bin_id long, node int, parent long, base long, fill long, up boolean"))
         maps.append(step.select("bin_id", "parent", "base"))
         if nodes <= 1:
             break
@@ -116,7 +117,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity
     """Every document's token ids, with ``end_id`` behind them, in pieces of at most
     ``capacity`` ids: the columns of ``docs`` but the text, then piece, start, length and
     ids (little-endian unsigned 32-bit numbers, as binary). Null text: as empty, so just
-    the end id. Only longer documents are cut; only the last piece may be shorter."""
+    the end id. Only longer documents are cut; only the last piece may be shorter. Columns of
+    the input that have one of those names are replaced."""
     @pandas_udf("array<binary>")
     def cut(texts: pd.Series) -> pd.Series:
         tok, end = tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
@@ -126,7 +128,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity
             out.append([ids[k:k + 4 * capacity] for k in range(0, len(ids), 4 * capacity)])
         return pd.Series(out)
 
-    rest = [c for c in docs.columns if c != text_col]
+    rest = [c for c in docs.columns if c.lower() not in {text_col.lower(), "piece", "start", "length", "ids"}]
     return docs.select(*[F.col(f"`{c}`") for c in rest], F.posexplode(cut(F.col(text_col).cast("binary"))).alias("piece", "ids")).select(
         *[F.col(f"`{c}`") for c in rest], "piece", (F.col("piece").cast("long") * capacity).alias("start"),
         (F.octet_length("ids") / 4).cast("long").alias("length"), "ids")
@@ -148,10 +150,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capaci
     are written; it must keep ``length``. Pieces are written once, packing reads only their
     lengths, and one join brings both together. Full pieces fill a sequence each; repeated
     documents are packed as often as they occur; the input's own columns named like those
-    added here must be renamed or dropped by the caller."""
+    added here are replaced."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in {"sequence_id", "offset"} - {text_col.lower()}])
     pieces = token_pieces(docs, tokenizer_path, end_id, capacity, text_col)
     pieces = payload(pieces) if payload else pieces
-    item, = fresh(pieces, "item_id")
+    item, packed = fresh(pieces, "item_id", "packed_item")
     pieces = materialize(pieces.withColumn(item, F.monotonically_increasing_id()))
-    placed = pack(pieces.select(F.col(item).alias("item_id"), "length"), capacity).withColumnRenamed("item_id", "packed_item")
-    return pieces.join(placed, pieces[item] == placed["packed_item"]).drop(item, "packed_item")
+    placed = pack(pieces.select(F.col(item).alias("item_id"), "length"), capacity).withColumnRenamed("item_id", packed)
+    return pieces.join(placed, pieces[item] == placed[packed]).drop(item, packed)

@@ -60,6 +60,17 @@ def test_pack_through_a_tree(spark, lengths):
     assert n <= 1.1 * len(best) + 1
 
 
+def test_every_underfull_bin_climbs(spark):
+    # One item a partition: nothing fits before the first merge.
+    items = spark.range(256).select(F.col("id").alias("item_id"), (30 + F.col("id") % 41).alias("length")).repartitionByRange(256, "item_id")
+    bins = {}
+    for carry in (50_000, 64, 16):
+        rows = P.pack(items, capacity=100, slack=0, fan_in=16, carry=carry).join(items, "item_id").collect()
+        assert len(rows) == 256
+        bins[carry] = check_bins(rows, 100)
+    assert bins[16] <= 1.1 * bins[50_000] and bins[64] <= 1.05 * bins[50_000]
+
+
 def test_pack_bounded_carry_keeps_all(spark):
     items = spark.range(300).select(F.col("id").alias("item_id"), (F.col("id") % 9 + 1).alias("length")).repartition(16, "item_id")
     rows = P.pack(items, capacity=10, fan_in=2, carry=1).join(items, "item_id").collect()
@@ -105,3 +116,10 @@ def test_query(spark, whole):
         for k in range(0, len(ids), 4096):
             want[i, k // 4096] = (k, len(ids[k:k + 4096]), zlib.crc32(ids[k:k + 4096].tobytes()))
     assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want
+
+
+def test_clashing_columns_are_replaced(odd_docs):
+    clash = odd_docs.select("doc_id", "text", *[F.lit("x").alias(c) for c in ("ids", "Piece", "offset", "sequence_id", "item_id", "packed_item", "length", "fill")])
+    got = P.pack_documents(clash, PATH, capacity=4096)
+    assert sorted(got.columns) == sorted(["doc_id", "item_id", "packed_item", "fill", "piece", "start", "length", "ids", "sequence_id", "offset"])
+    check_bins(got.collect(), 4096)
