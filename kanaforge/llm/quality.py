@@ -107,7 +107,8 @@ def rules(f: str) -> dict[str, Column]:
         "repeated_words": _vote(c["n_repeat_words"] <= 0.1 * words, c["n_repeat_words"] > 0.25 * words),
         "capitals": _vote(c["n_upper"] <= 0.15 * letters, c["n_upper"] > 0.4 * letters),
         "sentences": _vote(c["n_ends"].between(0.02 * words, 0.3 * words), (c["n_ends"] > 0.6 * words) | ((c["n_ends"] == 0) & (c["n_words"] >= 100))),
-        "variety": _vote(c["n_distinct"] >= 0.4 * words, (c["n_distinct"] < 0.22 * words) & c["n_words"].between(50, 1000)),
+        # Distinct words grow slower than words (Heaps), so their number is held against a power.
+        "variety": _vote(c["n_distinct"] >= 0.9 * F.pow(words, F.lit(0.85)), c["n_distinct"] < 0.5 * F.pow(words, F.lit(0.85))),
     }
 
 
@@ -176,8 +177,10 @@ def score_documents(docs: DataFrame, text_col: str = "text", keep_at: float = 0.
     ``quality`` (null where the base filter failed) and ``kept``.
 
     Null and empty texts have no words and fail the base filter. Repeated rows are scored
-    as often as they occur. The features are written once; texts are never shuffled."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    as often as they occur. A column of the input that has one of the four names is replaced.
+    The features are written once; texts are never shuffled."""
+    added = {c.lower() for c in (text_col, features_as, quality_as, failed_as, kept_as)}
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in added]
     featured = materialize(docs.select(*rest, text_features(F.col(text_col)).alias(features_as)))
     return _with_verdict(featured, features_as, keep_at, quality_as, failed_as, kept_as)
 
@@ -193,13 +196,12 @@ def _with_verdict(featured, f, keep_at, quality_as, failed_as, kept_as) -> DataF
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", keep_at: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the rules keep. The first pass writes the vote counts of all
-    documents, the second filters in the scan; no text is shuffled."""
+    """The rows of ``docs`` that the rules keep. One pass over the texts writes the counts
+    beside the documents; they are judged and filtered from there, and no text is shuffled."""
     f, = fresh(docs, "quality_features")
-    first = materialize(docs.select(text_features(F.col(text_col)).alias(f)))
-    table, votes = judge(first, f)
+    featured = materialize(docs.withColumn(f, text_features(F.col(f"`{text_col}`"))))
+    table, votes = judge(featured, f)
     good = [tuple(r["votes"]) for r in table.where(F.col("quality") >= keep_at).collect()]
     code = lambda v: F.concat_ws(",", v.cast("array<string>"))
     names = [",".join(map(str, p)) for p in good]
-    return docs.withColumn(f, text_features(F.col(text_col))).where(
-        ~base_failed(f) & code(votes).isin(names or [""])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return featured.where(~base_failed(f) & code(votes).isin(names or [""])).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -77,6 +77,21 @@ def test_odd_rows(odd_docs, no_docs):
     assert Q.keep_good(no_docs).count() == 0 and Q.score_documents(no_docs.select("doc_id", "text")).count() == 0
 
 
+def test_clashing_columns_are_replaced(odd_docs):
+    got = Q.score_documents(odd_docs)
+    assert len(set(got.columns)) == len(got.columns) and {"features", "quality", "kept", "base_failed", "votes"} <= set(got.columns)
+    assert sorted(r["kept"] for r in got.collect()) == sorted(r["kept"] for r in Q.score_documents(odd_docs.select("doc_id", "text")).collect())
+
+
+def test_variety_is_judged_at_every_length(spark):
+    rows = [(n, share) for n in (30, 400, 2000, 50_000) for share in (0.05, 1.0)]
+    c = {f: 0 for f in Q.FEATURES}
+    df = spark.createDataFrame([(n, share, c | {"n_words": n, "n_distinct": max(2, int(share * 0.95 * n ** 0.85))}) for n, share in rows],
+                               f"n long, share double, f struct<{','.join(f'{x}:long' for x in Q.FEATURES)}>")
+    votes = {(r["n"], r["share"]): r["v"] for r in df.select("n", "share", Q.rules("f")["variety"].alias("v")).collect()}
+    assert votes == {(n, share): int(share == 1.0) for n, share in rows}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 def test_query(spark):
     from kanaforge.llm.queries import op8_quality_rules
