@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, LongType, StringType, StructField, StructType
@@ -30,11 +31,40 @@ def _vocab_arrays(vocab: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([c for c, _ in rows], np.uint32), np.array([i for _, i in rows], np.int32)
 
 
-def _code_points(texts: list[str | None], max_length: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """All code points of the (cut) texts in a row, and where each text begins and ends."""
-    cut = [(t or "")[:max_length] for t in texts]
-    ends = np.cumsum([0, *map(len, cut)])
-    return np.frombuffer("".join(cut).encode("utf-32-le", "surrogatepass"), "<u4"), ends
+def _code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All code points of Arrow strings in a row (null: none), and where each string begins
+    and ends."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    ends = np.zeros(len(texts) + 1, np.int32)
+    np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), out=ends[1:])
+    if not ends[-1]:
+        return np.zeros(0, np.uint32), ends
+    cuts = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    joined = texts.buffers()[2].slice(int(cuts[0]), int(cuts[-1] - cuts[0])).to_pybytes().decode("utf-8")
+    return np.frombuffer(joined.encode("utf-32-le"), "<u4"), ends
+
+
+def _strings(chars: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Arrow strings from code points in a row and where each string begins and ends."""
+    size = 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
+    cuts = np.append(0, np.cumsum(size))[ends].astype(np.int64)
+    data = chars.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
+    return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(cuts), pa.py_buffer(data)).cast(pa.string())
+
+
+def _encoder(vocab: DataFrame, max_length: int | None, unk_id: int):
+    """Column function: text -> ids of its characters. Arrow strings in, Arrow lists out: the
+    ids of a batch are looked up at once, and offsets cut them into rows."""
+    points, ids = _vocab_arrays(vocab)
+    table = np.full(int(points[-1]) + 2 if len(points) else 1, unk_id, np.int32)
+    table[points] = ids
+
+    @F.arrow_udf("array<int>")
+    def encode(texts: pa.Array) -> pa.Array:
+        chars, ends = _code_points(texts if max_length is None else pc.utf8_slice_codeunits(texts, 0, max_length))
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(table[np.minimum(chars, len(table) - 1)]))
+
+    return encode
 
 
 def encode_chars(df: DataFrame, text: Column | str, vocab: DataFrame, max_length: int | None = None,
@@ -43,16 +73,7 @@ def encode_chars(df: DataFrame, text: Column | str, vocab: DataFrame, max_length
     ``max_length``, if given); characters outside the vocabulary get ``unk_id``. NULL and
     empty texts get an empty array. A row-local map over Arrow batches: the vocabulary
     goes to the tasks, no character crosses a shuffle."""
-    points, ids = _vocab_arrays(vocab)
-
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        chars, ends = _code_points(texts.tolist(), max_length)
-        at = np.minimum(np.searchsorted(points, chars), max(0, len(points) - 1))
-        found = np.where(points[at] == chars, ids[at], unk_id).astype(np.int32) if len(points) else np.full(len(chars), unk_id, np.int32)
-        return pd.Series([found[a:b] for a, b in zip(ends[:-1], ends[1:])])
-
-    return df.withColumn(out, encode(F.col(text) if isinstance(text, str) else text))
+    return df.withColumn(out, _encoder(vocab, max_length, unk_id)(F.col(text) if isinstance(text, str) else text))
 
 
 def decode_ids(df: DataFrame, ids: str, vocab: DataFrame, out: str = "text", pad_id: int | None = None,
@@ -67,16 +88,13 @@ def decode_ids(df: DataFrame, ids: str, vocab: DataFrame, out: str = "text", pad
     known = np.zeros(len(table), bool)
     table[entries[keep]], known[entries[keep]] = points[keep], True
 
-    @F.pandas_udf("string")
-    def decode(rows: pd.Series) -> pd.Series:
-        def one(x):
-            if x is None or not len(x):
-                return ""
-            x = np.array([-1 if i is None else i for i in x], np.int64)
-            x = x[(x >= 0) & (x < len(table))]
-            return table[x[known[x]]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-
-        return rows.map(one)
+    @F.arrow_udf("string")
+    def decode(rows: pa.Array) -> pa.Array:
+        values = pc.fill_null(rows.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)))
+        kept = (values >= 0) & (values < len(table))
+        kept[kept] = known[values[kept]]
+        return _strings(table[values[kept]], np.append(0, np.cumsum(kept))[ends])
 
     return df.withColumn(out, decode(F.col(ids)))
 
@@ -84,10 +102,10 @@ def decode_ids(df: DataFrame, ids: str, vocab: DataFrame, out: str = "text", pad
 def prepare_examples(df: DataFrame, vocab: DataFrame, source: str = "source", target: str = "target",
                      prefix: str = K.PROMPT_PREFIX, max_length: int | None = None) -> DataFrame:
     """MDL-5: prompt + source -> ``input_ids`` and ``attention_mask``; target ->
-    ``labels``; both cut to ``max_length``, if given."""
-    enc = encode_chars(df, format_prompt(F.col(source), prefix), vocab, max_length, out="input_ids")
-    enc = encode_chars(enc, target, vocab, max_length, out="labels")
-    return enc.withColumn("attention_mask", F.transform("input_ids", lambda x: F.lit(1)))
+    ``labels``; both cut to ``max_length``, if given. Both sides go through Python together."""
+    encode = _encoder(vocab, max_length, UNK_ID)
+    both = df.withColumns({"input_ids": encode(format_prompt(F.col(source), prefix)), "labels": encode(F.col(target))})
+    return both.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
 
 
 def map_batches(df: DataFrame, fn: Callable, schema, batch_rows: int | None = None) -> DataFrame:

@@ -161,3 +161,30 @@ def test_vocabulary_reads_its_input_once(spark, tmpdir_path):
     spark.range(10).select(F.col("id").cast("string").alias("text")).write.parquet(f"{tmpdir_path}/t")
     plan = VC.build_vocab(spark.read.parquet(f"{tmpdir_path}/t"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and plan.count("Exchange") == 2  # bitmaps; at most 35 merged ones
+
+
+# --- encoding and decoding ---------------------------------------------------------------
+
+def test_encode_and_decode_any_text(spark):
+    rng = random.Random(6)
+    alphabet = "ab é日😀\x00\n"
+    texts = ["".join(rng.choice(alphabet + "?Z") for _ in range(rng.randrange(12))) for _ in range(200)] + [None, "", alphabet]
+    vocab = VC.build_vocab(spark.createDataFrame([(alphabet,)], "text string"), strip=False)
+    index = {c: i for i, c in enumerate(sorted(alphabet))}
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    for cut in (None, 0, 4):
+        enc = MI.encode_chars(df, "text", vocab, max_length=cut)
+        got = {r["id"]: r["input_ids"] for r in enc.collect()}
+        assert got == {i: [index.get(c, -1) for c in (t or "")[:cut]] for i, t in enumerate(texts)}
+        back = {r["id"]: r["back"] for r in MI.decode_ids(enc, "input_ids", vocab, out="back").collect()}
+        assert back == {i: "".join(c for c in (t or "")[:cut] if c in index) for i, t in enumerate(texts)}
+    ids = spark.createDataFrame([(1, [0, None, -100, 99, 2]), (2, None), (3, [])], "id long, ids array<int>")
+    assert {r["id"]: r["text"] for r in MI.decode_ids(ids, "ids", vocab).collect()} == {1: "".join(sorted(alphabet)[i] for i in (0, 2)), 2: "", 3: ""}
+    none = VC.build_vocab(spark.createDataFrame([], "text string"))
+    assert {tuple(r["input_ids"]) for r in MI.encode_chars(df.where("id = 202"), "text", none).collect()} == {(-1,) * len(alphabet)}
+
+
+def test_examples_go_through_python_once(spark):
+    vocab = VC.build_vocab(spark.createDataFrame([("ab",)], "text string"))
+    plan = MI.prepare_examples(spark.createDataFrame([("a", "b")], "source string, target string"), vocab)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
