@@ -16,14 +16,12 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import render_article, split_sentences_drop, split_sentences_keep, strip_markup
-from .filters import namespace
 from ..session import write_once
+from .bloom import BROADCAST_MAX_BYTES, asked_rows
+from .filters import namespace
 from .index import limit_ordered
 from .pairing import rank_in_group, resolve_domain
 
-# Walked titles of at most this many bytes are copied to every task that scans pages.
-BROADCAST_MAX_BYTES = 64 << 20
-
 
 def path_key(path: Column | str, width: int = 10) -> Column:
     """A string that sorts like the ``path`` array (for output and text sinks)."""
@@ -80,17 +78,16 @@ def page_sentences(pages: DataFrame, title: str = "title", text: str = "text",
     return s.filter(F.size("sentences") > 0)
 
 
-def assemble_articles(walked: DataFrame, pages: DataFrame, terms: str = K.TERMS_KEEP,
-                      category: str | None = None) -> DataFrame:
+def assemble_articles(walked: DataFrame, pages: DataFrame, terms: str = K.TERMS_KEEP, category: str | None = None,
+                      broadcast_max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """GRP-3 body: walked pages -> page text -> sentences -> rendered article (TXT-12).
     Missing pages and pages without sentences are skipped. Only pages the walk reached
     are split into sentences (a semi join with the distinct walked titles first), each
     once however often it was reached."""
     walked = write_once(walked)  # narrow rows, read twice here and measured by the planner
-    needed = walked.select(F.col("member").alias("title")).distinct()
-    if (needed.agg(F.sum(F.octet_length("title"))).first()[0] or 0) <= BROADCAST_MAX_BYTES:
-        needed = F.broadcast(needed)  # page texts stay where they are scanned
-    ps = page_sentences(pages.join(needed, on="title", how="left_semi"), terms=terms)
+    # Texts of pages that no walk reached do not move.
+    needed = asked_rows(pages, walked.select(F.col("member").alias("title")), "title", broadcast_max_bytes)
+    ps = page_sentences(needed, terms=terms)
     j = walked.join(ps, walked["member"] == ps["title"], "inner").drop("member")
     cat = F.col(category) if category else None
     return j.withColumn("article", render_article(F.col("title"), F.col("sentences"), cat)).drop("sentences")

@@ -13,13 +13,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.matching import Bloom, FlatDictionary, Windows, code_points, in_slices, text_hashes
+from ..functions.matching import FlatDictionary, Windows, code_points, in_slices
 from ..functions.text import katakana_to_hiragana, reading_of, strip_ws
 from ..session import write_once
+from .bloom import bloom_of
 
 
 def concat_readings(tokens: DataFrame, line: str = "line_no", pos: str = "pos", surface: str = "surface",
@@ -43,8 +43,6 @@ def build_lexicon(pairs: DataFrame, key: str = "key", value: str = "value") -> D
 
 # Largest dictionary, in bytes of its arrays, that every task gets a copy of.
 BROADCAST_MAX_BYTES = 128 << 20
-# Bytes of the bit set over the keys of a larger one, at most.
-BLOOM_BYTES = 32 << 20
 
 
 def _map_side(lines: DataFrame, lexicon: DataFrame, text: Column, out: str) -> DataFrame:
@@ -59,31 +57,12 @@ def _map_side(lines: DataFrame, lexicon: DataFrame, text: Column, out: str) -> D
     return lines.withColumn(out, convert(text))
 
 
-def _bloom(lexicon: DataFrame, entries: int) -> Bloom:
-    """Bit set over the dictionary's keys: the tasks set bits, equal words are combined before
-    the shuffle, and at most ``BLOOM_BYTES`` of words reach the driver."""
-    n_words = min(BLOOM_BYTES // 8, max(1 << 10, entries * 10 // 64))
-
-    def bits(batches):
-        for batch in batches:
-            bit = Bloom.bits(text_hashes(batch.column(0).to_pylist()), n_words).ravel()
-            bit = np.unique(bit)
-            word, first = np.unique(bit >> np.uint64(6), return_index=True)
-            mask = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), first) if len(first) else bit
-            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(mask.view(np.int64))], ["word", "mask"])
-
-    got = lexicon.select("key").mapInArrow(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    words = np.zeros(n_words, np.uint64)
-    words[got["word"].to_numpy()] = got["mask"].to_numpy(np.int64).view(np.uint64)
-    return Bloom(words)
-
-
 def _by_candidates(base: DataFrame, lexicon: DataFrame, lens: list[int], entries: int, line: str, text: str, out: str) -> DataFrame:
     """The same conversion for a dictionary too large to copy: substrings of a key's length
     that pass the bit set over the keys (nearly all of them are keys) are joined with the
     dictionary, and the hits of a line are folded in order; hits carry positions only, and the
     pieces are put together once at the end."""
-    bound = base.sparkSession.sparkContext.broadcast(_bloom(lexicon, entries))
+    bound = base.sparkSession.sparkContext.broadcast(bloom_of(lexicon, "key", entries))
 
     @F.pandas_udf("array<struct<p:int,k:int,s:string>>")
     def candidates(texts: pd.Series) -> pd.Series:

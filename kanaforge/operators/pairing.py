@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
+from .bloom import BROADCAST_MAX_BYTES, asked_rows
 from .index import with_global_index
 
 
@@ -55,11 +56,22 @@ def rank_in_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     return out.withColumn(rank_col, F.col("_gidx") - F.col("_first")).drop("_gidx", "_first")
 
 
-def lookup_titles(titles: DataFrame, pages: DataFrame, title: str = "title",
-                  text: str = "text") -> DataFrame:
+def title_status(titles: DataFrame, pages: DataFrame, title: str = "title", text: str = "text") -> DataFrame:
     """JOI-2: status of every requested title: 'found' (page with text), 'empty' (page
-    whose text is blank) or 'missing' (no page). Keeps the page text."""
-    p = pages.select(F.col(title).alias("_t"), F.col(text).alias("_text"))
+    whose text is blank) or 'missing' (no page). Blankness is told where the pages are
+    scanned, so the join moves titles and flags alone."""
+    blank = F.length(strip_ws(F.coalesce(F.col(text), F.lit("")))) == 0
+    p = pages.select(F.col(title).alias("_t"), blank.alias("_blank"))
+    status = F.when(F.col("_t").isNull(), "missing").when(F.col("_blank"), "empty").otherwise("found")
+    return titles.join(p, titles[title] == p["_t"], "left").withColumn("status", status).drop("_t", "_blank")
+
+
+def lookup_titles(titles: DataFrame, pages: DataFrame, title: str = "title", text: str = "text",
+                  broadcast_max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """JOI-2: ``title_status`` with the page text. Texts of pages that nobody asked for do
+    not move."""
+    p = asked_rows(pages.select(F.col(title), F.col(text)), titles.select(title), title, broadcast_max_bytes)
+    p = p.select(F.col(title).alias("_t"), F.col(text).alias("_text"))
     out = titles.join(p, titles[title] == p["_t"], "left")
     status = (F.when(F.col("_t").isNull(), "missing")
               .when(F.length(strip_ws(F.coalesce(F.col("_text"), F.lit("")))) == 0, "empty")

@@ -315,6 +315,18 @@ def q_lookup_titles(spark, sf_dir):
     return out.select("title", "status", F.length("text").cast("long").alias("n_chars"))
 
 
+@register(
+    "title_status", ("JOI-2",),
+    "WITH req AS (SELECT 'doc-' || CAST(c_custkey AS VARCHAR) AS title FROM customer), "
+    "pg AS (SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS t, text FROM documents) "
+    "SELECT req.title, CASE WHEN pg.t IS NULL THEN 'missing' "
+    f"WHEN length({_PG_TEXT}) = 0 THEN 'empty' ELSE 'found' END AS status FROM req LEFT JOIN pg ON pg.t = req.title",
+)
+def q_title_status(spark, sf_dir):
+    req = T.table(spark, sf_dir, "customer").select(F.concat(F.lit("doc-"), F.col("c_custkey").cast("string")).alias("title"))
+    return PR.title_status(req, T.doc_pages(spark, sf_dir))
+
+
 _DOMAIN_SQL = (
     "dom AS (SELECT r_name AS domain, n_name AS category, n_nationkey AS ord FROM nation "
     "JOIN region ON r_regionkey = n_regionkey)"

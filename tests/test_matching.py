@@ -8,7 +8,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kanaforge.functions import matching as MT
+from kanaforge.operators import bloom as BL
+from kanaforge.operators import graph as G
 from kanaforge.operators import lexicon as LX
+from kanaforge.operators import pairing as PR
 
 
 def plain(text, entries):
@@ -66,13 +69,48 @@ def test_large_dictionary_by_join(spark, monkeypatch):
     got = lambda **k: {r["line_id"]: r["converted"] for r in LX.longest_match(lines, lexicon, keep=("key",), **k).collect()}
     assert got() == want
     assert got(broadcast_max_bytes=0) == want
-    monkeypatch.setattr(LX, "BLOOM_BYTES", 64)  # so full that it lets nearly all through
+    monkeypatch.setattr(BL, "BLOOM_BYTES", 64)  # so full that it lets nearly all through
     assert got(broadcast_max_bytes=0) == want
 
 
 def test_join_sees_few_substrings(spark):
     """The join reads about as many candidates as there are hits, not every substring."""
     keys = spark.range(20_000).select(F.concat(F.lit("k"), F.conv(F.col("id").cast("string"), 10, 36)).alias("key"), F.lit("v").alias("value"))
-    bloom = LX._bloom(keys, 20_000)
+    bloom = BL.bloom_of(keys, "key", 20_000)
     hits = bloom.has(MT.text_hashes([f"q{i}" for i in range(20_000)]))
     assert hits.mean() < 0.05
+
+
+# --- rows that were asked for ------------------------------------------------------------
+
+def test_asked_rows_copy_and_bit_set_agree(spark, monkeypatch):
+    pages = spark.range(5000).select(F.when(F.col("id") % 100 > 0, F.concat(F.lit("t"), F.col("id") % 4000)).alias("title"), F.lit("x").alias("text"), "id")
+    asked = spark.range(0, 9000, 7).select(F.concat(F.lit("t"), "id").alias("title")).union(spark.createDataFrame([(None,), ("t7",)], "title string"))
+    names = {f"t{i}" for i in range(0, 9000, 7)}
+    want = sorted(i for i in range(5000) if i % 100 and f"t{i % 4000}" in names)
+    ids = lambda **k: sorted(r["id"] for r in BL.asked_rows(pages, asked, "title", **k).collect())
+    assert ids() == ids(broadcast_max_bytes=0) == want
+    monkeypatch.setattr(BL, "BLOOM_BYTES", 64)
+    assert ids(broadcast_max_bytes=0) == want
+    assert BL.asked_rows(pages, asked.limit(0), "title", broadcast_max_bytes=-1).count() == 0
+
+
+def test_unasked_texts_do_not_move(spark):
+    """Beyond the copy's bound, the exchange of page texts reads what passed the bit set."""
+    pages = spark.range(20_000).select(F.concat(F.lit("t"), "id").alias("title"), F.repeat(F.lit("text. "), 3).alias("text"))
+    asked = spark.range(100).select(F.concat(F.lit("t"), F.col("id") * 3).alias("title"))
+    out = BL.asked_rows(pages, asked, "title", broadcast_max_bytes=0)
+    assert out.count() == 100
+    passed = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "may_be_asked" in passed and passed.index("Join LeftSemi") < passed.index("may_be_asked")  # below the join
+
+
+def test_lookups_and_articles_beyond_the_copy(spark):
+    pages = spark.createDataFrame([(f"p{i}", (None, "", " \t", "一。二。")[i % 4]) for i in range(40)], "title string, text string")
+    titles = spark.createDataFrame([("p3",), ("p0",), ("p1",), ("p2",), ("none",), ("p3",), (None,)], "title string")
+    want = sorted([("p3", "found"), ("p0", "empty"), ("p1", "empty"), ("p2", "empty"), ("none", "missing"), ("p3", "found"), ("", "missing")])
+    got = lambda df: sorted((r["title"] or "", r["status"]) for r in df.collect())
+    assert got(PR.title_status(titles, pages)) == got(PR.lookup_titles(titles, pages)) == got(PR.lookup_titles(titles, pages, broadcast_max_bytes=0)) == want
+    walked = titles.where("title IS NOT NULL").withColumnRenamed("title", "member")
+    rows = lambda **k: sorted(r["article"] for r in G.assemble_articles(walked, pages, **k).collect())
+    assert rows() == rows(broadcast_max_bytes=0) and len(rows()) == 2
