@@ -13,8 +13,6 @@ each document is decided by its own hash, so no text is shuffled or ranked.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -29,11 +27,8 @@ TEMPER = 0.7
 #: Share of all tokens that the sample aims at.
 KEEP = 0.6
 CALIBRATIONS = 5
-#: Topic names and what marks them, a pattern or strings; the first topic that is found counts.
+#: Topic names and the pattern that marks them; the first topic that is found counts.
 TOPICS = (("legal", "[Ll]icen[sc]e|[Cc]opyright|GPL"), ("contact", "[A-Za-z0-9]@[A-Za-z]|https?://"), ("markup", "[#*$%&|<>]{3}"))
-#: The rougher rule of ``mix_sql``.
-SQL_TOPICS = (("legal", ("icense", "icence", "opyright", "GPL")), ("contact", ("@", "http://", "https://")),
-              ("markup", ("###", "***", "$$$", "%%%", "&&&", " | ")))
 #: Cells that are fitted on the driver at most; a larger cell table is fitted as a frame.
 LOCAL_CELLS = 200_000
 
@@ -41,8 +36,7 @@ LOCAL_CELLS = 200_000
 def topic_of(text: Column, topics=TOPICS, other: str = "general") -> Column:
     out, text = F.lit(other), F.coalesce(text, F.lit(""))
     for name, marks in reversed(topics):
-        found = text.rlike(marks) if isinstance(marks, str) else reduce(or_, [F.contains(text, F.lit(m)) for m in marks])
-        out = F.when(found, name).otherwise(out)
+        out = F.when(text.rlike(marks), name).otherwise(out)
     return out
 
 
@@ -153,23 +147,21 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: floa
 
 def sample_mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text",
                local_cells: int = LOCAL_CELLS, topics=TOPICS) -> DataFrame:
-    """The rows of ``docs`` that ``mix`` samples. The first pass sums up the cells, the
-    second finds each row's cell again; no text is shuffled."""
-    topic, *names = fresh(docs, "mix_own_topic", "mix_source", "mix_lang", "mix_topic", "mix_weight", "mix_probability")
-    cells = materialize(docs.select("source", "lang", topic_of(F.col(text_col), topics).alias("topic"), n_tokens(F.col(text_col)).alias("tokens"))
-                        .groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
+    """The rows of ``docs`` that ``mix`` samples. One pass over the texts writes topic and
+    tokens beside the documents; no text is shuffled."""
+    topic, tokens, *names = fresh(docs, "mix_own_topic", "mix_own_tokens", "mix_source", "mix_lang", "mix_topic", "mix_weight", "mix_probability")
+    own = materialize(docs.withColumn(topic, topic_of(F.col(text_col), topics)).withColumn(tokens, n_tokens(F.col(text_col))))
+    cells = materialize(own.groupBy("source", "lang", F.col(topic).alias("topic")).agg(F.sum(tokens).alias("tokens")))
     ready = _probabilities(cells, targets, keep, names, local_cells)
-    own = docs.withColumn(topic, topic_of(F.col(text_col), topics))
     joined = own.join(ready, own["source"].eqNullSafe(ready[names[0]]) & own["lang"].eqNullSafe(ready[names[1]]) & (own[topic] == ready[names[2]]), "left")
     return joined.where(uniform(F.col(id_col)) < F.col(names[4])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 # --- the same in SQL --------------------------------------------------------------------
 
-def mix_sql(keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, topics=SQL_TOPICS) -> str:
-    """DuckDB SQL of ``mix`` over ``documents`` with tempered targets and topics by strings."""
-    found = lambda marks: " OR ".join(f"contains(coalesce(text, ''), '{m}')" for m in marks)
-    topic = "CASE " + " ".join(f"WHEN {found(marks)} THEN '{n}'" for n, marks in topics) + " ELSE 'general' END"
+def mix_sql(keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, topics=TOPICS) -> str:
+    """DuckDB SQL of ``mix`` over ``documents`` with tempered targets."""
+    topic = "CASE " + " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{marks}') THEN '{n}'" for n, marks in topics) + " ELSE 'general' END"
     ctes = [f"d AS MATERIALIZED (SELECT doc_id, source, lang, {topic} AS topic, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS tokens FROM documents)",
             "c AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL)"]
     for dim in DIMENSIONS:
