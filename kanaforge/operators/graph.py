@@ -30,18 +30,23 @@ def path_key(path: Column | str, width: int = 10) -> Column:
 
 
 def walk_category(roots: DataFrame, links: DataFrame, max_depth: int = K.MAX_DEPTH,
-                  root_col: str = "root") -> DataFrame:
+                  root_col: str = "root", slices: int | None = None) -> DataFrame:
     """GRP-1: pages under each root as (root, member, level, path).
 
     Members of the root are level 0. A page (ns 0) is emitted; a category (ns 14) is
     entered when its level < ``max_depth``, so pages come from levels 0..max_depth.
-    Cycles are bounded by the depth only, as in the original walk."""
-    lk = links.select(F.col("category").alias("_cat"), "member", "member_ns", F.col("ord").cast("int").alias("ord"))
+    Cycles are bounded by the depth only, as in the original walk. ``slices``: the links are
+    a stored table whose categories are spread over the values 0 to slices - 1 of ``slice``;
+    the frontier is repeated for each, which leaves the links where they are stored."""
+    on = ["_cat", "_slice"] if slices else ["_cat"]
+    lk = links.select(F.col("category").alias("_cat"), *([F.col("slice").alias("_slice")] if slices else []),
+                      "member", "member_ns", F.col("ord").cast("int").alias("ord"))
+    everywhere = lambda f: f.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))) if slices else f
     frontier = roots.select(F.col(root_col).alias("root"), F.col(root_col).alias("_cat"),
                             F.array().cast("array<int>").alias("path"))
     pages = []
     for level in range(max_depth + 1):
-        m = frontier.join(lk, on="_cat", how="inner").select(
+        m = everywhere(frontier).join(lk, on=on, how="inner").select(
             "root", "member", "member_ns", F.concat("path", F.array("ord")).alias("path"))
         pages.append(namespace(m, K.NS_MAIN, "member_ns")
                      .select("root", "member", F.lit(level).alias("level"), "path"))

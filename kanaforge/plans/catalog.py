@@ -29,6 +29,7 @@ from ..operators import vocab as VC
 from ..session import scratch_folder, write_once
 from ..sources import datasets as DSRC
 from ..sources import lines as LN
+from ..sources import stored as STO
 from ..sources.tagged import tagged_docs_in_column
 from . import oracle as O
 from . import tables as T
@@ -397,6 +398,20 @@ def q_category_walk(spark, sf_dir):
     return w.select("root", "member", "level", G.path_key("path").alias("path_key"))
 
 
+@register(
+    "category_walk_stored", ("SRC-5", "GRP-1"),
+    f"WITH {O.links_cte()}, {O.walk_ctes(_ROOTS_SQL, 2)} "
+    f"SELECT root, member, level, {O.path_key('path')} AS path_key FROM walked",
+)
+def q_category_walk_stored(spark, sf_dir):
+    """The walk over a stored, bucketed link table, two levels deep."""
+    path = scratch_folder(spark, "links")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    STO.store_links(T.category_links(spark, sf_dir), name, path, buckets=16)
+    w = STO.walk_stored(spark, _region_roots(spark, sf_dir), name, max_depth=2)
+    return w.select("root", "member", "level", G.path_key("path").alias("path_key"))
+
+
 @register(
     "category_cap", ("GRP-1", "GRP-2"),
     f"WITH {O.links_cte()}, {O.walk_ctes(_ROOTS_SQL, 2)}, "
