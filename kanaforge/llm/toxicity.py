@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import materialize
+from .common import fresh, materialize
 
 SAMPLE = 10_000
 #: Features of toxic sample documents that are considered, and that are kept, at most.
@@ -192,7 +192,8 @@ def fit_severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cuts:
 def score_severity(docs: DataFrame, model: SeverityModel, text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with expected_severity, grade (how many thresholds are
     more likely passed than not) and toxic. Null and empty texts score like a text without
-    any telling word. One pass, no shuffle; the model has at most FEATURES words."""
+    any telling word. A column of the input that has one of the three names is replaced. One
+    pass, no shuffle; the model has at most FEATURES words."""
     bound = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.weights, model.thresholds))
 
     @pandas_udf("expected_severity double, grade int")
@@ -200,6 +201,8 @@ def score_severity(docs: DataFrame, model: SeverityModel, text_col: str = "text"
         p = [exceed(*bound.value, t) for t in texts]
         return pd.DataFrame({"expected_severity": [float(x.sum()) for x in p], "grade": [int((x >= 0.5).sum()) for x in p]}).astype({"grade": "int32"})
 
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    return docs.select(*rest, score(F.col(text_col)).alias("s")).select(
-        *rest, "s.expected_severity", "s.grade", (F.col("s.expected_severity") > model.toxic_above).alias("toxic"))
+    added = {text_col.lower(), "expected_severity", "grade", "toxic"}
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in added]
+    s, = fresh(docs, "severity_score")
+    return docs.select(*rest, score(F.col(text_col)).alias(s)).select(
+        *rest, f"{s}.expected_severity", f"{s}.grade", (F.col(f"{s}.expected_severity") > model.toxic_above).alias("toxic"))

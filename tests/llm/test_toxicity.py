@@ -68,6 +68,13 @@ def test_odd_rows(trained, odd_docs, no_docs, spark, make_docs):
     assert [r["toxic"] for r in T.score_severity(make_docs([(1, "trash")]).select("doc_id", "text"), empty).collect()] == [False]
 
 
+def test_clashing_columns_are_replaced(trained, odd_docs):
+    clash = odd_docs.withColumn("grade", odd_docs["lang"]).withColumn("Toxic", odd_docs["lang"]).withColumn("s", odd_docs["lang"])
+    got = T.score_severity(clash, trained)
+    assert {"s", "grade", "toxic", "expected_severity"} <= set(got.columns) and "Toxic" not in got.columns
+    assert not any(r["toxic"] for r in got.collect())
+
+
 def test_sample_is_bounded(spark, make_docs):
     docs = make_docs([(i, "a b") for i in range(50)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
