@@ -97,7 +97,9 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of its characters (line feeds not counted) stays as it is; at 100, a text of
     boilerplate alone becomes empty; with ``lines_beside`` it loses the lines that stand on
     ``min_sites`` sites without counting such texts (rows of one id count as one). Rows that repeat an id are each rid of the same lines.
-    Ids may be null."""
+    Ids may be null. A column of the input named like ``removed_as`` is replaced."""
+    if removed_as:
+        docs = docs.drop(*[c for c in docs.columns if c.lower() == removed_as.lower()])
     key, gone, own = fresh(docs, "line_doc", "line_gone", "line_kept")
     if lines_beside:
         hits = hits_beside_copies(docs, id_col, text_col, site_col, min_sites, max_percent, log_k)
@@ -109,7 +111,8 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         hits = lines.join(boilerplate(lines.select("h1", "h2", "site"), min_sites, log_k), ["h1", "h2"], "left_semi")
     # A document's hits are bounded by its own lines.
     hits = hits.groupBy(F.col("doc").alias(key)).agg(F.collect_set(F.struct("h1", "h2")).alias(gone))
-    joined = docs.join(hits, docs[id_col].eqNullSafe(hits[key]), "left")
+    # Hits grow with the documents, so they are never broadcast: one plan at every size.
+    joined = docs.join(hits.hint("merge"), docs[id_col].eqNullSafe(hits[key]), "left")
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x: (_bare(x) == "") | ~F.array_contains(F.col(gone), _key(_bare(x))))
     joined = joined.withColumn(own, F.when(F.col(gone).isNotNull() & F.col(text_col).isNotNull(), kept))
     chars = F.char_length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))

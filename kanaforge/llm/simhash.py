@@ -211,11 +211,23 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """The rows of ``docs`` with one document of each group: the one with the smallest id
-    (of repeated rows with that id, one)."""
+    (of repeated rows with that id, one).
+
+    Which (id, text) pairs go is settled on narrow rows, so texts are shuffled once at most.
+    Only pairs that stay and occur more than once take a second step, over their own rows."""
     key, hashed, own = fresh(docs, "dedup_key", "dedup_hash", "dedup_own")
     groups = simhash_groups(docs, id_col, text_col, shingle, max_bits)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias(key), F.col("k.text_hash").alias(hashed))
-    mine = docs.withColumn(own, text_hash(F.col(text_col)))
-    kept = mine.join(first, mine[id_col].eqNullSafe(first[key]) & (mine[own] == first[hashed]), "left_semi")
-    return kept.dropDuplicates([id_col, own]).select(*[F.col(f"`{c}`") for c in docs.columns])
+        F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    pairs = groups.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")).join(first, "root", "left")
+    stays = F.struct("doc_id", "text_hash").eqNullSafe(F.col("first"))
+    # What goes from the whole table: pairs that lose, and repeated ones, which come back once.
+    pairs = materialize(pairs.select(F.col("doc_id").alias(key), F.col("text_hash").alias(hashed), stays.alias("stays"), "n").where("NOT stays OR n > 1"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    mine = docs.withColumn(own, text_hash(F.col(f"`{text_col}`")))
+    met = lambda p: mine[id_col].eqNullSafe(p[key]) & (mine[own] == p[hashed])
+    kept = mine.join(pairs, met(pairs), "left_anti").select(*columns)
+    again = pairs.where("stays")
+    if again.isEmpty():
+        return kept
+    return kept.unionByName(mine.join(again, met(again), "left_semi").dropDuplicates([id_col, own]).select(*columns))

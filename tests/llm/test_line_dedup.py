@@ -102,3 +102,12 @@ def test_no_python_in_the_plan(make_docs):
 def test_null_site_counts_for_nothing(make_docs):
     rows = [(i, "same\nx", "en", None) for i in range(9)] + [(50, "same\nx", "en", "a")]
     assert {r["text"] for r in L.drop_boilerplate(make_docs(rows), min_sites=2, max_percent=100).select(F.col("text")).collect()} == {"same\nx"}
+
+
+def test_removed_as_replaces_a_column(make_docs):
+    from kanaforge.llm import line_dedup
+
+    docs = make_docs([(i, "menu\n" + f"own line {i} " * 9, "en", f"s{i}") for i in range(20)])
+    got = line_dedup.drop_boilerplate(docs, min_sites=15, removed_as="KEPT")
+    assert got.columns == [c for c in docs.columns if c != "kept"] + ["KEPT"]
+    assert {r["KEPT"] for r in got.collect()} == {1}
