@@ -100,6 +100,11 @@ _INERT_BLOCKS = [*range(0x250), *range(0x3000, 0x3100), *range(0x4E00, 0xA000)]
 NOT_NFKC_INERT = "[^" + _class_body([
     c for c in _INERT_BLOCKS if unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c))]) + "]"
 
+# A few plain ranges inside the inert blocks (ASCII, Latin-1 letters, kana, ideographs): the
+# regex engine walks a long class range by range, so most strings are told by this short one.
+PLAIN_RANGES = ((0x00, 0x7F), (0xC0, 0xFF), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF))
+NOT_PLAIN = "[^" + "".join(f"\\x{{{lo:04X}}}-\\x{{{hi:04X}}}" for lo, hi in PLAIN_RANGES) + "]"
+
 
 def char_class(chars: str, negate: bool = False) -> str:
     """Regex class matching any of ``chars`` (escaped for Java and RE2)."""

@@ -51,10 +51,11 @@ def nfkc(s: pd.Series) -> pd.Series:
 def normalize_text(c: ColumnOrName) -> Column:
     """TXT-1: NFKC, then delete all whitespace. Only strings that NFKC may change go to
     Python: a native test finds those with any character outside the inert ones (plain
-    Latin letters, kana, ideographs; they neither change nor join with a neighbour)."""
+    Latin letters, kana, ideographs; they neither change nor join with a neighbour). The test
+    with the full class only runs where a short class of plain ranges finds something."""
     col = _c(c)
-    non_ascii = F.length(col) != F.octet_length(col)
-    return remove_ws(F.coalesce(nfkc(F.when(non_ascii & col.rlike(K.NOT_NFKC_INERT), col)), col))
+    may_change = (F.length(col) != F.octet_length(col)) & col.rlike(K.NOT_PLAIN) & col.rlike(K.NOT_NFKC_INERT)
+    return remove_ws(F.coalesce(nfkc(F.when(may_change, col)), col))
 
 
 # --- character deletion, alphabets ------------------------------------------------------

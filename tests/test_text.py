@@ -141,3 +141,17 @@ def test_slug_matches_python_word_rule(spark):
     got = [r[0] for r in df.select(TX.slug("t")).collect()]
     want = [re.sub(r"[^\w\s-]", "", x).strip().replace(" ", "_") for x in samples]
     assert got == want
+
+
+def test_plain_ranges_are_inert(spark):
+    """No character of the short class changes or joins under NFKC, and every other one is
+    still seen by the test with the full class."""
+    plain = [chr(c) for lo, hi in K.PLAIN_RANGES for c in range(lo, hi + 1)]
+    assert all(unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) for c in plain)
+    assert unicodedata.normalize("NFKC", "".join(plain)) == "".join(plain)
+    whole = spark.createDataFrame([("".join(plain),)], "t string")
+    assert tuple(whole.select(F.col("t").rlike(K.NOT_PLAIN), F.col("t").rlike(K.NOT_NFKC_INERT)).first()) == (False, False)
+    texts = ["plain", "é", "ｶﾞ", "か\u3099", "e\u0301", "ﬁn", "Ǆ", "①", "日本", "a\u00a0b", "\u1112\u1161\u11ab", "x\u3000y", "ŉ", "…"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["n"] for r in df.select("i", TX.normalize_text("t").alias("n")).collect()}
+    assert got == {i: "".join(unicodedata.normalize("NFKC", t).split()) for i, t in enumerate(texts)}
