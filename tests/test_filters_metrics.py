@@ -178,3 +178,49 @@ def test_vectorised_distance_matches_dp():
     got = pair_distances(a, b)
     assert got[-1] is None
     assert got[:-1] == [dp(x, y) for x, y in zip(a[:-1], b[:-1])]
+
+
+def test_row_metrics_cross_to_python_once(spark):
+    """Pairs are normalised and compared in one pass, with the answers of plain Python."""
+    import random
+    import unicodedata
+
+    rnd = random.Random(4)
+    alphabets = ["ab", "abcdefgh e", "あいう漢が", "𠮟a \u3000\x1c", "ｶﾞﬁ①e\u0301", "".join(map(chr, range(0x4E00, 0x5200)))]
+    text = lambda: "".join(rnd.choice(rnd.choice(alphabets)) for _ in range(rnd.choice([0, 1, 5, 40, 64, 65, 200, 300])))
+    pairs = [(i, r, rnd.choice([r, text(), r.replace("e", "a")])) for i, r in enumerate(text() for _ in range(120))]
+    df = spark.createDataFrame([*pairs, (120, None, "x"), (121, "x", None), (122, None, None)], "i long, reference string, prediction string")
+    out = metrics.row_metrics(df)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for r in out.collect():
+        a, b = ("".join(unicodedata.normalize("NFKC", t or "").split()) for t in (r["reference"], r["prediction"]))
+        both, prec, rec = len(set(a) & set(b)), 0.0, 0.0
+        prec, rec = both / len(set(b)) if b else 0.0, both / len(set(a)) if a else 0.0
+        f = 2.0 * prec * rec / (prec + rec) if prec + rec else 0.0
+        want = (prec * 100, rec * 100, f * 100, (distance(a, b) / len(a) if a else 1.0) * 100, 100.0 if a == b else 0.0)
+        assert tuple(r[c] for c in metrics.METRIC_COLS) == want
+
+
+def test_metric_deltas_score_once(spark):
+    pairs = spark.createDataFrame([("d", m, "abc", p) for m, p in (("a", "abc"), ("b", "abd"))], "dataset string, model string, reference string, prediction string")
+    deltas = metrics.metric_deltas(metrics.macro_metrics(metrics.row_metrics(pairs), by=["model", "dataset"]), base_model="a")
+    assert "EvalPython" not in deltas._jdf.queryExecution().executedPlan().toString()  # the runs are read, not scored again
+    assert {r["model"]: round(r["delta_cer"], 6) for r in deltas.collect()} == {"a": 0.0, "b": 33.333333}
+
+
+def test_corpus_cer_cross_to_python_once(spark):
+    rows = [("m", "a  b", " a b "), ("m", " \u3000", "x"), ("m", "kitten", "sitting"), ("m", None, "q"), ("m", "x \t\x1c y", None)]
+    df = spark.createDataFrame(rows, "model string, reference string, prediction string")
+    out = metrics.corpus_cer(df, by=["model"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan and "levenshtein" not in plan.lower().replace("compare", "")
+    assert out.collect()[0].asDict() == {"model": "m", "corpus_cer": 6 / 12, "edits": 6, "ref_chars": 12, "pairs": 3}
