@@ -4,19 +4,24 @@ The longest-match conversion is the greedy left-to-right scan of a dictionary-ba
 converter: at each position take the longest dictionary key that starts there (and
 emit its value), else pass one character through. A dictionary of measured size is
 copied to every task, which scans its own lines once (Arrow batches, no shuffle); a
-larger one is joined with the substrings of the lines that pass a bit set over its keys.
+larger one is joined with the distinct substrings of chunks of lines that pass a bit set over
+its keys, and every chunk is converted against its own part.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..functions.matching import FlatDictionary, Windows, code_points, in_slices
+from ..functions.matching import Bloom, FlatDictionary, Windows, code_points, in_slices
 from ..functions.text import katakana_to_hiragana, reading_of, strip_ws
 from ..session import write_once
 from .bloom import bloom_of
@@ -42,7 +47,9 @@ def build_lexicon(pairs: DataFrame, key: str = "key", value: str = "value") -> D
 
 
 # Largest dictionary, in bytes of its arrays, that every task gets a copy of.
-BROADCAST_MAX_BYTES = 128 << 20
+BROADCAST_MAX_BYTES = 32 << 20
+# Characters of the lines of one chunk (a longer line is one alone).
+CHUNK = 1 << 23
 
 
 def _map_side(lines: DataFrame, lexicon: DataFrame, text: Column, out: str) -> DataFrame:
@@ -57,42 +64,93 @@ def _map_side(lines: DataFrame, lexicon: DataFrame, text: Column, out: str) -> D
     return lines.withColumn(out, convert(text))
 
 
-def _by_candidates(base: DataFrame, lexicon: DataFrame, lens: list[int], entries: int, line: str, text: str, out: str) -> DataFrame:
-    """The same conversion for a dictionary too large to copy: substrings of a key's length
-    that pass the bit set over the keys (nearly all of them are keys) are joined with the
-    dictionary, and the hits of a line are folded in order; hits carry positions only, and the
-    pieces are put together once at the end."""
-    bound = base.sparkSession.sparkContext.broadcast(bloom_of(lexicon, "key", entries))
-
-    @F.pandas_udf("array<struct<p:int,k:int,s:string>>")
-    def candidates(texts: pd.Series) -> pd.Series:
-        found = []
-        for part in in_slices(texts.fillna("").tolist()):
-            codes, starts = code_points(part)
-            windows, end = Windows(codes), np.repeat(starts[1:], np.diff(starts))
-            owner, own = np.repeat(np.arange(len(part)), np.diff(starts)), [[] for _ in part]
-            for k in lens:
-                at = np.flatnonzero(np.arange(len(codes)) + k <= end)
-                at = at[bound.value.has(windows.hashes(at, k))]
-                for i, p in zip(owner[at].tolist(), (at - starts[owner[at]]).tolist()):
-                    own[i].append({"p": p + 1, "k": k, "s": part[i][p:p + k]})
-            found += own
-        return pd.Series(found, dtype=object)
-
-    cand = base.select(line, F.explode(candidates(F.col(text))).alias("c")).select(line, "c.p", "c.k", "c.s")
-    hits = cand.join(lexicon.select(F.col("key").alias("s"), F.col("value").alias("v")), on="s", how="inner")
-    # Sorted by position, longest key first at a position.
-    per_line = hits.groupBy(line).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("p"), (-F.col("k")).alias("nk"), F.col("v")))).alias("_m"))
-    kept = ("filter(transform(aggregate(_m, named_struct('nxt', 1, 'at', cast(array() as array<int>), 'i', 0), "
-            "(acc, m) -> named_struct('nxt', IF(m.p < acc.nxt, acc.nxt, m.p - m.nk), "
-            "'at', IF(m.p < acc.nxt, acc.at, array_append(acc.at, acc.i)), 'i', acc.i + 1), acc -> acc.at), i -> _m[i]), x -> true)")
-    spans = base.join(per_line, on=line, how="left").withColumn("_k", F.expr(kept))
-    pieces = ("concat(transform(_k, (m, i) -> concat(substring(%s, IF(i = 0, 1, _k[i - 1].p - _k[i - 1].nk), "
-              "m.p - IF(i = 0, 1, _k[i - 1].p - _k[i - 1].nk)), m.v)), "
-              "array(substring(%s, element_at(_k, -1).p - element_at(_k, -1).nk)))" % (text, text))
-    conv = F.when(F.size("_k") > 0, F.array_join(F.expr(pieces), "")).otherwise(F.col(text))
-    return spans.withColumn(out, conv).drop("_m", "_k")
+def _windows_of_keys(texts: Sequence[str], prefixes: Bloom, keys: Bloom, longest: int) -> set[str]:
+    """The distinct substrings that may be keys. A window grows by a character while it may begin
+    a key, so most places are left after a few."""
+    found: set[str] = set()
+    for part in in_slices(texts):
+        codes, starts = code_points(part)
+        joined, windows, end = "".join(part), Windows(codes), np.repeat(starts[1:], np.diff(starts))
+        at = np.arange(len(codes))
+        for k in range(1, longest + 1):
+            at = at[at + k <= end[at]]
+            hashes = windows.hashes(at, k)
+            alive = prefixes.has(hashes)
+            at, hashes = at[alive], hashes[alive]
+            if not len(at):
+                break
+            hit = keys.has(hashes)
+            some = at[hit]
+            _, first, group = np.unique(hashes[hit], return_index=True, return_inverse=True)
+            same = np.ones(len(some), bool)  # as the one that stands for its hash
+            for i in range(k):
+                same &= codes[some + i] == codes[some[first][group] + i]
+            found.update(joined[p:p + k] for p in [*some[first].tolist(), *some[~same].tolist()])
+    return found
+
+
+def _by_chunks(base: DataFrame, lexicon: DataFrame, entries: int, chars: int, longest: int, text: str, out: str) -> DataFrame:
+    """The same conversion for a dictionary too large to copy. The lines are written in chunks of
+    bounded size; the distinct substrings of a chunk that pass a bit set over the keys (nearly
+    all of them are keys) are joined with the dictionary, and each chunk is converted against the
+    entries that can occur in it. Moved are the lines, once, and the distinct words of a chunk.
+    No match crosses a character that no key has, so a chunk's distinct runs of the keys'
+    characters are searched and converted, each once."""
+    spark = base.sparkSession
+    letters = lexicon.select(F.explode(F.split("key", "")).alias("c")).filter(F.length("c") > 0).distinct().collect()
+    runs = re.compile("[" + "".join(sorted(re.escape(r["c"]) for r in letters)) + "]+")
+
+    def number(batches):
+        from pyspark import TaskContext
+
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            numbers = []
+            for n in pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_pylist():
+                if size and size + n > CHUNK:
+                    chunk, size = chunk + 1, 0
+                numbers.append(chunk)
+                size += n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], [*batch.schema.names, "_chunk"])
+
+    schema = StructType([*base.schema.fields, StructField("_chunk", LongType())])
+    dealt = write_once(base.mapInArrow(number, schema))
+    begins = lexicon.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.substring("key", F.lit(1), i))).alias("key"))
+    bound = spark.sparkContext.broadcast((bloom_of(begins, "key", chars), bloom_of(lexicon, "key", entries)))
+
+    def candidates(batches):
+        def rows(chunk, found):
+            found = _windows_of_keys(list(found), *bound.value, longest)
+            return pa.RecordBatch.from_arrays([pa.array([chunk] * len(found), pa.int64()), pa.array(list(found), pa.string())], ["_chunk", "key"])
+
+        now, found = None, set()
+        for batch in batches:
+            chunks = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
+            for x, y in zip(cuts, cuts[1:]):
+                if y > x:
+                    if now != chunks[x]:
+                        if found:
+                            yield rows(now, found)
+                        now, found = int(chunks[x]), set()
+                    for t in batch.column(1).slice(x, y - x).fill_null("").to_pylist():
+                        found.update(runs.findall(t))
+        if found:
+            yield rows(now, found)
+
+    cand = dealt.select("_chunk", text).mapInArrow(candidates, "_chunk long, key string")
+    words = cand.join(lexicon, on="key", how="inner").select("_chunk", "key", "value")
+    result = StructType([*base.schema.fields, StructField(out, StringType())])
+
+    def convert(lines: pa.Table, words: pa.Table) -> pa.Table:
+        own = dict(zip(words.column("key").to_pylist(), words.column("value").to_pylist()))
+        texts = lines.column(text).to_pylist()
+        distinct = list({r for t in texts if t is not None for r in runs.findall(t)})
+        converted = dict(zip(distinct, FlatDictionary(list(own), list(own.values())).convert(distinct)))
+        done = [None if t is None else runs.sub(lambda m: converted[m.group()], t) for t in texts]
+        return lines.drop_columns(["_chunk"]).append_column(out, pa.array(done, pa.string()))
+
+    return dealt.groupBy("_chunk").cogroup(words.groupBy("_chunk")).applyInArrow(convert, result)
 
 
 def longest_match(lines: DataFrame, lexicon: DataFrame, line: str = "line_id", text: str = "text",
@@ -104,16 +162,17 @@ def longest_match(lines: DataFrame, lexicon: DataFrame, line: str = "line_id", t
 
     The dictionary is written once and measured. Up to ``broadcast_max_bytes`` of its arrays
     every task holds a copy and converts its lines in one linear pass without a shuffle; a
-    larger dictionary is joined with the substrings that may be its keys, with the same answer.
+    larger dictionary is joined with the substrings that may be its keys, chunk by chunk of the
+    lines, with the same answer.
     A key without a value matches nothing."""
     lexicon = write_once(lexicon.select("key", "value").filter((F.length("key") > 0) & F.col("value").isNotNull()))
     size = lexicon.agg(F.sum(4 * (F.length("key") + F.length("value")) + 40).alias("bytes"), F.count("*").alias("entries"),
-                       F.collect_set(F.length("key")).alias("lens")).first()
+                       F.sum(F.length("key")).alias("chars"), F.max(F.length("key")).alias("longest")).first()
     base = lines.select(F.col(line).alias("_line"), F.col(text).alias("_text"), *keep)
-    if (size["bytes"] or 0) <= broadcast_max_bytes:
+    if (size["bytes"] or 0) <= broadcast_max_bytes or not size["entries"]:
         done = _map_side(base, lexicon, F.col("_text"), "_out")
     else:
-        done = _by_candidates(base, lexicon, sorted(size["lens"]), size["entries"], "_line", "_text", "_out")
+        done = _by_chunks(base, lexicon, size["entries"], size["chars"], size["longest"], "_text", "_out")
     return done.select(F.col("_line").alias(line), *keep, F.col("_out").alias(out))
 
 

@@ -114,3 +114,21 @@ def test_lookups_and_articles_beyond_the_copy(spark):
     walked = titles.where("title IS NOT NULL").withColumnRenamed("title", "member")
     rows = lambda **k: sorted(r["article"] for r in G.assemble_articles(walked, pages, **k).collect())
     assert rows() == rows(broadcast_max_bytes=0) and len(rows()) == 2
+
+
+def test_large_dictionary_moves_distinct_words_of_chunks(spark, monkeypatch):
+    """Lines in several chunks, keys with spaces and regex characters; no row for every hit."""
+    rng = random.Random(7)
+    entries = {"".join(rng.choice("ab c]^-\\日") for _ in range(rng.randrange(1, 6))): rng.choice("XYZ") * rng.randrange(3) for _ in range(200)}
+    texts = ["".join(rng.choice("ab c]^-\\日.!") for _ in range(rng.randrange(80))) for _ in range(300)] + ["", None, "." * 50]
+    lines = spark.createDataFrame(list(enumerate(texts)), "line_id long, text string")
+    lexicon = spark.createDataFrame(list(entries.items()), "key string, value string")
+    monkeypatch.setattr(LX, "CHUNK", 500)
+    out = LX.longest_match(lines, lexicon, broadcast_max_bytes=0)
+    assert {r["line_id"]: r["converted"] for r in out.collect()} == {i: None if t is None else plain(t, entries) for i, t in enumerate(texts)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_dictionaries_that_are_copied_stay_small():
+    assert LX.BROADCAST_MAX_BYTES <= 32 << 20  # 4 workers of an executor, each with its own copy
