@@ -52,6 +52,19 @@ def _strings(chars: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(cuts), pa.py_buffer(data)).cast(pa.string())
 
 
+# Characters or ids that are worked on at a time, beside the strings and lists of the batch.
+PIECE = 1 << 20
+
+
+def _in_pieces(rows: pa.Array, work: Callable[[pa.Array], pa.Array], sizes: pa.Array, kind: pa.DataType) -> pa.Array:
+    """``work`` over runs of rows of about ``PIECE`` bytes or ids: its arrays of several times
+    the batch are held for one run only, however many rows a batch has."""
+    part = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)) // PIECE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(rows)]
+    done = [work(rows.slice(x, y - x)) for x, y in zip(cuts, cuts[1:]) if y > x]
+    return pa.concat_arrays(done) if done else pa.array([], kind)
+
+
 def _encoder(vocab: DataFrame, max_length: int | None, unk_id: int):
     """Column function: text -> ids of its characters. Arrow strings in, Arrow lists out: the
     ids of a batch are looked up at once, and offsets cut them into rows."""
@@ -61,8 +74,11 @@ def _encoder(vocab: DataFrame, max_length: int | None, unk_id: int):
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        chars, ends = _code_points(texts if max_length is None else pc.utf8_slice_codeunits(texts, 0, max_length))
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(table[np.minimum(chars, len(table) - 1)]))
+        def piece(part: pa.Array) -> pa.Array:
+            chars, ends = _code_points(part if max_length is None else pc.utf8_slice_codeunits(part, 0, max_length))
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(table[np.minimum(chars, len(table) - 1)]))
+
+        return _in_pieces(texts, piece, pc.binary_length(texts), pa.list_(pa.int32()))
 
     return encode
 
@@ -90,11 +106,14 @@ def decode_ids(df: DataFrame, ids: str, vocab: DataFrame, out: str = "text", pad
 
     @F.arrow_udf("string")
     def decode(rows: pa.Array) -> pa.Array:
-        values = pc.fill_null(rows.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)))
-        kept = (values >= 0) & (values < len(table))
-        kept[kept] = known[values[kept]]
-        return _strings(table[values[kept]], np.append(0, np.cumsum(kept))[ends])
+        def piece(part: pa.Array) -> pa.Array:
+            values = pc.fill_null(part.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)))
+            kept = (values >= 0) & (values < len(table))
+            kept[kept] = known[values[kept]]
+            return _strings(table[values[kept]], np.append(0, np.cumsum(kept))[ends])
+
+        return _in_pieces(rows, piece, pc.list_value_length(rows), pa.string())
 
     return df.withColumn(out, decode(F.col(ids)))
 

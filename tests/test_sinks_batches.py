@@ -7,6 +7,7 @@ import os
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +189,29 @@ def test_examples_go_through_python_once(spark):
     vocab = VC.build_vocab(spark.createDataFrame([("ab",)], "text string"))
     plan = MI.prepare_examples(spark.createDataFrame([("a", "b")], "source string, target string"), vocab)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_encode_and_decode_hold_little_beside_the_batch(monkeypatch):
+    """The arrays of a batch are made for a run of its rows at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(MI, "_vocab_arrays", lambda vocab: (np.arange(97, 123, dtype=np.uint32), np.arange(26, dtype=np.int32)))
+    kept = []
+    monkeypatch.setattr(MI.F, "arrow_udf", lambda kind: lambda fn: kept.append(fn) or (lambda c: MI.F.lit(None)))
+    MI._encoder(None, None, -1)
+
+    class Frame:
+        def withColumn(self, *_):
+            return self
+
+    monkeypatch.setattr(MI.F, "col", lambda c: c)
+    monkeypatch.setattr(MI.F, "lit", lambda c: c)
+    MI.decode_ids(Frame(), "ids", None)
+    texts = pa.array(["abcxyz" * 300] * 5000 + [None, ""])
+    tracemalloc.start()
+    back = kept[1](kept[0](texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert back.equals(pa.array(["abcxyz" * 300] * 5000 + ["", ""])) and peak < 100 << 20
