@@ -211,10 +211,16 @@ def keep_last_checkpoints(runs: DataFrame, step: str = "step", by: Sequence[str]
 def compare_outputs(preds: DataFrame, key: Sequence[str], model: str = "model",
                     prediction: str = "prediction", models: Sequence[str] | None = None) -> DataFrame:
     """MET-9: the same input scored by several models, side by side (one column per
-    model). Each (key, model) holds one prediction, so ``first`` is exact."""
+    model). Each (key, model) holds one prediction, so ``first`` is exact.
+
+    With ``models`` it is one aggregate: the rows of a key that one task reads become one before
+    the only shuffle, where a pivot shuffles the texts by (key, model) and again by key."""
     g = preds.groupBy(*key)
-    g = g.pivot(model, list(models)) if models is not None else g.pivot(model)
-    return g.agg(F.first(prediction))
+    if models is None:
+        return g.pivot(model).agg(F.first(prediction))
+    # A struct, so that a null prediction counts as one.
+    answer = lambda m: F.first(F.when(F.col(model) == m, F.struct(F.col(prediction).alias("p"))), ignorenulls=True)
+    return g.agg(*[answer(m).alias(str(m)) for m in models]).select(*key, *[F.col(f"`{m}`.p").alias(str(m)) for m in models])
 
 
 def metric_deltas(runs: DataFrame, base_model: str, model: str = "model", dataset: str = "dataset",
