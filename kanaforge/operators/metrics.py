@@ -213,13 +213,14 @@ def compare_outputs(preds: DataFrame, key: Sequence[str], model: str = "model",
     """MET-9: the same input scored by several models, side by side (one column per
     model). Each (key, model) holds one prediction, so ``first`` is exact.
 
-    With ``models`` it is one aggregate: the rows of a key that one task reads become one before
-    the only shuffle, where a pivot shuffles the texts by (key, model) and again by key."""
-    g = preds.groupBy(*key)
+    With ``models`` the rows are shuffled as they are and sorted behind the shuffle, a partition
+    at a time; an aggregate before it would sort, and spill, all texts of a task to save little
+    (the repeated reference of a key compresses well)."""
     if models is None:
-        return g.pivot(model).agg(F.first(prediction))
+        return preds.groupBy(*key).pivot(model).agg(F.first(prediction))
     # A struct, so that a null prediction counts as one.
     answer = lambda m: F.first(F.when(F.col(model) == m, F.struct(F.col(prediction).alias("p"))), ignorenulls=True)
+    g = preds.select(*key, model, prediction).repartition(*key).groupBy(*key)
     return g.agg(*[answer(m).alias(str(m)) for m in models]).select(*key, *[F.col(f"`{m}`.p").alias(str(m)) for m in models])
 
 
