@@ -92,10 +92,11 @@ def assemble_articles(walked: DataFrame, pages: DataFrame, terms: str = K.TERMS_
     walked = write_once(walked)  # narrow rows, read twice here and measured by the planner
     # Texts of pages that no walk reached do not move.
     needed = asked_rows(pages, walked.select(F.col("member").alias("title")), "title", broadcast_max_bytes)
-    ps = page_sentences(needed, terms=terms)
+    # Sentences move as the one text they are rendered to, which is smaller than their array.
+    ps = page_sentences(needed, terms=terms).select("title", F.array_join("sentences", "\n").alias("_body"))
     j = walked.join(ps, walked["member"] == ps["title"], "inner").drop("member")
     cat = F.col(category) if category else None
-    return j.withColumn("article", render_article(F.col("title"), F.col("sentences"), cat)).drop("sentences")
+    return j.withColumn("article", render_article(F.col("title"), F.array("_body"), cat)).drop("_body")
 
 
 def assemble_titles(titles: DataFrame, pages: DataFrame, title: str = "title",

@@ -1207,9 +1207,11 @@ def q_vocab_roundtrip(spark, sf_dir):
     "SELECT slug, line, CAST(count(*) AS BIGINT) AS n FROM l WHERE line <> '' GROUP BY slug, line",
 )
 def q_corpus_roundtrip(spark, sf_dir):
-    """Lines of the exported folders, by folder, with how often they stand there."""
+    """Lines of the exported folders, by folder, with how often they stand there. Every nation
+    of a region reaches the pages of all of them, so the files are compressed."""
     path = scratch_folder(spark, "corpus")
-    DSRC.write_corpus_by_domain(q_domain_corpus(spark, sf_dir), path, "domain")
+    names = T.domains(spark, sf_dir).select("domain")
+    DSRC.write_corpus_by_domain(q_domain_corpus(spark, sf_dir), path, "domain", names=names, compression="gzip")
     lines = spark.read.option("lineSep", "\n").text(path)
     return lines.filter(F.col("value") != "").groupBy("slug", F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 

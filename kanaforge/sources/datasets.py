@@ -140,16 +140,22 @@ def distinct_slugs(names: DataFrame, name_col: str) -> DataFrame:
 
 
 def write_corpus_by_domain(df: DataFrame, path: str, name_col: str, text_col: str = "article",
-                           mode: str = "overwrite", names: DataFrame | None = None) -> None:
+                           mode: str = "overwrite", names: DataFrame | None = None, compression: str = "none") -> None:
     """SNK-5: one output folder per domain or category, its name made file-safe (TXT-11) and
     distinct, holding the rendered articles. ``names``: a table that has all names in
-    ``name_col``, where one is at hand (else the articles are read for them first).
+    ``name_col``, where one is at hand (else the articles are read for them first, as they are
+    where names of the table share a slug: only names with articles take one).
+    ``compression``: the codec of the files, such as "gzip". A page that several categories
+    reach stands in the folder once for each, mostly next to each other, which a codec folds.
 
     Rows are rebalanced by folder: AQE splits the rows of a large folder and joins small ones
-    up to the advisory partition size, so a folder gets files by its bytes, not by tasks. The
-    names are counted, and sent to every task unless they are very many."""
+    up to the advisory partition size, so a folder gets files by its bytes, not by tasks, and
+    one that a codec leaves unsplittable is no more than a task's work. The names are counted,
+    and sent to every task unless they are very many."""
     slugs = write_once(distinct_slugs(names if names is not None else df, name_col))
+    if names is not None and not slugs.filter(F.col("slug") != slug(F.col("name"))).isEmpty():
+        slugs = write_once(distinct_slugs(df, name_col))
     slugs = F.broadcast(slugs) if slugs.count() <= BROADCAST_NAMES else slugs
     named = df.select(F.col(name_col).alias("_name"), F.col(text_col).alias("value"))
     out = named.join(slugs, named["_name"].eqNullSafe(slugs["name"])).select("slug", "value")
-    out.hint("rebalance", "slug").write.mode(mode).partitionBy("slug").text(path)
+    out.hint("rebalance", "slug").write.mode(mode).partitionBy("slug").text(path, compression=compression)
