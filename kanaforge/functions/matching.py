@@ -58,6 +58,13 @@ def text_hashes(texts: Sequence[str]) -> np.ndarray:
     return Windows(codes).hashes(starts[:-1], np.diff(starts))
 
 
+def prefix_hashes(texts: Sequence[str]) -> np.ndarray:
+    """Hashes of all that the texts begin with, one for each character."""
+    codes, starts = code_points(texts)
+    first = np.repeat(starts[:-1], np.diff(starts))
+    return Windows(codes).hashes(first, np.arange(1, len(codes) + 1) - first)
+
+
 def in_slices(texts: Sequence[str]) -> Iterable[Sequence[str]]:
     """The texts in runs of about ``SLICE`` characters."""
     first, size = 0, 0

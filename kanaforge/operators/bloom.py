@@ -7,33 +7,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.matching import Bloom, text_hashes
+from ..functions.matching import Bloom, in_slices, prefix_hashes, text_hashes
 from ..session import write_once
 
 # Bytes of a bit set, at most.
 BLOOM_BYTES = 32 << 20
+# Words of a block: the 4 KiB that Spark's bitmap functions work on.
+BLOCK_WORDS = 512
 # Bytes of titles that are broadcast as they are, at most.
 BROADCAST_MAX_BYTES = 64 << 20
 
 
-def bloom_of(df: DataFrame, col: str, entries: int) -> Bloom:
-    """Bit set over a string column (nulls left out) of about ``entries`` rows: the tasks set
-    bits, equal words are combined before the shuffle, and at most ``BLOOM_BYTES`` of words
-    reach the driver. With more entries than bits it lets more through, and loses none."""
+def bloom_of(df: DataFrame, col: str, entries: int, prefixes: bool = False) -> Bloom:
+    """Bit set over a string column (nulls left out) of about ``entries`` rows, or over all that
+    its strings begin with (``prefixes``; ``entries`` counts these). Every task sets the bits of
+    its rows in a set of its own, and the blocks of the sets are combined and collected as Arrow:
+    a task sends, and the driver receives, at most ``BLOOM_BYTES``, however many rows there are.
+    With more entries than bits it lets more through, and loses none."""
     n_words = min(BLOOM_BYTES // 8, max(1 << 10, entries * 10 // 64))
+    n_blocks = -(-n_words // BLOCK_WORDS)
 
     def bits(batches):
+        own = np.zeros((n_blocks, BLOCK_WORDS), np.uint64)
         for batch in batches:
-            bit = np.unique(Bloom.bits(text_hashes(batch.column(0).to_pylist()), n_words).ravel())
-            word, first = np.unique(bit >> np.uint64(6), return_index=True)
-            mask = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), first) if len(first) else bit
-            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(mask.view(np.int64))], ["word", "mask"])
+            for part in in_slices(batch.column(0).to_pylist()):
+                for bit in Bloom.bits(np.unique(prefix_hashes(part) if prefixes else text_hashes(part)), n_words):
+                    np.bitwise_or.at(own.reshape(-1), (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        used = np.flatnonzero(own.any(axis=1))
+        for some in np.array_split(used, -(-len(used) // 1024) or 1):
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([own[i].tobytes() for i in some], pa.binary())], ["block", "bits"])
 
     known = df.select(F.col(col).alias("s")).filter(F.col("s").isNotNull())
-    got = known.mapInArrow(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    words = np.zeros(n_words, np.uint64)
-    words[got["word"].to_numpy()] = got["mask"].to_numpy(np.int64).view(np.uint64)
-    return Bloom(words)
+    got = known.mapInArrow(bits, "block int, bits binary").groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits")).toArrow()
+    words = np.zeros((n_blocks, BLOCK_WORDS), np.uint64)
+    for block, of in zip(got.column("block").to_pylist(), got.column("bits")):
+        words[block] = np.frombuffer(of.as_buffer(), np.uint64)
+    return Bloom(words.reshape(-1)[:n_words])
 
 
 def asked_rows(df: DataFrame, asked: DataFrame, col: str, broadcast_max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:

@@ -97,8 +97,8 @@ def _by_chunks(base: DataFrame, lexicon: DataFrame, entries: int, chars: int, lo
     No match crosses a character that no key has, so a chunk's distinct runs of the keys'
     characters are searched and converted, each once."""
     spark = base.sparkSession
-    letters = lexicon.select(F.explode(F.split("key", "")).alias("c")).filter(F.length("c") > 0).distinct().collect()
-    runs = re.compile("[" + "".join(sorted(re.escape(r["c"]) for r in letters)) + "]+")
+    letters = lexicon.select(F.explode(F.split("key", "")).alias("c")).filter(F.length("c") > 0).distinct().toArrow()
+    runs = re.compile("[" + "".join(sorted(map(re.escape, letters.column("c").to_pylist()))) + "]+")
 
     def number(batches):
         from pyspark import TaskContext
@@ -115,8 +115,7 @@ def _by_chunks(base: DataFrame, lexicon: DataFrame, entries: int, chars: int, lo
 
     schema = StructType([*base.schema.fields, StructField("_chunk", LongType())])
     dealt = write_once(base.mapInArrow(number, schema))
-    begins = lexicon.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.substring("key", F.lit(1), i))).alias("key"))
-    bound = spark.sparkContext.broadcast((bloom_of(begins, "key", chars), bloom_of(lexicon, "key", entries)))
+    bound = spark.sparkContext.broadcast((bloom_of(lexicon, "key", chars, prefixes=True), bloom_of(lexicon, "key", entries)))
 
     def candidates(batches):
         def rows(chunk, found):

@@ -81,6 +81,32 @@ def test_join_sees_few_substrings(spark):
     assert hits.mean() < 0.05
 
 
+def test_bit_set_reaches_the_driver_as_bytes(spark):
+    """Without Arrow for toPandas, as a cluster may have it, a row object for every word of the set
+    took ten times its size and more in the driver's Python."""
+    import tracemalloc
+
+    keys = spark.range(300_000).select(F.concat(F.lit("k"), F.conv(F.col("id").cast("string"), 10, 36)).alias("key"))
+    conf, was = "spark.sql.execution.arrow.pyspark.enabled", spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
+    spark.conf.set(conf, "false")
+    tracemalloc.start()
+    try:
+        bloom = BL.bloom_of(keys, "key", 300_000)
+        assert tracemalloc.get_traced_memory()[1] < 4 * bloom.words.nbytes + (2 << 20)
+    finally:
+        tracemalloc.stop()
+        spark.conf.set(conf, was)
+    assert bloom.has(MT.text_hashes([r["key"] for r in keys.limit(1000).collect()])).all()
+
+
+def test_bit_set_over_all_that_keys_begin_with(spark):
+    words = ["", None, "a", "ab日", "ab日é😀", "zz"] * 3 + ["long " * 300]
+    bloom = BL.bloom_of(spark.createDataFrame([(w,) for w in words], "key string"), "key", 2000, prefixes=True)
+    begins = [w[:k] for w in words if w for k in range(1, len(w) + 1)]
+    assert bloom.has(MT.text_hashes(begins)).all()
+    assert bloom.has(MT.text_hashes([f"b{w}" for w in begins])).mean() < 0.1
+
+
 # --- rows that were asked for ------------------------------------------------------------
 
 def test_asked_rows_copy_and_bit_set_agree(spark, monkeypatch):
