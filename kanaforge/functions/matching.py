@@ -184,14 +184,20 @@ class Bloom:
     def __init__(self, words: np.ndarray):
         self.words = words
 
+    @staticmethod
+    def bit(hashes: np.ndarray, probe: int, n_words: int) -> np.ndarray:
+        step = (hashes >> np.uint64(33)) | np.uint64(1)
+        return (hashes + np.uint64(probe) * step * _MIX) % np.uint64(64 * n_words)
+
     @staticmethod
     def bits(hashes: np.ndarray, n_words: int) -> np.ndarray:
         """The numbers of the bits of each hash, one row a probe."""
-        step = (hashes >> np.uint64(33)) | np.uint64(1)
-        return np.stack([(hashes + np.uint64(i) * step * _MIX) % np.uint64(64 * n_words) for i in range(Bloom.PROBES)])
+        return np.stack([Bloom.bit(hashes, i, n_words) for i in range(Bloom.PROBES)])
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hashes), bool)
-        for bit in self.bits(hashes, len(self.words)):
-            out &= (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+        out, left = np.zeros(len(hashes), bool), np.arange(len(hashes))
+        for probe in range(self.PROBES):  # most others fall at the first
+            bit = self.bit(hashes[left], probe, len(self.words))
+            left = left[(self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1]
+        out[left] = True
         return out

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.matching import Bloom, FlatDictionary, Windows, code_points, in_slices
 from ..functions.text import katakana_to_hiragana, reading_of, strip_ws
@@ -89,18 +89,30 @@ def _windows_of_keys(texts: Sequence[str], prefixes: Bloom, keys: Bloom, longest
     return found
 
 
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(packed: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(packed.as_buffer()).read_all()
+
+
 def _by_chunks(base: DataFrame, lexicon: DataFrame, entries: int, chars: int, longest: int, text: str, out: str) -> DataFrame:
     """The same conversion for a dictionary too large to copy. The lines are written in chunks of
-    bounded size; the distinct substrings of a chunk that pass a bit set over the keys (nearly
-    all of them are keys) are joined with the dictionary, and each chunk is converted against the
-    entries that can occur in it. Moved are the lines, once, and the distinct words of a chunk.
-    No match crosses a character that no key has, so a chunk's distinct runs of the keys'
-    characters are searched and converted, each once."""
+    bounded size, packed as compressed Arrow; the distinct substrings of a chunk that pass a bit
+    set over the keys (nearly all of them are keys) are joined with the dictionary, and each chunk
+    is converted against the entries that can occur in it. Moved are the packed lines, once, and
+    the distinct words of a chunk. No match crosses a character that no key has, so a chunk's
+    distinct runs of the keys' characters are searched and converted, each once; a run that is a
+    key is its own longest match."""
     spark = base.sparkSession
     letters = lexicon.select(F.explode(F.split("key", "")).alias("c")).filter(F.length("c") > 0).distinct().toArrow()
-    runs = re.compile("[" + "".join(sorted(map(re.escape, letters.column("c").to_pylist()))) + "]+")
+    runs = re.compile("([" + "".join(sorted(map(re.escape, letters.column("c").to_pylist()))) + "]+)")
 
-    def number(batches):
+    def deal(batches):
         from pyspark import TaskContext
 
         chunk, size = TaskContext.get().partitionId() << 32, 0
@@ -111,12 +123,16 @@ def _by_chunks(base: DataFrame, lexicon: DataFrame, entries: int, chars: int, lo
                     chunk, size = chunk + 1, 0
                 numbers.append(chunk)
                 size += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], [*batch.schema.names, "_chunk"])
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            pieces = [(numbers[x], _packed(batch.slice(x, y - x))) for x, y in zip(cuts, cuts[1:]) if y > x]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in pieces], pa.int64()), pa.array([p for _, p in pieces], pa.binary())], ["_chunk", "_lines"])
 
-    schema = StructType([*base.schema.fields, StructField("_chunk", LongType())])
-    dealt = write_once(base.mapInArrow(number, schema))
+    dealt = write_once(base.mapInArrow(deal, "_chunk long, _lines binary"))
     bound = spark.sparkContext.broadcast((bloom_of(lexicon, "key", chars, prefixes=True), bloom_of(lexicon, "key", entries)))
 
+    def runs_of(lines: pa.Table) -> set[str]:
+        return {r for t in lines.column(text).to_pylist() if t for r in runs.findall(t)}
+
     def candidates(batches):
         def rows(chunk, found):
             found = _windows_of_keys(list(found), *bound.value, longest)
@@ -124,30 +140,33 @@ def _by_chunks(base: DataFrame, lexicon: DataFrame, entries: int, chars: int, lo
 
         now, found = None, set()
         for batch in batches:
-            chunks = batch.column(0).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
-            for x, y in zip(cuts, cuts[1:]):
-                if y > x:
-                    if now != chunks[x]:
-                        if found:
-                            yield rows(now, found)
-                        now, found = int(chunks[x]), set()
-                    for t in batch.column(1).slice(x, y - x).fill_null("").to_pylist():
-                        found.update(runs.findall(t))
+            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if now != chunk:
+                    if found:
+                        yield rows(now, found)
+                    now, found = chunk, set()
+                found |= runs_of(_unpacked(packed))
         if found:
             yield rows(now, found)
 
-    cand = dealt.select("_chunk", text).mapInArrow(candidates, "_chunk long, key string")
+    cand = dealt.mapInArrow(candidates, "_chunk long, key string")
     words = cand.join(lexicon, on="key", how="inner").select("_chunk", "key", "value")
     result = StructType([*base.schema.fields, StructField(out, StringType())])
 
-    def convert(lines: pa.Table, words: pa.Table) -> pa.Table:
+    def convert(pieces: pa.Table, words: pa.Table) -> pa.Table:
         own = dict(zip(words.column("key").to_pylist(), words.column("value").to_pylist()))
-        texts = lines.column(text).to_pylist()
-        distinct = list({r for t in texts if t is not None for r in runs.findall(t)})
-        converted = dict(zip(distinct, FlatDictionary(list(own), list(own.values())).convert(distinct)))
-        done = [None if t is None else runs.sub(lambda m: converted[m.group()], t) for t in texts]
-        return lines.drop_columns(["_chunk"]).append_column(out, pa.array(done, pa.string()))
+        lines = pa.concat_tables([_unpacked(p) for p in pieces.column("_lines")])
+        rest = [r for r in runs_of(lines) if r not in own]
+        if rest:
+            own |= dict(zip(rest, FlatDictionary(list(own), list(own.values())).convert(rest)))
+        done = []
+        for t in lines.column(text).to_pylist():
+            if t:
+                parts = runs.split(t)  # every second one is a run
+                parts[1::2] = map(own.__getitem__, parts[1::2])
+                t = "".join(parts)
+            done.append(t)
+        return lines.append_column(out, pa.array(done, pa.string()))
 
     return dealt.groupBy("_chunk").cogroup(words.groupBy("_chunk")).applyInArrow(convert, result)
 

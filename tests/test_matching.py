@@ -107,6 +107,42 @@ def test_bit_set_over_all_that_keys_begin_with(spark):
     assert bloom.has(MT.text_hashes([f"b{w}" for w in begins])).mean() < 0.1
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    """The counts behind a dictionary go when it is written, not at the driver's next collection."""
+    import time
+
+    from kanaforge.session import write_once
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = [files.apply(i).getName() for i in range(files.size())]
+        return {n.split("_")[1] for n in names if n.startswith("shuffle_")}
+
+    before, conf = shuffles(), dict(spark.conf.getAll)
+    words = spark.range(20_000).select(F.concat(F.lit("w"), F.col("id") % 500).alias("key"), F.lit("v").alias("value"))
+    written = write_once(LX.build_lexicon(words))
+    end = time.time() + 10
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert written.count() == 500 and dict(spark.conf.getAll) == conf
+
+
+def test_lines_of_several_pieces_keep_their_columns(spark, monkeypatch):
+    """Chunks that end within a batch, and batches that end within a chunk; runs that are keys, runs that are not."""
+    entries = {"ab": "1", "abc": "2", "日": "", "cd": "😀"}
+    texts = [None, "", "abc ab", "abcd日ab.cd", "xabx日", "c" * 40, "日日", "-", "ab" * 20] * 40
+    lines = spark.createDataFrame([(i, t, None if i % 7 == 0 else [i, None], float(i)) for i, t in enumerate(texts)], "line_id long, text string, a array<long>, d double")
+    lexicon = spark.createDataFrame(list(entries.items()), "key string, value string")
+    monkeypatch.setattr(LX, "CHUNK", 300)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["line_id"]: (r["converted"], r["a"], r["d"]) for r in LX.longest_match(lines, lexicon, broadcast_max_bytes=0, keep=("a", "d")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: (None if t is None else plain(t, entries), None if i % 7 == 0 else [i, None], float(i)) for i, t in enumerate(texts)}
+
+
 # --- rows that were asked for ------------------------------------------------------------
 
 def test_asked_rows_copy_and_bit_set_agree(spark, monkeypatch):
