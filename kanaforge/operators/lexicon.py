@@ -54,8 +54,8 @@ CHUNK = 1 << 23
 
 def _map_side(lines: DataFrame, lexicon: DataFrame, text: Column, out: str) -> DataFrame:
     """Every task converts its own lines against a copy of the dictionary; no shuffle."""
-    rows = lexicon.toPandas()
-    bound = lines.sparkSession.sparkContext.broadcast(FlatDictionary(rows["key"].tolist(), rows["value"].tolist()))
+    rows = lexicon.toArrow()
+    bound = lines.sparkSession.sparkContext.broadcast(FlatDictionary(rows.column("key").to_pylist(), rows.column("value").to_pylist()))
 
     @F.pandas_udf("string")
     def convert(texts: pd.Series) -> pd.Series:

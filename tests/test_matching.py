@@ -99,6 +99,25 @@ def test_bit_set_reaches_the_driver_as_bytes(spark):
     assert bloom.has(MT.text_hashes([r["key"] for r in keys.limit(1000).collect()])).all()
 
 
+def test_copied_dictionary_reaches_the_driver_as_arrays(spark):
+    """Of a dictionary that every task gets, the driver holds its strings once and no row objects."""
+    import tracemalloc
+
+    lexicon = spark.range(100_000).select(F.concat(F.lit("k"), F.col("id")).alias("key"), F.concat(F.lit("v"), F.col("id")).alias("value"))
+    lines = spark.createDataFrame([(1, "k7 k99999 k")], "line_id long, text string")
+    conf, was = "spark.sql.execution.arrow.pyspark.enabled", spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
+    spark.conf.set(conf, "false")
+    tracemalloc.start()
+    try:
+        out = LX.longest_match(lines, lexicon)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        spark.conf.set(conf, was)
+    assert out.first()["converted"] == "v7 v99999 k"
+    assert peak < 500 * 100_000
+
+
 def test_bit_set_over_all_that_keys_begin_with(spark):
     words = ["", None, "a", "ab日", "ab日é😀", "zz"] * 3 + ["long " * 300]
     bloom = BL.bloom_of(spark.createDataFrame([(w,) for w in words], "key string"), "key", 2000, prefixes=True)
